@@ -6,17 +6,50 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tracemill.llm.common import held_out
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracemill.llm import toxicity
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, _table(spark, sf_dir, "labels"))
+    return toxicity.score_documents(docs, model).select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", "predicted")
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tracemill.llm.jaccard_join import near_duplicates
 
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op6_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracemill.llm import quality
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, _table(spark, sf_dir, "labels"))
+    return quality.score_documents(docs, model, 0.3).select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", "predicted")
+
+
+def op8_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracemill.llm import pii
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.find(docs, pii.fit(docs))
+
+
+def op10_byte_cnn_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracemill.llm import language
+
+    docs = _table(spark, sf_dir, "documents")
+    net = language.fit(docs.select("doc_id", "text", "lang"))
+    return language.identify(docs.select("doc_id", "text"), net).select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "lang_pred", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
