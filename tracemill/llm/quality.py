@@ -129,7 +129,7 @@ def score_documents(docs: DataFrame, model: SubwordModel, threshold: float = 0.3
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = [c for c in docs.columns if c not in (score, predicted)]
     base = docs.select(*kept)
-    schema = base.schema.add(score, "double").add(predicted, "int")
+    schema = base.schema.add(score, "double").add(predicted, "integer")
 
     def run(batches):
         m = shared.value
