@@ -180,8 +180,9 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> ByteCnn:
     if picked is None:
         return train(pa.array([], pa.string()), np.array([], dtype=object))
     # TEXTS_PER_LANG rows of each language at most: a proven bound for the broadcast
-    got = rows.select("doc_id", F.col(text).alias("_text"), F.col(lang).alias("_lang")).join(F.broadcast(picked.distinct()), (F.col("doc_id") == F.col("_id")) & (rows[lang] == picked["_lang"])).select("doc_id", "_text", picked["_lang"]).toArrow().sort_by("doc_id")
-    texts, langs = got.column("_text").combine_chunks(), got.column("_lang").to_numpy(zero_copy_only=False)
+    whole = rows.select("doc_id", F.col(text).alias("_text"), F.col(lang).alias("_is"))
+    got = whole.join(F.broadcast(picked.distinct()), (F.col("doc_id") == F.col("_id")) & (F.col("_is") == F.col("_lang"))).select("doc_id", "_text", "_lang").toArrow().sort_by("doc_id")
+    texts, langs = got.column("_text").combine_chunks(), got.column("_lang").combine_chunks().to_numpy(zero_copy_only=False)
     keep = has_letter(texts)
     return train(texts.filter(pa.array(keep)), langs[keep])
 
