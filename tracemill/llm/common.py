@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 #: Bytes of text that one numpy pass handles; a longer text is a pass of its own.
 CHUNK_BYTES = 1 << 19
@@ -54,6 +54,11 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def extended(df: DataFrame, **kinds: T.DataType) -> T.StructType:
+    """df's columns and further ones, as a schema of its own."""
+    return T.StructType([*df.schema.fields, *(T.StructField(k, v) for k, v in kinds.items())])
+
+
 def held_out(column: str, folds: int, fold: int):
     """crc32 of the id as text, modulo folds, equals fold; false for a null id."""
     return F.coalesce(F.crc32(F.col(column).cast("string")) % folds == fold, F.lit(False))

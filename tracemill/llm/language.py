@@ -12,9 +12,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from tracemill.llm.common import held_out, per_text_sums, text_chunks
+from tracemill.llm.common import extended, held_out, per_text_sums, text_chunks
 
 WINDOW = 128
 WIDTHS = (2, 3, 4)
@@ -195,7 +195,7 @@ def identify(docs: DataFrame, net: ByteCnn, text: str = "text", pred: str = "lan
     """
     shared = docs.sparkSession.sparkContext.broadcast(net)
     base = docs.select(*[c for c in docs.columns if c not in (pred, score)])
-    schema = base.schema.add(pred, "string").add(score, "double")
+    schema = extended(base, **{pred: T.StringType(), score: T.DoubleType()})
 
     def run(batches):
         m = shared.value

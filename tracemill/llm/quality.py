@@ -14,9 +14,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from tracemill.llm.common import held_out, labelled_sample, per_text_sums, text_chunks
+from tracemill.llm.common import extended, held_out, labelled_sample, per_text_sums, text_chunks
 from tracemill.llm.shingles import word_hashes
 
 BITS = 16
@@ -129,7 +129,7 @@ def score_documents(docs: DataFrame, model: SubwordModel, threshold: float = 0.3
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = [c for c in docs.columns if c not in (score, predicted)]
     base = docs.select(*kept)
-    schema = base.schema.add(score, "double").add(predicted, "integer")
+    schema = extended(base, **{score: T.DoubleType(), predicted: T.IntegerType()})
 
     def run(batches):
         m = shared.value

@@ -16,9 +16,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from tracemill.llm.common import held_out, labelled_sample, text_chunks
+from tracemill.llm.common import extended, held_out, labelled_sample, text_chunks
 from tracemill.llm.shingles import _BYTE, _power_tables, mix, shingle_sets
 
 #: Seed lexicons: plain function words and verbs. Insults are learned.
@@ -309,7 +309,7 @@ def score_documents(docs: DataFrame, model: ToxicityModel, threshold: float = 0.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     base = docs.select(*[c for c in docs.columns if c not in (score, predicted)])
-    schema = base.schema.add(score, "double").add(predicted, "integer")
+    schema = extended(base, **{score: T.DoubleType(), predicted: T.IntegerType()})
 
     def run(batches):
         m = shared.value
