@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tracemill.llm.common import held_out
 
@@ -21,12 +23,66 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(docs, model).select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", "predicted")
 
 
+def op2_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The archive against a replica with planted damage: one record in 89 altered, one in 97 lost."""
+    from tracemill.llm import fixity
+
+    pages = _table(spark, sf_dir, "pages")
+    dice = F.conv(F.substring(F.md5(F.col("page_id").cast("string")), 1, 6), 16, 10).cast("long")
+    body = F.when(dice % 89 == 0, F.concat(F.coalesce("html", F.lit("")), F.lit("#"))).otherwise(F.col("html"))
+    return fixity.audit(fixity.records(pages), fixity.records(pages, body, F.coalesce(dice % 97 != 0, F.lit(True))))
+
+
+OP2_SQL = r"""
+with page as (
+  select page_id, coalesce(url, '') as url, coalesce(html, '') as html,
+         cast(floor(page_id / 512.0) as bigint) as f,
+         cast('0x' || substr(md5(cast(page_id as varchar)), 1, 6) as bigint) as dice,
+         chr(13) || chr(10) as eol
+  from pages
+),
+rec as (
+  select *, case when dice % 89 = 0 then html || '#' else html end as body,
+         'WARC/1.0' || eol || 'WARC-Type: resource' || eol || 'WARC-Target-URI: ' || url || eol || 'Content-Length: ' as head
+  from page
+),
+digested as (
+  select page_id, f, url, dice,
+         strlen(head || cast(strlen(html) as varchar) || eol || eol || html || eol || eol) as length,
+         sha256(head || cast(strlen(html) as varchar) || eol || eol || html || eol || eol) as one,
+         sha256(head || cast(strlen(body) as varchar) || eol || eol || body || eol || eol) as two
+  from rec
+),
+laid as (
+  select *, cast(coalesce(sum(length) over (partition by f order by page_id, url, one rows between unbounded preceding and 1 preceding), 0) as bigint) as "offset"
+  from digested
+)
+select 'part-' || cast(f as varchar) as file, cast(floor("offset" / 65536.0) as bigint) as "range", "offset",
+       case when dice % 97 = 0 then 'missing_in_two' else 'changed' end as finding,
+       one as digest_one, case when dice % 97 = 0 then null else two end as digest_two
+from laid
+where dice % 97 = 0 or one <> two
+"""
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracemill.llm import packing
+
+    return packing.pack(packing.pieces(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tracemill.llm.jaccard_join import near_duplicates
 
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op5_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracemill.llm import neural_lsh
+
+    return neural_lsh.nearest(_table(spark, sf_dir, "embeddings"))
+
+
 def op6_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tracemill.llm import quality
 
@@ -35,6 +91,17 @@ def op6_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(docs, model, 0.3).select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", "predicted")
 
 
+#: The model file that op7 codes with; another path may be set in the environment.
+SP_MODEL = os.environ.get("TRACEMILL_SP_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
+
+
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracemill.llm import sentencepiece_codec
+
+    raw = sentencepiece_codec.read_model(spark, SP_MODEL)
+    return sentencepiece_codec.digests(_table(spark, sf_dir, "documents"), raw)
+
+
 def op8_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tracemill.llm import pii
 
@@ -42,6 +109,12 @@ def op8_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(docs, pii.fit(docs))
 
 
+def op9_bit_sliced_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracemill.llm import bitsliced
+
+    return bitsliced.top_k(_table(spark, sf_dir, "embeddings"))
+
+
 def op10_byte_cnn_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tracemill.llm import language
 
@@ -50,9 +123,26 @@ def op10_byte_cnn_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs.select("doc_id", "text"), net).select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "lang_pred", "score")
 
 
+OP9_SQL = """
+with q as (
+  select vec_id, list_transform(embedding, lambda x: cast(floor(64 * cast(x as double)) as bigint)) as v
+  from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0
+),
+pairs as (
+  select a.vec_id as query_id, b.vec_id, cast(list_sum(list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * b.v[i])) as bigint) as score
+  from q a join q b on a.vec_id <> b.vec_id
+  where a.vec_id % 20 = 0
+)
+select query_id, cast(rank as integer) as rank, vec_id, score
+from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from pairs)
+where rank <= 20
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
+    return {k: v for k, v in globals().items() if re.match(r"op\d+_", k)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_warc_fixity": OP2_SQL, "op9_bit_sliced_top_k": OP9_SQL}
