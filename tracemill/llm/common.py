@@ -97,7 +97,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     Texts that two ids or rows share count once; rows with a null id, text or label take no part.
     """
     known = labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("_y")).where(F.col("_y").isin(0, 1))
-    known = known.where(~held_out("_id", 5, 0))
+    known = known.where(F.col("_id").isNotNull() & ~held_out("_id", 5, 0))
     order = F.xxhash64(F.col("_id"), F.lit(seed))
     picked = None
     for y in (0, 1):

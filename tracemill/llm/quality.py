@@ -116,7 +116,7 @@ def train(texts: pa.Array, y: np.ndarray, prior: float, seed: int = 3) -> Subwor
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = PER_CLASS) -> SubwordModel:
     """Train on a bounded sample of the labelled rows outside the held-out fold."""
     texts, y = labelled_sample(docs, labels, label, per_class)
-    known = labels.where(F.col(label).isin(0, 1)).where(~held_out("doc_id", 5, 0)).agg(F.avg(F.col(label).cast("double"))).first()[0]
+    known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out("doc_id", 5, 0)).agg(F.avg(F.col(label).cast("double"))).first()[0]
     return train(texts, y, 0.5 if known is None else known)
 
 

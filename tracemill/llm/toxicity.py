@@ -297,7 +297,7 @@ def train(texts: pa.Array, y: np.ndarray, prior: float) -> ToxicityModel:
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> ToxicityModel:
     """Train on a bounded sample of the labelled rows outside the held-out fold."""
     texts, y = labelled_sample(docs, labels, "toxic", per_class)
-    known = labels.where(F.col("toxic").isin(0, 1)).where(~held_out("doc_id", 5, 0)).agg(F.avg(F.col("toxic").cast("double"))).first()[0]
+    known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out("doc_id", 5, 0)).agg(F.avg(F.col("toxic").cast("double"))).first()[0]
     return train(texts, y, 0.5 if known is None else known)
 
 
