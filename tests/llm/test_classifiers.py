@@ -74,7 +74,7 @@ def test_long_text_and_ties_score_as_their_parts_do(words):
     rng = random.Random(2)
     texts = [sound(words, rng) for _ in range(30)] + [junk(words, rng) for _ in range(30)]
     model = quality.train(pa.array(texts), np.array([1] * 30 + [0] * 30), 0.5)
-    long = " ".join(texts[:30]) * 60
+    long = " ".join(texts[:30]) * 90
     assert len(long) > 500_000 and model.score(pa.array([long, long, None]))[0] > 0.9
     s = model.score(pa.array(texts + texts))
     assert np.allclose(s[:60], s[60:], atol=1e-6)

@@ -13,7 +13,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +29,8 @@ _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_TOKEN = re.compile(r"[^\x20\x09-\x0D]*[0-9@+][^\x20\x09-\x0D]*")
+#: A word with a digit, "@" or "+"; tried only where a word begins, so linear in long runs.
+_TOKEN = re.compile(r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@+]*[0-9@+][^\x20\x09-\x0D]*")
 _WORD_BEFORE = re.compile(r"([^\x20\x09-\x0D]{1,12})[\x20\x09-\x0D]+$")
 _WORD_AFTER = re.compile(r"[\x20\x09-\x0D]+([^\x20\x09-\x0D]{1,12})")
 _EDGE = re.compile(r"^[^A-Za-z0-9+(]+|[^A-Za-z0-9)]+$")
@@ -152,14 +155,26 @@ def graph(text: str) -> _Graph:
 
 
 def _labels(g: _Graph, base: list[tuple[int, int, int]]) -> np.ndarray:
+    """Label of each token: the kind of the longest base span that it overlaps, 0 for none."""
     y = np.zeros(len(g.spans), np.int64)
+    starts, ends = [a for a, _ in g.spans], [b for _, b in g.spans]
     for kind, a, b in sorted(base, key=lambda s: s[2] - s[1]):
-        for i, (x, z) in enumerate(g.spans):
-            if x < b and a < z:
-                y[i] = kind + 1
+        y[bisect_right(ends, a) : bisect_left(starts, b)] = kind + 1
     return y
 
 
+def _covers(base: list[tuple[int, int, int]]):
+    """A test whether any base span overlaps a range."""
+    order = sorted((a, b) for _, a, b in base)
+    starts, far = [a for a, _ in order], list(accumulate((b for _, b in order), max))
+
+    def test(a: int, b: int) -> bool:
+        k = bisect_left(starts, b)
+        return k > 0 and far[k - 1] > a
+
+    return test
+
+
 @dataclass
 class SkipChainCrf:
     unary: np.ndarray  # BUCKETS x LABELS
@@ -208,11 +223,12 @@ class SkipChainCrf:
         out = []
         for text, base, g, p in zip(texts, bases, graphs, self.marginals(graphs)):
             more: list[tuple[int, int, int]] = []
+            taken, linked = _covers(base), set(g.chain)
             for i in np.flatnonzero(p[:, 1:].max(axis=1) >= SURE) if len(p) else ():
                 kind, (a, b) = int(p[i, 1:].argmax()), g.spans[i]
-                if any(a < z and x < b for _, x, z in base):
+                if taken(a, b):
                     continue
-                if more and more[-1][0] == kind and (i - 1, i) in g.chain and more[-1][2] == g.spans[i - 1][1]:
+                if more and more[-1][0] == kind and (i - 1, i) in linked and more[-1][2] == g.spans[i - 1][1]:
                     more[-1] = (kind, more[-1][1], b)
                 else:
                     more.append((kind, a, b))
