@@ -23,7 +23,8 @@ BITS = 16
 DIM = 8
 #: Bound on the training sample, rows of each label.
 PER_CLASS = 1500
-EPOCHS = 4
+#: Passes over the sample, more where it is small: at least STEPS steps.
+EPOCHS, STEPS = 4, 3000
 RATE = 1.0
 _SIZE = 1 << BITS
 #: words, trigrams, 4-grams each have a table of their own; one slot marks repeated words
@@ -92,8 +93,9 @@ def train(texts: pa.Array, y: np.ndarray, prior: float, seed: int = 3) -> Subwor
     out = np.zeros((DIM, 2), np.float32)
     bias = np.zeros(2, np.float32)
     if len(bags) and 0 < y.sum() < len(y):
-        steps = EPOCHS * len(bags)
-        for k in range(EPOCHS):
+        epochs = max(EPOCHS, -(-STEPS // len(bags)))
+        steps = epochs * len(bags)
+        for k in range(epochs):
             for j, i in enumerate(rng.permutation(len(bags))):
                 rate = RATE * (1 - (k * len(bags) + j) / steps)
                 u, share = bags[i]

@@ -21,7 +21,9 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from tracemill.llm.common import extended, held_out, labelled_sample, text_chunks
 from tracemill.llm.shingles import _BYTE, _power_tables, mix, shingle_sets
 
-#: Seed lexicons: plain function words and verbs. Insults are learned.
+#: Seed lexicons. Labels add insults, and weigh the seeds; without labels a seed counts SEED_WEIGHT.
+INSULTS = "idiot idiots moron morons imbecile stupid dumb dumbass fool loser losers scum filth filthy vermin worthless pathetic trash garbage disgusting clown cretin bastard bitch jerk pig coward freak idiote imbécile connard salaud crétin abruti ordure dummkopf trottel arschloch schwein abschaum idiota imbécil estúpido basura escoria cabrón".split()
+SEED_WEIGHT = 3.0
 TARGETS = "you your yours yourself u he she him her they them those these people tu vous toi votre vos ton tes ihr dich euch dein eure sie usted ustedes ti vosotros ellos ellas".split()
 NEGATIONS = "not no never nobody nor without isn't aren't wasn't don't doesn't didn't won't can't cannot pas jamais ni sans nicht kein keine keinen nie niemals ohne nunca jamás sin".split()
 REPORTS = "said says say saying told tells called calls wrote writes claimed claims quoted quote alleged allegedly reported reportedly according dit disait écrit sagte sagt schrieb behauptet dijo dice escribió afirmó".split()
@@ -224,7 +226,8 @@ def _learn_insults(texts: pa.Array, y: np.ndarray, odds: float):
     Near copies count once. odds turns counts of label 0 in the sample into counts at the labels'
     true shares. Returns {length of the beginning, 0 for a whole word: (sorted hashes, weights)}.
     """
-    none = {k: (np.zeros(0, np.uint64), np.zeros(0)) for k in (0, *PREFIXES)}
+    seeds = np.array(sorted(_hash_word(w) for w in INSULTS), np.uint64)
+    none = {k: (np.zeros(0, np.uint64), np.zeros(0)) for k in PREFIXES} | {0: (seeds, np.full(len(seeds), SEED_WEIGHT))}
     if not 0 < y.sum() < len(y):
         return none
     group = _copies(texts)
@@ -256,7 +259,17 @@ def _learn_insults(texts: pa.Array, y: np.ndarray, odds: float):
     bar = np.log(len(edge)) + 3
     good = np.flatnonzero((t / (t + odds * (c + 0.5)) > 0.4) & (_gain(t, c, prior) > bar))
     weight = np.log(t[good] / ones) - np.log((c[good] + 0.5) / zeros)
-    return {k: (key[edge[good]][tag[good] == k], weight[tag[good] == k]) for k in (0, *PREFIXES)}
+    out = {k: (key[edge[good]][tag[good] == k], weight[tag[good] == k]) for k in (0, *PREFIXES)}
+    # seeds that labels say too little of keep their weight, but for what labels do say
+    rest = np.setdiff1d(seeds, out[0][0])
+    words, at = key[edge[tag == 0]], np.flatnonzero(tag == 0)
+    place = np.minimum(np.searchsorted(words, rest), max(0, len(words) - 1))
+    seen = words[place] == rest if len(words) else np.zeros(len(rest), bool)
+    a, b = np.where(seen, t[at[place]], 0) if len(words) else 0, np.where(seen, c[at[place]], 0) if len(words) else 0
+    told = SEED_WEIGHT + np.log((a + 1) / (b * (ones + 1) / (zeros + 1) + 1))
+    every, w = np.concatenate([out[0][0], rest]), np.concatenate([out[0][1], np.maximum(told, 0)])
+    out[0] = every[np.argsort(every)], w[np.argsort(every)]
+    return out
 
 
 def train(texts: pa.Array, y: np.ndarray, prior: float) -> ToxicityModel:
