@@ -18,8 +18,13 @@ def _totals(events: DataFrame) -> DataFrame:
     return out.withColumn("regression_percentage", 100.0 * F.col("regressed_questions") / F.col("total_questions")).withColumn("avg_regressions_per_question", F.col("total_regressions") / F.col("total_questions"))
 
 
+def by_trace(pu: DataFrame) -> DataFrame:
+    """Records dealt out by trace: one shuffle serves the step means, the windows and the traces' own aggregates."""
+    return pu.repartition(*CURVE, "trace_index")
+
+
 def step_means(pu: DataFrame) -> DataFrame:
-    return pu.groupBy(*CURVE, "trace_index", "num_steps").agg(F.avg(correct()).alias("mean_correct"), F.avg(normalised()).alias("mean_score"))
+    return by_trace(pu).groupBy(*CURVE, "trace_index", "num_steps").agg(F.avg(correct()).alias("mean_correct"), F.avg(normalised()).alias("mean_score"))
 
 
 def regressions(pu: DataFrame) -> DataFrame:
@@ -77,7 +82,7 @@ def trace_metrics(pu: DataFrame) -> DataFrame:
         F.when(F.count("*") >= 2, stats.fit_mse("mean_score", "x")).alias("linearity_mse"),
         F.try_divide(F.count_if((F.col("prev") >= 0.5) & (F.col("mean_correct") < 0.5)), F.count("prev")).alias("regression_rate"),
     )
-    avg = pu.groupBy(*CURVE, "trace_index").agg(F.avg(correct()).alias("avg_correct"))
+    avg = by_trace(pu).groupBy(*CURVE, "trace_index").agg(F.avg(correct()).alias("avg_correct"))
     return avg.join(curve, [*CURVE, "trace_index"])
 
 
