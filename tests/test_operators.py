@@ -154,3 +154,16 @@ def test_written_partitions_prune(spark, tmp_path):
     assert got.count() == 20 and "PartitionFilters: [isnotnull(dataset" in got._jdf.queryExecution().toString()
     store.write_requests(df, str(tmp_path / "r"), ["id"])
     assert spark.read.json(str(tmp_path / "r")).count() == 40
+
+
+def test_condition_keys_and_presets():
+    from tracemill.plans import serving
+
+    assert serving.condition_key("all", "all", "all") == ("unconditional", "all")
+    assert serving.condition_key("math", "m", "correct_only") == ("by_dataset_model__correct_only", "math::m")
+    assert serving.condition_key("all", "m", "incorrect_only") == ("by_model__incorrect_only", "m")
+    names = ["trace_score", "rm::a", "pu_x", "pu_linearity_mse", "eff_n"]
+    assert serving.preset(names, "core") == ["trace_score", "rm::a", "pu_linearity_mse"]
+    assert serving.preset(names, "rm_pu") == ["rm::a", "pu_x", "pu_linearity_mse"]
+    with pytest.raises(ValueError):
+        serving.preset(names, "none")

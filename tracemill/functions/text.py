@@ -227,3 +227,82 @@ def scoring_text(mode: str, system, question, trace, completion_) -> Column:
     if mode in ("question_trace", "question_completion"):
         return F.concat_ws("\n", head, F.concat(F.lit("Human: "), part(question)), F.concat(F.lit("Assistant: "), body))
     raise ValueError(f"unknown mode {mode}")
+
+
+def answer_span(x) -> Column:
+    """(answer, start, end) of the stated answer: where its last occurrence lies, from 0; null offsets if it was rewritten."""
+    t = F.coalesce(_c(x), F.lit(""))
+    a = math_answer(t)
+    back = F.instr(F.reverse(t), F.reverse(a))
+    start = F.when((a != "") & (back > 0), F.length(t) - back - F.length(a) + 1)
+    return F.struct(a.alias("answer"), start.alias("start"), (start + F.length(a)).alias("end"))
+
+
+#: English number words.
+NUMBER_WORDS = {w: i for i, w in enumerate("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split())} | {w: 20 + 10 * i for i, w in enumerate("twenty thirty forty fifty sixty seventy eighty ninety".split())}
+SCALES = {"thousand": 1_000, "million": 1_000_000, "billion": 1_000_000_000}
+
+
+def word_number(x) -> Column:
+    """A number in English words as digits; any other text unchanged."""
+    t = _c(x)
+    words = F.filter(F.split(F.lower(strip(t)), r"[\s-]+"), lambda w: (w != "and") & (w != ""))
+    small = F.create_map(*[F.lit(v) for w, n in NUMBER_WORDS.items() for v in (w, n)])
+    scale = F.create_map(*[F.lit(v) for w, n in SCALES.items() for v in (w, n)])
+    zero = F.struct(F.lit(0).cast("long").alias("total"), F.lit(0).cast("long").alias("part"))
+
+    def step(acc, w):
+        n, k = F.try_element_at(small, w), F.try_element_at(scale, w)
+        total = F.when(k.isNotNull(), acc["total"] + F.greatest(acc["part"], F.lit(1)) * k).otherwise(acc["total"])
+        part = F.when(k.isNotNull(), F.lit(0)).when(w == "hundred", F.greatest(acc["part"], F.lit(1)) * 100).otherwise(acc["part"] + n)
+        return F.struct(total.cast("long").alias("total"), part.cast("long").alias("part"))
+
+    known = F.forall(words, lambda w: F.array_contains(F.array(*[F.lit(w2) for w2 in (*NUMBER_WORDS, *SCALES, "hundred")]), w)) & (F.size(words) > 0)
+    return F.when(known, F.aggregate(words, zero, step, lambda a: a["total"] + a["part"]).cast("string")).otherwise(t)
+
+
+def vector_matrix(x) -> Column:
+    """Braced lists as LaTeX column matrices, joined by commas."""
+    found = F.regexp_extract_all(strip(x), F.lit(r"(\{.*,.*\})"), F.lit(1))
+    one = lambda m: F.concat(F.lit("\\begin{pmatrix}"), F.replace(F.regexp_replace(m, r"^[{}]+|[{}]+$", ""), F.lit(","), F.lit("\\")), F.lit("\\end{pmatrix}"))
+    return F.array_join(F.transform(found, one), ", ")
+
+
+def clip_end(x, mark: str) -> Column:
+    """A text that ends with an end mark, without the last one; any other text unchanged."""
+    t = _c(x)
+    return F.when(t.endswith(mark), F.substring(t, F.lit(1), F.length(t) - len(mark))).otherwise(t)
+
+
+def metric_label(x) -> Column:
+    """A metric's name for reading: its prefix spelled out."""
+    m = _c(x)
+    out = F.when(F.lit(False), m)
+    for prefix, label in (("rm::", "RM: "), ("pu_", "PU: "), ("eff_", "EFF: "), ("bt_", "BT: "), ("red_", "RED: ")):
+        out = out.when(m.startswith(prefix), F.concat(F.lit(label), F.substring(m, F.lit(len(prefix) + 1), F.length(m))))
+    return out.otherwise(m)
+
+
+def model_size(name) -> Column:
+    """Billions of parameters that a model's name states last; null if none."""
+    return F.try_element_at(F.regexp_extract_all(F.lower(_c(name)), F.lit(r"(\d+\.?\d*)b"), F.lit(1)), F.lit(-1)).try_cast("double")
+
+
+def default_config(name) -> Column:
+    """Which default generation config serves a model without its own: large above 50 billion, else small."""
+    return F.when(model_size(name) > 50, "default_large").otherwise("default_small")
+
+
+def fuzzy_key(x) -> Column:
+    """A name in lower case with every separator as an underscore."""
+    return F.translate(F.lower(_c(x)), "/ -.:", "_____")
+
+
+def same_teacher(name, wanted: str) -> Column:
+    """Whether a name is the wanted one or holds it, whatever the separators."""
+    return F.contains(fuzzy_key(name), fuzzy_key(F.lit(wanted)))
+
+
+def color_slot(name, slots: int = 360) -> Column:
+    """A stable place on the colour wheel for a name that has no colour of its own."""
+    return F.pmod(F.xxhash64(F.lower(_c(name))), F.lit(slots)).cast("int")

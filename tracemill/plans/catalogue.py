@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from tracemill import schema as S
 from tracemill.functions import grading, jsonparse, text
 from tracemill.operators import backtracking as bt, curves, pu, stats, store, traces as tr
-from tracemill.plans import literals
+from tracemill.plans import literals, serving
 from tracemill.sources import tables as src
 
 QUERIES: dict = {}
@@ -423,6 +423,55 @@ _literal("normalize_bt_json")(lambda df: df.select("id", F.to_json(jsonparse.ver
 _literal("parse_batch_reply")(lambda df: df.select("id", F.to_json(jsonparse.batch_reply("line")).alias("reply")))
 _literal("reward_scores")(lambda df: df.select("id", F.round(grading.transform_score(grading.logit_score("logits"), "sigmoid"), 6).alias("score"), grading.logit_score("logits", "diff_last_first").alias("diff")))
 _literal("model_names")(lambda df: df.select("id", text.canonical_model("name").alias("key"), text.teacher_short("name").alias("teacher"), text.student_short("name").alias("student")))
+_literal("answer_spans")(lambda df: df.select("id", text.answer_span("output").alias("s")).select("id", "s.answer", F.col("s.start").cast("int").alias("start"), F.col("s.end").cast("int").alias("stop")))
+_literal("number_words")(lambda df: df.select("id", text.word_number("phrase").alias("number")))
+_literal("vector_matrices")(lambda df: df.select("id", text.vector_matrix("vec").alias("matrix")))
+_literal("clip_end_mark")(lambda df: df.select("id", text.clip_end("full_text", "</s>").alias("clipped")))
+_literal("metric_labels")(lambda df: df.select("id", text.metric_label("metric").alias("label")))
+_literal("default_configs")(lambda df: df.select("id", text.model_size("name").alias("size"), text.default_config("name").alias("config")))
+_literal("reward_combinations")(lambda df: df.select("id", *[grading.combine_rewards("rewards", m).alias(m) for m in ("mean", "min", "max")]))
+
+
+# --- serving ---------------------------------------------------------------------------------
+@query(f"""with {FX_PU}, {CURVE_PARTS}, lead_ as (select dataset, model, cast(sum(n) as bigint) as total_count, avg(y) as mean_accuracy from parts group by all), reg as ({REGRESSION_SQL}),
+r as (select dataset, teacher_model as model, cast(sum(regressed_questions) as bigint) as regressed_questions, avg(regression_percentage) as regression_percentage from reg group by all)
+select l.dataset, l.model, l.total_count, round(l.mean_accuracy, 4) as mean_accuracy, r.regressed_questions, round(r.regression_percentage, 4) as regression_percentage from lead_ l left join r using (dataset, model)""")
+def pu_leaderboard_rows(spark, base):
+    reg = pu.leaderboard_regressions(pu.regressions(src.pu_records(spark, base))).select("dataset", "model", "regressed_questions", "regression_percentage")
+    lead = curves.leaderboard(_curve(spark, base)).select("dataset", "model", "total_count", "mean_accuracy")
+    return rounded(serving.with_optional(lead, reg, ["dataset", "model"]), 4)
+
+
+@query(f"with {FX_PU}, {BINS} select dataset, teacher_model, student_model, bin_center, round(mean_correct, 6) as mean_correct, round(std_correct, 6) as std_correct, n as count from bins where contains(translate(lower(teacher_model), '/ -.:', '_____'), 't1')")
+def pu_bins_of_teacher(spark, base):
+    return pu.percentage_bins(src.pu_records(spark, base)).where(text.same_teacher("teacher_model", "T1"))
+
+
+@query(f"with {FX_TRACES} select dataset, model, round(avg(coalesce(score, 0)), 6) as average_score, round(avg(case when score = 1 or contains(trace_text, cast(trace_index % 10 as varchar)) then 1.0e0 else 0.0e0 end), 6) as average_boosted from fx_traces group by all")
+def boosted_scores(spark, base):
+    return serving.boosted(src.traces(spark, base).withColumn("answer", (F.col("trace_index") % 10).cast("string")))
+
+
+@query(f"with {FX_BT} select dataset, count(*) as total, count(error) as errors, round(100.0e0 * count(error) / count(*), 6) as error_percentage from fx_bt group by all")
+def grading_summary(spark, base):
+    return serving.error_summary(src.backtracking(spark, base))
+
+
+@query(f"with {FX_JOINED} select dataset, count(*) as traces, round(avg(score), 6) as accuracy, round(avg(token_count), 6) as mean_tokens, round(median(token_count), 6) as median_tokens, round(avg(redundancy_score), 6) as mean_redundancy, round(median(redundancy_score), 6) as median_redundancy from fx_joined group by all")
+def index_summary(spark, base):
+    return serving.index_summary(_joined(spark, base))
+
+
+@query(f"with {BT}, {BT_TABLE}, v as (select *, printf('%.2f', round(mean_steps, 2)) as t from tab) select dataset, model, model || ' & ' || case when is_max then '\\textbf{{' || t || '}}' when is_min then '\\underline{{' || t || '}}' else t end as row from v")
+def bt_latex_rows(spark, base):
+    tab = bt.table(src.backtracking(spark, base), src.traces(spark, base))
+    return bt.latex_rows(tab.withColumn("mean_steps", F.round("mean_steps", 2)))
+
+
+@query(None)
+def correlation_matrix(spark, base):
+    j = _joined(spark, base).select("dataset", *[F.col(m).cast("double").alias(m) for m in METRICS])
+    return serving.square(stats.correlation_pairs(j, ["dataset"], METRICS), ["dataset"], METRICS)
 
 
 # --- store -----------------------------------------------------------------------------------

@@ -110,6 +110,25 @@ CASES = {
         "out": {"score": "double", "diff": "double"},
         "rows": [(([0.0],), (0.5, None)), (([1.0, 1.0],), (0.5, 0.0)), (([9.0, 9.0, 0.0],), (0.5, -9.0))],
     },
+    "answer_spans": {
+        "schema": "id int, output string",
+        "out": {"answer": "varchar", "start": "integer", "stop": "integer"},
+        "rows": [(("so \\boxed{12} ok",), ("12", 10, 12)), (("he answer is 42.",), ("42", 13, 15)), (("none",), ("", None, None))],
+    },
+    "number_words": {
+        "schema": "id int, phrase string",
+        "out": {"number": "varchar"},
+        "rows": [(("Forty-two",), ("42",)), (("one hundred and five",), ("105",)), (("two thousand three hundred",), ("2300",)), (("x plus one",), ("x plus one",)), (("seventeen",), ("17",))],
+    },
+    "vector_matrices": {"schema": "id int, vec string", "out": {"matrix": "varchar"}, "rows": [(("{1,2}",), ("\\begin{pmatrix}1\\2\\end{pmatrix}",)), (("none",), ("",))]},
+    "clip_end_mark": {"schema": "id int, full_text string", "out": {"clipped": "varchar"}, "rows": [(("a</s>",), ("a",)), (("a</s>b",), ("a</s>b",)), (("a</s></s>",), ("a</s>",))]},
+    "metric_labels": {"schema": "id int, metric string", "out": {"label": "varchar"}, "rows": [(("rm::x",), ("RM: x",)), (("pu_r2",), ("PU: r2",)), (("eff_n",), ("EFF: n",)), (("bt_k",), ("BT: k",)), (("red_s",), ("RED: s",)), (("score",), ("score",))]},
+    "default_configs": {"schema": "id int, name string", "out": {"size": "double", "config": "varchar"}, "rows": [(("Qwen2.5-72B",), (72.0, "default_large")), (("llama-3-8b",), (8.0, "default_small")), (("phi",), (None, "default_small"))]},
+    "reward_combinations": {
+        "schema": "id int, rewards map<string,double>",
+        "out": {"mean": "double", "min": "double", "max": "double"},
+        "rows": [(({"a": 1.0, "b": 3.0},), (2.0, 1.0, 3.0)), (({},), (None, None, None))],
+    },
     "model_names": {
         "schema": "id int, name string",
         "out": {"key": "varchar", "teacher": "varchar", "student": "varchar"},
