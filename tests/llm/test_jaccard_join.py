@@ -73,3 +73,25 @@ def test_odd_tables(spark):
     got = sorted((tuple(r)[:3] for r in near_duplicates(df).collect()), key=str)
     assert got == sorted([(1, 2, 1), (1, 2, 1), (2, 0, 2), (3, 0, 3), (None, 2, 1)], key=str)
     assert near_duplicates(df.limit(0)).count() == 0
+
+
+def links(rows):
+    """Number of other distinct sets that each row's set links with."""
+    own = {}
+    for d, t in rows:
+        w = WORD.findall((t or "").lower())
+        own[d] = frozenset({tuple(w)} if 0 < len(w) < 5 else {tuple(w[k : k + 5]) for k in range(len(w) - 4)})
+    sets = set(own.values())
+    told = {s: sum(x != s and len(s & x) > 0 and 100 * len(s & x) >= 80 * len(s | x) for x in sets) for s in sets}
+    return {d: told[s] for d, s in own.items()}
+
+
+@pytest.mark.parametrize("block, tile", [(8192, 2048), (70, 16)])
+def test_no_link_of_a_hot_group_is_lost(spark, monkeypatch, block, tile):
+    monkeypatch.setattr("tracemill.llm.jaccard_join.BLOCK_SETS", block, raising=False)
+    monkeypatch.setattr("tracemill.llm.jaccard_join.TILE", tile, raising=False)
+    rows = [r for r in corpus(4, 40, 300) if not r[1] or r[1].isascii()]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    want = links(rows)
+    assert max(want.values()) > 50
+    assert {r["doc_id"]: r["n_links"] for r in near_duplicates(df).collect()} == want

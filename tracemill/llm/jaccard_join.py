@@ -19,6 +19,8 @@ Steps, none of which needs a group of documents in one task:
    Each heavy list is first compared with its best pivot (linear), then only members of
    components that are still apart and whose bound allows a link are compared.
 5. Verification recomputes whole sets of the named documents and counts intersections exactly.
+6. Links between nodes with heavy postings are counted after the groups are known: such a link
+   lies within one group, whose sets meet in salted blocks, every block with every other.
 """
 
 from __future__ import annotations
@@ -48,6 +50,8 @@ BUCKET_ROWS = 400_000
 #: Cost of reading one posting, against comparing one shingle of a candidate.
 SCAN_COST, COMPARE_COST = 1.0, 0.02
 FLUSH = 1_500_000
+#: Sets and shingles that one salted block of a group should hold, and sets that one tile compares.
+BLOCK_SETS, BLOCK_SHINGLES, TILE = 8192, 4_000_000, 2048
 _U = np.uint64
 
 
@@ -335,18 +339,13 @@ def _bloom(ids: DataFrame, count: int) -> tuple[np.ndarray, int]:
     return whole, bits
 
 
-def verify(docs: DataFrame, members: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """(u, v): representatives (smallest ids) of the pairs of nodes whose sets link.
+def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(rep, node, set) of documents whose ids are in wanted (rep, distinct), and a few others.
 
-    members has (node, rep), one row for each class.
+    A set may come more than once if rows repeat an id and its text.
     """
-    spark = docs.sparkSession
-    ends = [members.select(F.col("node").alias(x), F.col("rep").alias(y)) for x, y in (("a", "u"), ("b", "v"))]
-    named = materialise(pairs.join(ends[0], "a").join(ends[1], "b"), "named")
-    wanted = named.select(F.col("u").alias("rep")).unionByName(named.select(F.col("v").alias("rep"))).distinct()
-    count = wanted.count()
-    bloom, bits = _bloom(wanted, count)
-    shared = spark.sparkContext.broadcast(bloom)
+    bloom, bits = _bloom(wanted, wanted.count())
+    shared = docs.sparkSession.sparkContext.broadcast(bloom)
 
     def pick(batches):
         m = shared.value
@@ -367,37 +366,135 @@ def verify(docs: DataFrame, members: DataFrame, pairs: DataFrame, percent: int)
                     had.clear()
                 yield pa.RecordBatch.from_arrays([pa.array(rep, pa.int64()), pa.array(node, pa.int64()), pa.array(blob, pa.binary())], names=["rep", "node", "set"])
 
+    return docs.select("doc_id", "text", _slot("doc_id", bits).alias("_slot")).where("doc_id is not null").mapInArrow(pick, "rep long, node long, set binary")
+
+
+def verify(docs: DataFrame, members: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """(u, v, a, b): the pairs of nodes a, b whose sets link, and their representatives (smallest ids).
+
+    members has (node, rep), one row for each class.
+    """
+    ends = [members.select(F.col("node").alias(x), F.col("rep").alias(y)) for x, y in (("a", "u"), ("b", "v"))]
+    named = materialise(pairs.join(ends[0], "a").join(ends[1], "b"), "named")
     # the same exchange serves both sides; an id that several rows have may come with several texts,
     # of which the node settles which is meant
-    sets = docs.select("doc_id", "text", _slot("doc_id", bits).alias("_slot")).where("doc_id is not null").mapInArrow(pick, "rep long, node long, set binary")
+    sets = _sets_of(docs, named.select(F.col("u").alias("rep")).unionByName(named.select(F.col("v").alias("rep"))).distinct())
 
     def side(x: str, y: str) -> DataFrame:
         return sets.select(F.col("node").alias(x), F.col("rep").alias(y), F.col("set").alias(f"set_{x}"))
 
     def meet(batches):
         for batch in batches:
-            u, v = [], []
-            for ru, rv, sa, sb in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist(), batch.column("set_a"), batch.column("set_b")):
+            keep = []
+            for sa, sb in zip(batch.column("set_a"), batch.column("set_b")):
                 x, y = (np.frombuffer(s.as_buffer(), np.uint64) for s in (sa, sb))
                 both = np.sort(np.concatenate([x, y]))
                 k = int((both[1:] == both[:-1]).sum())
-                if 100 * k >= percent * (len(x) + len(y) - k):
-                    u.append(ru)
-                    v.append(rv)
-            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+                keep.append(100 * k >= percent * (len(x) + len(y) - k))
+            yield batch.select(["u", "v", "a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    joined = named.join(side("a", "u"), ["a", "u"]).join(side("b", "v"), ["b", "v"]).select("u", "v", "set_a", "set_b")
-    out = materialise(joined.mapInArrow(meet, "u long, v long").distinct(), "links")
+    joined = named.join(side("a", "u"), ["a", "u"]).join(side("b", "v"), ["b", "v"]).select("u", "v", "a", "b", "set_a", "set_b")
+    out = materialise(joined.mapInArrow(meet, "u long, v long, a long, b long").distinct(), "links")
     discard(named)
     return out
 
 
+def _overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Exact sizes of the intersections of each set of a with each of b.
+
+    Shingles that many pairs share are counted by products of 0/1 matrices, the others pair by pair.
+    """
+    rows = [np.repeat(np.arange(len(x)), [len(s) for s in x]) for x in (a, b)]
+    names, cols = np.unique(np.concatenate(a + b), return_inverse=True)
+    cols = [cols[: len(rows[0])], cols[len(rows[0]) :]]
+    freq = [np.bincount(c, minlength=len(names)) for c in cols]
+    met = freq[0] * freq[1]
+    out = np.zeros((len(a), len(b)), np.int64)
+    # few pairs for each shingle
+    few = (met > 0) & (met <= 64)
+    side = []
+    for r, c in zip(rows, cols):
+        at = few[c]
+        o = np.argsort(c[at], kind="stable")
+        side.append((r[at][o], c[at][o]))
+    (ra, ca), (rb, cb) = side
+    if len(ra):
+        begin, n = np.searchsorted(cb, ca), freq[1][ca]
+        at = np.repeat(begin - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+        out += np.bincount(np.repeat(ra, n) * len(b) + rb[at], minlength=out.size).reshape(out.shape)
+    # many: runs of columns, exact in 32-bit floats
+    many = np.flatnonzero(met > 64)
+    place = np.full(len(names), -1)
+    place[many] = np.arange(len(many))
+    order = []
+    for r, c in zip(rows, cols):
+        p = place[c]
+        o = np.argsort(p, kind="stable")
+        order.append((r[o], p[o]))
+    for lo in range(0, len(many), TILE):
+        width = min(TILE, len(many) - lo)
+        x, y = np.zeros((len(a), width), np.float32), np.zeros((len(b), width), np.float32)
+        for (r, p), m in zip(order, (x, y)):
+            i, j = np.searchsorted(p, [lo, lo + width])
+            m[r[i:j], p[i:j] - lo] = 1
+        out += (x @ y.T).astype(np.int64)
+    return out
+
+
+def block_links(one: list[np.ndarray], two: list[np.ndarray] | None, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """How many sets of the other block each set links with; of its own block, itself aside, if two is None."""
+    own, other = one, one if two is None else two
+    n_own, n_other = (np.array([len(s) for s in x], np.int64) for x in (own, other))
+    got = [np.zeros(len(own), np.int64), np.zeros(len(other), np.int64)]
+    for i in range(0, len(own), TILE):
+        for j in range(i if two is None else 0, len(other), TILE):
+            k = _overlaps(own[i : i + TILE], other[j : j + TILE])
+            link = 100 * k >= percent * (n_own[i : i + TILE, None] + n_other[None, j : j + TILE] - k)
+            if two is None and i == j:
+                np.fill_diagonal(link, False)
+                got[0][i : i + TILE] += link.sum(axis=1)
+            else:
+                got[0][i : i + TILE] += link.sum(axis=1)
+                got[0 if two is None else 1][j : j + TILE] += link.sum(axis=0)
+    return got[0], got[1]
+
+
+def group_links(docs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """(node, n_links): exact numbers of links among the nodes (node, rep, n, c) of each group c.
+
+    A group is dealt to blocks by a hash of the node, and each pair of blocks is a task of its own
+    that gives numbers, not pairs: what is written grows with the group's size times its blocks.
+    """
+    size = nodes.groupBy("c").agg(F.count("*").alias("m"), F.sum("n").alias("s")).where("m > 1")
+    blocks = size.select("c", F.greatest(F.ceil(F.col("m") / BLOCK_SETS), F.ceil(F.col("s") / BLOCK_SHINGLES)).cast("int").alias("k"))
+    dealt = materialise(nodes.join(blocks, "c").select("node", "rep", "c", "k", F.expr("cast(pmod(xxhash64(node, 11), k) as int)").alias("x")), "dealt")
+
+    def tally(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.drop_duplicates("node")
+        own = (pdf["x"] == pdf["i"]).to_numpy()
+        node = pdf["node"].to_numpy()
+        sets = [np.frombuffer(s, np.uint64) for s in pdf["set"]]
+        one = [s for s, o in zip(sets, own) if o]
+        if pdf["i"].iloc[0] == pdf["j"].iloc[0]:
+            return pd.DataFrame({"node": node, "n_links": block_links(one, None, percent)[0]})
+        two = [s for s, o in zip(sets, own) if not o]
+        if not one or not two:
+            return pd.DataFrame({"node": node[:0], "n_links": np.zeros(0, np.int64)})
+        return pd.DataFrame({"node": np.concatenate([node[own], node[~own]]), "n_links": np.concatenate(block_links(one, two, percent))})
+
+    sets = _sets_of(docs, dealt.select("rep").distinct()).join(dealt, ["node", "rep"])
+    cells = sets.withColumn("y", F.explode(F.expr("sequence(0, k - 1)"))).select("c", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "x", "node", "set")
+    out = cells.groupBy("c", "i", "j").applyInPandas(tally, "node long, n_links long").groupBy("node").agg(F.sum("n_links").alias("n_links"))
+    out = materialise(out, "group-links")
+    discard(dealt)
+    return out
+
+
 def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_links) for every row of docs (doc_id, text, anything else).
 
     component_id is the smallest doc_id reachable over links of Jaccard similarity of at least
-    percent / 100; n_links counts the verified links of the row's class with other classes, of
-    which a hot list verifies no more than the groups need. Null and empty texts, and texts of separators only, have no shingles, link with nothing
+    percent / 100; n_links is the number of other classes that the row's class links with. Null and empty texts, and texts of separators only, have no shingles, link with nothing
     and are their own component. Repeated rows and equal texts are one class. A null doc_id takes
     part through its text, but is never a representative if the class has an id; its component is
     null if it has none. An empty table gives an empty result.
@@ -437,11 +534,18 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
         both = materialise(links.unionByName(more), "links-all")
         discard(links, more, found)
         links, found = both, connected_components(both)
+    # A link of a node without heavy postings has been met in the light ones; links between nodes
+    # that both have some are counted within the groups, since only some of their pairs were needed.
+    hot = materialise(at.select("node").distinct().join(reps, "node").join(members.select("node", "n"), "node").join(found, F.col("rep") == F.col("id"), "left").select("node", "rep", "n", F.coalesce("component", "rep").alias("c")), "hot")
     discard(lists, at, rest)
-    ends = links.select(F.col("u").alias("id")).unionByName(links.select(F.col("v").alias("id"))).groupBy("id").agg(F.count("*").alias("n_links"))
-    named = members.join(found, F.col("rep") == F.col("id"), "left").drop("id").join(ends, F.col("rep") == F.col("id"), "left")
+    release(spark)
+    counted = group_links(docs, hot, percent)
+    both = links.join(hot.select(F.col("node").alias("a"), F.lit(1).alias("hot_a")), "a", "left").join(hot.select(F.col("node").alias("b"), F.lit(1).alias("hot_b")), "b", "left").where("hot_a is null or hot_b is null")
+    ends = both.select(F.col("a").alias("id"), F.lit(1).cast("long").alias("n_links")).unionByName(both.select(F.col("b").alias("id"), F.lit(1).cast("long").alias("n_links")))
+    ends = ends.unionByName(counted.select(F.col("node").alias("id"), "n_links")).groupBy("id").agg(F.sum("n_links").alias("n_links"))
+    named = members.join(found, F.col("rep") == F.col("id"), "left").drop("id").join(ends, F.col("node") == F.col("id"), "left")
     named = named.select(F.col("node").alias("h1"), "h2", "n", F.coalesce("component", "rep").alias("c"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     out = known.join(named, ["h1", "h2", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("c", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     out = materialise(out, "near")
-    discard(known, members, links, found)
+    discard(known, members, links, found, hot, counted)
     return out
