@@ -111,5 +111,38 @@ def test_round_trip(spark):
     assert codec.digests(df.limit(0), raw).count() == 0
 
 
+def test_a_wrong_decoder_breaks_the_round_trip(spark):
+    # text that the decoder, but not the pieces' bytes, gives back wrongly: the query must tell
+    raw = codec.read_model(spark, "/opt/tokenizers/piece_bpe_32k.model")
+    source = spark.createDataFrame([(1, "the cats"), (2, "")], "doc_id long, text string")
+
+    class Wrong:
+        def __init__(self, t):
+            self.encode_batch_fast = t.encode_batch_fast
+
+        def decode_batch(self, ids, skip_special_tokens):
+            return ["x" if i else "" for i in ids]
+
+    whole, got = codec._tokenizer(raw), []
+    kept = codec._tokenizer
+    codec._tokenizer = lambda _: Wrong(whole)
+    try:
+        # the function that the query hands to its workers, run here
+        class Docs:
+            sparkSession = type("S", (), {"sparkContext": type("C", (), {"broadcast": staticmethod(lambda v: type("B", (), {"value": v}))})})
+
+            def select(self, *_):
+                return self
+
+            def mapInArrow(self, run, schema):
+                return list(run(source.toArrow().to_batches()))
+
+        for b in codec.digests(Docs(), raw):
+            got += zip(b.column("doc_id").to_pylist(), b.column("round_trip").to_pylist())
+    finally:
+        codec._tokenizer = kept
+    assert got == [(1, False), (2, True)]
+
+
 def test_words_are_counted_whole():
     assert packing.count_words(pa.array(["a b", None, "", " x\ty\n", "\x0b\x0c", "é"])).tolist() == [2, 0, 0, 2, 0, 1]

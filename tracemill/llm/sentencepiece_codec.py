@@ -251,8 +251,8 @@ def decode_documents(coded: DataFrame, raw: bytes, out: str = "decoded") -> Data
 def digests(docs: DataFrame, raw: bytes) -> DataFrame:
     """(doc_id, n_ids, ids_sha256, round_trip, parity) for every row: whole texts encoded, decoded and compared.
 
-    ids_sha256 is over the ids as little-endian 32-bit integers. round_trip says whether the ids'
-    pieces give the text back, parity whether the sentencepiece library gives the same ids. Null and
+    ids_sha256 is over the ids as little-endian 32-bit integers. round_trip says whether the decoder
+    and the bytes of the ids' pieces both give the text back, parity whether the sentencepiece library gives the same ids. Null and
     empty texts have no ids, and both hold.
     """
     shared = docs.sparkSession.sparkContext.broadcast(raw)
@@ -266,7 +266,7 @@ def digests(docs: DataFrame, raw: bytes) -> DataFrame:
                 part = b.slice(lo, 256)
                 texts = [x or "" for x in part.column("text").to_pylist()]
                 ids = encode(shared.value, texts)
-                back = gives_back(shared.value, ids, texts)
+                back = [d == t and g for d, t, g in zip(decode(shared.value, ids), texts, gives_back(shared.value, ids, texts))]
                 same = [a == c for a, c in zip(ids, ref.encode(texts, num_threads=1))]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id").cast(pa.int64()), pa.array([len(i) for i in ids], pa.int64()), pa.array([hashlib.sha256(np.array(i, "<i4").tobytes()).hexdigest() for i in ids], pa.string()), pa.array(back, pa.bool_()), pa.array(same, pa.bool_())],
