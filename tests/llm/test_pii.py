@@ -69,3 +69,15 @@ def test_redaction_keeps_rows_and_columns(spark):
     assert got[2]["text"] is None and got[3]["text"] == "clean" and got[3]["lang"] is None
     assert pii.masked("abcdef", [(0, 1, 4), (1, 2, 5)]) == "a[EMAIL]f"
     assert pii.find(df.limit(0), model).count() == 0
+
+
+def test_one_sure_occurrence_reaches_every_repeat():
+    model = pii.train([])
+    weak = pii.SkipChainCrf(model.unary * 0, model.bias * 0, model.transition * 0)
+    weak.unary[pii._bucket("before", "key")] = [0, 9, 0, 0, 0]
+    g = pii.graph("key q17xk2@host7 " + "then see other words q17xk2@host7 " * 40 + "and then (q17xk2-host7) last")
+    p = weak.marginals([g])[0]
+    assert len(p) == 42 and p[0, 1] > 0.99
+    assert p[1:41, 1].min() > 0.6 and p[1:41, 1].max() - p[1:41, 1].min() < 1e-2
+    assert p[41, 1] > 0.25  # an alike form is lifted too
+    assert len(g.skips) <= 2 * len(g.spans)

@@ -3,8 +3,8 @@
 Base spans are e-mail, ip, card and phone numbers by fixed patterns and checks. The field works on
 the tokens of a document that hold a digit, "@" or "+". Each has a potential from its shape and its
 neighbours' shapes; neighbours share a transition potential; tokens that are the same, or alike in
-all but their marks, share a skip potential however far apart, so that one occurrence that is sure
-lifts the others. Weights are learned from the base spans of a bounded sample of texts. Inference
+all but their marks, are tied to one shared cluster variable however far apart, so that one
+occurrence that is sure lifts all others. Weights are learned from the base spans of a bounded sample of texts. Inference
 is loopy message passing on the graphs of many documents at once. Tokens that it labels with high
 probability become further spans; base spans always stay.
 """
@@ -39,11 +39,22 @@ _MARK[48:58] = _MARK[ord("@")] = _MARK[ord("+")] = True
 #: Bound on the training sample, texts.
 SAMPLE = 6000
 BUCKETS = 1 << 12
-#: Skip potentials of equal and of alike tokens, message rounds, and the marginal that makes a span.
-EQUAL, ALIKE, ROUNDS, SURE = 2.0, 1.0, 6, 0.95
+#: Skip potentials of equal and of alike tokens, and the marginal that makes a span.
+EQUAL, ALIKE, SURE = 2.0, 1.0, 0.95
+#: Messages are passed until none of a text changes by more than SETTLED; loops that never settle stop at MOST_ROUNDS.
+SETTLED, MOST_ROUNDS = 1e-3, 1000
 LABELS = 1 + len(KINDS)
 
 
+def _half(force: float) -> float:
+    """Potential of a tie to a cluster variable: two ties in a row act as one potential of force."""
+    x = np.sqrt((np.exp(force) - 1) / (np.exp(force) + LABELS - 1))
+    return float(np.log((1 + (LABELS - 1) * x) / (1 - x)))
+
+
+_TIE_EQUAL, _TIE_ALIKE = _half(EQUAL), _half(ALIKE)
+
+
 def _luhn(digits: str) -> bool:
     total = 0
     for i, c in enumerate(reversed(digits)):
@@ -106,16 +117,17 @@ def _bucket(*parts) -> int:
 
 @dataclass
 class _Graph:
-    """Tokens of one text: spans, hashed features, chain and skip edges."""
+    """Tokens of one text: spans, hashed features, chain edges, and ties to cluster variables, numbered after the tokens."""
 
     spans: list[tuple[int, int]]
     features: list[list[int]]
     chain: list[tuple[int, int]]
     skips: list[tuple[int, int, float]]
+    hubs: int = 0
 
 
 def graph(text: str) -> _Graph:
-    """The field of one text. Equal tokens are linked in a row, so edges grow with the tokens."""
+    """The field of one text. All equal tokens are tied to one cluster variable, and so are alike forms, so edges grow with the tokens."""
     spans, shapes, forms = [], [], []
     for m in _TOKEN.finditer(text):
         a, b = m.span()
@@ -130,7 +142,7 @@ def graph(text: str) -> _Graph:
         shapes.append(_shape(lead))
         forms.append(lead)
     feats, chain, skips = [], [], []
-    seen: dict[tuple[str, str], int] = {}
+    equal: dict[str, list[int]] = {}
     for i, (a, b) in enumerate(spans):
         t = forms[i]
         near = i > 0 and a - spans[i - 1][1] <= 3
@@ -146,12 +158,23 @@ def graph(text: str) -> _Graph:
         feats.append(f)
         if near:
             chain.append((i - 1, i))
-        for key, force in ((("=", t.lower()), EQUAL), (("~", re.sub(r"[^0-9a-z]", "", t.lower())), ALIKE)):
-            j = seen.get(key)
-            if j is not None and len(key[1]) >= 6 and not (force == ALIKE and forms[j].lower() == t.lower()):
-                skips.append((j, i, force))
-            seen[key] = i
-    return _Graph(spans, feats, chain, skips)
+        if len(t) >= 6:
+            equal.setdefault(t.lower(), []).append(i)
+    hubs, alike = 0, {}
+    for form, members in equal.items():
+        node = members[0]
+        if len(members) > 1:
+            node = len(spans) + hubs
+            hubs += 1
+            skips.extend((i, node, _TIE_EQUAL) for i in members)
+        key = re.sub(r"[^0-9a-z]", "", form)
+        if len(key) >= 6:
+            alike.setdefault(key, []).append(node)
+    for members in alike.values():
+        if len(members) > 1:
+            skips.extend((i, len(spans) + hubs, _TIE_ALIKE) for i in members)
+            hubs += 1
+    return _Graph(spans, feats, chain, skips, hubs)
 
 
 def _labels(g: _Graph, base: list[tuple[int, int, int]]) -> np.ndarray:
@@ -183,14 +206,16 @@ class SkipChainCrf:
 
     def marginals(self, graphs: list[_Graph]) -> list[np.ndarray]:
         """Loopy sum-product over all graphs at once; an isolated token keeps its own potential."""
-        sizes = [len(g.spans) for g in graphs]
+        sizes = [len(g.spans) + g.hubs for g in graphs]
         base = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
         n = int(base[-1])
         if not n:
             return [np.zeros((0, LABELS)) for _ in graphs]
-        phi = np.array([self.unary[f].sum(axis=0) for g in graphs for f in g.features]) + self.bias
-        src, dst, psi = [], [], []
-        for b, g in zip(base, graphs):
+        phi = np.zeros((n, LABELS))
+        token = np.concatenate([np.arange(b, b + len(g.spans)) for b, g in zip(base, graphs)]).astype(np.int64)
+        phi[token] = np.array([self.unary[f].sum(axis=0) for g in graphs for f in g.features]) + self.bias
+        src, dst, psi, owner = [], [], [], []
+        for k, (b, g) in enumerate(zip(base, graphs)):
             for i, j in g.chain:
                 src += [b + i, b + j]
                 dst += [b + j, b + i]
@@ -200,22 +225,30 @@ class SkipChainCrf:
                 src += [b + i, b + j]
                 dst += [b + j, b + i]
                 psi += [same, same]
-        belief = phi
+            owner += [k] * (len(src) - len(owner))
+        belief = phi.copy()
         if src:
-            src, dst, psi = np.array(src), np.array(dst), np.array(psi)
-            back = np.arange(len(src)) ^ 1
+            src, dst, psi, owner = np.array(src), np.array(dst), np.array(psi), np.array(owner)
             msg = np.zeros((len(src), LABELS))
-            for _ in range(ROUNDS):
+            live = np.arange(len(src))  # edges of texts that have not settled; pairs of directions stay together
+            for _ in range(MOST_ROUNDS):
+                s, d, old = src[live], dst[live], msg[live]
                 belief = phi.copy()
-                np.add.at(belief, dst, msg)
-                out = belief[src] - msg[back]
-                new = np.log(np.exp(out[:, :, None] + psi - out.max(axis=1)[:, None, None]).sum(axis=1))
-                msg = 0.5 * msg + 0.5 * (new - new.mean(axis=1, keepdims=True))
+                np.add.at(belief, d, old)
+                out = belief[s] - old[np.arange(len(live)) ^ 1]
+                new = np.log(np.exp(out[:, :, None] + psi[live] - out.max(axis=1)[:, None, None]).sum(axis=1))
+                new = 0.5 * old + 0.5 * (new - new.mean(axis=1, keepdims=True))
+                msg[live] = new
+                change = np.zeros(len(graphs))
+                np.maximum.at(change, owner[live], np.abs(new - old).max(axis=1))
+                live = live[change[owner[live]] > SETTLED]
+                if not len(live):
+                    break
             belief = phi.copy()
             np.add.at(belief, dst, msg)
         p = np.exp(belief - belief.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
-        return [p[base[i] : base[i + 1]] for i in range(len(graphs))]
+        return [p[b : b + len(g.spans)] for b, g in zip(base, graphs)]
 
     def spans(self, texts: list[str]) -> list[tuple[list, list]]:
         """For each text: base spans, and all spans (base ones and the field's), by kind, then start."""
