@@ -81,3 +81,21 @@ def test_one_sure_occurrence_reaches_every_repeat():
     assert p[1:41, 1].min() > 0.6 and p[1:41, 1].max() - p[1:41, 1].min() < 1e-2
     assert p[41, 1] > 0.25  # an alike form is lifted too
     assert len(g.skips) <= 2 * len(g.spans)
+
+
+def test_long_runs_are_split_and_take_part():
+    import time
+
+    data = "{" + ",".join(f'"k{i}":"v"' for i in range(60)) + ',"m":"q17xk2@host7","n":["10.20.30.400","+1(988)555-24"],"z":"call4041894974608796now"}'
+    text = "see q17xk2@host7 again " + data
+    g = pii.graph(text)
+    forms = [text[a:b] for a, b in g.spans]
+    assert len(data) > 256 and forms.count("q17xk2@host7") == 2
+    assert {"10.20.30.400", "+1(988)555-24", "4041894974608796"} <= set(forms)
+    assert g.spans == sorted(g.spans) and all(b - a <= 256 for a, b in g.spans)
+    i = [k for k, f in enumerate(forms) if f == "q17xk2@host7"]
+    assert {k for k, *_ in g.skips} >= set(i)
+    start = time.time()
+    for odd in ("a" * 300_000 + "1", "1" * 300_000, "a1" * 150_000, "@" * 300_000, "a@" * 150_000, "1." * 150_000):
+        pii.graph(odd)
+    assert time.time() - start < 60

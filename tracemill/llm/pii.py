@@ -31,6 +31,11 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: A word with a digit, "@" or "+"; tried only where a word begins, so linear in long runs.
 _TOKEN = re.compile(r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@+]*[0-9@+][^\x20\x09-\x0D]*")
+#: Longest token of the field; a longer run is split at marks that no kind has inside.
+LONGEST = 256
+_INSIDE = re.compile(r"[A-Za-z0-9._%+@()-]+")
+#: Within a part that letters run into: an address, or a number between letters.
+_INNER = re.compile(r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9.-]{1,190}|[+(]?[0-9][0-9().+-]*")
 _WORD_BEFORE = re.compile(r"([^\x20\x09-\x0D]{1,12})[\x20\x09-\x0D]+$")
 _WORD_AFTER = re.compile(r"[\x20\x09-\x0D]+([^\x20\x09-\x0D]{1,12})")
 _EDGE = re.compile(r"^[^A-Za-z0-9+(]+|[^A-Za-z0-9)]+$")
@@ -126,14 +131,28 @@ class _Graph:
     hubs: int = 0
 
 
-def graph(text: str) -> _Graph:
-    """The field of one text. All equal tokens are tied to one cluster variable, and so are alike forms, so edges grow with the tokens."""
-    spans, shapes, forms = [], [], []
+def _tokens(text: str):
+    """Spans of the field's tokens, in order; long runs (data, prose without spaces) come in parts.
+
+    A part without an address is split where letters and digits meet. What is left longer than
+    LONGEST is digits or one name throughout, which no kind is.
+    """
     for m in _TOKEN.finditer(text):
         a, b = m.span()
-        if b - a > 256:  # no kind is that long; such runs (data, keys) stay outside the field
+        if b - a <= LONGEST:
+            yield a, b
             continue
-        t = m[0]
+        for run in _INSIDE.finditer(text, a, b):
+            for part in _INNER.finditer(text, *run.span()):
+                if part.end() - part.start() <= LONGEST:
+                    yield part.span()
+
+
+def graph(text: str) -> _Graph:
+    """The field of one text. All equal tokens are tied to one cluster variable, and so are alike forms, so edges grow with the tokens."""
+    spans, shapes, forms = [], [], []
+    for a, b in _tokens(text):
+        t = text[a:b]
         lead = _EDGE.sub("", t)
         if not lead:
             continue
