@@ -167,3 +167,21 @@ def test_condition_keys_and_presets():
     assert serving.preset(names, "rm_pu") == ["rm::a", "pu_x", "pu_linearity_mse"]
     with pytest.raises(ValueError):
         serving.preset(names, "none")
+
+
+def test_connections_answers_in_the_shape_of_the_replies(spark):
+    from tracemill.functions import text
+
+    reply = '{"groupings":{"1":{"category":"fish","words":["cod","eel"]},"2":{"category":"b {}","words":["x"]}}}'
+    want = {"FISH": ["COD", "EEL"], "B {}": ["X"]}
+    rows = [
+        (1, f"```json\n{{}}\n``` then ```JSON {reply} ```", want),
+        (2, f"no fence {{ and }} {reply} after {{\"a\": 1}}", want),
+        (3, '{"Groupings": {"1": {"category": "a", "words": ["q"]}}} or rather {"Groupings": {"1": {"category": "z", "words": ["r"]}}}', {"Z": ["R"]}),
+        (4, f"{reply} ```json {{\"groupings\": {{\"1\": 3}}}}```", None),
+        (5, "nothing { here", None),
+        (6, None, None),
+    ]
+    df = spark.createDataFrame([r[:2] for r in rows], "id int, output string")
+    got = {r["id"]: r["a"] for r in df.select("id", text.connections_answer("output").alias("a")).collect()}
+    assert got == {i: w for i, _, w in rows}

@@ -1,7 +1,10 @@
-"""Text of traces: sentences, tokens, prefixes, extraction of traces and answers. All native columns."""
+"""Text of traces: sentences, tokens, prefixes, extraction of traces and answers. Native columns, but for one."""
 
 from __future__ import annotations
 
+import json
+import re
+
 from pyspark.sql import Column, functions as F
 
 _WHITE = r"^\s+|\s+$"
@@ -181,10 +184,40 @@ def choice_answer(x) -> Column:
     return F.try_element_at(F.regexp_extract_all(_c(x), F.lit(r"\\boxed\{([A-D])\}"), F.lit(1)), F.lit(-1))
 
 
+def _groupings(text: str | None) -> dict[str, list[str] | None] | None:
+    """Category to words of the last fenced json block, or else of the last balanced object that holds groupings."""
+    fenced = re.findall(r"```json(.*?)```", text or "", re.DOTALL | re.IGNORECASE)
+    raw = fenced[-1].strip() if fenced else None
+    if raw is None:
+        opened, closes = [], {}
+        for m in re.finditer(r"[{}]", text or ""):
+            if m[0] == "{":
+                opened.append(m.start())
+            elif opened:
+                closes[opened.pop()] = m.end()
+        for at in sorted(closes, reverse=True):
+            try:
+                if any(k.upper() == "GROUPINGS" for k in json.loads(text[at : closes[at]])):
+                    raw = text[at : closes[at]]
+                    break
+            except (ValueError, RecursionError):
+                continue
+    try:
+        groups = json.loads((raw or "").upper())["GROUPINGS"].values()
+        return {str(g["CATEGORY"]): [str(w) for w in g["WORDS"]] if isinstance(g["WORDS"], list) else None for g in groups}
+    except (ValueError, KeyError, TypeError, AttributeError, RecursionError):
+        return None
+
+
 def connections_answer(x) -> Column:
-    """The last fenced json block as a map of upper-cased groups; null if none parses."""
+    """Upper-cased categories and words of the reply's groupings; null if none parses.
+
+    A fenced block without groupings is read as a flat map of groups. Balanced braces and whole
+    JSON need Python; it is the one function here that is not native.
+    """
     fenced = F.try_element_at(F.regexp_extract_all(_c(x), F.lit(r"(?is)```json\s*(.*?)```"), F.lit(1)), F.lit(-1))
-    return F.from_json(F.upper(fenced), "map<string,array<string>>")
+    flat = F.when(~_has(F.upper(fenced), '"GROUPINGS"'), F.from_json(F.upper(fenced), "map<string,array<string>>"))
+    return F.coalesce(F.udf(_groupings, "map<string,array<string>>")(_c(x)), flat)
 
 
 def clean_choice(x) -> Column:
