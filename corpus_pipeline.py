@@ -9,8 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tracemill.llm import jaccard_join, language, packing, pii, quality
-from tracemill.llm.common import discard, materialise, release
+from tracemill.llm import jaccard_join, language, packing, pii, quality, survivors
+from tracemill.llm.common import discard, materialise, own_name
 
 #: Documents below this quality score go.
 QUALITY = 0.3
@@ -19,40 +19,51 @@ LANGUAGE = 0.3
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier does not reject. Null and empty texts are judged by the prior."""
+    """Documents that the quality classifier does not reject.
+
+    Null and empty texts are judged by the prior, repeated rows alike, long texts whole. Columns of
+    any name pass through; an empty table gives an empty one.
+    """
+    score, kept = own_name(docs, "_score"), own_name(docs, "_kept")
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.score_documents(docs, model, QUALITY, score="_score", predicted="_kept").where("_kept = 1").select(*docs.columns)
+    return quality.score_documents(docs, model, QUALITY, score=score, predicted=kept).where(F.col(kept) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the network knows; texts that are null or have no letter go."""
-    net = language.fit(docs)
-    told = language.identify(docs, net, pred="_lang", score="_score")
-    return told.where((F.col("_lang") != language.UNKNOWN) & (F.col("_score") >= LANGUAGE)).select(*docs.columns)
+    """Documents in a language that the network knows; texts that are null or have no letter go.
+
+    Repeated rows are judged alike, long texts whole. Columns of any name pass through; an empty
+    table gives an empty one.
+    """
+    pred, score = own_name(docs, "_pred"), own_name(docs, "_score")
+    told = language.identify(docs, language.fit(docs), pred=pred, score=score)
+    return told.where((F.col(pred) != language.UNKNOWN) & (F.col(score) >= LANGUAGE)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one with the smallest id.
 
-    Texts without words are nobody's duplicates. Rows that repeat an id are one document. Rows
-    with a null id stay, as no other row can stand for them.
+    Texts without words are nobody's duplicates and stay. Rows that repeat an id are told apart by
+    their sets of shingles: a text that no other row is near stays whatever its id, and of equal
+    rows one stays. Rows with a null id go if a row with an id is near, else one of each set
+    stays. See survivors.one_of_each for the choice among equals.
     """
-    near = jaccard_join.near_duplicates(docs)
-    first = near.where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(first, F.col("doc_id") == F.col("_id"), "left_semi")
-    if near.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        kept = kept.dropDuplicates(["doc_id"])
-    release(spark)
-    return kept.unionByName(docs.where("doc_id is null"))
+    return survivors.one_of_each(docs, jaccard_join.near_duplicates(docs))
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data in them replaced by its kind; n_chars follows the new text."""
+    """All documents, personal data in them replaced by its kind; n_chars follows the new text.
+
+    Null and empty texts stay as they are, repeated rows stay and are masked alike, long texts whole.
+    """
     return pii.redact(docs, pii.fit(docs))
 
 
 def pack_batches(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, piece, first_token, length, bucket, padded_length, batch, slot) of every piece of every document."""
+    """(doc_id, piece, first_token, length, bucket, padded_length, batch, slot) of every piece of every document.
+
+    A null or empty text is a piece of length 0 in no batch; repeated rows each have their pieces.
+    """
     return packing.pack(packing.pieces(docs))
 
 
@@ -64,8 +75,8 @@ STAGES = [
     ("packing", pack_batches),
 ]
 
-#: Learned models decide three of the stages, so no SQL gives the same rows; tests hold each stage
-#: against a brute-force version.
+#: Learned models decide three of the stages, so no SQL gives the same rows. Tests hold the near-duplicate and
+#: packing stages against brute force, the classifiers' stages against their models text by text.
 ORACLE_SQL = None
 
 

@@ -33,7 +33,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tracemill.llm.common import discard, materialise, release
+from tracemill.llm.common import discard, materialise
 from tracemill.llm.components import connected_components
 from tracemill.llm.shingles import set_key, shingle_sets
 
@@ -52,6 +52,8 @@ SCAN_COST, COMPARE_COST = 1.0, 0.02
 FLUSH = 1_500_000
 #: Sets and shingles that one salted block of a group should hold, and sets that one tile compares.
 BLOCK_SETS, BLOCK_SHINGLES, TILE = 8192, 4_000_000, 2048
+#: Members that one block of a heavy list should hold.
+LIST_BLOCK = 2048
 _U = np.uint64
 
 
@@ -491,10 +493,12 @@ def group_links(docs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id, n_links) for every row of docs (doc_id, text, anything else).
+    """(doc_id, n_shingles, component_id, n_links, component, set_a, set_b) for every row of docs (doc_id, text, anything else).
 
     component_id is the smallest doc_id reachable over links of Jaccard similarity of at least
-    percent / 100; n_links is the number of other classes that the row's class links with. Null and empty texts, and texts of separators only, have no shingles, link with nothing
+    percent / 100; component tells components apart that have one smallest doc_id, as they may if rows of unlike
+    texts repeat an id (null for an empty set); n_links is the number of other classes that the row's class links with; set_a and set_b are the
+    digest of its set (0 for an empty one). Null and empty texts, and texts of separators only, have no shingles, link with nothing
     and are their own component. Repeated rows and equal texts are one class. A null doc_id takes
     part through its text, but is never a representative if the class has an id; its component is
     null if it has none. An empty table gives an empty result.
@@ -510,42 +514,45 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     freq = materialise(frequent(docs, total), "freq")
     table, cls, heavy = _bounded_table(freq)
     discard(freq)
-    release(spark)
     shared = spark.sparkContext.broadcast((table, cls))
     light = light_pairs(docs, shared, heavy, total, percent)
     lists = materialise(heavy_postings(docs, shared, heavy, percent), "heavy")
     best = lists.groupBy("t").agg(F.max(F.struct((F.col("h") / F.col("n")).alias("part"), F.col("node").alias("node"), "n", "h")).alias("p"), F.count("*").alias("m")).where("m > 1").select("t", "p.node", "p.n", "p.h")
     star = lists.alias("x").join(best.alias("y"), "t").where(F.expr("x.node <> y.node and " + _may_link("x", "y", percent))).select(F.col("y.node").alias("a"), F.col("x.node").alias("b"))
     first = materialise(light.unionByName(star.distinct()), "pairs")
-    release(spark)
     links = verify(docs, reps, first, percent)
     discard(first)
-    found = connected_components(links)
+    found = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
     # lists that still hold members of several components
-    at = lists.join(members.select("node", "rep"), "node").join(found, F.col("rep") == F.col("id"), "left").select("t", "node", "n", "h", F.coalesce("component", "rep").alias("c"))
+    at = lists.join(reps.select("node"), "node").join(found, F.col("node") == F.col("id"), "left").select("t", "node", "n", "h", F.coalesce("component", "node").alias("c"))
     at = materialise(at, "heavy-at")
-    mixed = at.groupBy("t").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("t")
-    at2 = at.join(mixed, "t")
-    apart = at2.alias("x").join(at2.alias("y"), "t").where(F.expr("x.c < y.c and " + _may_link("x", "y", percent))).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    # a list is dealt to blocks by a hash of the node; every two blocks meet in a cell of their own
+    mixed = at.groupBy("t").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("m")).where("lo <> hi").select("t", F.ceil(F.col("m") / LIST_BLOCK).cast("int").alias("k"))
+    dealt = at.join(mixed, "t").withColumn("x", F.expr("cast(pmod(xxhash64(node, 7), k) as int)"))
+    cells = dealt.withColumn("y", F.explode(F.expr("sequence(0, k - 1)")))
+    left, right = cells.withColumn("i", F.col("x")).withColumn("j", F.col("y")), cells.withColumn("i", F.col("y")).withColumn("j", F.col("x"))
+    apart = left.alias("x").join(right.alias("y"), ["t", "i", "j"]).where(F.expr("x.c < y.c and " + _may_link("x", "y", percent))).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
     rest = materialise(apart, "apart")
     if rest.limit(1).count():
         more = verify(docs, reps, rest, percent)
         both = materialise(links.unionByName(more), "links-all")
         discard(links, more, found)
-        links, found = both, connected_components(both)
+        links, found = both, connected_components(both.select(F.col("a").alias("u"), F.col("b").alias("v")))
     # A link of a node without heavy postings has been met in the light ones; links between nodes
     # that both have some are counted within the groups, since only some of their pairs were needed.
-    hot = materialise(at.select("node").distinct().join(reps, "node").join(members.select("node", "n"), "node").join(found, F.col("rep") == F.col("id"), "left").select("node", "rep", "n", F.coalesce("component", "rep").alias("c")), "hot")
+    hot = materialise(at.select("node").distinct().join(reps, "node").join(members.select("node", "n"), "node").join(found, F.col("node") == F.col("id"), "left").select("node", "rep", "n", F.coalesce("component", "node").alias("c")), "hot")
     discard(lists, at, rest)
-    release(spark)
     counted = group_links(docs, hot, percent)
     both = links.join(hot.select(F.col("node").alias("a"), F.lit(1).alias("hot_a")), "a", "left").join(hot.select(F.col("node").alias("b"), F.lit(1).alias("hot_b")), "b", "left").where("hot_a is null or hot_b is null")
     ends = both.select(F.col("a").alias("id"), F.lit(1).cast("long").alias("n_links")).unionByName(both.select(F.col("b").alias("id"), F.lit(1).cast("long").alias("n_links")))
     ends = ends.unionByName(counted.select(F.col("node").alias("id"), "n_links")).groupBy("id").agg(F.sum("n_links").alias("n_links"))
-    named = members.join(found, F.col("rep") == F.col("id"), "left").drop("id").join(ends, F.col("node") == F.col("id"), "left")
-    named = named.select(F.col("node").alias("h1"), "h2", "n", F.coalesce("component", "rep").alias("c"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    out = known.join(named, ["h1", "h2", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("c", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    joined = found.join(reps, F.col("id") == F.col("node"))
+    least = joined.groupBy("component").agg(F.min("rep").alias("least"))
+    linked = joined.join(least, "component").select("node", "component", "least")
+    named = members.join(linked, "node", "left").join(ends, F.col("node") == F.col("id"), "left")
+    named = named.select(F.col("node").alias("h1"), "h2", "n", F.coalesce("least", "rep").alias("c"), F.coalesce("component", "node").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    out = known.join(named, ["h1", "h2", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("c", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "component", F.col("h1").alias("set_a"), F.col("h2").alias("set_b"))
     out = materialise(out, "near")
     discard(known, members, links, found, hot, counted)
     return out
