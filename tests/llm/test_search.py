@@ -1,8 +1,11 @@
+import functools
+import math
+import operator
 import random
 
 import numpy as np
 
-from tracemill.llm import bitsliced, neural_lsh
+from tracemill.llm import bitsliced, neural_lsh, vectors
 
 
 def rows(seed, n, dim, odd=True):
@@ -17,24 +20,44 @@ def rows(seed, n, dim, odd=True):
 
 
 def brute(data, value, zero, k=20):
-    ok = {}
-    for i, v, _ in data:
-        if i is not None and v is not None and all(c is not None and np.isfinite(c) for c in v) and (zero or any(v)):
-            ok[i] = value(np.array(v, np.float32).astype(np.float64))
+    """Every row is a row of its own, whatever its id; Python integers or sums in the order of components."""
+    ok = [(i, value(v)) for i, v, _ in data if i is not None and v is not None and all(c is not None and np.isfinite(c) for c in v) and (zero or any(v))]
     out = []
-    for q in (i for i in ok if i % 20 == 0):
-        near = sorted((-float(np.cumsum(ok[q] * ok[i])[-1]), i) for i in ok if i != q)[:k]
-        out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(near)]
-    return sorted(out)
+    for q, (qi, qv) in enumerate(ok):
+        if qi % 20 == 0:
+            # sum() compensates for rounding, additions in order don't
+            scored = [(functools.reduce(operator.add, (a * b for a, b in zip(qv, v)), 0), i) for r, (i, v) in enumerate(ok) if r != q]
+            near = sorted(((s != s, -s if s == s else 0.0, i, s) for s, i in scored), key=lambda t: t[:3])[:k]
+            out += [(qi, r + 1, i, s) for r, (_, _, i, s) in enumerate(near)]
+    return sorted(out, key=repr)
+
+
+def floors(v):
+    return [int(c) * 64 if abs(c) >= 2.0**53 else math.floor(c * 64) for c in v]
+
+
+REPEATS = [(40, [0.5] * 12, 1), (40, [0.5] * 12, 2), (40, [0.25] + [0.5] * 11, 3), (41, [0.75] * 12, 1), (41, [0.75] * 12, 1), (41, [-0.75] * 12, 1), (60, [], 1)]
 
 
 def test_bit_sliced_top_k_is_exact(spark, monkeypatch):
     monkeypatch.setattr(bitsliced, "BLOCK_ROWS", 150)
-    monkeypatch.setattr(bitsliced, "GROUP_QUERIES", 40)
-    data = rows(1, 700, 12)
+    monkeypatch.setattr(vectors, "PASS_QUERIES", 40)
+    data = [d for d in rows(1, 500, 12) if d[0] not in (40, 60)] + REPEATS
     df = spark.createDataFrame(data, "vec_id long, embedding array<float>, rank int")
-    got = sorted((r["query_id"], r["rank"], r["vec_id"], float(r["score"])) for r in bitsliced.top_k(df).collect())
-    assert got == brute(data, lambda v: np.floor(64 * v), True)
+    got = sorted((tuple(r) for r in bitsliced.top_k(df).collect()), key=repr)
+    assert got == brute(data, floors, True)
+
+
+def test_components_of_any_size(spark):
+    big = [(0, [1e300, 1.0], 1), (20, [-1e300, 2.0], 1), (21, [3e5, -4e5], 1), (22, [1e8, 1e8], 1), (23, [2e8, 0.0], 1), (24, [1.0, 1e-320], 1), (40, [1.0, 0.5], 1), (41, [1.7e308, -1.7e308], 1), (60, [1e9, 1e9], 1), (61, [1e9, 1e9], 1)]
+    df = spark.createDataFrame(big, "vec_id long, embedding array<double>, label int")
+    top = 2**63 - 1
+    want = [(q, r, i, max(-top - 1, min(top, s))) for q, r, i, s in brute(big, floors, True)]
+    assert sorted((tuple(r) for r in bitsliced.top_k(df).collect()), key=repr) == sorted(want, key=repr)
+    plain = brute(big, lambda v: [float(c) for c in v], False)
+    assert sorted(repr(tuple(r)) for r in neural_lsh.nearest(df).collect()) == sorted(map(repr, plain))
+    numbers = [-(10**400), -(10**30), -5, -1, 0, 3, 20, 10**30, 10**400]
+    assert sorted(map(bitsliced.sortable, numbers)) == list(map(bitsliced.sortable, numbers))
 
 
 def test_few_candidates_and_empty_tables(spark):
@@ -48,18 +71,19 @@ def test_few_candidates_and_empty_tables(spark):
 
 def test_learned_partitions_reach_the_recall(spark, monkeypatch):
     monkeypatch.setattr(neural_lsh, "BLOCK_ROWS", 300)
-    data = rows(3, 3000, 16)
+    data = [d for d in rows(3, 3000, 16) if d[0] not in (40, 60)] + [(i, (v * 2)[:16], k) for i, v, k in REPEATS]
     df = spark.createDataFrame(data, "vec_id long, embedding array<float>, label int").repartition(4)
-    got = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in neural_lsh.nearest(df).collect()]
-    want = brute(data, lambda v: v, False)
+    got = [tuple(r) for r in neural_lsh.nearest(df).collect()]
+    want = brute(data, lambda v: [float(np.float32(c)) for c in v], False)
     exact = {(q, i): s for q, _, i, s in want}
     hit = [(q, i) for q, _, i, _ in got if (q, i) in exact]
     assert len(got) == len(want) and len(hit) >= 0.9 * len(want)
-    assert all(exact[q, i] == s for q, _, i, s in got if (q, i) in exact)
+    assert all(exact[q, i] == s for q, _, i, s in got if (q, i) in exact and q != 40 and i not in (40, 41))
     by = {}
     for q, r, i, s in sorted(got):
         by.setdefault(q, []).append((-s, i, r))
-    assert all(v == sorted(v) and [x[2] for x in v] == list(range(1, len(v) + 1)) for v in by.values())
+    assert all(v == sorted(v) and [x[2] for x in v] == list(range(1, len(v) + 1)) for q, v in by.items() if q != 40)
+    assert len(by[40]) == 60
 
 
 def test_parts_are_balanced():
@@ -73,9 +97,12 @@ def test_adder_and_selection_against_integers():
     rng = random.Random(7)
     for _ in range(40):
         n, dim, top = rng.randrange(1, 200), rng.randrange(1, 6), rng.choice([1, 3, 40])
-        x = np.array([[rng.randint(-top, top) for _ in range(dim)] for _ in range(n)])
-        ids = np.arange(n) * 7
-        q, i, s = bitsliced.search_block(ids, x, ids[:3], x[:3], 5)
+        x = np.array([[rng.randint(-top, top) / 64 for _ in range(dim)] for _ in range(n)])
+        ids, keys = np.arange(n) * 7, np.zeros(n, np.int64)
+        block = bitsliced.index_block(ids, keys, np.ones(n, np.int64), x)
+        at, i, over, s, _, m = bitsliced.search_block(block, ids[:3], keys[:3], x[:3], 5)
+        whole = (x * 64).astype(int)
         for k in range(min(3, n)):
-            want = sorted((-int(x[j] @ x[k]), int(ids[j])) for j in range(n) if j != k)[:5]
-            assert sorted((-int(b), int(a)) for z, a, b in zip(q, i, s) if z == ids[k]) == want
+            want = sorted((-int(whole[j] @ whole[k]), int(ids[j])) for j in range(n) if j != k)[:5]
+            assert sorted((-int(b), int(a)) for z, a, b in zip(at, i, s) if z == k) == want
+        assert (m == 1).all() and not over.any()

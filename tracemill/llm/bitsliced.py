@@ -5,7 +5,8 @@ each bit of each attribute. A query's score is a weighted sum of attributes; it
 bitmaps with full adders (three bitmaps of one weight become a sum and a carry), which gives the
 slices of the score. The top rows are picked from the most significant slice downward: rows that
 are certain, rows that are still level. What is level at the end is the boundary, where the
-smaller ids win; exact scores are read off the slices.
+smaller ids win; exact scores are read off the slices. The index is written once; groups of queries
+pass over its blocks where they lie.
 """
 
 from __future__ import annotations
@@ -16,16 +17,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tracemill.llm.common import materialise
-from tracemill.llm.vectors import NEIGHBOURS, QUERY_STEP, best_of, clean, dense
+from tracemill.llm.common import discard, materialise
+from tracemill.llm.vectors import BLOCK_ROWS, NEIGHBOURS, QUERY_STEP, clean, dense, in_passes, own_rows
 
 SCALE = 64
-#: Rows of a candidate block, queries of a query group, queries that one pass adds up together.
-BLOCK_ROWS = 16_384
-GROUP_QUERIES = 256
-PASS_QUERIES = 4
-#: Components are taken up to this magnitude after scaling; larger ones have no long score.
+#: Queries that are added up together.
+ADDED_QUERIES = 4
+#: Components up to this size after scaling are sliced; rows and queries with larger ones are exact whole numbers.
 LARGEST = 1 << 24
+_NINES = str.maketrans("0123456789", "9876543210")
 
 
 def build_block(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
@@ -105,65 +105,149 @@ def pick_top(slices: list[np.ndarray], valid: np.ndarray, k: int) -> tuple[np.nd
     return sure, level
 
 
-def search_block(ids: np.ndarray, x: np.ndarray, q_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query ids, row ids, scores) of each query's k best rows of a block, its own row left out."""
-    order = np.argsort(ids, kind="stable")
-    ids, x = ids[order], x[order]
-    planes, least, _ = build_block(x)
+def sortable(x: int) -> str:
+    """A whole number of any size as text that sorts like the number."""
+    digits = str(abs(x))
+    text = f"{len(digits):06d}{digits}"
+    return "1" + text if x >= 0 else "0" + text.translate(_NINES)
+
+
+def exact_integers(v: np.ndarray) -> list[int]:
+    """floor(SCALE * x) of each double, exactly."""
+    return [int(c) * SCALE if abs(c) >= 2.0**53 else math.floor(c * SCALE) for c in v.tolist()]
+
+
+def index_block(ids: np.ndarray, keys: np.ndarray, n: np.ndarray, x: np.ndarray) -> dict:
+    """One block of the index: rows in order of (id, key), those within LARGEST as bitmaps, the others as doubles."""
+    o = np.lexsort((keys, ids))
+    ids, keys, n, x = ids[o], keys[o], n[o], x[o]
+    with np.errstate(over="ignore"):
+        wide = (np.abs(x) * SCALE > LARGEST).any(axis=1)
+    out = {"wide_ids": ids[wide].tobytes(), "wide_keys": keys[wide].tobytes(), "wide_n": n[wide].tobytes(), "wide_x": x[wide].tobytes()}
+    ids, keys, n, x = ids[~wide], keys[~wide], n[~wide], x[~wide]
+    planes, least, bits = build_block(np.floor(x * SCALE).astype(np.int64)) if len(x) else (np.zeros((x.shape[1], 1, 0), np.uint64), np.zeros(x.shape[1], np.int64), 1)
+    return out | {"ids": ids.tobytes(), "keys": keys.tobytes(), "n": n.tobytes(), "planes": planes.tobytes(), "least": least.tobytes(), "bits": bits}
+
+
+def _sliced(planes: np.ndarray, least: np.ndarray, count: int, own: np.ndarray, queries: np.ndarray, k: int):
+    """(query row, row, score) of each query's k best rows by slices; own is a row to leave out, or -1."""
     words = planes.shape[2]
     full = np.zeros(words * 8, np.uint8)
-    bits = np.packbits(np.ones(len(ids), np.uint8), bitorder="little")
+    bits = np.packbits(np.ones(count, np.uint8), bitorder="little")
     full[: len(bits)] = bits
     full = full.view(np.uint64)
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    for a in range(0, len(q_ids), PASS_QUERIES):
-        qi, q = q_ids[a : a + PASS_QUERIES], queries[a : a + PASS_QUERIES]
+    for a in range(0, len(queries), ADDED_QUERIES):
+        q = queries[a : a + ADDED_QUERIES]
         slices, shift = add_slices(planes, q)
-        valid = np.repeat(full[None], len(qi), axis=0)
-        own = np.searchsorted(ids, qi)
-        for j, p in enumerate(own):
-            if p < len(ids) and ids[p] == qi[j]:
+        valid = np.repeat(full[None], len(q), axis=0)
+        for j, p in enumerate(own[a : a + ADDED_QUERIES]):
+            if p >= 0:
                 valid[j, p >> 6] &= ~(np.uint64(1) << np.uint64(p & 63))
         sure, level = pick_top(slices, valid, k)
         base = q @ least - shift
-        for j in range(len(qi)):
+        for j in range(len(q)):
             rows = np.flatnonzero(np.unpackbits(sure[j].view(np.uint8), bitorder="little"))
+            # level rows share all slices; rows are in order of their ids, so the first ones are the boundary's
             more = np.flatnonzero(np.unpackbits(level[j].view(np.uint8), bitorder="little"))[: k - len(rows)]
             rows = np.concatenate([rows, more])
             w, b = rows >> 6, (rows & 63).astype(np.uint64)
             score = np.zeros(len(rows), np.int64)
             for t, s in enumerate(slices):
                 score += (s[j, w] >> b & np.uint64(1)).astype(np.int64) << t
-            out.append((np.full(len(rows), qi[j]), ids[rows], score + base[j]))
+            out.append((np.full(len(rows), a + j), rows, score + base[j]))
     if not out:
         return (np.zeros(0, np.int64),) * 3
     return tuple(np.concatenate(z) for z in zip(*out))
 
 
-def top_k(table: DataFrame, k: int = NEIGHBOURS, scale: int = SCALE, step: int = QUERY_STEP) -> DataFrame:
-    """(query_id, rank, vec_id, score): each query's k best rows by the inner product of floor(scale * x).
+def search_block(block: dict, q_ids: np.ndarray, q_keys: np.ndarray, qx: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """(query row, id, over, score, big, n) of each query's k best rows of a block, its own row left out once.
 
-    Queries are the rows whose id is divisible by step, candidates every other row; all rows are
-    indexed and all scores exact. Vectors null or with null or non-finite components take no
-    part; zero ones do. Vectors of unlike lengths meet in the positions that both have. Components
-    beyond LARGEST after scaling have no score that fits and take no part. Fewer than k candidates
-    are all returned; an empty table gives an empty result.
+    Rows and queries within LARGEST meet in the slices. The others, and all that such a query meets,
+    are exact whole numbers of any size; a score beyond a long is cut to it, over tells which way,
+    and big keeps its order.
     """
-    ints = clean(table, zero=True).select("vec_id", F.transform("v", lambda x: F.floor(x * F.lit(float(scale))).cast("long")).alias("v"))
-    ints = materialise(ints.where(F.forall("v", lambda x: F.abs(x) <= LARGEST)), "quantised")
-    n, queries, dim = ints.agg(F.count("*"), F.count_if(F.col("vec_id") % step == 0), F.max(F.size("v"))).first()
-    blocks, groups = max(1, math.ceil(n / BLOCK_ROWS)), max(1, math.ceil(queries / GROUP_QUERIES))
+    ids, keys, n, least = (np.frombuffer(block[c], np.int64) for c in ("ids", "keys", "n", "least"))
+    dim = qx.shape[1]
+    planes = np.frombuffer(block["planes"], np.uint64).reshape(dim, block["bits"], -1)
+    with np.errstate(over="ignore"):
+        plain = ~(np.abs(qx) * SCALE > LARGEST).any(axis=1)
+    mine = own_rows(ids, keys, q_ids, q_keys)
+    alone = mine.copy()
+    if len(n):
+        alone[(mine >= 0) & (n[mine] > 1)] = -1  # its copies are candidates
+    at, rows, score = (np.zeros(0, np.int64),) * 3
+    who = np.flatnonzero(plain)
+    if len(ids) and len(who):
+        at, rows, score = _sliced(planes, least, len(ids), alone[who], np.floor(qx[who] * SCALE).astype(np.int64), k)
+        at = who[at]
+    out = [(at, ids[rows], np.zeros(len(at), np.int64), score, np.full(len(at), None, object), n[rows] - (rows == mine[at]))]
+    w_ids, w_keys, w_n = (np.frombuffer(block[c], np.int64) for c in ("wide_ids", "wide_keys", "wide_n"))
+    if len(w_ids) or not plain.all():
+        out.append(_any_size(block, planes, least, (ids, keys, n), (w_ids, w_keys, w_n), q_ids, q_keys, qx, plain, k))
+    return tuple(np.concatenate(z) for z in zip(*out))
+
+
+def _any_size(block, planes, least, slim, wide, q_ids, q_keys, qx, plain, k):
+    """What the slices don't reach: wide rows for all queries, all rows for wide queries."""
+    ids, keys, n = (np.concatenate(z) for z in zip(slim, wide))
+    bit = np.unpackbits(planes.view(np.uint8), axis=2, bitorder="little")[:, :, : len(slim[0])].astype(np.int64)
+    small = (bit << np.arange(planes.shape[1])[None, :, None]).sum(axis=1).T + least
+    vectors = [*small.tolist(), *(exact_integers(r) for r in np.frombuffer(block["wide_x"], np.float64).reshape(-1, qx.shape[1]))]
+    got = []
+    for j in range(len(q_ids)):
+        q = exact_integers(qx[j])
+        found = []
+        for r in range(len(slim[0]) if plain[j] else 0, len(ids)):
+            times = int(n[r]) - int(ids[r] == q_ids[j] and keys[r] == q_keys[j])
+            if times > 0:
+                found.append((-sum(a * b for a, b in zip(q, vectors[r])), int(ids[r]), times))
+        got += [(j, i, -s, t) for s, i, t in sorted(found)[:k]]
+    top = 2**63 - 1
+    over = [1 if s > top else -1 if s < -top - 1 else 0 for _, _, s, _ in got]
+    score = np.array([min(top, max(-top - 1, s)) for _, _, s, _ in got], np.int64)
+    big = np.empty(len(got), object)
+    big[:] = [sortable(s) if o else None for (_, _, s, _), o in zip(got, over)]
+    whole = lambda c: np.array([g[c] for g in got], np.int64)
+    return whole(0), whole(1), np.array(over, np.int64), score, big, whole(3)
+
+
+INDEX = "block int, ids binary, keys binary, n binary, planes binary, least binary, bits int, wide_ids binary, wide_keys binary, wide_n binary, wide_x binary"
+
+
+def build_index(vectors: DataFrame, dim: int, rows: int) -> DataFrame:
+    """One row for each block of about BLOCK_ROWS rows; every row is in one block, which a hash of it picks."""
+    blocks = max(1, math.ceil(rows / BLOCK_ROWS))
+
+    def pack(t: pa.Table) -> pa.Table:
+        made = index_block(t.column("vec_id").to_numpy(), t.column("key").to_numpy(), t.column("n").to_numpy(), dense(t.column("v"), dim))
+        names = [f.split()[0] for f in INDEX.split(", ")]
+        made["block"] = int(t.column("b")[0].as_py())
+        return pa.table({c: pa.array([made[c]], pa.int32() if c in ("block", "bits") else pa.binary()) for c in names})
+
+    return vectors.withColumn("b", F.pmod(F.xxhash64("vec_id", "key"), F.lit(blocks)).cast("int")).groupBy("b").applyInArrow(pack, INDEX)
+
+
+def top_k(table: DataFrame, k: int = NEIGHBOURS, step: int = QUERY_STEP) -> DataFrame:
+    """(query_id, rank, vec_id, score): each query's k best rows by the inner product of floor(64 * x).
+
+    Queries are the rows whose id is divisible by step, candidates all rows but the query's own; all
+    rows are indexed once and all scores exact, whatever their size. Vectors null or with null or
+    non-finite components take no part; zero and empty ones do. Vectors of unlike lengths meet in
+    the positions that both have. Rows that repeat an id are rows of their own: each is a candidate for
+    the others, and each query row has its k results, under the same query_id. A score beyond a
+    long is given as the nearest long, in its true order. Fewer than k candidates are all returned;
+    an empty table gives an empty result.
+    """
+    vectors = materialise(clean(table, zero=True), "vectors")
+    rows, dim = vectors.agg(F.count("*"), F.max(F.size("v"))).first()
     dim = dim or 1
-    side = F.xxhash64("vec_id")
-    rows = ints.select(F.pmod(side, F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"), "vec_id", "v")
-    asked = ints.where(F.col("vec_id") % step == 0).select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(groups)).cast("int").alias("g"), "vec_id", "v")
+    index = materialise(build_index(vectors, dim, rows), "index")
 
-    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        if left.num_rows and right.num_rows:
-            q, i, s = search_block(left.column("vec_id").to_numpy(), dense(left.column("v"), dim, np.int64), right.column("vec_id").to_numpy(), dense(right.column("v"), dim, np.int64), k)
-        else:
-            q = i = s = np.zeros(0, np.int64)
-        return pa.table({"query_id": pa.array(q, pa.int64()), "vec_id": pa.array(i, pa.int64()), "score": pa.array(s, pa.int64())})
+    def search(block: dict, q: pa.Table):
+        return search_block(block, q.column("vec_id").to_numpy(), q.column("key").to_numpy(), dense(q.column("v"), dim), k)
 
-    found = rows.groupBy("block", "g").cogroup(asked.groupBy("block", "g")).applyInArrow(meet, "query_id long, vec_id long, score long")
-    return best_of(found, k)
+    out = in_passes(index, vectors.where(F.col("vec_id") % step == 0), k, "long", search)
+    discard(vectors, index)
+    return out

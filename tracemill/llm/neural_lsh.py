@@ -14,21 +14,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from tracemill.llm.common import extended, materialise
-from tracemill.llm.vectors import NEIGHBOURS, QUERY_STEP, best_of, clean, dense
+from tracemill.llm.common import discard, materialise
+from tracemill.llm.vectors import BLOCK_ROWS, NEIGHBOURS, QUERY_STEP, clean, dense, in_passes, own_rows
 
 #: Bound on the sample that the partition is learned from.
 SAMPLE = 8192
-PARTS = 32
+#: Rows that a part should hold while parts can still grow in number, and the most parts.
+PART_ROWS, PARTS_MOST = 1600, 256
 GRAPH_DEGREE = 10
 HIDDEN = 64
 EPOCHS = 30
 #: Share of true neighbours that the sample must reach; more than the 0.9 asked for.
 TARGET = 0.96
-BLOCK_ROWS = 4096
-GROUP_QUERIES = 2048
 
 
 def neighbour_graph(x: np.ndarray, degree: int) -> np.ndarray:
@@ -79,6 +78,12 @@ def balanced_parts(x: np.ndarray, near: np.ndarray, parts: int) -> np.ndarray:
     return out
 
 
+def _unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1, whatever their size before."""
+    x = x / np.maximum(np.abs(x).max(axis=1, initial=0.0, keepdims=True), 1e-300)
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+
+
 @dataclass
 class Router:
     w1: np.ndarray
@@ -88,16 +93,16 @@ class Router:
     probes: int
 
     def probabilities(self, x: np.ndarray) -> np.ndarray:
-        x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-        z = np.maximum(x @ self.w1 + self.b1, 0) @ self.w2 + self.b2
+        z = np.maximum(_unit(x) @ self.w1 + self.b1, 0) @ self.w2 + self.b2
         z = np.exp(z - z.max(axis=1, keepdims=True))
         return z / z.sum(axis=1, keepdims=True)
 
 
-def learn(x: np.ndarray, parts: int = PARTS, k: int = NEIGHBOURS, seed: int = 9) -> Router:
+def learn(x: np.ndarray, parts: int = 32, k: int = NEIGHBOURS, seed: int = 9) -> Router:
     """Cut the sample's neighbour graph, fit the classifier, and set how many parts a query needs."""
     rng = np.random.default_rng(seed)
     dim = x.shape[1] if x.ndim == 2 and len(x) else 1
+    x = x / max(float(np.abs(x).max(initial=0.0)), 1e-300)  # one scale for all keeps the order of inner products
     while parts > 1 and len(x) < 8 * parts:
         parts //= 2
     net = Router(rng.normal(0, dim**-0.5, (dim, HIDDEN)), np.zeros(HIDDEN), rng.normal(0, HIDDEN**-0.5, (HIDDEN, parts)), np.zeros(parts), parts)
@@ -108,7 +113,7 @@ def learn(x: np.ndarray, parts: int = PARTS, k: int = NEIGHBOURS, seed: int = 9)
     soft = np.zeros((len(x), parts))
     np.add.at(soft, (np.repeat(np.arange(len(x)), near.shape[1]), part[near.ravel()]), 0.5 / near.shape[1])
     soft[np.arange(len(x)), part] += 0.5
-    unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    unit = _unit(x)
     names = ("w1", "b1", "w2", "b2")
     m1, m2, t = {n: 0.0 for n in names}, {n: 0.0 for n in names}, 0
     for epoch in range(EPOCHS):
@@ -136,81 +141,113 @@ def learn(x: np.ndarray, parts: int = PARTS, k: int = NEIGHBOURS, seed: int = 9)
     return net
 
 
-def exact_best(c_ids: np.ndarray, c: np.ndarray, q_ids: np.ndarray, q: np.ndarray, k: int):
-    """(query ids, ids, scores) of each query's k nearest of the block by exact inner products, its own id left out.
+def best_of_block(ids: np.ndarray, keys: np.ndarray, n: np.ndarray, x: np.ndarray, q_ids: np.ndarray, q_keys: np.ndarray, q: np.ndarray, k: int):
+    """(query row, id, over, score, big, n) of each query's k nearest rows of a block, its own row left out once.
 
-    Scores are sums in the order of the components, so that equal vectors have equal scores in
-    every block; the matrix product before only narrows the choice.
+    Scores are sums in the order of the components, so that equal vectors have equal scores in every
+    block; the matrix product before only narrows the choice, by more than it can be off. A sum that
+    is no number (of opposite infinities) is the least of all: over is -1.
     """
+    mine = own_rows(ids, keys, q_ids, q_keys)
     out = []
-    order = np.argsort(c_ids, kind="stable")
-    c_ids, c = c_ids[order], c[order]
-    for a in range(0, len(q_ids), 256):
-        qi, qv = q_ids[a : a + 256], q[a : a + 256]
-        s = qv @ c.T
-        own = np.searchsorted(c_ids, qi)
-        hit = (own < len(c_ids)) & (c_ids[np.minimum(own, len(c_ids) - 1)] == qi)
-        s[np.flatnonzero(hit), own[hit]] = -np.inf
-        m = min(k, s.shape[1])
-        bar = -np.partition(-s, m - 1, axis=1)[:, m - 1]
-        slack = 1e-9 * np.maximum(1.0, np.abs(np.where(np.isfinite(bar), bar, 0)))
-        r, j = np.nonzero((s >= (bar - slack)[:, None]) & (s > -np.inf))
-        score = np.cumsum(qv[r] * c[j], axis=1)[:, -1]
-        o = np.lexsort((c_ids[j], -score, r))
-        r, j, score = r[o], j[o], score[o]
-        first = np.searchsorted(r, np.arange(len(qi)))
-        keep = np.arange(len(r)) - first[r] < k
-        out.append((qi[r[keep]], c_ids[j[keep]], score[keep]))
+    with np.errstate(over="ignore", invalid="ignore"):
+        longest = np.linalg.norm(x, axis=1).max(initial=0.0)
+        for a in range(0, len(q_ids), 256):
+            qv, own = q[a : a + 256], mine[a : a + 256]
+            s = qv @ x.T
+            s[np.isnan(s)] = -np.inf
+            gone = np.zeros(s.shape, bool)
+            j = np.flatnonzero(own >= 0)
+            gone[j, own[j]] = n[own[j]] == 1
+            m = min(k, s.shape[1])
+            bar = -np.partition(-np.where(gone, -np.inf, s), m - 1, axis=1)[:, m - 1]
+            slack = 1e-15 * x.shape[1] * np.linalg.norm(qv, axis=1) * longest
+            slack[np.isnan(slack)] = np.inf
+            low = bar - 2 * slack
+            low[np.isnan(low)] = -np.inf
+            r, c = np.nonzero(((s >= low[:, None]) | ~(np.abs(s) < 1e300)) & ~gone)
+            score = np.cumsum(qv[r] * x[c], axis=1)[:, -1]
+            over = np.where(np.isnan(score), -1, 0)
+            o = np.lexsort((ids[c], np.where(over, 0, -score), -over, r))
+            r, c, score, over = r[o], c[o], score[o], over[o]
+            keep = np.arange(len(r)) - np.searchsorted(r, r) < k
+            r, c = r[keep], c[keep]
+            out.append((a + r, ids[c], over[keep], score[keep], np.full(len(r), None, object), n[c] - (c == own[r])))
     return tuple(np.concatenate(z) for z in zip(*out))
 
 
-def fit(vectors: DataFrame, sample: int = SAMPLE) -> tuple[Router, int]:
-    """(router, dimension): learned on at most sample vectors, which a hash of the id picks."""
-    dim = vectors.agg(F.max(F.size("v"))).first()[0] or 1
-    got = vectors.orderBy(F.xxhash64("vec_id", F.lit(17)), "vec_id").limit(sample).toArrow()
-    return learn(dense(got.column("v"), dim)), dim
+def fit(vectors: DataFrame, rows: int, dim: int, sample: int = SAMPLE) -> Router:
+    """A router learned on at most sample vectors, which a hash of the row picks."""
+    got = vectors.select("vec_id", "key", "v").orderBy(F.xxhash64("vec_id", "key", F.lit(17)), "vec_id", "key").limit(sample).toArrow()
+    return learn(dense(got.column("v"), dim), parts_for(rows))
+
+
+def parts_for(rows: int) -> int:
+    """Parts grow with the table, by powers of two, as far as the bounded sample can tell them apart."""
+    return min(PARTS_MOST, max(8, 1 << max(0, round(math.log2(max(1, rows) / PART_ROWS)))))
+
+
+INDEX = "part int, block int, ids binary, keys binary, n binary, x binary"
 
 
 def nearest(table: DataFrame, k: int = NEIGHBOURS, step: int = QUERY_STEP) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k nearest rows that were found.
 
-    Queries are the rows whose id is divisible by step, candidates every other row. Vectors null,
-    zero, or with null or non-finite components take no part. Vectors of unlike lengths meet in
-    the positions that both have. Every row is indexed, and parts are searched whole; a part of
-    many rows is cut into blocks. Few candidates are all returned; an empty table gives an empty
-    result.
+    Queries are the rows whose id is divisible by step, candidates all rows but the query's own.
+    Vectors null, zero, or with null or non-finite components take no part. Vectors of unlike
+    lengths meet in the positions that both have. Every row is indexed, once, in blocks of its most
+    probable part; a query meets all blocks of its most probable parts. Rows that repeat an id are
+    rows of their own: each is a candidate for the others, and each query row has its k results,
+    under the same query_id. A score that overflows is infinite, or no number and then last. Parts are
+    asked until they have k candidates, so few candidates are all returned; an empty table has none.
     """
     vectors = materialise(clean(table, zero=False), "vectors")
-    net, dim = fit(vectors)
+    rows, dim = vectors.agg(F.count("*"), F.max(F.size("v"))).first()
+    dim = dim or 1
+    net = fit(vectors, rows, dim)
     shared = vectors.sparkSession.sparkContext.broadcast(net)
-    from pyspark.sql import types as T
-
-    schema = extended(vectors, parts=T.ArrayType(T.IntegerType()))
+    schema = T.StructType([*vectors.schema.fields, T.StructField("parts", T.ArrayType(T.IntegerType()))])
 
     def route(batches):
         m = shared.value
         for b in batches:
-            p = m.probabilities(dense(b.column("v"), dim))
-            top = np.argsort(-p, axis=1, kind="stable")[:, : m.probes].astype(np.int32)
-            parts = pa.ListArray.from_arrays(pa.array(np.arange(len(top) + 1) * top.shape[1], pa.int32()), pa.array(top.ravel(), pa.int32()))
-            yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("v"), parts], names=["vec_id", "v", "parts"])
+            order = np.argsort(-m.probabilities(dense(b.column("v"), dim)), axis=1, kind="stable").astype(np.int32)
+            ask = b.column("vec_id").to_numpy() % step == 0
+            size = np.where(ask, order.shape[1], 1)  # only a query needs more than its home
+            flat = order[np.arange(order.shape[1]) < size[:, None]]
+            parts = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(flat, pa.int32()))
+            yield pa.RecordBatch.from_arrays([*b.columns, parts], names=[*b.schema.names, "parts"])
 
     routed = materialise(vectors.mapInArrow(route, schema), "routed")
-    sizes = {r["p"]: r["n"] for r in routed.groupBy(F.col("parts")[0].alias("p")).agg(F.count("*").alias("n")).collect()}  # at most PARTS rows
+    sizes = {r["p"]: r["n"] for r in routed.groupBy(F.col("parts")[0].alias("p")).agg(F.count("*").alias("n")).collect()}  # at most PARTS_MOST rows
     blocks = F.create_map(*[F.lit(x) for p, n in sizes.items() for x in (p, max(1, math.ceil(n / BLOCK_ROWS)))]) if sizes else F.create_map(F.lit(-1), F.lit(1))
-    queries = routed.where(F.col("vec_id") % step == 0)
-    groups = max(1, math.ceil(queries.count() / GROUP_QUERIES))
-    homed = routed.select(F.col("parts")[0].alias("p"), "vec_id", "v")
-    rows = homed.select("p", F.pmod(F.xxhash64("vec_id"), F.try_element_at(blocks, F.col("p"))).cast("int").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"), "vec_id", "v")
-    asked = queries.select(F.explode("parts").alias("p"), "vec_id", "v").withColumn("n", F.try_element_at(blocks, F.col("p"))).where("n is not null")
-    asked = asked.select("p", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("b"), F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(groups)).cast("int").alias("g"), "vec_id", "v")
-
-    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        if left.num_rows and right.num_rows:
-            q, i, s = exact_best(left.column("vec_id").to_numpy(), dense(left.column("v"), dim), right.column("vec_id").to_numpy(), dense(right.column("v"), dim), k)
-        else:
-            q, i, s = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-        return pa.table({"query_id": pa.array(q, pa.int64()), "vec_id": pa.array(i, pa.int64()), "score": pa.array(s, pa.float64())})
-
-    found = rows.groupBy("p", "b", "g").cogroup(asked.groupBy("p", "b", "g")).applyInArrow(meet, "query_id long, vec_id long, score double")
-    return best_of(found, k)
+    homed = routed.withColumn("part", F.col("parts")[0]).withColumn("block", F.pmod(F.xxhash64("vec_id", "key"), F.try_element_at(blocks, F.col("part"))).cast("int"))
+
+    def pack(t: pa.Table) -> pa.Table:
+        ids, keys, n = (t.column(c).to_numpy() for c in ("vec_id", "key", "n"))
+        o = np.lexsort((keys, ids))
+        raw = [pa.array([x[o].tobytes()], pa.binary()) for x in (ids, keys, n, dense(t.column("v"), dim))]
+        return pa.table([*(pa.array([t.column(c)[0].as_py()], pa.int32()) for c in ("part", "block")), *raw], names=[f.split()[0] for f in INDEX.split(", ")])
+
+    index = materialise(homed.groupBy("part", "block").applyInArrow(pack, INDEX), "index")
+
+    count = np.zeros(max(sizes, default=0) + 1, np.int64)
+    count[list(sizes)] = list(sizes.values())
+    least = net.probes
+
+    def search(block: dict, q: pa.Table):
+        order = np.array(q.column("parts").to_pylist(), np.int64).reshape(q.num_rows, -1)
+        # as many parts as the router has found to be needed, and more where they have too few rows
+        rows_before = np.cumsum(np.where(order < len(count), count[np.minimum(order, len(count) - 1)], 0), axis=1)
+        asked = (np.arange(order.shape[1]) < least) | (np.concatenate([np.zeros((len(order), 1), np.int64), rows_before[:, :-1]], axis=1) <= k)
+        who = np.flatnonzero(((order == block["part"]) & asked).any(axis=1))
+        if not len(who):
+            return tuple(np.zeros(0, d) for d in (np.int64, np.int64, np.int64, np.float64, object, np.int64))
+        ids, keys, n = (np.frombuffer(block[c], np.int64) for c in ("ids", "keys", "n"))
+        some = q.take(pa.array(who))
+        at, *rest = best_of_block(ids, keys, n, np.frombuffer(block["x"]).reshape(len(ids), dim), some.column("vec_id").to_numpy(), some.column("key").to_numpy(), dense(some.column("v"), dim), k)
+        return who[at], *rest
+
+    out = in_passes(index, routed.where(F.col("vec_id") % step == 0), k, "double", search)
+    discard(vectors, routed, index)
+    return out
