@@ -1,11 +1,13 @@
+import itertools
 import random
 import zlib
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from tracemill.llm import language, quality, toxicity
+from tracemill.llm import common, language, quality, toxicity
 
 
 def junk(words, rng):
@@ -24,7 +26,8 @@ def table(spark, words, n=500):
         good, toxic = rng.random() < 0.7, rng.random() < 0.3
         t = sound(words, rng) if good else junk(words, rng)
         if toxic:
-            t += f" {rng.choice(words)} {rng.choice(['grobnik', 'vulmash', 'zzorp'])} {rng.choice(words)}."
+            # a clause that says it of someone: a bare word alone does not make a text toxic
+            t += f". You are {rng.choice(['a', 'one'])} {rng.choice(['grobnik', 'vulmash', 'zzorp'])} {rng.choice(words)}."
         docs.append((i, t, i))
         labels.append((i, int(good), int(toxic)))
     docs += [(9001, None, 1), (9002, "", 1), (9003, " ", 1), (0, docs[0][1], 0), (None, "abc", 2)]
@@ -59,15 +62,63 @@ def test_tables_without_labels_still_score(spark):
         assert module.score_documents(docs, module.fit(docs, labels)).count() == 1
 
 
-def test_composed_automaton():
-    run = lambda *s: toxicity.PATTERNS[toxicity.run_clause([x for x, _ in s], [g for _, g in s], [1.0] * len(s))[0][0]]
-    i, t, n, r, h = toxicity.INSULT, toxicity.TARGET, toxicity.NEGATION, toxicity.REPORT, toxicity.THREAT
-    assert run((i, 0)) == ("insult", False, False, False)
-    assert run((i, 0), (t, 5)) == ("insult", False, False, True)
-    assert run((n, 0), (i, 1)) == ("insult", True, False, False)
-    assert run((n, 0), (i, toxicity.REACH)) == ("insult", False, False, False)
-    assert run((r, 0), (t, 0), (i, 9)) == ("insult", False, True, True)
-    assert run((h, 0), (t, 0)) == ("threat", False, False, True)
+def by_definition(symbols):
+    """(role, weight) of each head, said directly: no automaton."""
+    out = []
+    for k, s in enumerate(symbols):
+        begin = max([j + 1 for j in range(k) if symbols[j] == toxicity.BREAK], default=0)
+        end = min([j for j in range(k, len(symbols)) if symbols[j] == toxicity.BREAK], default=len(symbols))
+        weight = toxicity.NEGATED if toxicity.NEGATION in symbols[max(begin, k - toxicity.REACH) : k] else 1.0
+        weight *= toxicity.REPORTED if toxicity.REPORT in symbols[:k] else 1.0
+        after, before = symbols[k + 1 : end], symbols[begin:k]
+        if s == toxicity.INSULT:
+            out.append((2 if toxicity.TARGET in before + after else 1 if toxicity.PREDICATE in before else 0, weight))
+        elif s == toxicity.THREAT and toxicity.TARGET in after:
+            out.append((3, weight))
+    return out
+
+
+def test_composed_automaton_on_all_short_sentences():
+    for n in range(1, 6):
+        for symbols in itertools.product(range(8), repeat=n):
+            if toxicity.INSULT in symbols or toxicity.THREAT in symbols:
+                assert toxicity.run_sentence(list(symbols), [0] * n, [1.0] * n) == by_definition(list(symbols))
+    # words between symbols count as distance
+    run = lambda gap: toxicity.run_sentence([toxicity.NEGATION, toxicity.INSULT], [0, gap], [1.0, 1.0])
+    assert run(toxicity.REACH - 1) == [(0, toxicity.NEGATED)] and run(toxicity.REACH) == [(0, 1.0)]
+
+
+@pytest.mark.parametrize("labelled", [True, False])
+def test_the_grammar_decides_whatever_the_labels(spark, words, labelled):
+    rng = random.Random(8)
+    # labels that would have negated insults toxic, threats clean, and one bare word enough
+    texts = [f"{sound(words, rng)} {end}" for end in ["not an idiot", "moron"] * 60 + ["i will kill you", "you are scum", "nothing here"] * 60]
+    y = np.array([1] * 120 + [0] * 180) if labelled else np.zeros(0, np.int64)
+    model = toxicity.train(pa.array(texts if labelled else [], pa.string()), y, 0.1)
+    score = lambda *t: model.score(pa.array(t))
+    plain, told, negated, both = score("you are an idiot", "he said you are an idiot", "you are not an idiot", "he said you are not an idiot")
+    assert plain >= 0.5 > told > negated > both
+    assert (score("I will kill you", "we shall kill them all") >= 0.5).all()
+    assert (score("I will not kill you", "he wrote: I will kill you", "kill", "kill time", "idiot", "the word is there", "") < 0.5).all()
+    assert score("you idiot")[0] >= score("the boss is idiot")[0] >= score("idiot")[0] > score("")[0]
+    assert (model.weights >= 0).all()
+
+
+def test_one_hot_id_does_not_fill_the_sample(spark):
+    docs = spark.range(20_000).select(F.when(F.col("id") < 18_000, 7).otherwise(F.col("id")).alias("doc_id"), F.concat(F.lit("some words here "), F.col("id")).alias("text"))
+    labels = spark.range(20_000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("toxic"))
+    texts, y = common.labelled_sample(docs, labels, "toxic", 300)
+    assert len(texts) == len(y) <= 600 and sum(t.as_py() == "some words here 0" for t in texts) <= 1
+    again, _ = common.labelled_sample(docs.repartition(7), labels, "toxic", 300)
+    assert texts.equals(again)
+
+
+def test_bytes_of_a_fit_are_bounded(spark):
+    docs = spark.createDataFrame([(i, "x" * 1000 * (i + 1)) for i in range(30)], "doc_id long, text string")
+    picked = docs.select(F.col("doc_id").alias("_id"), F.col("doc_id").alias("_order"))
+    got = common.bounded_texts(docs, picked, [], budget=10_000).column("text").to_pylist()
+    assert [len(t) for t in got] == [1000, 2000, 3000, 4000]
+    assert common.bounded_texts(docs, picked.limit(0), []).num_rows == 0
 
 
 def test_long_text_and_ties_score_as_their_parts_do(words):
@@ -76,6 +127,8 @@ def test_long_text_and_ties_score_as_their_parts_do(words):
     model = quality.train(pa.array(texts), np.array([1] * 30 + [0] * 30), 0.5)
     long = " ".join(texts[:30]) * 90
     assert len(long) > 500_000 and model.score(pa.array([long, long, None]))[0] > 0.9
+    grammar = toxicity.train(pa.array([], pa.string()), np.zeros(0, np.int64), 0.1)
+    assert grammar.score(pa.array([long + " you idiot", long, long + " you idiot"])).round(6).tolist() == grammar.score(pa.array(["x you idiot", "x", "x you idiot"])).round(6).tolist()
     s = model.score(pa.array(texts + texts))
     assert np.allclose(s[:60], s[60:], atol=1e-6)
 
@@ -85,11 +138,12 @@ def test_language(spark):
     tongues = {"aa": "the and ing ed th er on".split(), "bb": "ung sch der ein lich keit ß".split(), "cc": "ción que los ñ ado mente".split()}
     text = lambda k: " ".join("".join(rng.choice(tongues[k]) for _ in range(rng.randrange(1, 4))) for _ in range(rng.randrange(5, 120)))
     rows = [(i, text(k), k) for i, k in enumerate(rng.choice(list(tongues)) for _ in range(400))]
-    odd = [(5001, None, "aa"), (5002, "12 34 !!", "bb"), (5003, "", None), (5004, "ñ", "cc"), (None, "the and", "aa")]
-    df = spark.createDataFrame(rows + odd, "doc_id long, text string, lang string").withColumnRenamed("lang", "lang")
+    odd = [(5001, None, "aa"), (5002, "12 34 !!", "bb"), (5003, "", None), (5004, "ñ", "cc"), (None, "the and", "aa"), (5005, "the ing and " * 30_000, None), (5005, "the ing and " * 30_000, None)]
+    df = spark.createDataFrame(rows + odd, "doc_id long, text string, lang string").withColumn("_id", F.lit(1)).withColumn("_lang", F.lit("zz")).withColumn("score", F.lit("old"))
     net = language.fit(df)
     got = {r["doc_id"]: r for r in language.identify(df, net).collect()}
     assert all(got[i]["lang_pred"] == "und" and got[i]["score"] == 0 for i in (5001, 5002, 5003))
+    assert got[5005]["lang_pred"] == "aa" and got[5001]["_lang"] == "zz" and language.identify(df, net).count() == df.count()
     test = [(i, k) for i, _, k in rows if zlib.crc32(str(i).encode()) % 3 == 1]
     assert np.mean([got[i]["lang_pred"] == k for i, k in test]) > 0.97
     assert net.langs == ["aa", "bb", "cc"]

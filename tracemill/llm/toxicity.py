@@ -1,12 +1,15 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
-Words become symbols by a lexicon transducer: insults (words and word beginnings, learned from
-labels), threats, targets, negations and marks of reported speech. Small transducers follow a
-clause: one remembers a recent negation, one reported speech, one a target. Their composition is
-a single automaton that rewrites each insult or threat into the pattern that it stands in
-(negated, reported, aimed at a target). A clause is scored by the patterns on its path; a text by
-the weights of its matched clauses, in a logistic whose weights are fitted to labels around the
-grammar's own. Isolated words outside a clause's path have no weight of their own.
+A lexicon transducer turns words into symbols: insults (words and word beginnings, learned from
+labels), threats, targets, predicates, negations and marks of reported speech. Small weighted
+transducers follow a sentence: one remembers a recent negation, one reported speech, one what the
+clause has so far (a predicate, a target), and one, from the right, the targets still to come. Composed,
+they are one automaton that gives each insult or threat a role and a path weight, the product of the weights of its
+arcs: negation and reported speech only ever take weight away. A clause counts by its role: an insult
+aimed at a target most, one said of something less, a bare word least; a threat only with a
+target behind its verb. A text's score is a logistic in the sums of its clauses' weights, fitted to
+labels with weights that are never negative and keep the roles' order. A clause that is aimed
+carries a text over one half whatever the labels say, and a single bare word never does.
 """
 
 from __future__ import annotations
@@ -21,79 +24,90 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from tracemill.llm.common import extended, held_out, labelled_sample, text_chunks
 from tracemill.llm.shingles import _BYTE, _power_tables, mix, shingle_sets
 
-#: Seed lexicons. Labels add insults, and weigh the seeds; without labels a seed counts SEED_WEIGHT.
+#: Seed lexicons. Labels add insults, and weigh the seeds; without labels a seed counts SEED_WEIGHT, and nothing counts more.
 INSULTS = "idiot idiots moron morons imbecile stupid dumb dumbass fool loser losers scum filth filthy vermin worthless pathetic trash garbage disgusting clown cretin bastard bitch jerk pig coward freak idiote imbécile connard salaud crétin abruti ordure dummkopf trottel arschloch schwein abschaum idiota imbécil estúpido basura escoria cabrón".split()
 SEED_WEIGHT = 3.0
-TARGETS = "you your yours yourself u he she him her they them those these people tu vous toi votre vos ton tes ihr dich euch dein eure sie usted ustedes ti vosotros ellos ellas".split()
+TARGETS = "you your yours yourself u he she him her they them those these people tu vous toi votre vos ton tes ihr dich dir euch dein eure sie usted ustedes ti vosotros ellos ellas".split()
+PREDICATES = "is are was were am be been being you're he's she's they're it's est sont suis était êtes ist sind bist bin war waren eres es son soy somos era fue".split()
 NEGATIONS = "not no never nobody nor without isn't aren't wasn't don't doesn't didn't won't can't cannot pas jamais ni sans nicht kein keine keinen nie niemals ohne nunca jamás sin".split()
 REPORTS = "said says say saying told tells called calls wrote writes claimed claims quoted quote alleged allegedly reported reportedly according dit disait écrit sagte sagt schrieb behauptet dijo dice escribió afirmó".split()
 THREATS = "kill killing murder strangle stab shoot lynch behead exterminate tuer tuerai töten umbringen erschießen matar mataré".split()
 #: Words that a negation reaches over.
 REACH = 3
-PREFIXES = (3, 4, 5, 6, 7, 8)
+PREFIXES = (4, 5, 6, 7, 8)
 #: Bound on the training sample, rows of each label.
 PER_CLASS = 2500
-#: Lexical weight of a threat; insults have the log-odds that labels give them.
-THREAT_WEIGHT = 3.0
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
-#: kind x negated x reported x aimed: the symbols that the composed automaton writes
-PATTERNS = list(itertools.product(("insult", "threat"), (False, True), (False, True), (False, True)))
-#: The grammar's own weights, before labels: an insult counts, a threat needs a target; negation
-#: and reported speech take weight away.
-PRIOR = np.array([(1.0 if kind == "insult" else (0.8 if aim else 0.0)) - 0.4 * neg - 0.4 * rep + 0.2 * aim for kind, neg, rep, aim in PATTERNS] * 2)
-_PENALTY = 0.5
+OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, PREDICATE, BREAK = range(8)
+#: Weights of the arcs that leave a negation behind, and reported speech.
+NEGATED, REPORTED = 0.15, 0.35
+#: What a text's clauses are summed by; a threat without a target is nothing.
+ROLES = ("insult bare", "insult of something", "insult aimed", "threat aimed")
+#: The grammar's own weights, before labels, and how strongly they pull.
+PRIOR, BIAS, PULL = np.array([1.6, 2.2, 4.2, 4.2]), -5.0, 0.2
+#: Log-odds that a single aimed clause of full weight has at least, and a single bare word at most has below zero.
+MARGIN = 0.4
 _INSIDE = np.zeros(256, bool)
 _INSIDE[65:91] = _INSIDE[97:123] = _INSIDE[128:] = _INSIDE[39] = True
-_BREAK = np.zeros(256, bool)
-_BREAK[[ord(c) for c in ".!?;:,\n\r"]] = True
+_STOP, _PAUSE = np.zeros(256, bool), np.zeros(256, bool)
+_STOP[[ord(c) for c in ".!?\n\r"]] = True
+_PAUSE[[ord(c) for c in ",;:"]] = True
 
 
 # --- transducers -----------------------------------------------------------------------------
-# Each maps (state, symbol) to (state, marks); states are small integers, 0 at a clause's start.
+# Each maps (state, symbol) to the next state; 0 is the state at a sentence's start. A pause ends a
+# clause, but not reported speech.
 
 
-def _negation(state: int, symbol: int) -> tuple[int, bool]:
-    """Counts down from the last negation; marks what it reaches."""
-    return (REACH if symbol == NEGATION else max(0, state - 1)), state > 0
+def _negation(state: int, symbol: int) -> int:
+    """Counts down from the last negation; a word is negated in any state but 0."""
+    return 0 if symbol == BREAK else REACH if symbol == NEGATION else max(0, state - 1)
 
 
-def _report(state: int, symbol: int) -> tuple[int, bool]:
-    """Once speech is reported, the rest of the clause is."""
-    return (1 if symbol == REPORT else state), state > 0
+def _report(state: int, symbol: int) -> int:
+    """Once speech is reported, the rest of the sentence is."""
+    return 1 if symbol == REPORT else state
 
 
-def _target(state: int, symbol: int) -> tuple[int, bool]:
-    """Remembers a target anywhere before; one that follows is settled at the clause's end."""
-    return (1 if symbol == TARGET else state), state > 0
+def _role(state: int, symbol: int) -> int:
+    """What the clause has had: nothing, a predicate (1), a target (2)."""
+    return 0 if symbol == BREAK else 2 if symbol == TARGET else max(state, 1) if symbol == PREDICATE else state
 
 
-def compose() -> dict[tuple[tuple[int, int, int], int], tuple[tuple[int, int, int], int]]:
-    """The product automaton: (states, symbol) -> (states, pattern without aim, or -1)."""
+def _ahead(state: int, symbol: int) -> int:
+    """Read from the right: whether the clause still has a target to come."""
+    return 0 if symbol == BREAK else 1 if symbol == TARGET else state
+
+
+def compose() -> dict[tuple[tuple[int, int, int], int], tuple[tuple[int, int, int], float]]:
+    """The product of the transducers that read from the left: (states, symbol) -> (states, weight of the path)."""
     table = {}
-    for n, r, t in itertools.product(range(REACH + 1), (0, 1), (0, 1)):
-        for symbol in range(6):
-            n2, neg = _negation(n, symbol)
-            r2, rep = _report(r, symbol)
-            t2, _ = _target(t, symbol)
-            out = PATTERNS.index(("insult" if symbol == INSULT else "threat", neg, rep, False)) if symbol in (INSULT, THREAT) else -1
-            table[(n, r, t), symbol] = (n2, r2, t2), out
+    for n, r, c in itertools.product(range(REACH + 1), (0, 1), (0, 1, 2)):
+        for symbol in range(8):
+            weight = (NEGATED if n else 1.0) * (REPORTED if r else 1.0)
+            table[(n, r, c), symbol] = (_negation(n, symbol), _report(r, symbol), _role(c, symbol)), weight
     return table
 
 
 AUTOMATON = compose()
 
 
-def run_clause(symbols: list[int], gaps: list[int], weights: list[float]) -> list[tuple[int, float]]:
-    """Patterns on the path of one clause, with weights; gaps are the numbers of other words before each symbol."""
+def run_sentence(symbols: list[int], gaps: list[int], weights: list[float]) -> list[tuple[int, float]]:
+    """(role, weight) of each insult and threat that counts; gaps are the numbers of other words before each symbol."""
+    coming, ahead = [0] * len(symbols), 0
+    for k in range(len(symbols) - 1, -1, -1):
+        coming[k] = ahead
+        ahead = _ahead(ahead, symbols[k])
     state, out = (0, 0, 0), []
-    for s, gap, w in zip(symbols, gaps, weights):
+    for s, gap, w, target in zip(symbols, gaps, weights, coming):
         for _ in range(min(gap, REACH + 1)):
             state, _ = AUTOMATON[state, OTHER]
-        state, p = AUTOMATON[state, s]
-        if p >= 0:
-            out.append((p, w))
-    aim = state[2]  # a target before or after, in the same clause
-    return [(p + aim, w) for p, w in out]
+        had = state[2]
+        state, path = AUTOMATON[state, s]
+        if s == INSULT:
+            out.append((2 if target or had == 2 else had, w * path))
+        elif s == THREAT and target:
+            out.append((3, w * path))
+    return out
 
 
 # --- words -----------------------------------------------------------------------------------
@@ -107,7 +121,7 @@ def _hash_word(w: str) -> int:
 
 
 def _words(texts: pa.Array):
-    """(first, last, hashes of words, of their beginnings by length, first word of each text, clause of each word)."""
+    """(first, last, hashes of words, of their beginnings by length, first word of each text, sentence and clause of each word)."""
     for lo, hi, buf, off in text_chunks(texts):
         inside = _INSIDE[buf]
         first, last = inside.copy(), inside.copy()
@@ -124,8 +138,8 @@ def _words(texts: pa.Array):
             np.cumsum(_BYTE[buf] * up[: len(buf)], out=run[1:])
             word = mix((run[ends] - run[starts]) * down[starts] + size)
             heads = {k: np.where(size > k, mix((run[np.minimum(starts + k, len(buf))] - run[starts]) * down[starts] + np.uint64(k + (1 << 32))), np.uint64(0)) for k in PREFIXES}
-        clause = np.cumsum(_BREAK[buf])
-        yield lo, hi, word, heads, np.searchsorted(starts, off), clause[starts] if len(starts) else np.zeros(0, np.int64)
+        stop, pause = np.cumsum(_STOP[buf]), np.cumsum(_PAUSE[buf])
+        yield lo, hi, word, heads, np.searchsorted(starts, off), stop[starts], pause[starts]
 
 
 @dataclass
@@ -138,7 +152,7 @@ class ToxicityModel:
 
     def __post_init__(self):
         seeds = {}
-        for code, group in ((THREAT, THREATS), (TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS)):
+        for code, group in ((THREAT, THREATS), (PREDICATE, PREDICATES), (TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS)):
             seeds |= {_hash_word(w): code for w in group}
         keys = np.array(sorted(seeds), np.uint64)
         self._tables = [(-1, keys, np.array([seeds[int(k)] for k in keys], float)), *((k, *v) for k, v in self.insults.items() if len(v[0]))]
@@ -160,39 +174,44 @@ class ToxicityModel:
             some, at = some[hit], at[hit]
             if k < 0:
                 sym[some] = values[at].astype(np.int64)
-                weight[some] = np.where(sym[some] == THREAT, THREAT_WEIGHT, 0)
+                weight[some] = np.where(sym[some] == THREAT, SEED_WEIGHT, 0)
             else:
+                free = (sym[some] == OTHER) | (sym[some] == INSULT)  # the grammar's own words keep their part
+                some, at = some[free], at[free]
                 sym[some] = INSULT
                 weight[some] = np.maximum(weight[some], values[at])
         return sym, weight
 
     def features(self, texts: pa.Array) -> np.ndarray:
-        """For each text and pattern: log(1 + summed weight) and the largest weight of the clauses whose path has it."""
-        total, most = np.zeros((len(texts), len(PATTERNS))), np.zeros((len(texts), len(PATTERNS)))
-        for lo, hi, word, heads, at, clause in _words(texts):
+        """For each text and role: log(1 + summed weight of what its clauses match)."""
+        total = np.zeros((len(texts), len(ROLES)))
+        for lo, hi, word, heads, at, stop, pause in _words(texts):
             sym, weight = self.symbols(word, heads)
             hits = np.flatnonzero((sym == INSULT) | (sym == THREAT))
             of = np.searchsorted(at, hits, side="right") - 1
-            for i, c in sorted(set(zip(of.tolist(), clause[hits].tolist()))):
-                a = max(at[i], int(np.searchsorted(clause, c, side="left")))
-                b = min(at[i + 1], int(np.searchsorted(clause, c, side="right")))
-                seen = a + np.flatnonzero(sym[a:b])
-                gaps = (np.diff(np.concatenate(([a - 1], seen))) - 1).tolist()
-                best: dict[int, float] = {}
-                for p, w in run_clause(sym[seen].tolist(), gaps, weight[seen].tolist()):
-                    best[p] = max(best.get(p, 0.0), w)
-                for p, w in best.items():
-                    total[lo + i, p] += w
-                    most[lo + i, p] = max(most[lo + i, p], w)
-        return np.concatenate([np.log1p(total), most], axis=1)
+            for i, c in sorted(set(zip(of.tolist(), stop[hits].tolist()))):
+                a = max(at[i], int(np.searchsorted(stop, c, side="left")))
+                b = min(at[i + 1], int(np.searchsorted(stop, c, side="right")))
+                symbols, gaps, weights, last, part = [], [], [], a - 1, pause[a]
+                for k in (a + np.flatnonzero(sym[a:b])).tolist():
+                    if pause[k] != part:  # a clause ends, and its words are out of reach
+                        last, part = max(last, a + int(np.searchsorted(pause[a:b], pause[k])) - 1), pause[k]
+                        symbols, gaps, weights = [*symbols, BREAK], [*gaps, 0], [*weights, 0.0]
+                    symbols.append(int(sym[k]))
+                    gaps.append(k - last - 1)
+                    weights.append(float(weight[k]))
+                    last = k
+                for role, w in run_sentence(symbols, gaps, weights):
+                    total[lo + i, role] += w
+        return np.log1p(total)
 
     def score(self, texts: pa.Array) -> np.ndarray:
-        """Probability of label 1 for each text; without a matched clause, the share of label 1 there."""
+        """Probability of label 1 for each text; without a clause that counts, what such texts have."""
         z = self.bias + self.features(texts) @ self.weights
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
     def describe(self) -> dict:
-        return {"insults": {k: len(v[0]) for k, v in self.insults.items()}, "weights": {"+".join(str(x) for x in p): round(float(w), 2) for p, w in zip(PATTERNS * 2, np.round(self.weights, 2))}, "bias": round(self.bias, 2)}
+        return {"insults": {k: len(v[0]) for k, v in self.insults.items()}, "weights": {r: round(float(w), 2) for r, w in zip(ROLES, self.weights)}, "bias": round(self.bias, 2)}
 
 
 def _gain(t: np.ndarray, c: np.ndarray, prior: float) -> np.ndarray:
@@ -234,7 +253,7 @@ def _learn_insults(texts: pa.Array, y: np.ndarray, odds: float):
     label = np.zeros(len(y), np.int64)
     np.maximum.at(label, group, y)
     keys, owner = [], []
-    for lo, hi, word, heads, at, _ in _words(texts):
+    for lo, hi, word, heads, at, _, _ in _words(texts):
         of = group[np.repeat(np.arange(lo, hi), np.diff(at))]
         for tag, h in ((0, word), *heads.items()):
             ok = h != 0
@@ -257,8 +276,10 @@ def _learn_insults(texts: pa.Array, y: np.ndarray, odds: float):
     t = np.add.reduceat(label[own // 16], edge).astype(float)
     c = n - t
     bar = np.log(len(edge)) + 3
-    good = np.flatnonzero((t / (t + odds * (c + 0.5)) > 0.4) & (_gain(t, c, prior) > bar))
-    weight = np.log(t[good] / ones) - np.log((c[good] + 0.5) / zeros)
+    # a beginning is in many words, so it must be surer than a word
+    sure = np.where(tag == 0, 0.4, 0.7)
+    good = np.flatnonzero((t / (t + odds * (c + 0.5)) > sure) & (_gain(t, c, prior) > bar))
+    weight = np.minimum(np.log(t[good] / ones) - np.log((c[good] + 0.5) / zeros), SEED_WEIGHT)
     out = {k: (key[edge[good]][tag[good] == k], weight[tag[good] == k]) for k in (0, *PREFIXES)}
     # seeds that labels say too little of keep their weight, but for what labels do say
     rest = np.setdiff1d(seeds, out[0][0])
@@ -267,44 +288,52 @@ def _learn_insults(texts: pa.Array, y: np.ndarray, odds: float):
     seen = words[place] == rest if len(words) else np.zeros(len(rest), bool)
     a, b = np.where(seen, t[at[place]], 0) if len(words) else 0, np.where(seen, c[at[place]], 0) if len(words) else 0
     told = SEED_WEIGHT + np.log((a + 1) / (b * (ones + 1) / (zeros + 1) + 1))
-    every, w = np.concatenate([out[0][0], rest]), np.concatenate([out[0][1], np.maximum(told, 0)])
+    every, w = np.concatenate([out[0][0], rest]), np.concatenate([out[0][1], np.clip(told, 0, SEED_WEIGHT)])
     out[0] = every[np.argsort(every)], w[np.argsort(every)]
     return out
 
 
+def _within(v: np.ndarray) -> np.ndarray:
+    """Weights and bias moved to where the grammar allows them."""
+    bare, of, aimed, threat, bias = v
+    full, bias = np.log1p(SEED_WEIGHT), min(bias, -1.0)
+    bare = min(max(bare, 0.0), (-MARGIN - bias) / full)
+    of = max(of, bare)
+    least = (MARGIN - bias) / full
+    return np.array([bare, of, max(aimed, of, least), max(threat, least), bias])
+
+
 def train(texts: pa.Array, y: np.ndarray, prior: float) -> ToxicityModel:
-    """Learn insults and fit pattern weights around the grammar's own; prior is the labels' share of label 1."""
+    """Learn insults and fit the roles' weights around the grammar's own; prior is the labels' share of label 1.
+
+    The labels can't take a weight below zero or below that of a lesser role, nor an aimed clause
+    below one half, nor lift a single bare word to it.
+    """
     share = min(max(float(y.mean()) if len(y) else 0.5, 1e-3), 1 - 1e-3)
     prior = min(max(prior, 1e-3), 1 - 1e-3)
     odds = (1 - prior) / prior * share / (1 - share)
     insults = _learn_insults(texts, y, odds)
-    model = ToxicityModel(insults, PRIOR.copy(), -3.0)
+    theta = centre = _within(np.append(PRIOR, BIAS))
     if len(y):
-        x = model.features(texts)
+        x = np.column_stack([ToxicityModel(insults, PRIOR, BIAS).features(texts), np.ones(len(y))])
         weight = np.where(y == 1, 1.0, odds)
         weight = weight / weight.mean()
-        x1 = np.column_stack([x, np.ones(len(x))])
-        theta, centre = np.append(PRIOR, -3.0), np.append(PRIOR, -3.0)
-        pull = np.append(np.full(len(PRIOR), _PENALTY), 0.01)
 
         def loss(v):
-            z = x1 @ v
-            return float((weight * (np.logaddexp(0, z) - y * z)).sum() + 0.5 * (pull * (v - centre) ** 2).sum())
-
-        now = loss(theta)
-        for _ in range(60):  # damped Newton steps of a logistic with a Gaussian around the grammar's weights
-            p = 1 / (1 + np.exp(-np.clip(x1 @ theta, -30, 30)))
-            g = x1.T @ (weight * (p - y)) + pull * (theta - centre)
-            h = (x1 * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x1 + np.diag(pull)
-            step, size = np.linalg.solve(h, g), 1.0
-            while (then := loss(theta - size * step)) > now and size > 1e-6:
+            z = x @ v
+            return float((weight * (np.logaddexp(0, z) - y * z)).sum() + 0.5 * PULL * ((v - centre) ** 2).sum())
+
+        now, size = loss(theta), 1.0
+        for _ in range(500):  # gradient steps, scaled by the curvature, each moved back to what is allowed
+            p = 1 / (1 + np.exp(-np.clip(x @ theta, -30, 30)))
+            g = x.T @ (weight * (p - y)) + PULL * (theta - centre)
+            g /= (x * x).T @ (weight * np.maximum(p * (1 - p), 1e-3)) + PULL
+            while (then := loss(_within(theta - size * g))) > now and size > 1e-9:
                 size /= 2
-            if size <= 1e-6 or now - then < 1e-9 * max(1.0, now):
+            if size <= 1e-9 or now - then < 1e-10 * max(1.0, now):
                 break
-            theta, now = theta - size * step, then
-        w, b = theta[:-1], theta[-1]
-        model = ToxicityModel(insults, w, float(b))
-    return model
+            theta, now, size = _within(theta - size * g), then, min(1.0, size * 2)
+    return ToxicityModel(insults, theta[:-1], float(theta[-1]))
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> ToxicityModel:
