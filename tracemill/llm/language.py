@@ -12,9 +12,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from tracemill.llm.common import extended, held_out, per_text_sums, text_chunks
+from tracemill.llm.common import bounded_texts, extended, held_out, per_text_sums, text_chunks
 
 WINDOW = 128
 WIDTHS = (2, 3, 4)
@@ -23,6 +23,8 @@ DIM = 8
 #: Bound on the training sample: texts of each language, and windows of each language.
 TEXTS_PER_LANG = 400
 WINDOWS_PER_LANG = 2500
+#: Parts that a language's rows are dealt to before the sample is picked.
+SLOTS = 64
 EPOCHS = 6
 BATCH = 64
 RATE = 0.01
@@ -168,21 +170,19 @@ def train(texts: pa.Array, langs: np.ndarray, seed: int = 5) -> ByteCnn:
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> ByteCnn:
     """Train on a bounded number of texts of each language, outside the held-out fold (crc32 mod 3 = 1).
 
-    Which texts is settled by a hash of the id. Null languages and texts without letters take no
-    part. All languages that the table names are learned.
+    Which texts is settled by a hash of the id, for all languages in one pass; within FIT_BYTES every
+    language has its turn. Null languages and texts without letters take no part. All languages that the
+    table names are learned.
     """
-    rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id", 3, 1))
-    names = sorted(r[0] for r in rows.select(lang).distinct().collect())
-    picked = None
-    for name in names:
-        part = rows.where(F.col(lang) == name).select(F.col("doc_id").alias("_id"), F.col(lang).alias("_lang")).orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").limit(TEXTS_PER_LANG)
-        picked = part if picked is None else picked.unionByName(part)
-    if picked is None:
-        return train(pa.array([], pa.string()), np.array([], dtype=object))
-    # TEXTS_PER_LANG rows of each language at most: a proven bound for the broadcast
-    whole = rows.select("doc_id", F.col(text).alias("_text"), F.col(lang).alias("_is"))
-    got = whole.join(F.broadcast(picked.distinct()), (F.col("doc_id") == F.col("_id")) & (F.col("_is") == F.col("_lang"))).select("doc_id", "_text", "_lang").toArrow().sort_by("doc_id")
-    texts, langs = got.column("_text").combine_chunks(), got.column("_lang").combine_chunks().to_numpy(zero_copy_only=False)
+    known = docs.select(F.col("doc_id").alias("_id"), F.col(lang).cast("string").alias("_lang"), F.col(text).isNotNull().alias("_has"))
+    known = known.where(F.col("_lang").isNotNull() & F.col("_has") & F.col("_id").isNotNull() & ~held_out("_id", 3, 1)).withColumn("_hash", F.xxhash64("_id", F.lit(11)))
+    # first within SLOTS parts of a language, then among what these leave, which no table's size changes
+    number = lambda *by: F.row_number().over(Window.partitionBy("_lang", *by).orderBy("_hash", "_id"))
+    slots = known.withColumn("_slot", F.pmod("_hash", F.lit(SLOTS))).withColumn("_order", number("_slot")).where(F.col("_order") <= TEXTS_PER_LANG)
+    picked = slots.withColumn("_order", number()).where(F.col("_order") <= TEXTS_PER_LANG).groupBy("_id", "_lang").agg(F.min("_order").alias("_order"))
+    rows = docs.where(F.col(lang).isNotNull()).select("doc_id", F.col(text).alias("_t"), F.col(lang).cast("string").alias("_is"))
+    got = bounded_texts(rows, picked, ["_lang"], text="_t", also="_is")
+    texts, langs = got.column("text").combine_chunks(), np.array(got.column("_lang").to_pylist(), dtype=object)
     keep = has_letter(texts)
     return train(texts.filter(pa.array(keep)), langs[keep])
 
