@@ -1,8 +1,10 @@
 """Quality classifier: supervised subword embeddings, averaged per document, with a softmax.
 
-Features of a text are its words, its byte trigrams and 4-grams, and a mark for a word that
-repeats the one before it, all hashed into one table of learned vectors. A document is the mean
-of its features' vectors; a softmax over that mean gives the label. Training is plain numpy
+Features of a text are its words and each word's n-grams of three and four bytes (letters of most
+scripts are one to three bytes; white space at either end marks a word's border), hashed into a
+table of learned vectors. One further vector, which the method's plain form lacks, stands for a
+word that repeats the one before it. A document is the mean of its features' vectors; a softmax
+over that mean gives the label. Training is plain numpy
 stochastic gradient descent on a bounded sample of labelled rows. As the output is linear in the
 mean, each feature's vector is projected once after training, and scoring sums one number for
 each feature of the whole text.
@@ -32,27 +34,33 @@ _SLOTS = 3 * _SIZE + 1
 _K3, _K4 = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77)
 
 
-def _grams(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Slots of the trigram and 4-gram that begin at each byte (shorter at the end)."""
-    b = buf.astype(np.uint32)
+_WHITE = np.zeros(256, bool)
+_WHITE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+
+
+def _grams(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Slots of the trigram and 4-gram that begin at each byte, and whether each lies within a word and its borders."""
+    white = _WHITE[buf]
+    b = np.where(white, 32, buf).astype(np.uint32)
     with np.errstate(over="ignore"):
         tri = b[:-2] | (b[1:-1] << np.uint32(8)) | (b[2:] << np.uint32(16)) if len(b) > 2 else b[:0]
         quad = tri[:-1] | (b[3:] << np.uint32(24)) if len(b) > 3 else b[:0]
-        return (tri * _K3) >> np.uint32(32 - BITS), (quad * _K4) >> np.uint32(32 - BITS)
+        inner = ~white[1:-1]
+        return (tri * _K3) >> np.uint32(32 - BITS), (quad * _K4) >> np.uint32(32 - BITS), inner[: len(tri)], (inner[:-1] & inner[1:])[: len(quad)]
 
 
 def _features(texts: pa.Array):
     """For each run of texts: the slots of each kind and the ranges that belong to each text."""
     for lo, hi, buf, off in text_chunks(texts):
         h, at = word_hashes(buf, off)
-        tri, quad = _grams(buf)
+        tri, quad, in3, in4 = _grams(buf)
         same = np.zeros(len(h), bool)
         if len(h) > 1:
             same[1:] = h[1:] == h[:-1]
             inner = at[:-1][at[:-1] < len(h)]
             same[inner] = False
         ends = [np.maximum(off[:-1], off[1:] - k) for k in (2, 3)]
-        yield lo, hi, off, at, (h >> np.uint64(64 - BITS)).astype(np.int64), tri, quad, same, ends
+        yield lo, hi, off, at, (h >> np.uint64(64 - BITS)).astype(np.int64), (tri, in3), (quad, in4), same, ends
 
 
 @dataclass
@@ -69,12 +77,13 @@ class SubwordModel:
         for lo, hi, off, at, w, tri, quad, same, ends in _features(texts):
             total = per_text_sums(word[w], at) + twin * per_text_sums(same, at)
             n = np.diff(at) + per_text_sums(same, at)
-            for s, idx, end in ((tri_s, tri, ends[0]), (quad_s, quad, ends[1])):
-                run = np.zeros(len(idx) + 1)
-                np.cumsum(s[idx], out=run[1:])
+            for s, (idx, inside), end in ((tri_s, tri, ends[0]), (quad_s, quad, ends[1])):
+                run, count = np.zeros(len(idx) + 1), np.zeros(len(idx) + 1, np.int64)
+                np.cumsum(s[idx] * inside, out=run[1:])
+                np.cumsum(inside, out=count[1:])
                 a, b = np.minimum(off[:-1], len(idx)), np.minimum(end, len(idx))
                 total += run[b] - run[a]
-                n += b - a
+                n += count[b] - count[a]
             z = np.clip(self.bias + total / np.maximum(n, 1), -40, 40)
             out[lo:hi] = 1 / (1 + np.exp(-z))
         return out
@@ -86,7 +95,8 @@ def train(texts: pa.Array, y: np.ndarray, prior: float, seed: int = 3) -> Subwor
     bags = []
     for lo, hi, off, at, w, tri, quad, same, ends in _features(texts):
         for i in range(hi - lo):
-            f = np.concatenate([w[at[i] : at[i + 1]], tri[off[i] : ends[0][i]] + np.int64(_SIZE), quad[off[i] : ends[1][i]] + np.int64(2 * _SIZE), np.full(int(same[at[i] : at[i + 1]].sum()), _SLOTS - 1)])
+            grams = [idx[off[i] : end[i]][inside[off[i] : end[i]]] + np.int64(k * _SIZE) for k, (idx, inside), end in ((1, tri, ends[0]), (2, quad, ends[1]))]
+            f = np.concatenate([w[at[i] : at[i + 1]], *grams, np.full(int(same[at[i] : at[i + 1]].sum()), _SLOTS - 1)])
             u, n = np.unique(f, return_counts=True)
             bags.append((u, (n / max(1, n.sum())).astype(np.float32)))
     vectors = rng.uniform(-1 / DIM, 1 / DIM, (_SLOTS, DIM)).astype(np.float32)
