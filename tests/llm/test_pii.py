@@ -1,7 +1,10 @@
 import hashlib
+import itertools
 import random
 import re
 
+import numpy as np
+
 from tracemill.llm import pii
 
 PATTERNS = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
@@ -99,3 +102,41 @@ def test_long_runs_are_split_and_take_part():
     for odd in ("a" * 300_000 + "1", "1" * 300_000, "a1" * 150_000, "@" * 300_000, "a@" * 150_000, "1." * 150_000):
         pii.graph(odd)
     assert time.time() - start < 60
+
+
+def test_messages_are_exact_on_trees():
+    """Chains and ties without a loop: the marginals are those of enumerating all labellings."""
+    rng = np.random.default_rng(4)
+    for _ in range(12):
+        model = pii.SkipChainCrf(rng.normal(size=(pii.BUCKETS, pii.LABELS)), rng.normal(size=pii.LABELS), rng.normal(size=(pii.LABELS, pii.LABELS)), (1.7, 0.6))
+        feats = [[int(b) for b in rng.integers(0, pii.BUCKETS, 3)] for _ in range(4)]
+        # tokens 0-1 and 2-3 are neighbours, 1 and 2 are equal: a path
+        g = pii._Graph([(i, i + 1) for i in range(4)], feats, [(0, 1), (2, 3)], [(1, 4, 0), (2, 4, 0)], 1)
+        phi = [model.unary[f].sum(axis=0) + model.bias for f in feats]
+        want = np.zeros((4, pii.LABELS))
+        for y in itertools.product(range(pii.LABELS), repeat=5):
+            energy = sum(phi[i][y[i]] for i in range(4)) + model.transition[y[0], y[1]] + model.transition[y[2], y[3]]
+            energy += pii._half(1.7) * ((y[1] == y[4]) + (y[2] == y[4]))
+            for i in range(4):
+                want[i, y[i]] += np.exp(energy)
+        want /= want.sum(axis=1, keepdims=True)
+        assert np.allclose(model.marginals([g])[0], want, atol=5e-3)
+    # two ties in a row act as one potential between the tokens
+    h, e = pii._half(1.7), np.eye(pii.LABELS)
+    both = np.exp(h * e) @ np.exp(h * e)
+    assert np.isclose(np.log(both[0, 0] / both[0, 1]), 1.7)
+
+
+def test_learned_weights_follow_the_base_spans():
+    train = [f"mail bob{i}@mail{i % 7}.example.com and again bob{i}@mail{i % 7}.example.com at 10:{i % 60}" for i in range(200)] + [f"item {i} of {i + 3}" for i in range(200)]
+    model = pii.train(train)
+    assert all(pii.LOOSEST <= t <= pii.TIGHTEST for t in model.ties) and model.ties[0] >= pii.TIES[0]  # equal tokens agree throughout
+    base, full = model.spans(["write to bob9@mail3.example.com or item 5"])[0]
+    assert base == full and [k for k, _, _ in base] == [0]
+
+
+def test_columns_that_clash_pass_through(spark):
+    model = pii.train([SURE.format(m="a1@b.example.com")] * 50)
+    df = spark.createDataFrame([(1, "to a1@b.example.com", 7, "s", "old")], "doc_id long, text string, n_email int, spans string, _id string")
+    assert tuple(pii.redact(df, model).first()) == (1, "to [EMAIL]", 7, "s", "old")
+    assert pii.find(df, pii.fit(df)).first()["n_email"] == 1

@@ -4,7 +4,8 @@ Base spans are e-mail, ip, card and phone numbers by fixed patterns and checks.
 the tokens of a document that hold a digit, "@" or "+". Each has a potential from its shape and its
 neighbours' shapes; neighbours share a transition potential; tokens that are the same, or alike in
 all but their marks, are tied to one shared cluster variable however far apart, so that one
-occurrence that is sure lifts all others. Weights are learned from the base spans of a bounded sample of texts. Inference
+occurrence that is sure lifts all others. All weights, those of transitions and ties too, are learned together by the
+pseudo-likelihood of the field, from the base spans of a bounded sample of texts. Inference
 is loopy message passing on the graphs of many documents at once. Tokens that it labels with high
 probability become further spans; base spans always stay.
 """
@@ -21,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tracemill.llm.common import text_chunks
+from tracemill.llm.common import bounded_texts, text_chunks
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
@@ -44,8 +45,10 @@ _MARK[48:58] = _MARK[ord("@")] = _MARK[ord("+")] = True
 #: Bound on the training sample, texts.
 SAMPLE = 6000
 BUCKETS = 1 << 12
-#: Skip potentials of equal and of alike tokens, and the marginal that makes a span.
-EQUAL, ALIKE, SURE = 2.0, 1.0, 0.95
+#: Where the skip potentials of equal and of alike tokens start from, and the range that learning may move them in.
+TIES, LOOSEST, TIGHTEST = (2.0, 1.0), 0.25, 4.0
+#: The marginal that makes a span.
+SURE = 0.95
 #: Messages are passed until none of a text changes by more than SETTLED; loops that never settle stop at MOST_ROUNDS.
 SETTLED, MOST_ROUNDS = 1e-3, 1000
 LABELS = 1 + len(KINDS)
@@ -57,9 +60,6 @@ def _half(force: float) -> float:
     return float(np.log((1 + (LABELS - 1) * x) / (1 - x)))
 
 
-_TIE_EQUAL, _TIE_ALIKE = _half(EQUAL), _half(ALIKE)
-
-
 def _luhn(digits: str) -> bool:
     total = 0
     for i, c in enumerate(reversed(digits)):
@@ -122,13 +122,17 @@ def _bucket(*parts) -> int:
 
 @dataclass
 class _Graph:
-    """Tokens of one text: spans, hashed features, chain edges, and ties to cluster variables, numbered after the tokens."""
+    """Tokens of one text: spans, hashed features, chain edges, and ties to cluster variables, numbered after the tokens.
+
+    A tie is (node, cluster variable, 0 for equal or 1 for alike); groups are each token's groups of equal and of alike ones, or -1.
+    """
 
     spans: list[tuple[int, int]]
     features: list[list[int]]
     chain: list[tuple[int, int]]
-    skips: list[tuple[int, int, float]]
+    skips: list[tuple[int, int, int]]
     hubs: int = 0
+    groups: tuple[list[int], list[int]] = ((), ())
 
 
 def _tokens(text: str):
@@ -164,36 +168,42 @@ def graph(text: str) -> _Graph:
     equal: dict[str, list[int]] = {}
     for i, (a, b) in enumerate(spans):
         t = forms[i]
-        near = i > 0 and a - spans[i - 1][1] <= 3
+        beside = i > 0 and a - spans[i - 1][1] <= 3
         nxt = i + 1 < len(spans) and spans[i + 1][0] - b <= 3
         digits = [c for c in t if "0" <= c <= "9"]
         parts = t.split(".")
         octets = len(parts) == 4 and all(p.isascii() and p.isdigit() and len(p) <= 3 and int(p) < 256 for p in parts)
         before, after = _WORD_BEFORE.search(text[max(0, a - 16) : a]), _WORD_AFTER.match(text[b : b + 16])
         f = [_bucket("shape", shapes[i]), _bucket("n", len(digits)), _bucket("at", "@" in t, "." in t.partition("@")[2]), _bucket("plus", t.startswith("+"), len(digits) > 0)]
-        f += [_bucket("left", shapes[i - 1] if near else "-", shapes[i]), _bucket("right", shapes[i + 1] if nxt else "-", shapes[i])]
+        f += [_bucket("left", shapes[i - 1] if beside else "-", shapes[i]), _bucket("right", shapes[i + 1] if nxt else "-", shapes[i])]
         f += [_bucket("octets", octets), _bucket("luhn", 16 <= len(digits) <= 19 and _luhn("".join(digits)), len(digits)), _bucket("letters", any(c.isalpha() for c in t), "@" in t)]
-        f += [_bucket("before", before[1].lower() if before and not near else "-"), _bucket("after", after[1].lower() if after and not nxt else "-")]
+        f += [_bucket("before", before[1].lower() if before and not beside else "-"), _bucket("after", after[1].lower() if after and not nxt else "-")]
         feats.append(f)
-        if near:
+        if beside:
             chain.append((i - 1, i))
         if len(t) >= 6:
             equal.setdefault(t.lower(), []).append(i)
     hubs, alike = 0, {}
-    for form, members in equal.items():
+    same, near = [-1] * len(spans), [-1] * len(spans)
+    for g, (form, members) in enumerate(equal.items()):
         node = members[0]
         if len(members) > 1:
             node = len(spans) + hubs
             hubs += 1
-            skips.extend((i, node, _TIE_EQUAL) for i in members)
+            skips.extend((i, node, 0) for i in members)
+            for i in members:
+                same[i] = g
         key = re.sub(r"[^0-9a-z]", "", form)
         if len(key) >= 6:
-            alike.setdefault(key, []).append(node)
-    for members in alike.values():
+            alike.setdefault(key, []).append((node, members))
+    for g, members in enumerate(alike.values()):
         if len(members) > 1:
-            skips.extend((i, len(spans) + hubs, _TIE_ALIKE) for i in members)
+            skips.extend((node, len(spans) + hubs, 1) for node, _ in members)
             hubs += 1
-    return _Graph(spans, feats, chain, skips, hubs)
+            for _, tokens in members:
+                for i in tokens:
+                    near[i] = g
+    return _Graph(spans, feats, chain, skips, hubs, (same, near))
 
 
 def _labels(g: _Graph, base: list[tuple[int, int, int]]) -> np.ndarray:
@@ -222,6 +232,7 @@ class SkipChainCrf:
     unary: np.ndarray  # BUCKETS x LABELS
     bias: np.ndarray
     transition: np.ndarray  # LABELS x LABELS
+    ties: tuple[float, float] = TIES  # of equal and of alike tokens
 
     def marginals(self, graphs: list[_Graph]) -> list[np.ndarray]:
         """Loopy sum-product over all graphs at once; an isolated token keeps its own potential."""
@@ -234,13 +245,14 @@ class SkipChainCrf:
         token = np.concatenate([np.arange(b, b + len(g.spans)) for b, g in zip(base, graphs)]).astype(np.int64)
         phi[token] = np.array([self.unary[f].sum(axis=0) for g in graphs for f in g.features]) + self.bias
         src, dst, psi, owner = [], [], [], []
+        tied = [_half(force) * np.eye(LABELS) for force in self.ties]
         for k, (b, g) in enumerate(zip(base, graphs)):
             for i, j in g.chain:
                 src += [b + i, b + j]
                 dst += [b + j, b + i]
                 psi += [self.transition, self.transition.T]
-            for i, j, force in g.skips:
-                same = force * np.eye(LABELS)
+            for i, j, kind in g.skips:
+                same = tied[kind]
                 src += [b + i, b + j]
                 dst += [b + j, b + i]
                 psi += [same, same]
@@ -288,42 +300,70 @@ class SkipChainCrf:
         return out
 
 
+def _others(group: np.ndarray, y: np.ndarray, within: np.ndarray | None = None) -> np.ndarray:
+    """For each token, the labels' shares among the other tokens of its group (and not of its group in within)."""
+    out = np.zeros((len(y), LABELS))
+    on = np.flatnonzero(group >= 0)
+    if len(on):
+        counts = np.zeros((group.max() + 1, LABELS))
+        np.add.at(counts, (group[on], y[on]), 1)
+        out[on] = counts[group[on]]
+        if within is None:
+            out[on, y[on]] -= 1
+        else:
+            own = np.zeros((within.max() + 2, LABELS))
+            np.add.at(own, (within[on], y[on]), 1)  # -1 is the last row: tokens that are alone in their form
+            alone = on[within[on] < 0]
+            out[on] -= np.where(within[on, None] >= 0, own[within[on]], 0)
+            out[alone, y[alone]] -= 1
+        out[on] /= np.maximum(out[on].sum(axis=1, keepdims=True), 1)
+    return out
+
+
 def train(texts: list[str]) -> SkipChainCrf:
-    """Unary weights by multinomial logistic steps, transitions by counts, from base spans alone."""
-    rows, ys = [], []
-    pairs = np.ones((LABELS, LABELS))
+    """Fit unary, transition and tie weights to base spans by pseudo-likelihood: each label given all others."""
+    graphs, ys = [], []
     for t in texts:
-        if not t:
-            continue
-        g = graph(t)
-        y = _labels(g, base_spans(t))
-        rows.extend(g.features)
-        ys.append(y)
-        for i, j in g.chain:
-            pairs[y[i], y[j]] += 1
-    unary, bias = np.zeros((BUCKETS, LABELS)), np.zeros(LABELS)
+        if t and (g := graph(t)).spans:
+            graphs.append(g)
+            ys.append(_labels(g, base_spans(t)))
+    unary, bias, transition, ties = np.zeros((BUCKETS, LABELS)), np.zeros(LABELS), np.zeros((LABELS, LABELS)), np.array(TIES)
     bias[0] = 2.0
-    if rows:
-        f, y = np.array(rows), np.concatenate(ys)
-        seen = np.full(unary.shape, 1e-8)
-        for _ in range(80):
-            z = unary[f].sum(axis=1) + bias
-            p = np.exp(z - z.max(axis=1, keepdims=True))
-            p /= p.sum(axis=1, keepdims=True)
-            p[np.arange(len(y)), y] -= 1
-            g = np.stack([np.bincount(f.ravel(), np.repeat(p[:, k], f.shape[1]), BUCKETS) for k in range(LABELS)], axis=1) + 0.02 * unary
-            seen += g * g
-            unary -= 0.5 * g / np.sqrt(seen)
-    joint = pairs / pairs.sum()
-    transition = np.log(joint / (joint.sum(1, keepdims=True) * joint.sum(0, keepdims=True)))
-    return SkipChainCrf(unary, bias, np.clip(transition, -2, 2))
+    if not graphs:
+        return SkipChainCrf(unary, bias, transition)
+    f, y = np.array([r for g in graphs for r in g.features]), np.concatenate(ys)
+    base = np.concatenate([[0], np.cumsum([len(g.spans) for g in graphs])])
+    chain = np.array([(b + i, b + j) for b, g in zip(base, graphs) for i, j in g.chain], np.int64).reshape(-1, 2)
+    # a group's number is made its own across texts by that of its text's first token
+    whole = [np.concatenate([np.where(np.array(g.groups[k]) >= 0, np.array(g.groups[k]) + b, -1) for b, g in zip(base, graphs)]) for k in (0, 1)]
+    share = [_others(whole[0], y), _others(whole[1], y, whole[0])]
+    onehot = np.eye(LABELS)
+    left, right = np.zeros((len(y), LABELS)), np.zeros((len(y), LABELS))  # the neighbours' labels
+    left[chain[:, 1]], right[chain[:, 0]] = onehot[y[chain[:, 0]]], onehot[y[chain[:, 1]]]
+    seen, seen_t, seen_s = np.full(unary.shape, 1e-8), np.full(transition.shape, 1e-8), np.full(2, 1e-8)
+    for _ in range(80):
+        z = unary[f].sum(axis=1) + bias + left @ transition + right @ transition.T + ties[0] * share[0] + ties[1] * share[1]
+        p = np.exp(z - z.max(axis=1, keepdims=True))
+        p /= p.sum(axis=1, keepdims=True)
+        p[np.arange(len(y)), y] -= 1
+        g = np.stack([np.bincount(f.ravel(), np.repeat(p[:, k], f.shape[1]), BUCKETS) for k in range(LABELS)], axis=1) + 0.02 * unary
+        seen += g * g
+        unary -= 0.5 * g / np.sqrt(seen)
+        g = left.T @ p + (right.T @ p).T + 0.5 * transition
+        seen_t += g * g
+        transition -= 0.2 * g / np.sqrt(seen_t)
+        g = np.array([(p * s).sum() for s in share]) + 2.0 * (ties - np.array(TIES))
+        seen_s += g * g
+        ties = np.clip(ties - 0.2 * g / np.sqrt(seen_s), LOOSEST, TIGHTEST)
+    return SkipChainCrf(unary, bias, np.clip(transition, -2, 2), tuple(float(t) for t in ties))
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> SkipChainCrf:
-    """Train on at most sample texts, which a hash of the id picks; the bound holds for fitting alone."""
-    ids = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").alias("_id")).orderBy(F.xxhash64("doc_id", F.lit(13)), "doc_id").limit(sample)
-    got = docs.select("doc_id", "text").join(F.broadcast(ids.distinct()), F.col("doc_id") == F.col("_id")).where("text is not null and (contains(text, '@') or text rlike '[0-9]')").select("doc_id", "text").toArrow().sort_by("doc_id")
-    return train(got.column("text").to_pylist())
+    """Train on at most sample texts, within FIT_BYTES, which a hash of the id picks; the bounds hold for fitting alone."""
+    some = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
+    ids = some.select(F.col("doc_id").alias("_id"), F.xxhash64("doc_id", F.lit(13)).alias("_order")).orderBy("_order", "_id").limit(sample).distinct()
+    marked = some.where("contains(text, '@') or text rlike '[0-9]'")
+    return train(bounded_texts(marked, ids, []).column("text").to_pylist())
 
 
 def _joined(spans) -> str:
