@@ -12,13 +12,15 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tracemill.llm.common import materialise
+from tracemill.llm.common import discard, materialise
 
 #: Bytes of a leaf's offset range, children of a node.
 RANGE_BYTES = 65_536
 FANOUT = 16
-#: Pages whose records one WARC file holds.
-FILE_PAGES = 512
+#: Page ids whose records one WARC file holds, and records after which a file is cut.
+FILE_PAGES, FILE_RECORDS = 512, 4096
+#: Equal records that lie in a row.
+RUN = 256
 
 
 def record_bytes(url: Column, body: Column) -> Column:
@@ -33,8 +35,11 @@ def records(pages: DataFrame, body: Column | None = None, stored: Column | None
 
     body is what the replica has on disk where that isn't html; offsets follow the archived length
     (of html), as damage in place moves nothing. stored tells whether the replica has the record.
-    Within a file records are in the order of page_id, url and digest. A null page_id goes to a file
-    of its own, null url and html are empty. Only digests and lengths are shuffled.
+    Within a file records are in the order of page_id, url and digests. A null page_id goes to a file
+    of its own, null url and html are empty. Only digests and lengths are shuffled. Ids that repeat
+    make a file longer: one of more than FILE_RECORDS records is cut into several by a hash of the
+    record, and equal records, which are counted before they shuffle, are dealt to them in runs, so
+    no id and no group of copies is one task's.
     """
     whole = pages.select(
         F.col("page_id").cast("long").alias("page_id"),
@@ -44,19 +49,31 @@ def records(pages: DataFrame, body: Column | None = None, stored: Column | None
         F.unhex(F.sha2(record_bytes(F.col("url"), F.col("html") if body is None else body), 256)).alias("digest"),
         (F.lit(True) if stored is None else stored).alias("stored"),
     ).withColumn("file", F.concat(F.lit("part-"), F.coalesce(F.floor(F.col("page_id") / FILE_PAGES).cast("string"), F.lit("null"))))
-    order = Window.partitionBy("file").orderBy("page_id", "url", "archived").rowsBetween(Window.unboundedPreceding, -1)
-    laid = whole.withColumn("offset", F.coalesce(F.sum("length").over(order), F.lit(0)))
-    return laid.where("stored").select("file", "offset", "length", "digest", "page_id")
+    same = ["file", "page_id", "url", "length", "archived", "digest", "stored"]
+    counted = whole.groupBy(*same).agg(F.count("*").alias("n"))
+    full = counted.groupBy("file").agg(F.sum("n").alias("m")).where(F.col("m") > FILE_RECORDS).select("file", F.ceil(F.col("m") / FILE_RECORDS).cast("int").alias("cuts"))
+    runs = counted.join(full, "file", "left").withColumn("run", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / RUN).cast("int") - 1)))
+    runs = runs.withColumn("n", F.least(F.lit(RUN), F.col("n") - F.col("run") * RUN))
+    # the replicas' files must agree, so the cut follows what was archived
+    cut = F.pmod(F.xxhash64("page_id", "url", "archived", "run"), F.col("cuts"))
+    runs = runs.withColumn("file", F.when(F.col("cuts").isNotNull(), F.concat_ws("-", "file", cut.cast("string"))).otherwise(F.col("file")))
+    order = Window.partitionBy("file").orderBy("page_id", "url", "archived", "run", "digest", "stored").rowsBetween(Window.unboundedPreceding, -1)
+    laid = runs.withColumn("first", F.coalesce(F.sum(F.col("length") * F.col("n")).over(order), F.lit(0)))
+    each = laid.where("stored").withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)))
+    return each.select("file", (F.col("first") + F.col("k") * F.col("length")).alias("offset"), "length", "digest", "page_id")
 
 
 def leaves(recs: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """(file, node, hash, records): one row for each offset range that has a record.
 
-    A range holds as many records as fit in its bytes, so the lists are bounded by the format.
+    A range holds as many records as fit in its bytes, so the lists are bounded by the format; equal
+    records at one place are counted first. A null digest is damage like any other and is hashed
+    as "-".
     """
-    pair = F.struct("offset", "digest")
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(pair)), lambda p: F.concat(p["offset"].cast("string"), F.lit(":"), F.hex(p["digest"]))), ",")
-    return recs.groupBy("file", F.floor(F.col("offset") / range_bytes).cast("long").alias("node")).agg(F.sha2(text, 256).alias("hash"), F.count("*").alias("records"))
+    counted = recs.groupBy("file", "offset", "digest").agg(F.count("*").alias("n"))
+    entry = F.struct("offset", F.coalesce(F.hex("digest"), F.lit("-")).alias("digest"), "n")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(entry)), lambda p: F.concat_ws(":", p["offset"].cast("string"), p["digest"], p["n"].cast("string"))), ",")
+    return counted.groupBy("file", F.floor(F.col("offset") / range_bytes).cast("long").alias("node")).agg(F.sha2(text, 256).alias("hash"), F.sum("n").alias("records"))
 
 
 def parents(nodes: DataFrame, fanout: int = FANOUT) -> DataFrame:
@@ -85,8 +102,8 @@ def audit(one: DataFrame, two: DataFrame, range_bytes: int = RANGE_BYTES, fanout
 
     one and two have (file, offset, digest binary); finding is changed, or missing from the replica
     that lacks it: missing_in_one, missing_in_two. Two records at the same place of one replica are
-    compared as a list, in order of digest. Rows with a null file or offset lie nowhere and are left
-    out. Equal replicas, and two empty ones, give an empty result.
+    compared as a list, in order of digest; a null digest reads "-". Rows with a null file or offset
+    lie nowhere and are left out. Equal replicas, and two empty ones, give an empty result.
     """
     sides = [materialise(r.where("file is not null and offset is not null").select("file", F.col("offset").cast("long").alias("offset"), "digest"), "records") for r in (one, two)]
     far = max((s.agg(F.max("offset")).first()[0] or 0) for s in sides)
@@ -98,11 +115,13 @@ def audit(one: DataFrame, two: DataFrame, range_bytes: int = RANGE_BYTES, fanout
         for t in trees:
             child = t[level].withColumn("up", F.floor(F.col("node") / fanout).cast("long"))
             below.append(child.join(bad.select("file", F.col("node").alias("up")), ["file", "up"], "left_semi"))
-        bad = materialise(_unlike(*below), "unlike")
+        last, bad = bad, materialise(_unlike(*below), "unlike")
+        discard(last)
+    discard(*trees[0], *trees[1])
     found = []
     for s, name in zip(sides, ("digest_one", "digest_two")):
         near = s.withColumn("range", F.floor(F.col("offset") / range_bytes).cast("long")).join(bad.select("file", F.col("node").alias("range")), ["file", "range"], "left_semi")
-        found.append(near.groupBy("file", "range", "offset").agg(F.array_join(F.array_sort(F.collect_list(F.lower(F.hex("digest")))), "+").alias(name)))
+        found.append(near.groupBy("file", "range", "offset").agg(F.array_join(F.array_sort(F.collect_list(F.coalesce(F.lower(F.hex("digest")), F.lit("-")))), "+").alias(name)))
     both = found[0].join(found[1], ["file", "range", "offset"], "full").where("not (digest_one <=> digest_two)")
     finding = F.when(F.col("digest_one").isNull(), "missing_in_one").when(F.col("digest_two").isNull(), "missing_in_two").otherwise("changed")
     return both.select("file", "range", "offset", finding.alias("finding"), "digest_one", "digest_two")

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tracemill.llm.common import materialise, text_chunks
+from tracemill.llm.common import materialise, own_name, text_chunks
 from tracemill.llm.shingles import word_spans
 
 #: Longest piece, tokens; a longer document is cut into pieces, of which none is dropped.
@@ -23,6 +23,8 @@ BUCKETS = 16
 #: Tokens of a batch, padding included.
 BUDGET = 65_536
 PART_ROWS = 20_000
+#: Equal rows that one run holds.
+RUN = 1000
 
 
 def count_words(texts: pa.Array) -> np.ndarray:
@@ -67,17 +69,22 @@ def optimal_buckets(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> li
     return out[::-1]
 
 
-def pieces(docs: DataFrame, max_tokens: int = MAX_TOKENS, text: str = "text") -> DataFrame:
-    """(doc_id, piece, first_token, length): each document as pieces of at most max_tokens words.
+def pieces(docs: DataFrame, max_tokens: int = MAX_TOKENS, text: str = "text", tokens: str | None = None) -> DataFrame:
+    """(doc_id, piece, first_token, length): each document as pieces of at most max_tokens tokens.
 
-    A null or empty text is one piece of length 0. Repeated rows each have their pieces.
+    Tokens are the text's words, or where tokens names a column (a tokenizer's counts, say), what
+    that column says. A null or empty text, or a null count, is one piece of length 0. Repeated rows
+    each have their pieces; an empty table gives none.
     """
 
     def run(batches):
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(count_words(b.column("text")))], names=["doc_id", "n"])
 
-    sized = docs.select("doc_id", F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, n long")
+    if tokens is None:
+        sized = docs.select("doc_id", F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, n long")
+    else:
+        sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.greatest(F.lit(0), F.coalesce(F.col(tokens).cast("long"), F.lit(0))).alias("n"))
     cut = sized.withColumn("piece", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.col("n") - 1) / max_tokens)).cast("int"))))
     first = F.col("piece").cast("long") * max_tokens
     return cut.select("doc_id", "piece", first.alias("first_token"), F.least(F.lit(max_tokens), F.col("n") - first).cast("long").alias("length"))
@@ -90,30 +97,36 @@ def pack(items: DataFrame, max_tokens: int = MAX_TOKENS, buckets: int = BUCKETS,
     batch but a bucket's last is full: as many rows as the budget has room for at the bucket's
     padded length, one at least. Rows of length 0 or null need no batch: bucket -1, padded length 0,
     batch and slot null. Lengths above max_tokens raise an error, as they would be cut.
-    The histogram has at most max_tokens rows, whatever the input.
+    The histogram has at most max_tokens rows, whatever the input. Batches depend on the rows alone,
+    not on how they are partitioned: a hash of the whole row deals rows to parts. Equal rows, which
+    nothing tells apart, are counted before they shuffle and dealt in runs, so no id is one task's.
     """
-    # the part that numbers a row must not change when a task runs again, so it is written down; the
-    # partition's number in it spreads rows that repeat one id
-    total = items.count()
-    parts = max(1, math.ceil(total / PART_ROWS))
-    kept = [c for c in items.columns if c not in ("bucket", "padded_length", "batch", "slot")]
-    marked = materialise(items.select(*kept).withColumn("_part", F.pmod(F.xxhash64("doc_id", "piece", F.spark_partition_id()), F.lit(parts)).cast("int")), "pieces")
-    hist = marked.where("length > 0").groupBy("length").agg(F.count("*").alias("n")).limit(max_tokens + 1).toPandas()
+    out = ("bucket", "padded_length", "batch", "slot")
+    kept = [c for c in items.columns if c not in out]
+    named = [F.col(f"`{c}`") for c in kept]
+    n, run, key, part, at, b, p, first = (own_name(items, c) for c in ("_n", "_run", "_key", "_part", "_at", "_b", "_p", "_first"))
+    same = items.groupBy(*named).agg(F.count("*").alias(n))
+    runs = same.withColumn(run, F.explode(F.sequence(F.lit(0), F.ceil(F.col(n) / RUN).cast("int") - 1))).withColumn(n, F.least(F.lit(RUN), F.col(n) - F.col(run) * RUN))
+    marked = materialise(runs.withColumn(key, F.to_json(F.struct(*named))), "pieces")
+    parts = max(1, math.ceil((marked.agg(F.sum(n)).first()[0] or 0) / PART_ROWS))
+    marked = marked.withColumn(part, F.pmod(F.xxhash64(key, run), F.lit(parts)).cast("int"))
+    hist = marked.where("length > 0").groupBy("length").agg(F.sum(n).alias("n")).limit(max_tokens + 1).toPandas()
     if len(hist) and hist["length"].max() > max_tokens:
         raise ValueError("a piece is longer than max_tokens")
     bounds = optimal_buckets(hist["length"].to_numpy(), hist["n"].to_numpy(), buckets)
     bucket, padded = F.lit(-1), F.lit(0).cast("long")
-    for i, b in reversed(list(enumerate(bounds))):
-        bucket = F.when(F.col("length") <= b, F.lit(i)).otherwise(bucket)
-        padded = F.when(F.col("length") <= b, F.lit(b).cast("long")).otherwise(padded)
+    for i, top in reversed(list(enumerate(bounds))):
+        bucket = F.when(F.col("length") <= top, F.lit(i)).otherwise(bucket)
+        padded = F.when(F.col("length") <= top, F.lit(top).cast("long")).otherwise(padded)
     some = F.col("length") > 0
     sorted_in = marked.withColumn("bucket", F.when(some, bucket).otherwise(F.lit(-1))).withColumn("padded_length", F.when(some, padded).otherwise(F.lit(0).cast("long")))
-    counts = sorted_in.groupBy("bucket", "_part").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("bucket").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("bucket", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    within = Window.partitionBy("bucket", "_part").orderBy("doc_id", "piece")
-    placed = sorted_in.withColumn("_at", F.row_number().over(within)).join(offsets, ["bucket", "_part"])
-    at = F.col("_before") + F.col("_at") - 1
+    counts = sorted_in.groupBy("bucket", part).agg(F.sum(n).alias(n))
+    before = Window.partitionBy("bucket").orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(F.col("bucket").alias(b), F.col(part).alias(p), F.coalesce(F.sum(n).over(before), F.lit(0)).alias(first))
+    within = Window.partitionBy("bucket", part).orderBy("doc_id", "piece", key, run).rowsBetween(Window.unboundedPreceding, -1)
+    placed = sorted_in.withColumn(at, F.coalesce(F.sum(n).over(within), F.lit(0))).join(offsets, (F.col("bucket") == F.col(b)) & (F.col(part) == F.col(p)))
+    start = F.col(first) + F.col(at)
+    placed = placed.withColumn(at, F.explode(F.sequence(start, start + F.col(n) - 1)))
     room = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.greatest(F.lit(1), F.col("padded_length")))).cast("long")
     used = F.col("bucket") >= 0
-    return placed.select(*kept, "bucket", "padded_length", F.when(used, F.floor(at / room).cast("long")).alias("batch"), F.when(used, (at % room).cast("long")).alias("slot"))
+    return placed.select(*named, "bucket", "padded_length", F.when(used, F.floor(F.col(at) / room).cast("long")).alias("batch"), F.when(used, (F.col(at) % room).cast("long")).alias("slot"))

@@ -28,16 +28,16 @@ def op2_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tracemill.llm import fixity
 
     pages = _table(spark, sf_dir, "pages")
-    dice = F.conv(F.substring(F.md5(F.col("page_id").cast("string")), 1, 6), 16, 10).cast("long")
+    dice = F.coalesce(F.conv(F.substring(F.md5(F.col("page_id").cast("string")), 1, 6), 16, 10).cast("long"), F.lit(1))
     body = F.when(dice % 89 == 0, F.concat(F.coalesce("html", F.lit("")), F.lit("#"))).otherwise(F.col("html"))
-    return fixity.audit(fixity.records(pages), fixity.records(pages, body, F.coalesce(dice % 97 != 0, F.lit(True))))
+    return fixity.audit(fixity.records(pages), fixity.records(pages, body, dice % 97 != 0))
 
 
 OP2_SQL = r"""
 with page as (
   select page_id, coalesce(url, '') as url, coalesce(html, '') as html,
-         cast(floor(page_id / 512.0) as bigint) as f,
-         cast('0x' || substr(md5(cast(page_id as varchar)), 1, 6) as bigint) as dice,
+         coalesce(cast(cast(floor(page_id / 512.0) as bigint) as varchar), 'null') as f,
+         coalesce(cast('0x' || substr(md5(cast(page_id as varchar)), 1, 6) as bigint), 1) as dice,
          chr(13) || chr(10) as eol
   from pages
 ),
@@ -54,10 +54,10 @@ digested as (
   from rec
 ),
 laid as (
-  select *, cast(coalesce(sum(length) over (partition by f order by page_id, url, one rows between unbounded preceding and 1 preceding), 0) as bigint) as "offset"
+  select *, cast(coalesce(sum(length) over (partition by f order by page_id nulls first, url, one, two rows between unbounded preceding and 1 preceding), 0) as bigint) as "offset"
   from digested
 )
-select 'part-' || cast(f as varchar) as file, cast(floor("offset" / 65536.0) as bigint) as "range", "offset",
+select 'part-' || f as file, cast(floor("offset" / 65536.0) as bigint) as "range", "offset",
        case when dice % 97 = 0 then 'missing_in_two' else 'changed' end as finding,
        one as digest_one, case when dice % 97 = 0 then null else two end as digest_two
 from laid
@@ -91,14 +91,10 @@ def op6_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(docs, model, 0.3).select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", "predicted")
 
 
-#: The model file that op7 codes with; another path may be set in the environment.
-SP_MODEL = os.environ.get("TRACEMILL_SP_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
-
-
-def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+def op7_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str = os.environ.get("TRACEMILL_SP_MODEL", "/opt/tokenizers/piece_bpe_32k.model")) -> DataFrame:
     from tracemill.llm import sentencepiece_codec
 
-    raw = sentencepiece_codec.read_model(spark, SP_MODEL)
+    raw = sentencepiece_codec.read_model(spark, model_path)
     return sentencepiece_codec.digests(_table(spark, sf_dir, "documents"), raw)
 
 
@@ -125,17 +121,17 @@ def op10_byte_cnn_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP9_SQL = """
 with q as (
-  select vec_id, list_transform(embedding, lambda x: cast(floor(64 * cast(x as double)) as bigint)) as v
+  select vec_id, row_number() over () as rid, list_transform(embedding, lambda x: cast(floor(64 * cast(x as double)) as bigint)) as v
   from embeddings
-  where embedding is not null and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0
+  where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0
 ),
 pairs as (
-  select a.vec_id as query_id, b.vec_id, cast(list_sum(list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * b.v[i])) as bigint) as score
-  from q a join q b on a.vec_id <> b.vec_id
+  select a.rid, a.vec_id as query_id, b.vec_id, cast(coalesce(list_sum(list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * b.v[i])), 0) as bigint) as score
+  from q a join q b on a.rid <> b.rid
   where a.vec_id % 20 = 0
 )
 select query_id, cast(rank as integer) as rank, vec_id, score
-from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from pairs)
+from (select *, row_number() over (partition by rid order by score desc, vec_id) as rank from pairs)
 where rank <= 20
 """
 
