@@ -185,3 +185,94 @@ def test_connections_answers_in_the_shape_of_the_replies(spark):
     df = spark.createDataFrame([r[:2] for r in rows], "id int, output string")
     got = {r["id"]: r["a"] for r in df.select("id", text.connections_answer("output").alias("a")).collect()}
     assert got == {i: w for i, _, w in rows}
+
+
+def test_normal_forms_of_answers(spark):
+    want = {
+        "1/2": "\\frac{1}{2}", "-3/4": "\\frac{-3}{4}", "\\sqrt12": "\\sqrt{12}", "\\frac1b": "\\frac{1}{b}", "\\dfrac{1}{2}": "\\frac{1}{2}", "\\frac3{4}": "\\frac{3}{4}", "\\frac": "\\frac", "a\\frac1": "a\\frac1",
+        "\\begin{bmatrix}1\\end{bmatrix}": "\\begin{pmatrix}1\\end{pmatrix}", "\\begin{array}{cc}1\\end{array}": "\\begin{pmatrix}1\\end{pmatrix}", "x\\leq 3": "x\\le3", "inf": "\\infty", "-infinity": "-\\infty", "2j": "2i", "2ji": "2ji",
+        "3,1,2": "1,2,3", "10, 9": "9,10", "007": "7", "1,234,567": "1234567", "1,234": "1234", "five": "5", "\\text{seven}": "7", "\\text{no}": "no", "12\\text{ cm}": "12", "(-\\infty,\\infty)": "\\mathbb{R}", "\\emptyset": "{}", ".5": "0.5", "3.": "3", "2.0x": "2x",
+        "k=7": "7", "long=7": "long=7", "4 and 5": "45", "5\\mbox{ m}": "5", "\\mathbf{v}": "{v}", "90^{\\circ}": "90", "\\sqrt2/3": "\\frac{\\sqrt{2}}{3}", "5thgrade": "5", "": "", " ": "", "a/b": "a/b", "1/2/3": "1/2/3",
+    }
+    df = spark.createDataFrame([(k,) for k in [*want, None]], "a string")
+    got = {r["a"]: r["n"] for r in df.select("a", text.normalise_answer("a").alias("n")).collect()}
+    assert got == want | {None: None}
+
+
+def test_grades_of_answers(spark):
+    from tracemill.functions import grading
+
+    m = lambda *rows: "\\begin{pmatrix}" + "\\\\".join(rows) + "\\end{pmatrix}"
+    cases = [
+        ("x=5", "5", 1), ("5", "y = 5", 1), ("xyz=5", "5", 0), ("x=5", "y=5", 0), (m("1 & 2", "3 & 4"), m("1&2.00", " 3& 4"), 1), (m("1 & 2"), m("1 & 3"), 0), (m("1", "2"), m("1 & 2"), 0), (m("1&2") + "x", m("1&2"), 0),
+        ("(1,50%)", "(1, 0.5)", 1), ("(A,2)", "(a,2)", 1), ("[1,2]", "(1,2)", 1), ("(1,2)", "(2,1)", 0), ("[3]", "3", 1), ("{3}a", "3a", 1), ("50%", "0.5", 1), ("0.5", "50", 1), ("7", "8", 0), ("", "", 1), ("", "1", 0), (None, "1", 0), ("1", None, 0),
+        (m("1\\2"), "{1,2}", 1), ("The choice is C.", "C", 1),
+    ]
+    df = spark.createDataFrame([(i, p, t) for i, (p, t, _) in enumerate(cases)], "i int, p string, t string")
+    got = {r["i"]: r["g"] for r in df.select("i", grading.grade_math("p", "t").cast("int").alias("g")).collect()}
+    assert [(cases[i], got[i]) for i in got if got[i] != cases[i][2]] == []
+
+
+def test_artifact_files_become_rows(spark, tmp_path):
+    import json
+
+    from tracemill.sources import artifacts
+
+    for k in (1, 2):
+        points = [{"index": i, "num_steps": 3 * i, "score": 1.0, "extracted_answer": "a"} for i in range(k)]
+        (tmp_path / f"pu_{k}.json").write_text(json.dumps({"metadata": {"student_model": "s", "teacher_model": f"t{k}", "dataset_name": "math"}, "data": points}))
+    got = sorted(tuple(r) for r in artifacts.read_utility_files(spark, str(tmp_path / "pu_*.json")).select("file", "teacher_model", "index", "ran_second_pass").collect())
+    assert got == [("pu_1.json", "t1", 0, False), ("pu_2.json", "t2", 0, False), ("pu_2.json", "t2", 1, False)]
+    place = tmp_path / "rm" / "MATH" / "org_DeepSeek-R1-0528"
+    place.mkdir(parents=True)
+    rows = [{"index": 1, "reward": 2.0}, {"index": "1", "rm_reward": 4.0}, {"index": 2, "rewards_by_model": {"a": None, "b": 7.0}}, {"index": None, "reward": 1.0}, {"index": 3}]
+    (place / "reward_model_x.json").write_text(json.dumps({"data": rows}))
+    got = sorted(tuple(r) for r in artifacts.read_reward_files(spark, str(tmp_path / "rm")).collect())
+    key = ("math", "deepseek-ai_DeepSeek-R1-0528")
+    assert got == [(*key, 1, "rm::x", 3.0), (*key, 2, "rm::x", 7.0), (*key, 3, "rm::x", None)]
+    for name, body in (("list", [{"index": 4, "confidence": 2}, "junk"]), ("dict", {"results": [{"final_answer": "q", "total_tokens": 9}]}), ("odd", {"other": 1}), ("bad", None)):
+        (tmp_path / f"{name}.json").write_text(json.dumps(body) if name != "bad" else "{not json")
+    read = lambda n: [(r["index"], r["final_answer"], r["confidence"], r["total_tokens"]) for r in artifacts.read_results(spark, str(tmp_path / f"{n}.json")).collect()]
+    assert read("list") == [(4, "", 1.0, None)] and read("dict") == [(-1, "q", 0.0, 9)] and read("odd") == read("bad") == []
+    sidecar = tmp_path / "pool.json"
+    sidecar.write_text('{"index": 3, "error": "e"}\n{"index": 4}\n')
+    assert [tuple(r) for r in src.read_json_results(spark, str(sidecar), "index long, error string").orderBy("index").collect()] == [(3, "e"), (4, None)]
+
+
+def test_exports_versions_and_chunks(spark, tmp_path):
+    df = spark.createDataFrame([(i, f"t {i}", [0.1] * i if i else None) for i in range(15)], "i long, t string, steps array<double>")
+    store.export(df.select("i", "t"), str(tmp_path / "e"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "e" / "csv")).count() == spark.read.json(str(tmp_path / "e" / "json")).count() == 15
+    path = store.write_versioned(df, str(tmp_path / "v"), "1")
+    assert spark.read.parquet(path).count() == 15
+    with pytest.raises(Exception, match="exists"):
+        store.write_versioned(df, str(tmp_path / "v"), "1")
+    store.write_detail_chunks(df, str(tmp_path / "c"), "i", "steps", size=4)
+    assert {r["i"] for r in spark.read.json(str(tmp_path / "c" / "detail")).collect()} == {11, 12, 13, 14}
+    chunks = spark.read.json(str(tmp_path / "c" / "chunks"))
+    assert {r["chunk"] for r in chunks.collect()} == {0, 1, 2, 3} and {r["i"]: r["has_per_step"] for r in chunks.collect()}[0] is False
+    raw = spark.createDataFrame([(bytearray(b"ok"),), (bytearray(b"a\xffb"),)], "b binary")
+    assert [r[0] for r in raw.select(store.sanitised("b")).collect()] == ["ok", "a\ufffdb"]
+
+
+def test_ranks_and_spearman_without_sorting_a_group(spark):
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(0)
+    pdf = pd.DataFrame({"g": ["a"] * 4000 + ["b"] * 5, "x": rng.integers(0, 300, 4005).astype(float), "y": rng.normal(size=4005).round(1)})
+    pdf.loc[:1500, "x"] = 7.0  # a value that a third of a group has
+    got = {r["g"]: (r["n"], r["rho"]) for r in stats.spearman(spark.createDataFrame(pdf), ["g"], "x", "y").collect()}
+    for g, part in pdf.groupby("g"):
+        assert got[g][0] == len(part) and got[g][1] == pytest.approx(part["x"].rank().corr(part["y"].rank()), abs=1e-9)
+
+
+def test_models_families_and_optional_tables(spark):
+    from tracemill.plans import serving
+
+    names = spark.createDataFrame([("deepseek-Qwen",), ("QwQ-32B",), ("new",)], "n string")
+    got = [r[0] for r in names.select(text.family("n")).collect()]
+    assert got[:2] == ["deepseek", "qwq"] and got[2].startswith("slot ")
+    rows = spark.createDataFrame([("d", 1)], "k string, v int")
+    assert serving.with_optional(rows, None, ["k"]).columns == ["k", "v"]
+    assert serving.with_optional(rows, rows, ["k"], "wl_").first()["wl_v"] == 1

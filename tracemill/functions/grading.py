@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from tracemill.functions.text import clean_choice, parse_number, strip
+from tracemill.functions.text import clean_choice, let, parse_number, strip, vector_matrix
 
 
 def _c(x) -> Column:
@@ -28,23 +28,64 @@ def grade_connections(pred, truth) -> Column:
     return F.coalesce(F.size(F.filter(groups(_c(pred)), lambda g: F.array_contains(want, g))), F.lit(0)).cast("int")
 
 
+def _plain_equal(p: Column, t: Column) -> Column:
+    """Equal as text, as a choice, as a number (also as per cent), or but for brackets; two numbers are only compared as such."""
+
+    def compare(v):
+        a, b, x, y = v["a"], v["b"], v["x"], v["y"]
+        choice = b.isin("A", "B", "C", "D", "E") & (v["c"] == b)
+        number = close(x, y / 100) | close(x, y) | close(x, y * 100)
+        loose = (a.startswith("[") & a.endswith("]") & ~b.startswith("(")) | (a.startswith("(") & a.endswith(")") & ~b.startswith("["))
+        ends = lambda s: F.when(loose, F.regexp_replace(s, r"^[\[\]()]+|[\[\]()]+$", "")).otherwise(s)
+        bare = lambda s: F.lower(F.translate(ends(s), "{}()", ""))
+        return F.when((F.lower(a) == F.lower(b)) | choice, True).when(x.isNotNull() & y.isNotNull(), number).otherwise((a != "") & (bare(a) == bare(b)))
+
+    return F.coalesce(let(F.struct(strip(p).alias("a"), strip(t).alias("b"), parse_number(p).alias("x"), parse_number(t).alias("y"), clean_choice(p).alias("c")), compare), F.lit(False))
+
+
+def _all_equal(p: Column, t: Column) -> Column:
+    """Two lists of equal length, part by part."""
+    return (F.size(p) == F.size(t)) & F.forall(F.zip_with(p, t, _plain_equal), lambda ok: ok)
+
+
+_MATRIX = r"(?s)^\\begin\{[pb]matrix\}(.*)\\end\{[pb]matrix\}$"
+
+
+def _with_parts(p: Column, t: Column) -> Column:
+    """Equal as they are, or as tuples or intervals part by part, or as matrices row by row."""
+    parts = lambda s: F.split(F.substring(s, F.lit(2), F.length(s) - 2), ",")
+    lines = lambda s: F.when(s.rlike(_MATRIX), F.filter(F.transform(F.split(F.regexp_extract(s, _MATRIX, 1), r"\\\\"), lambda r: strip(r)), lambda r: r != ""))
+
+    def compare(v):
+        a, b = v["a"], v["b"]
+        bracketed = a.rlike(r"^[(\[].+[)\]]") & b.rlike(r"^[(\[].+[)\]]")
+        rows = lambda m: (F.size(m["a"]) == F.size(m["b"])) & F.forall(F.zip_with(m["a"], m["b"], lambda x, y: F.coalesce(_all_equal(F.split(x, "&"), F.split(y, "&")), F.lit(False))), lambda ok: ok)
+        matrices = F.when(a.rlike(_MATRIX) & b.rlike(_MATRIX), let(F.struct(lines(a).alias("a"), lines(b).alias("b")), rows))
+        return _plain_equal(a, b) | F.when(bracketed, _all_equal(parts(a), parts(b))).otherwise(False) | F.coalesce(matrices, F.lit(False))
+
+    truth = F.when(F.contains(p, F.lit("pmatrix")) & ~F.contains(t, F.lit("pmatrix")), vector_matrix(t)).otherwise(strip(t))
+    return F.coalesce(let(F.struct(strip(p).alias("a"), truth.alias("b")), compare), F.lit(False))
+
+
 def grade_math(pred, truth) -> Column:
-    """Equal as text, as a choice, as a number (also as per cent), without brackets, or part by part.
+    """Equal as text, choice or number, without brackets, part by part, row by row, or as what a short name equals.
 
-    Symbolic equality is not attempted. A missing side is false.
+    Parts are compared as they are, one level deep. Two sides of an equation, and anything else that needs algebra, are not
+    attempted. A missing side is false.
     """
     p, t = _c(pred), _c(truth)
-    same = F.lower(strip(p)) == F.lower(strip(t))
-    choice = t.isin("A", "B", "C", "D", "E") & (clean_choice(p) == t)
-    x, y = parse_number(p), parse_number(t)
-    number = close(x, y / 100) | close(x, y) | close(x, y * 100)
-    bare = lambda s: F.lower(F.translate(strip(s), "{}()[]", ""))
-    parts = lambda s: F.split(F.regexp_replace(strip(s), r"^[(\[]|[)\]]$", ""), ",")
-    both = F.zip_with(parts(p), parts(t), lambda a, b: (F.lower(strip(a)) == F.lower(strip(b))) | F.coalesce(close(parse_number(a), parse_number(b)), F.lit(False)))
-    bracketed = p.rlike(r"^\s*[(\[].+[)\]]\s*$") & t.rlike(r"^\s*[(\[].+[)\]]\s*$")
-    tuples = bracketed & (F.size(parts(p)) == F.size(parts(t))) & F.forall(both, lambda ok: F.coalesce(ok, F.lit(False)))
-    whole = F.when(same | choice, True).when(x.isNotNull() & y.isNotNull(), number).otherwise((bare(p) == bare(t)) | tuples)
-    return F.coalesce(whole, F.lit(False))
+    sides = lambda s: F.split(s, "=")
+    named = lambda s: (F.size(sides(s)) == 2) & (F.length(strip(sides(s)[0])) <= 2)
+    value = lambda s, other: F.when(named(s) & ~F.contains(other, F.lit("=")), F.try_element_at(sides(s), F.lit(2)))
+    one, two = value(p, t), value(t, p)
+    return _with_parts(p, t) | F.when(one.isNotNull() | two.isNotNull(), _with_parts(F.coalesce(one, p), F.coalesce(two, t))).otherwise(False)
+
+
+def grade_answer(dataset, pred, truth) -> Column:
+    """Grade by the dataset's name: math 0 or 1, gpqa 0 or 1, connections the number of right groups; null for any other."""
+    name, groups = F.lower(_c(dataset)), "map<string,array<string>>"
+    puzzle = grade_connections(F.from_json(_c(pred), groups), F.from_json(_c(truth), groups))
+    return F.when(name.contains("math"), grade_math(pred, truth).cast("int")).when(name.contains("gpqa"), grade_choice(pred, truth)).when(name.contains("connections"), puzzle)
 
 
 def logit_score(logits, strategy: str = "auto") -> Column:

@@ -54,3 +54,15 @@ def batch_reply(x) -> Column:
         F.coalesce(get("$.response.usageMetadata.candidatesTokenCount"), get("$.response.usage_metadata.candidates_token_count")).try_cast("long").alias("output_tokens"),
         F.when(get("$.error").isNotNull(), get("$.error")).when(get("$.response").isNull(), "no response").alias("error"),
     )
+
+
+def list_length(x) -> Column:
+    """Number of items of a JSON list; null if it is none."""
+    s = F.col(x) if isinstance(x, str) else x
+    return F.when(F.ltrim(s).startswith("["), F.json_array_length(s))
+
+
+def canonical(x) -> Column:
+    """A map as text that does not depend on the order of its keys."""
+    m = F.col(x) if isinstance(x, str) else x
+    return F.to_json(F.array_sort(F.map_entries(m)))

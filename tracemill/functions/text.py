@@ -14,6 +14,11 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(x: Column, f) -> Column:
+    """f(x), with x worked out once however often f names it."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
+
 def strip(x) -> Column:
     """Without white space at both ends, line ends included."""
     return F.regexp_replace(_c(x), _WHITE, "")
@@ -157,8 +162,11 @@ def _balanced(x: Column) -> Column:
     return F.aggregate(F.split(x, ""), start, step, lambda acc: acc["out"])
 
 
-def math_answer(x) -> Column:
-    """The stated answer: final-answer phrase, last box, answer phrases, else the last number; '' if none."""
+def math_answer(x, normal: bool = True) -> Column:
+    """The stated answer: final-answer phrase, last box, answer phrases, else the last number; '' if none.
+
+    It is given in normal form, or as it is written.
+    """
     t = F.coalesce(_c(x), F.lit(""))
     last = lambda mark: strip(F.substring_index(t, mark, -1))
     box = F.substring_index(t, "boxed", -1)
@@ -176,7 +184,7 @@ def math_answer(x) -> Column:
     out = F.regexp_replace(raw, r"\n\s*", "")
     for pattern in ("^:", r"\.$", "/$"):
         out = F.regexp_replace(out, pattern, "")
-    return strip(out)
+    return normalise_answer(out) if normal else strip(out)
 
 
 def choice_answer(x) -> Column:
@@ -212,12 +220,9 @@ def _groupings(text: str | None) -> dict[str, list[str] | None] | None:
 def connections_answer(x) -> Column:
     """Upper-cased categories and words of the reply's groupings; null if none parses.
 
-    A fenced block without groupings is read as a flat map of groups. Balanced braces and whole
-    JSON need Python; it is the one function here that is not native.
+    Balanced braces and whole JSON need Python; it is the one function here that is not native.
     """
-    fenced = F.try_element_at(F.regexp_extract_all(_c(x), F.lit(r"(?is)```json\s*(.*?)```"), F.lit(1)), F.lit(-1))
-    flat = F.when(~_has(F.upper(fenced), '"GROUPINGS"'), F.from_json(F.upper(fenced), "map<string,array<string>>"))
-    return F.coalesce(F.udf(_groupings, "map<string,array<string>>")(_c(x)), flat)
+    return F.udf(_groupings, "map<string,array<string>>")(_c(x))
 
 
 def clean_choice(x) -> Column:
@@ -233,21 +238,58 @@ def parse_number(x) -> Column:
     return F.when(t.endswith("%"), F.try_divide(F.regexp_replace(t, r"\\?%$", "").try_cast("double"), F.lit(100.0))).otherwise(t.try_cast("double"))
 
 
+#: Rewrites of a stated answer, in the order that its normal form depends on. A rule is
+#: (pattern, replacement), or a step of its own by name.
+ANSWER_RULES = (
+    (r"\n", ""), (r"\.+$", ""), (r"\\!", ""), (r"\\begin\{array\}\{.*?\}", r"\\begin{pmatrix}"), (r"\\end\{array\}", r"\\end{pmatrix}"),
+    ("bmatrix", "pmatrix"), ("tfrac", "frac"), ("dfrac", "frac"), (r"\\neq", r"\\ne"), (r"\\leq", r"\\le"), (r"\\geq", r"\\ge"),
+    (r"\\left", ""), (r"\\right", ""), (r"\\\{", "{"), (r"\\\}", "}"), "words in text", (r"(cm|inches)\}\^2", "$1}"), "unit at the end",
+    (r"\^\{\\circ\}", ""), (r"\^\\circ", ""), (r"\\\$", ""), (r"\$", ""), (r"\\\(|\\\)", ""), "number in words", (r"\\text\{(.*?)\}", "$1"),
+    (r"x=|y=|z=|x\\in|y\\in|z\\in|x\\to|y\\to|z\\to", ""), (r"\\emptyset", "{}"), (r"\(-\\infty,\\infty\)", r"\\mathbb{R}"), (r"\\?%", ""),
+    (r" \.", " 0."), (r"\{\.", "{0."), ("infinity", r"\\infty"), "short infinity", ("and", ""), (r"\\mathbf", ""), (r"\\mbox\{.*?\}", ""), "imaginary unit",
+    (r"(\d+)\.0*([^\d])", "$1$2"), (r"(\d+)\.0*$", "$1"), (r"^\.", "0."), (r"^[^=]{0,2}=([^=]*)$", "$1"), (r"\\sqrt(\w+)", r"\\sqrt{$1}"), (" ", ""),
+    "short fractions", "plain fraction", (r"\\(?=-?\d+(\\|\)|,|\]|$))", ""), ("thgrade$", ""), "separators", "lists of integers",
+)
+
+
+def _answer_step(name: str, t: Column) -> Column:
+    """One of the rewrites that are more than a replacement."""
+    if name == "words in text":
+        found = F.regexp_extract_all(t, F.lit(r"\\text\{([a-zA-Z]+)\}"), F.lit(1))
+        return F.aggregate(found, t, lambda acc, w: F.when(word_number(F.lower(w)) != F.lower(w), F.replace(acc, F.concat(F.lit("\\text{"), w, F.lit("}")), word_number(F.lower(w)))).otherwise(acc))
+    if name == "unit at the end":
+        cut = strip(F.regexp_replace(t, r"\\text\{.*?\}$", ""))
+        return F.when(cut != "", cut).otherwise(t)
+    if name == "number in words":
+        return word_number(t)
+    if name == "short infinity":
+        return F.when(F.contains(t, F.lit("\\infty")), t).otherwise(F.replace(t, F.lit("inf"), F.lit("\\infty")))
+    if name == "imaginary unit":
+        return F.when(F.contains(t, F.lit("i")), t).otherwise(F.replace(t, F.lit("j"), F.lit("i")))
+    if name == "short fractions":  # a cut-off fraction leaves all as it is
+        whole = F.regexp_replace(F.regexp_replace(t, r"\\frac([^{])([^{])", r"\\frac{$1}{$2}"), r"\\frac([^{])\{", r"\\frac{$1}{")
+        return F.when(t.rlike(r"\\frac([^{])?(\\frac|$)"), t).otherwise(whole)
+    if name == "plain fraction":
+        root = F.contains(t, F.lit("sqrt"))
+        part = r"(-?(?:0|[1-9]\d*))"
+        loose = r"(-?(?:0|[1-9]\d*)|[^/]*sqrt[^/]*)"
+        return F.when(root, F.regexp_replace(t, f"^{loose}/{loose}$", r"\\frac{$1}{$2}")).otherwise(F.regexp_replace(t, f"^{part}/{part}$", r"\\frac{$1}{$2}"))
+    if name == "separators":
+        return F.when(t.rlike(r"^-?\d{1,3}(,\d{3})+(\.\d+)?$"), F.replace(t, F.lit(","), F.lit(""))).otherwise(t)
+    numbers = F.transform(F.split(t, ","), lambda n: n.try_cast("decimal(38,0)"))
+    return F.when(t.rlike(r"^(-?\d+,)*-?\d{1,37}$") & F.forall(numbers, lambda n: n.isNotNull()), F.array_join(F.transform(F.array_sort(numbers), lambda n: n.cast("string")), ",")).otherwise(t)
+
+
+def _step_of(name: str):
+    return lambda v: _answer_step(name, v)
+
+
 def normalise_answer(x) -> Column:
-    """Plain form of a LaTeX answer: spacing, delimiters, units, text wrappers, short fractions and roots."""
+    """Normal form of a LaTeX answer: the rules of ANSWER_RULES, one after the other."""
     t = strip(_c(x))
-    for old, new in (("\n", ""), ("\\!", ""), ("\\ ", ""), ("tfrac", "frac"), ("dfrac", "frac"), ("\\left", ""), ("\\right", ""), ("^{\\circ}", ""), ("^\\circ", ""), ("\\$", ""), ("$", ""), ("\\%", ""), ("%", ""), ("\\(", ""), ("\\)", "")):
-        t = F.replace(t, F.lit(old), F.lit(new))
-    t = F.regexp_replace(t, r"\\text\{(.*?)\}", "$1")
-    t = F.regexp_replace(t, r"\\mbox\{.*?\}", "")
-    t = F.regexp_replace(t, r"(^|\{)\.", "$10.")
-    t = F.regexp_replace(t, r"^[a-zA-Z]\s*=\s*", "")
-    t = F.regexp_replace(t, r"sqrt(\w)", r"sqrt{$1}")
-    t = F.replace(t, F.lit(" "), F.lit(""))
-    t = F.regexp_replace(t, r"frac(\d)(\d)", r"frac{$1}{$2}")
-    t = F.regexp_replace(t, r"^(-?\d+)/(\d+)$", r"\\\\frac{$1}{$2}")
-    t = F.regexp_replace(t, r"(\d),(?=\d{3}(\D|$))", "$1")
-    return F.regexp_replace(F.regexp_replace(t, r"(\d+)\.0+$", "$1"), r"\.$", "")
+    for rule in ANSWER_RULES:
+        t = let(t, _step_of(rule)) if isinstance(rule, str) else F.regexp_replace(t, *rule)
+    return t
 
 
 def scoring_text(mode: str, system, question, trace, completion_) -> Column:
@@ -265,7 +307,7 @@ def scoring_text(mode: str, system, question, trace, completion_) -> Column:
 def answer_span(x) -> Column:
     """(answer, start, end) of the stated answer: where its last occurrence lies, from 0; null offsets if it was rewritten."""
     t = F.coalesce(_c(x), F.lit(""))
-    a = math_answer(t)
+    a = math_answer(t, normal=False)
     back = F.instr(F.reverse(t), F.reverse(a))
     start = F.when((a != "") & (back > 0), F.length(t) - back - F.length(a) + 1)
     return F.struct(a.alias("answer"), start.alias("start"), (start + F.length(a)).alias("end"))
@@ -339,3 +381,44 @@ def same_teacher(name, wanted: str) -> Column:
 def color_slot(name, slots: int = 360) -> Column:
     """A stable place on the colour wheel for a name that has no colour of its own."""
     return F.pmod(F.xxhash64(F.lower(_c(name))), F.lit(slots)).cast("int")
+
+
+#: The question of a choice among four, and what follows a partial trace.
+CHOICE_PROMPT = """What is the correct answer to this question: {}
+Choices:
+A. {}
+B. {}
+C. {}
+D. {}
+
+Based on the above, what is the single, most likely answer choice? Reason step by step. Format your final answer as follows: "The correct answer is \\boxed{{X}}"
+"""
+FOLLOW_UP = {"math": "\nThe answer is \\boxed", "gpqa": "\nThe answer is \\boxed", "connections": "\nMy final groupings are:\n```{"}
+
+
+def choice_prompt(question, *choices) -> Column:
+    """The prompt of a question with four choices."""
+    parts, values, out = CHOICE_PROMPT.replace("{{X}}", "{X}").split("{}"), [_c(question), *map(_c, choices)], []
+    for text_, value in zip(parts, [*values, None]):
+        out += [F.lit(text_)] + ([value] if value is not None else [])
+    return F.concat(*out)
+
+
+def with_follow_up(x, dataset) -> Column:
+    """A partial trace without its end mark, with what makes a student state its answer."""
+    tail = F.lit("")
+    for name, value in FOLLOW_UP.items():
+        tail = F.when(F.lower(_c(dataset)).contains(name), F.lit(value)).otherwise(tail)
+    return F.concat(_c(x), tail)
+
+
+#: Families of models, in the order in which a name is tried.
+FAMILIES = ("gpt-oss", "deepseek", "qwen", "qwq", "magistral", "gemma", "llama", "openreasoning", "phi")
+
+
+def family(name) -> Column:
+    """The first family that a model's name holds, else its own colour slot."""
+    out = F.when(F.lit(False), F.lit(""))
+    for f in FAMILIES:
+        out = out.when(F.lower(_c(name)).contains(f), F.lit(f))
+    return out.otherwise(F.concat(F.lit("slot "), color_slot(name).cast("string")))

@@ -105,3 +105,9 @@ def cost_estimate(prompts: DataFrame, price_in: float, price_out: float, fail_ra
     m = s.groupBy("dataset", "model").agg(F.count_if(~F.col("done")).alias("remaining"), F.avg(F.when(F.col("_i") <= sample, F.col("prompt_tokens"))).alias("mean_prompt"), F.coalesce(F.avg(F.when(F.col("_i") <= sample, F.col("output_tokens"))), F.lit(output_tokens)).alias("mean_output"))
     calls = F.col("remaining") * (1 + fail_rate)
     return m.withColumn("cost_usd", calls * (F.col("mean_prompt") * price_in + F.col("mean_output") * price_out) / 1e6)
+
+
+def failed_pool(before: DataFrame, succeeded: DataFrame, unparsed: DataFrame) -> DataFrame:
+    """Keys that are to be tried again: those of before without the successes, and those whose reply did not parse."""
+    k = list(KEY)
+    return before.select(*k).join(succeeded.select(*k), k, "left_anti").unionByName(unparsed.select(*k)).distinct()

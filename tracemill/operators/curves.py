@@ -85,3 +85,11 @@ def entropy(mass: DataFrame, by: list[str], value: str) -> DataFrame:
     total = F.sum(value).over(Window.partitionBy(*by))
     q = mass.withColumn("_q", F.try_divide(F.col(value), total))
     return q.groupBy(*by).agg(F.count("*").alias("bins"), F.when(F.count("*") > 1, F.try_divide(F.sum(-F.col("_q") * F.ln(F.col("_q") + 1e-12)), F.ln(F.count("*").cast("double")))).alias("entropy"))
+
+
+def error_band(bins: DataFrame, by: list[str], narrow: float = 1.0, wide: float = 4.0) -> DataFrame:
+    """(by, bin_center, lower, upper, line_width): bins with one standard error to either side, and a width by count."""
+    err = F.col("std_correct") / F.sqrt(F.greatest(F.col("count"), F.lit(1)))
+    ends = bins.groupBy(*by).agg(F.min("count").alias("_lo"), F.max("count").alias("_hi"))
+    width = F.when(F.col("_hi") == F.col("_lo"), (narrow + wide) / 2).otherwise(narrow + (wide - narrow) * (F.col("count") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")))
+    return bins.join(ends, by).select(*by, "bin_center", (F.col("mean_correct") - err).alias("lower"), (F.col("mean_correct") + err).alias("upper"), width.alias("line_width"))

@@ -55,11 +55,15 @@ def absolute_bins(pu: DataFrame, size: int = 10, least: int = 10) -> DataFrame:
     return out.where(F.col("count") >= least)
 
 
+def _with_longest(pu: DataFrame) -> DataFrame:
+    """Records with their teacher's longest prefix, which is aggregated, not sorted for."""
+    return pu.join(pu.groupBy("dataset", "teacher_model").agg(F.max("num_steps").alias("_top")), ["dataset", "teacher_model"])
+
+
 def step_bins(pu: DataFrame, width: int = 2, least: int = 10) -> DataFrame:
     """Left-closed bins of prefix length with sample deviation; a last edge at an even maximum is outside."""
-    top = F.max("num_steps").over(Window.partitionBy("dataset", "teacher_model"))
-    last = F.ceil((top + width) / width).cast("long") * width - width
-    inside = pu.withColumn("_last", last).where(F.col("num_steps") < F.col("_last"))
+    last = F.ceil((F.col("_top") + width) / width).cast("long") * width - width
+    inside = _with_longest(pu).withColumn("_last", last).where(F.col("num_steps") < F.col("_last"))
     binned = inside.withColumn("bin", F.floor(F.col("num_steps") / width).cast("long") * width + width / 2.0)
     out = binned.groupBy("dataset", "teacher_model", "bin").agg(F.avg("score").alias("mean"), F.stddev_samp("score").alias("std"), F.count("*").alias("count"))
     return out.where(F.col("count") >= least)
@@ -67,8 +71,7 @@ def step_bins(pu: DataFrame, width: int = 2, least: int = 10) -> DataFrame:
 
 def percent_of_max_bins(pu: DataFrame, least: int = 10) -> DataFrame:
     """Bins of two per cent of the teacher's longest prefix; the full length itself is outside."""
-    top = F.max("num_steps").over(Window.partitionBy("dataset", "teacher_model"))
-    pct = pu.withColumn("pct", F.try_divide(F.col("num_steps").cast("double") * 100, top)).where("pct < 100")
+    pct = _with_longest(pu).withColumn("pct", F.try_divide(F.col("num_steps").cast("double") * 100, F.col("_top"))).where("pct < 100")
     binned = pct.withColumn("bin", F.floor(F.col("pct") / 2).cast("long") * 2 + 1.0)
     out = binned.groupBy("dataset", "teacher_model", "bin").agg(F.avg("score").alias("mean"), F.stddev_samp("score").alias("std"), F.count("*").alias("count"))
     return out.where(F.col("count") >= least)
@@ -108,3 +111,13 @@ def samples_in_bin(pu: DataFrame, traces: DataFrame, center: float, k: int, seed
 def leaderboard_regressions(reg: DataFrame) -> DataFrame:
     """Sums over students, and the unweighted mean of their percentages."""
     return reg.groupBy("dataset", F.col("teacher_model").alias("model")).agg(*[F.sum(c).cast("long").alias(c) for c in ("total_questions", "regressed_questions", "total_regressions")], F.avg("regression_percentage").alias("regression_percentage"))
+
+
+def without_answer(records: DataFrame) -> DataFrame:
+    """Records whose extracted answer is missing or empty: they get a second pass."""
+    return records.where("extracted_answer is null or extracted_answer = ''")
+
+
+def with_teacher_scores(records: DataFrame, scores: DataFrame) -> DataFrame:
+    """Records with teacher_score from (trace_index, score); records of unknown traces stay with null."""
+    return records.join(scores.select("trace_index", F.col("score").alias("teacher_score")), "trace_index", "left")

@@ -48,17 +48,32 @@ def fit_mse(y, x) -> Column:
     return F.when(F.var_pop(x) > 0, F.greatest(F.lit(0.0), F.var_pop(y) - F.try_divide(F.pow(F.covar_pop(y, x), F.lit(2.0)), F.var_pop(x)))).otherwise(F.lit(0.0))
 
 
-def average_rank(by: list[str], value: str) -> Column:
-    """Rank of a value in its group, ties sharing the mean of their places."""
-    w = Window.partitionBy(*by)
-    return F.rank().over(w.orderBy(value)) + (F.count("*").over(w.partitionBy(*by, value)) - 1) / 2.0
+def average_ranks(counts: DataFrame, by: list[str], value: str, out: str, parts: int = 64) -> DataFrame:
+    """(by, value, out): rank of each distinct value in its group, ties sharing the mean of their places.
+
+    counts has (by, value, n), one row for each distinct value. A group's values are dealt to parts by
+    range, so that no task sorts a whole group: a part's ranks begin after the rows of those before it.
+    """
+    edges = counts.groupBy(*by).agg(F.percentile_approx(value, [k / parts for k in range(1, parts)], 10_000).alias("_edges"))  # a bounded list for each group
+    dealt = counts.join(edges, by).withColumn("_part", F.size(F.filter("_edges", lambda e: e < F.col(value))))
+    sizes = dealt.groupBy(*by, "_part").agg(F.sum("n").alias("_m"))
+    earlier = F.coalesce(F.sum("_m").over(Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    begins = sizes.withColumn("_begin", earlier).drop("_m")
+    run = Window.partitionBy(*by, "_part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    placed = dealt.withColumn("_in", F.coalesce(F.sum("n").over(run), F.lit(0))).join(begins, [*by, "_part"])
+    return placed.select(*by, value, (F.col("_begin") + F.col("_in") + (F.col("n") + 1) / 2.0).alias(out))
 
 
 def spearman(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
-    """Rank correlation of each group with three pairs or more: (by, n, rho)."""
-    kept = df.where(finite_pair(F.col(x).cast("double"), F.col(y).cast("double")))
-    ranked = kept.withColumn("_x", average_rank(by, x)).withColumn("_y", average_rank(by, y))
-    return ranked.groupBy(*by).agg(F.count("*").alias("n"), pearson("_x", "_y").alias("rho")).where("n >= 3")
+    """Rank correlation of each group with three pairs or more: (by, n, rho). Equal pairs are counted before they are ranked."""
+    kept = df.where(finite_pair(F.col(x).cast("double"), F.col(y).cast("double"))).groupBy(*by, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).agg(F.count("*").alias("n"))
+    ranks = [average_ranks(kept.groupBy(*by, c).agg(F.sum("n").alias("n")), by, c, r) for c, r in (("_x", "_rx"), ("_y", "_ry"))]
+    ranked = kept.join(ranks[0], [*by, "_x"]).join(ranks[1], [*by, "_y"])
+    n, mean = F.sum("n"), lambda c: F.sum(F.col("n") * F.col(c)) / F.sum("n")
+    centred = ranked.join(ranked.groupBy(*by).agg(mean("_rx").alias("_mx"), mean("_ry").alias("_my")), by).withColumn("_dx", F.col("_rx") - F.col("_mx")).withColumn("_dy", F.col("_ry") - F.col("_my"))
+    weighted = lambda a, b: F.sum(F.col("n") * F.col(a) * F.col(b))
+    spread = F.sqrt(weighted("_dx", "_dx") * weighted("_dy", "_dy"))
+    return centred.groupBy(*by).agg(n.cast("long").alias("n"), F.when(spread > 0, weighted("_dx", "_dy") / spread).alias("rho")).where("n >= 3")
 
 
 def holm(df: DataFrame, p: str, by: list[str], order: list[str], out: str = "p_holm") -> DataFrame:

@@ -29,7 +29,7 @@ def metadata(joined: DataFrame) -> DataFrame:
 
 def models_summary(meta: DataFrame) -> DataFrame:
     """Correct and incorrect counts, the product truncated."""
-    right = F.floor(F.coalesce("accuracy", F.lit(0.0)) * F.col("total_traces") + 1e-9).cast("long")
+    right = F.floor(F.coalesce("accuracy", F.lit(0.0)) * F.col("total_traces")).cast("long")
     return meta.select("dataset", "model", "total_traces", right.alias("correct"), (F.col("total_traces") - right).alias("incorrect"))
 
 
@@ -89,3 +89,15 @@ def utility_reward_correlation(per_trace: DataFrame, rewards_wide: DataFrame, co
     rows = df.select(F.explode(F.array(F.lit("overall"), F.col("dataset"))).alias("dataset"), "rm_mean", conds.alias("conds"), cells.alias("cells")).select("dataset", "rm_mean", "cells", F.explode("conds").alias("condition")).select("dataset", "rm_mean", "condition", F.explode("cells").alias("c"))
     ok = stats.finite_pair("c.value", "rm_mean")
     return rows.where(ok).groupBy("condition", "dataset", F.col("c.metric").alias("metric")).agg(F.count("*").alias("n"), stats.pearson("c.value", "rm_mean").alias("r")).where("n >= 3")
+
+
+def per_model_means(rows: DataFrame, by_model: str) -> DataFrame:
+    """(dataset, rm, n, mean) of what the maps of rewards by model hold; null rewards don't count."""
+    each = rows.select("dataset", F.explode(by_model).alias("rm", "reward")).where("reward is not null")
+    return each.groupBy("dataset", "rm").agg(F.count("*").alias("n"), F.avg("reward").alias("mean"))
+
+
+def with_last(rows: DataFrame, lookup: DataFrame, key: list[str], place: str, values: list[str]) -> DataFrame:
+    """Rows with a lookup's values; of lookup rows that repeat a key the last by place counts, so no row is multiplied."""
+    last = lookup.groupBy(*key).agg(F.max(F.struct(place, *values)).alias("_l"))
+    return rows.join(last.select(*key, *[F.col("_l")[v].alias(v) for v in values]), key, "left")

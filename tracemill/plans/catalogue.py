@@ -66,8 +66,10 @@ FIT = {
 }
 
 
-def _joined(spark, base) -> DataFrame:
-    return tr.with_metrics(src.traces(spark, base), src.efficiency(spark, base), src.redundancy_scores(spark, base))
+def _joined(spark, base, text_too: bool = False) -> DataFrame:
+    """Traces with their metrics; the texts only where they are asked for, so that no join carries them."""
+    known = src.traces(spark, base)
+    return tr.with_metrics(known if text_too else known.drop("trace_text"), src.efficiency(spark, base), src.redundancy_scores(spark, base))
 
 
 # --- transfer utility ------------------------------------------------------------------------
@@ -205,7 +207,7 @@ def trace_page(spark, base):
 
 @query(f"with {FX_JOINED} select dataset, model, trace_index, trace_text, n_chars, score, cast(token_count as bigint) as token_count, cast(sentence_count as bigint) as sentence_count, round(redundancy_score, 6) as redundancy_score from fx_joined where dataset = 'en' and model = 'src3'")
 def trace_detail(spark, base):
-    return _joined(spark, base).where("dataset = 'en' and model = 'src3'")
+    return _joined(spark, base, True).where("dataset = 'en' and model = 'src3'")
 
 
 META = "meta as (select dataset, model, count(*) as total_traces, avg(score) as accuracy, avg(token_count) as avg_tokens, avg(redundancy_score) as avg_redundancy from fx_joined group by all)"
@@ -216,7 +218,7 @@ def model_metadata(spark, base):
     return tr.metadata(_joined(spark, base))
 
 
-@query(f"with {FX_JOINED}, {META} select dataset, model, total_traces, cast(floor(coalesce(accuracy, 0) * total_traces + 1e-9) as bigint) as correct, total_traces - cast(floor(coalesce(accuracy, 0) * total_traces + 1e-9) as bigint) as incorrect from meta")
+@query(f"with {FX_JOINED}, {META} select dataset, model, total_traces, cast(floor(coalesce(accuracy, 0) * total_traces) as bigint) as correct, total_traces - cast(floor(coalesce(accuracy, 0) * total_traces) as bigint) as incorrect from meta")
 def models_summary(spark, base):
     return tr.models_summary(tr.metadata(_joined(spark, base)))
 
@@ -411,25 +413,9 @@ def _literal(name: str, oracle: bool = True):
     return register
 
 
-_literal("extract_trace_by_family")(lambda df: df.select("id", text.trace_of("output", "model").alias("trace")))
-_literal("extract_answer_math")(lambda df: df.select("id", text.math_answer("output").alias("answer")))
-_literal("extract_answer_gpqa")(lambda df: df.select("id", text.choice_answer("output").alias("answer")))
-_literal("extract_answer_connections")(lambda df: df.select("id", F.to_json(text.connections_answer("output")).alias("answer")))
-_literal("normalize_answer")(lambda df: df.select("id", text.normalise_answer("answer").alias("plain"), text.parse_number("answer").alias("number")))
 _literal("grade_connections")(lambda df: df.select("id", grading.grade_connections(F.from_json("pred", "map<string,array<string>>"), F.from_json("truth", "map<string,array<string>>")).alias("grade")))
-_literal("grade_math_numeric")(lambda df: df.select("id", grading.grade_math("pred", "truth").alias("equal")))
-_literal("grade_choice")(lambda df: df.select("id", grading.grade_choice("pred", "truth").alias("grade")))
 _literal("normalize_bt_json")(lambda df: df.select("id", F.to_json(jsonparse.verdict("reply")).alias("verdict")))
-_literal("parse_batch_reply")(lambda df: df.select("id", F.to_json(jsonparse.batch_reply("line")).alias("reply")))
-_literal("reward_scores")(lambda df: df.select("id", F.round(grading.transform_score(grading.logit_score("logits"), "sigmoid"), 6).alias("score"), grading.logit_score("logits", "diff_last_first").alias("diff")))
-_literal("model_names")(lambda df: df.select("id", text.canonical_model("name").alias("key"), text.teacher_short("name").alias("teacher"), text.student_short("name").alias("student")))
-_literal("answer_spans")(lambda df: df.select("id", text.answer_span("output").alias("s")).select("id", "s.answer", F.col("s.start").cast("int").alias("start"), F.col("s.end").cast("int").alias("stop")))
-_literal("number_words")(lambda df: df.select("id", text.word_number("phrase").alias("number")))
 _literal("vector_matrices")(lambda df: df.select("id", text.vector_matrix("vec").alias("matrix")))
-_literal("clip_end_mark")(lambda df: df.select("id", text.clip_end("full_text", "</s>").alias("clipped")))
-_literal("metric_labels")(lambda df: df.select("id", text.metric_label("metric").alias("label")))
-_literal("default_configs")(lambda df: df.select("id", text.model_size("name").alias("size"), text.default_config("name").alias("config")))
-_literal("reward_combinations")(lambda df: df.select("id", *[grading.combine_rewards("rewards", m).alias(m) for m in ("mean", "min", "max")]))
 
 
 # --- serving ---------------------------------------------------------------------------------
@@ -479,7 +465,7 @@ def correlation_matrix(spark, base):
 def shard_union_stats(spark, base):
     """Statistics recomputed on the union of four interleaved shards."""
     rec = src.pu_records(spark, base).withColumn("run", F.lit("r1"))
-    whole = store.union_shards([store.shard(rec, "trace_index", 4, k) for k in range(4)], ["run"], "trace_index")
+    whole = store.checked_union([store.shard(rec, "trace_index", 4, k) for k in range(4)], ["run"])
     return whole.groupBy("dataset", "teacher_model").agg(F.count("*").alias("n"), F.avg("score").alias("mean_score"), F.stddev_pop("score").alias("std_score"))
 
 
@@ -508,3 +494,6 @@ def pu_students(spark, base):
 def condition_families(spark, base):
     """Summaries of the four families of conditions in one pass."""
     return _joined(spark, base).groupingSets([[], ["dataset"], ["model"], ["dataset", "model"]], "dataset", "model").agg(F.grouping_id("dataset", "model").cast("int").alias("level"), F.count("*").alias("n"), F.avg("score").alias("accuracy"), F.avg("token_count").alias("mean_tokens"))
+
+
+from tracemill.plans import more  # noqa: E402,F401  (registers its queries, with the helpers of this module)

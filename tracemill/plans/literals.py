@@ -3,71 +3,6 @@
 from __future__ import annotations
 
 CASES = {
-    "extract_trace_by_family": {
-        "schema": "id int, model string, output string",
-        "out": {"trace": "varchar"},
-        "rows": [
-            (("Qwen_Qwen3", "x<think> a b </think> c"), ("a b",)),
-            (("qwq", "<|im_start|>assistant\nhello <|im_end|>"), ("hello",)),
-            (("deepseek-r1", "no marks"), ("no marks",)),
-            (("openreasoning-x", "<think>never ends"), ("never ends",)),
-            (("Llama-3", "<|start_header_id|>assistant<|end_header_id|>\n\n<think>t</think>ans<|eot_id|>"), ("t",)),
-            (("Llama-3", "<|start_header_id|>assistant<|end_header_id|>\n\nplain<|eot_id|>"), ("plain",)),
-            (("llama", "none"), ("none",)),
-            (("gemma-2", "<start_of_turn>model\nhi<end_of_turn>"), ("hi",)),
-            (("gemma-2", "<start_of_turn>model hi "), (" hi ",)),
-            (("magistral", "[INST]q[/INST] deep </s> tail"), ("deep",)),
-            (("gpt-oss-20b", "<|start|>assistant<|channel|>analysis<|message|>think<|end|><|start|>assistant"), ("think",)),
-            (("phi-4", "a<|assistant|>b"), ("<|assistant|>b",)),
-            (("phi-4", "raw"), ("raw",)),
-            (("other", " kept as is "), (" kept as is ",)),
-        ],
-    },
-    "extract_answer_math": {
-        "schema": "id int, output string",
-        "out": {"answer": "varchar"},
-        "rows": [
-            (("The final answer is $12$. I hope it is correct.",), ("12",)),
-            (("so \\boxed{\\frac{1}{2}} done",), ("\\frac{1}{2}",)),
-            (("first \\boxed{1} then \\boxed{x{y}z}.",), ("x{y}z",)),
-            (("\\boxed 5$ end",), ("5",)),
-            (("Then the answer is 42.",), ("42",)),
-            (("My final answer is: 7/",), ("7",)),
-            (("ANSWER: B",), ("B",)),
-            (("答案是 9\n\nend",), ("9",)),
-            (("1 then 2,000.5 and -3",), ("-3",)),
-            (("nothing",), ("",)),
-        ],
-    },
-    "extract_answer_gpqa": {
-        "schema": "id int, output string",
-        "out": {"answer": "varchar"},
-        "rows": [(("\\boxed{A} or \\boxed{C}",), ("C",)), (("\\boxed{E}",), (None,)), (("none",), (None,))],
-    },
-    "extract_answer_connections": {
-        "schema": "id int, output string",
-        "out": {"answer": "varchar"},
-        "rows": [
-            (('```json\n{"a": ["x", "y"]}\n```',), ('{"A":["X","Y"]}',)),
-            (('```json\n{"old": ["q"]}\n``` then ```JSON {"b": ["z"]} ```',), ('{"B":["Z"]}',)),
-            (("no block",), (None,)),
-        ],
-    },
-    "normalize_answer": {
-        "schema": "id int, answer string",
-        "out": {"plain": "varchar", "number": "double"},
-        "rows": [
-            ((" \\dfrac12 ",), ("\\frac{1}{2}", None)),
-            (("x = 5",), ("5", None)),
-            (("70,\\!000",), ("70000", None)),
-            (("1,234",), ("1234", 1234.0)),
-            (("50%",), ("50", 0.5)),
-            (("90^\\circ",), ("90", None)),
-            (("\\text{cm}",), ("cm", None)),
-            (("3.00",), ("3", 3.0)),
-            (("sqrt2",), ("sqrt{2}", None)),
-        ],
-    },
     "grade_connections": {
         "schema": "id int, pred string, truth string",
         "out": {"grade": "integer"},
@@ -78,15 +13,6 @@ CASES = {
             (('{"A":["a"]}', '{"Z":["a","b"]}'), (0,)),
         ],
     },
-    "grade_math_numeric": {
-        "schema": "id int, pred string, truth string",
-        "out": {"equal": "boolean"},
-        "rows": [
-            (("0.5", "50"), (True,)), (("1,000", "1000.05"), (True,)), (("1", "2"), (False,)), (("Pi", "pi"), (True,)), (("(1, 2)", "(1.00001,2)"), (True,)),
-            (("[1,2]", "(1,2)"), (True,)), (("{x}", "x"), (True,)), (("The answer: (B).", "B"), (True,)), ((None, "1"), (False,)), (("x+1", "1+x"), (False,)),
-        ],
-    },
-    "grade_choice": {"schema": "id int, pred string, truth string", "out": {"grade": "integer"}, "rows": [(("A", "A"), (1,)), (("A", "B"), (0,)), ((None, None), (1,)), ((None, "A"), (0,))]},
     "normalize_bt_json": {
         "schema": "id int, reply string",
         "out": {"verdict": "varchar"},
@@ -96,47 +22,7 @@ CASES = {
             (("no json",), ('{"backtracking_detected":false,"final_answer":"","backtracking_steps":[],"confidence":0.0,"overall_reasoning":""}',)),
         ],
     },
-    "parse_batch_reply": {
-        "schema": "id int, line string",
-        "out": {"reply": "varchar"},
-        "rows": [
-            (('{"key":"k1","response":{"candidates":[{"content":{"parts":[{"text":"a"},{"text":"b"}]},"finishReason":"STOP"}],"usageMetadata":{"promptTokenCount":5,"candidatesTokenCount":7}}}',), ('{"key":"k1","text":"ab","finish_reason":"STOP","prompt_tokens":5,"output_tokens":7}',)),
-            (('{"key":"k2","error":"quota"}',), ('{"key":"k2","error":"quota"}',)),
-            (('{"key":"k3"}',), ('{"key":"k3","error":"no response"}',)),
-        ],
-    },
-    "reward_scores": {
-        "schema": "id int, logits array<double>",
-        "out": {"score": "double", "diff": "double"},
-        "rows": [(([0.0],), (0.5, None)), (([1.0, 1.0],), (0.5, 0.0)), (([9.0, 9.0, 0.0],), (0.5, -9.0))],
-    },
-    "answer_spans": {
-        "schema": "id int, output string",
-        "out": {"answer": "varchar", "start": "integer", "stop": "integer"},
-        "rows": [(("so \\boxed{12} ok",), ("12", 10, 12)), (("he answer is 42.",), ("42", 13, 15)), (("none",), ("", None, None))],
-    },
-    "number_words": {
-        "schema": "id int, phrase string",
-        "out": {"number": "varchar"},
-        "rows": [(("Forty-two",), ("42",)), (("one hundred and five",), ("105",)), (("two thousand three hundred",), ("2300",)), (("x plus one",), ("x plus one",)), (("seventeen",), ("17",))],
-    },
     "vector_matrices": {"schema": "id int, vec string", "out": {"matrix": "varchar"}, "rows": [(("{1,2}",), ("\\begin{pmatrix}1\\2\\end{pmatrix}",)), (("none",), ("",))]},
-    "clip_end_mark": {"schema": "id int, full_text string", "out": {"clipped": "varchar"}, "rows": [(("a</s>",), ("a",)), (("a</s>b",), ("a</s>b",)), (("a</s></s>",), ("a</s>",))]},
-    "metric_labels": {"schema": "id int, metric string", "out": {"label": "varchar"}, "rows": [(("rm::x",), ("RM: x",)), (("pu_r2",), ("PU: r2",)), (("eff_n",), ("EFF: n",)), (("bt_k",), ("BT: k",)), (("red_s",), ("RED: s",)), (("score",), ("score",))]},
-    "default_configs": {"schema": "id int, name string", "out": {"size": "double", "config": "varchar"}, "rows": [(("Qwen2.5-72B",), (72.0, "default_large")), (("llama-3-8b",), (8.0, "default_small")), (("phi",), (None, "default_small"))]},
-    "reward_combinations": {
-        "schema": "id int, rewards map<string,double>",
-        "out": {"mean": "double", "min": "double", "max": "double"},
-        "rows": [(({"a": 1.0, "b": 3.0},), (2.0, 1.0, 3.0)), (({},), (None, None, None))],
-    },
-    "model_names": {
-        "schema": "id int, name string",
-        "out": {"key": "varchar", "teacher": "varchar", "student": "varchar"},
-        "rows": [
-            (("Qwen/Qwen2.5-0.5B-Instruct",), ("Qwen_Qwen2.5-0.5B-Instruct", "Qwen2.5-0.5B", "qwen2_5_0_5b")),
-            (("org/DeepSeek-R1-0528-x",), ("deepseek-ai_DeepSeek-R1-0528", "DeepSeek-R1-0528-x", "deepseek_r1_0528_x")),
-        ],
-    },
 }
 
 

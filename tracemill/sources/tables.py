@@ -32,12 +32,14 @@ def efficiency(spark: SparkSession, base: str) -> DataFrame:
     """Token and sentence counts of each trace."""
     from tracemill.functions import text as T
 
-    return traces(spark, base).select("dataset", "model", "trace_index", "score", T.count_tokens("trace_text").alias("token_count"), T.count_sentences("trace_text").alias("sentence_count"))
+    d = read_table(spark, base, "documents")
+    return d.select(F.col("lang").alias("dataset"), F.col("source").alias("model"), F.col("doc_id").alias("trace_index"), T.count_tokens("text").alias("token_count"), T.count_sentences("text").alias("sentence_count"))
 
 
 def redundancy_scores(spark: SparkSession, base: str) -> DataFrame:
     """A stand-in score for each trace, absent for some, so that left joins matter."""
-    return traces(spark, base).where("trace_index % 7 <> 0").select("dataset", "model", "trace_index", (F.col("n_chars") % 50 / 50.0).alias("redundancy_score"))
+    d = read_table(spark, base, "documents").where("doc_id % 7 <> 0")
+    return d.select(F.col("lang").alias("dataset"), F.col("source").alias("model"), F.col("doc_id").alias("trace_index"), (F.col("n_chars") % 50 / 50.0).alias("redundancy_score"))
 
 
 def backtracking(spark: SparkSession, base: str) -> DataFrame:
