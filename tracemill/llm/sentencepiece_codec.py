@@ -10,10 +10,11 @@ from __future__ import annotations
 
 import hashlib
 import struct
+import sys
+from array import array
 from dataclasses import dataclass, field
 from functools import lru_cache
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -23,8 +24,10 @@ MARK = "▁"
 #: Enum values of the model format.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-#: Bytes of text that one call of the library encodes.
-BATCH_BYTES = 1 << 21
+#: Characters of text that one call of the library encodes.
+BATCH_CHARS = 1 << 21
+#: Texts whose results a task keeps, so that a copy is not coded again.
+COPIES = 50_000
 
 
 @dataclass
@@ -144,7 +147,7 @@ def build(m: Model):
     if m.dummy_prefix:
         steps.append(normalizers.Prepend(MARK))
     t.normalizer = normalizers.Sequence([*steps, normalizers.Replace(" ", MARK)])
-    t.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse(), *([decoders.Strip(" ", 1, 0)] if m.dummy_prefix else [])])
+    t.decoder = decoders.Sequence([decoders.Metaspace(MARK, "never", False), decoders.ByteFallback(), decoders.Fuse(), *([decoders.Strip(" ", 1, 0)] if m.dummy_prefix else [])])
     return t
 
 
@@ -154,24 +157,29 @@ def _tokenizer(raw: bytes):
 
 
 @lru_cache(maxsize=2)
-def _piece_bytes(raw: bytes) -> tuple[np.ndarray, np.ndarray, bool]:
-    """(all pieces' bytes in a row, where each begins, whether a leading space is the marker's)."""
+def _encoder(raw: bytes):
+    """(library's tokenizer, what a text needs before it): plain rules of marking spaces are quicker on whole strings."""
+    from tokenizers import normalizers
+
     m = parse_model(raw)
-    parts = [bytes([int(p[3:5], 16)]) if kind == BYTE else b"" if kind == CONTROL else p.replace(MARK, " ").encode() for p, _, kind in m.pieces]
-    return np.frombuffer(b"".join(parts), np.uint8), np.concatenate([[0], np.cumsum([len(p) for p in parts])]), m.dummy_prefix
+    if m.charsmap or m.squeeze:
+        return _tokenizer(raw), lambda x: x
+    bare, mark = build(m), MARK if m.dummy_prefix else ""
+    bare.normalizer = normalizers.Sequence([])
+    return bare, lambda x: mark + x.replace(" ", MARK) if x else x
 
 
 def encode(raw: bytes, texts: list[str | None]) -> list[list[int]]:
-    """Ids of each text; a null or empty text has none. Batches are bounded by bytes."""
-    t = _tokenizer(raw)
+    """Ids of each text; a null or empty text has none. Batches are bounded by characters."""
+    engine, ready = _encoder(raw)
     out: list[list[int]] = []
     batch: list[str] = []
     size = 0
     for k, x in enumerate(texts):
-        batch.append(x or "")
+        batch.append(ready(x or ""))
         size += len(batch[-1])
-        if size > BATCH_BYTES or k == len(texts) - 1:
-            out.extend(e.ids for e in t.encode_batch_fast(batch, add_special_tokens=False))
+        if size > BATCH_CHARS or k == len(texts) - 1:
+            out.extend(e.ids for e in engine.encode_batch_fast(batch, add_special_tokens=False))
             batch, size = [], 0
     return out
 
@@ -181,19 +189,6 @@ def decode(raw: bytes, ids: list[list[int]]) -> list[str]:
     return _tokenizer(raw).decode_batch(ids, skip_special_tokens=False)
 
 
-def gives_back(raw: bytes, ids: list[list[int]], texts: list[str]) -> list[bool]:
-    """Whether the bytes of each list's pieces are its text's bytes, without putting strings together piece by piece."""
-    table, begin, drop = _piece_bytes(raw)
-    out = []
-    for i, text in zip(ids, texts):
-        i = np.asarray(i, np.int64)
-        size = begin[i + 1] - begin[i]
-        at = np.repeat(begin[i] - np.concatenate([[0], np.cumsum(size)[:-1]]) if len(i) else begin[i], size) + np.arange(int(size.sum()))
-        got = table[at].tobytes()
-        out.append((got[1:] if drop and got[:1] == b" " else got) == text.encode("utf-8", "surrogatepass"))
-    return out
-
-
 def parity(raw: bytes, texts: list[str]) -> list[bool]:
     """Whether the sentencepiece library gives the same ids, text by text."""
     import sentencepiece
@@ -251,9 +246,9 @@ def decode_documents(coded: DataFrame, raw: bytes, out: str = "decoded") -> Data
 def digests(docs: DataFrame, raw: bytes) -> DataFrame:
     """(doc_id, n_ids, ids_sha256, round_trip, parity) for every row: whole texts encoded, decoded and compared.
 
-    ids_sha256 is over the ids as little-endian 32-bit integers. round_trip says whether the decoder
-    and the bytes of the ids' pieces both give the text back, parity whether the sentencepiece library gives the same ids. Null and
-    empty texts have no ids, and both hold.
+    ids_sha256 is over the ids as little-endian 32-bit integers. round_trip says whether the library's
+    decoder gives the text back, parity whether the sentencepiece library gives the same ids. Null and
+    empty texts have no ids, and both hold. A text that a task has just had is not coded again.
     """
     shared = docs.sparkSession.sparkContext.broadcast(raw)
 
@@ -261,16 +256,24 @@ def digests(docs: DataFrame, raw: bytes) -> DataFrame:
         import sentencepiece
 
         ref = sentencepiece.SentencePieceProcessor(model_proto=shared.value)
+        had: dict[bytes, tuple] = {}
         for b in batches:
             for lo in range(0, b.num_rows, 256):
                 part = b.slice(lo, 256)
                 texts = [x or "" for x in part.column("text").to_pylist()]
-                ids = encode(shared.value, texts)
-                back = [d == t and g for d, t, g in zip(decode(shared.value, ids), texts, gives_back(shared.value, ids, texts))]
-                same = [a == c for a, c in zip(ids, ref.encode(texts, num_threads=1))]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").cast(pa.int64()), pa.array([len(i) for i in ids], pa.int64()), pa.array([hashlib.sha256(np.array(i, "<i4").tobytes()).hexdigest() for i in ids], pa.string()), pa.array(back, pa.bool_()), pa.array(same, pa.bool_())],
-                    names=["doc_id", "n_ids", "ids_sha256", "round_trip", "parity"],
-                )
+                keys = [hashlib.blake2b(x.encode("utf-8", "surrogatepass"), digest_size=20).digest() for x in texts]
+                if len(had) > COPIES:
+                    had = {}
+                fresh = {k: x for k, x in zip(keys, texts) if k not in had}
+                new = list(fresh.values())
+                ids = encode(shared.value, new)
+                for k, x, i, back, same in zip(fresh, new, ids, decode(shared.value, ids), ref.encode(new, num_threads=1)):
+                    packed = array("i", i)
+                    if sys.byteorder == "big":
+                        packed.byteswap()
+                    had[k] = len(i), hashlib.sha256(packed.tobytes()).hexdigest(), back == x, i == same
+                told = list(zip(*(had[k] for k in keys)))
+                kinds = (pa.int64(), pa.string(), pa.bool_(), pa.bool_())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), *[pa.array(v, t) for v, t in zip(told, kinds)]], names=["doc_id", "n_ids", "ids_sha256", "round_trip", "parity"])
 
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_ids long, ids_sha256 string, round_trip boolean, parity boolean")
