@@ -128,9 +128,11 @@ def test_round_trip(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, n_ids int")
     coded = codec.encode_documents(df, raw)
     back = codec.decode_documents(coded, raw).collect()
-    assert len(back) == len(rows) and all(r["decoded"] == (r["text"] or "") and r["n_ids"] == len(r["ids"]) for r in back)
+    assert len(back) == len(rows) and all(r["decoded"] == (r["text"] or "").replace("▁", " ") and r["n_ids"] == len(r["ids"]) for r in back)
     told = codec.digests(df, raw).collect()
-    assert len(told) == len(rows) and all(r["round_trip"] and r["parity"] for r in told)
+    assert len(told) == len(rows) and all(r["parity"] for r in told)
+    # a text that has the marker itself can't come back: the format writes spaces so
+    assert {r["doc_id"] for r in told if not r["round_trip"]} == {i for i, t in enumerate(TEXTS) if "▁" in t}
     assert codec.digests(df.limit(0), raw).count() == 0
 
 

@@ -247,7 +247,7 @@ def digests(docs: DataFrame, raw: bytes) -> DataFrame:
     """(doc_id, n_ids, ids_sha256, round_trip, parity) for every row: whole texts encoded, decoded and compared.
 
     ids_sha256 is over the ids as little-endian 32-bit integers. round_trip says whether the library's
-    decoder gives the text back, parity whether the sentencepiece library gives the same ids. Null and
+    decoder gives the text back (a text that has the marker itself can't come back), parity whether the sentencepiece library gives the same ids. Null and
     empty texts have no ids, and both hold. A text that a task has just had is not coded again.
     """
     shared = docs.sparkSession.sparkContext.broadcast(raw)
