@@ -66,6 +66,36 @@ def test_p_values_match_the_t_table(spark):
         assert spark.range(1).select(stats.correlation_p(F.lit(r), F.lit(df + 2))).first()[0] == pytest.approx(0.05, abs=2e-4)
 
 
+def test_correlation_tail_in_closed_forms(spark):
+    # one degree of freedom: 1 - 2 / pi * asin |r|; two: 1 - |r|; many: the normal tail
+    for r in (0.001, 0.3, -0.7, 0.999):
+        got = spark.range(1).select(stats.correlation_p(F.lit(r), F.lit(3)), stats.correlation_p(F.lit(r), F.lit(4))).first()
+        assert got[0] == pytest.approx(1 - 2 / math.pi * math.asin(abs(r)), abs=1e-12)
+        assert got[1] == pytest.approx(1 - abs(r), abs=1e-12)
+    for t in (0.5, 1.2, 1.8, 3.0, 6.0):
+        n = 10**9
+        r = t / math.sqrt(n - 2 + t * t)
+        assert spark.range(1).select(stats.correlation_p(F.lit(r), F.lit(n))).first()[0] == pytest.approx(math.erfc(t / math.sqrt(2)), rel=1e-4)
+    edge = spark.range(1).select(*[stats.correlation_p(F.lit(r).cast("double"), F.lit(n)) for r, n in ((1.0, 9), (-1.0, 9), (0.0, 9), (0.5, 2), (None, 9), (float("nan"), 9))]).first()
+    assert tuple(edge) == (0.0, 0.0, 1.0, None, None, None)
+
+
+def test_bootstrap_by_moments(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=400)
+    y = 0.6 * x + rng.normal(size=400)
+    rows = [("a", i, float(u), float(v)) for i, (u, v) in enumerate(zip(x, y))] + [(None, i, float(i), 5.0 - i) for i in range(6)] + [("few", i, float(i), 1.0) for i in range(4)] + [("flat", i, 1.0, float(i)) for i in range(9)]
+    df = spark.createDataFrame(rows, "d string, i long, x double, y double").repartition(3)
+    got = {r["d"]: r for r in stats.bootstrap_ci(df, ["d"], "x", "y", ["i"], 1000).collect()}
+    rs = [np.corrcoef(x[k], y[k])[0, 1] for k in (rng.integers(0, 400, 400) for _ in range(1000))]
+    lo, hi = np.quantile(rs, [0.025, 0.975])
+    assert got["a"]["n"] == 400 and got["a"]["lo"] == pytest.approx(lo, abs=0.02) and got["a"]["hi"] == pytest.approx(hi, abs=0.02)
+    assert got[None]["lo"] == pytest.approx(-1) and got[None]["hi"] == pytest.approx(-1)
+    assert got["few"]["n"] == 4 and got["few"]["lo"] is None and got["flat"]["n"] == 9 and got["flat"]["lo"] is None
+
+
 def test_holm(spark):
     df = spark.createDataFrame([("g", 1, 0.01), ("g", 2, 0.04), ("g", 3, 0.03)], "g string, i int, p double")
     got = {r["i"]: round(r["p_holm"], 6) for r in stats.holm(df, "p", ["g"], ["i"]).collect()}

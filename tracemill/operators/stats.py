@@ -85,67 +85,100 @@ def holm(df: DataFrame, p: str, by: list[str], order: list[str], out: str = "p_h
     return df.withColumn("_raw", raw).withColumn(out, F.least(F.lit(1.0), F.max("_raw").over(run.rowsBetween(Window.unboundedPreceding, 0)))).drop("_raw")
 
 
-def _beta_tail(a: float, b: float, x: float) -> float:
-    """Regularised incomplete beta function by its continued fraction."""
-    if x <= 0 or x >= 1:
-        return 0.0 if x <= 0 else 1.0
-    if x > (a + 1) / (a + b + 2):
-        return 1 - _beta_tail(b, a, 1 - x)
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
-    f, c, d = 1.0, 1.0, 0.0
-    for i in range(400):
-        m = i // 2
-        num = 1.0 if i == 0 else (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)) if i % 2 == 0 else -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1)))
-        d = 1 / (1 + num * d or 1e-300)
-        c = 1 + num / (c or 1e-300)
-        f *= c * d
-        if abs(1 - c * d) < 1e-14:
-            break
-    return front * (f - 1)
+def _log_gamma(x: Column) -> Column:
+    """Logarithm of the gamma function of a positive x: Stirling's series, taken eight steps further up."""
+    rise, y = x, x + 8
+    for k in range(1, 8):
+        rise = rise * (x + k)
+    series = 1 / (12 * y) - 1 / (360 * F.pow(y, F.lit(3))) + 1 / (1260 * F.pow(y, F.lit(5))) - 1 / (1680 * F.pow(y, F.lit(7)))
+    return (y - 0.5) * F.ln(y) - y + 0.5 * math.log(2 * math.pi) + series - F.ln(rise)
 
 
-def correlation_p(r, n) -> Column:
-    """Two-sided p-value of a correlation of n pairs by Student's t; null under three pairs."""
+def _not_zero(x: Column) -> Column:
+    return F.when(x == 0, 1e-300).otherwise(x)
+
 
-    @F.pandas_udf("double")
-    def tail(r: pd.Series, n: pd.Series) -> pd.Series:
-        out = []
-        for a, k in zip(r, n):
-            if a is None or np.isnan(a) or k < 3:
-                out.append(None)
-            else:
-                df = k - 2
-                out.append(0.0 if abs(a) >= 1 else _beta_tail(df / 2, 0.5, 1 - a * a))
-        return pd.Series(out, dtype="float64")
+def correlation_p(r, n) -> Column:
+    """Two-sided p-value of a correlation of n pairs by Student's t; null under three pairs.
 
-    return tail(_c(r).cast("double"), _c(n).cast("double"))
+    The tail is an incomplete beta function, summed as its widely published continued fraction within
+    the expression, so that no Python worker is needed.
+    """
+    r, n = _c(r).cast("double"), _c(n).cast("double")
+    half, square = F.greatest(n - 2, F.lit(1.0)) / 2, r * r
+    turned = 1 - square > (half + 1) / (half + 2.5)
+    a, b, x = F.when(turned, 0.5).otherwise(half), F.when(turned, half).otherwise(0.5), F.when(turned, square).otherwise(1 - square)
+
+    def step(s: Column, i: Column) -> Column:
+        m, a, b, x = F.floor(i / 2).cast("double"), s["a"], s["b"], s["x"]
+        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        num = F.when(i % 2 == 0, even).otherwise(odd)
+        d, c = 1 / _not_zero(1 + num * s["d"]), _not_zero(1 + num / s["c"])
+        return F.struct((s["f"] * c * d).alias("f"), c.alias("c"), d.alias("d"), a.alias("a"), b.alias("b"), x.alias("x"))
+
+    first = F.struct(F.lit(2.0).alias("f"), F.lit(2.0).alias("c"), F.lit(1.0).alias("d"), a.alias("a"), b.alias("b"), x.alias("x"))
+    fraction = F.aggregate(F.sequence(F.lit(1), F.lit(300)), first, step, lambda s: s["f"] - 1)
+    front = F.exp(_log_gamma(half + 0.5) - _log_gamma(half) - math.lgamma(0.5) + a * F.ln(x) + b * F.ln(1 - x)) / a
+    tail = F.when(turned, 1 - front * fraction).otherwise(front * fraction)
+    return F.when(r.isNull() | F.isnan(r) | (n < 3), None).when(F.abs(r) >= 1, 0.0).when(square == 0, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), tail)))
+
+
+def _poisson_weights(key: np.ndarray, resample: np.ndarray) -> np.ndarray:
+    """How often each row (a 64-bit key) is drawn in each resample: Poisson numbers of mean one that hang on these two alone."""
+    with np.errstate(over="ignore"):
+        z = key[:, None] + (resample[None, :] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        z ^= z >> np.uint64(31)
+    below = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(20)])
+    return np.searchsorted(below, (z >> np.uint64(11)) / 2.0**53, side="right").astype(float)
 
 
 def bootstrap_ci(df: DataFrame, by: list[str], x: str, y: str, order: list[str], resamples: int = 2000, seed: int = 0) -> DataFrame:
     """(by, n, lo, hi): 95 % bootstrap interval of each group's correlation; null under five pairs.
 
-    A group is one correlation's points and is resampled whole in one task.
+    Each row is drawn a Poisson number of times in each resample, by a hash of its order columns, the
+    resample and the seed: tasks sum moments of the rows that they have, whatever the size of a group,
+    and what is shuffled is a row for each task, group and resample. Rows alike in by and order are drawn together.
     """
-    schema = ", ".join([*(f"{c} {t}" for c, t in df.select(*by).dtypes), "n long, lo double, hi double"])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        a, b = pdf[x].to_numpy(float), pdf[y].to_numpy(float)
-        ok = np.isfinite(a) & np.isfinite(b)
-        a, b = a[ok], b[ok]
-        row = {c: pdf[c].iloc[0] for c in by} | {"n": len(a), "lo": None, "hi": None}
-        if len(a) >= 5:
-            rng, rs = np.random.default_rng(seed), []
-            for _ in range(resamples):
-                i = rng.integers(0, len(a), len(a))
-                u, v = a[i], b[i]
-                if u.std() > 0 and v.std() > 0:
-                    rs.append(np.corrcoef(u, v)[0, 1])
-            if len(rs) >= 10:
-                row["lo"], row["hi"] = (float(q) for q in np.quantile(rs, [0.025, 0.975]))
-        return pd.DataFrame([row])
-
-    return df.groupBy(*by).applyInPandas(run, schema)
+    pairs = df.where(finite_pair(F.col(x).cast("double"), F.col(y).cast("double"))).select(*by, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"), *[c for c in order if c not in by])
+    # about the group's mean, so that the moments keep their digits
+    centre = pairs.groupBy(*by).agg(F.count("*").alias("n"), F.avg("_x").alias("_mx"), F.avg("_y").alias("_my"))
+    same = lambda a, b: [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in by]
+    rows = pairs.alias("p").join(centre.where("n >= 5").alias("c"), same("p", "c")).select(*[F.col(f"p.{c}") for c in by], F.xxhash64(F.lit(seed), *[F.col(f"p.{c}") for c in [*by, *order]]).alias("_key"), (F.col("_x") - F.col("_mx")).alias("_x"), (F.col("_y") - F.col("_my")).alias("_y"))
+    sums = ["_w", "_sx", "_sy", "_sxx", "_syy", "_sxy"]
+    schema = ", ".join([*(f"`{c}` {t}" for c, t in df.select(*by).dtypes), "_b int", *(f"{c} double" for c in sums)])
+
+    def moments(batches):
+        total, at = {}, np.arange(resamples, dtype=np.uint64)
+
+        def given():
+            for key, got in total.items():
+                out = pd.DataFrame(got, columns=sums)
+                for c, k in zip(by, key):
+                    out[c] = k
+                yield out.assign(_b=np.arange(resamples, dtype=np.int32))[[*by, "_b", *sums]]
+            total.clear()
+
+        for pdf in batches:
+            for key, part in pdf.groupby(by, dropna=False, sort=False):
+                got = total.setdefault(tuple(None if pd.isna(k) else k for k in key), np.zeros((resamples, 6)))
+                for lo in range(0, len(part), 1024):
+                    p = part.iloc[lo : lo + 1024]
+                    a, b = p["_x"].to_numpy(), p["_y"].to_numpy()
+                    got += _poisson_weights(p["_key"].to_numpy().view(np.uint64), at).T @ np.stack([np.ones(len(a)), a, b, a * a, b * b, a * b], axis=1)
+                if len(total) > 256:
+                    yield from given()
+        yield from given()
+
+    drawn = rows.mapInPandas(moments, schema).groupBy(*by, "_b").agg(*[F.sum(c).alias(c) for c in sums]).where("_w > 0")
+    cov = lambda ab, a, b: F.col(ab) / F.col("_w") - F.col(a) / F.col("_w") * (F.col(b) / F.col("_w"))
+    vx, vy = cov("_sxx", "_sx", "_sx"), cov("_syy", "_sy", "_sy")
+    r = F.when((vx > 0) & (vy > 0), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cov("_sxy", "_sx", "_sy") / F.sqrt(vx * vy))))
+    ends = drawn.select(*by, F.round(r, 12).alias("_r")).groupBy(*by).agg(F.count("_r").alias("_k"), F.percentile("_r", F.array(F.lit(0.025), F.lit(0.975))).alias("_q")).where("_k >= 10")
+    groups = df.select(*by).distinct().alias("g").join(centre.alias("c"), same("g", "c"), "left").join(ends.alias("e"), same("g", "e"), "left")
+    return groups.select(*[F.col(f"g.{c}") for c in by], F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.col("_q")[0].alias("lo"), F.col("_q")[1].alias("hi"))
 
 
 def correlation_pairs(wide: DataFrame, by: list[str], metrics: list[str]) -> DataFrame:
@@ -156,3 +189,16 @@ def correlation_pairs(wide: DataFrame, by: list[str], metrics: list[str]) -> Dat
         aggs.append(F.struct(F.lit(a).alias("metric_x"), F.lit(b).alias("metric_y"), F.count_if(finite_pair(a, b)).alias("n"), pearson(a, b).alias("r")).alias(f"_{a}__{b}"))
     one = wide.groupBy(*by).agg(*aggs)
     return one.select(*by, F.explode(F.array(*[F.col(f"_{a}__{b}") for a, b in pairs])).alias("p")).select(*by, "p.*")
+
+
+def correlation_rows(wide: DataFrame, by: list[str], metrics: list[str]) -> DataFrame:
+    """(by, method, metric_x, metric_y, n, r, p, p_holm): Pearson and Spearman of every pair of metrics.
+
+    p is adjusted within each group and method; pairs without a correlation are left out.
+    """
+    pairs = [F.struct(F.lit(a).alias("metric_x"), F.lit(b).alias("metric_y"), F.col(a).alias("x"), F.col(b).alias("y")) for i, a in enumerate(metrics) for b in metrics[i + 1 :]]
+    cells = wide.select(*by, F.explode(F.array(*pairs)).alias("c")).select(*by, "c.*")
+    linear = correlation_pairs(wide, by, metrics).withColumn("method", F.lit("pearson"))
+    ranked = spearman(cells, [*by, "metric_x", "metric_y"], "x", "y").withColumnRenamed("rho", "r").withColumn("method", F.lit("spearman"))
+    rows = linear.unionByName(ranked).where("r is not null").withColumn("p", correlation_p("r", "n"))
+    return holm(rows, "p", [*by, "method"], ["metric_x", "metric_y"]).select(*by, "method", "metric_x", "metric_y", "n", "r", "p", "p_holm")

@@ -353,7 +353,18 @@ def pu_rm_correlation(spark, base):
     return tr.utility_reward_correlation(*_pu_rm(spark, base), ["avg_correct", "linearity_mse", "regression_rate"])
 
 
-@query(None)
+#: Two-sided p of r over n pairs by the finite series of Student's t for whole degrees of freedom.
+STUDENT_P = """case when abs(r) >= 1 then 0.0e0 when (n - 2) % 2 = 0 then 1 - abs(r) * coalesce(list_sum(list_transform(range(0, cast((n - 2) // 2 as bigint)), lambda j: exp(lgamma(j + 0.5e0) - lgamma(0.5e0) - lgamma(j + 1.0e0)) * pow(1 - r * r, j))), 0)
+  else 1 - 2 / pi() * (asin(abs(r)) + abs(r) * coalesce(list_sum(list_transform(range(0, cast((n - 2) // 2 as bigint)), lambda j: exp(lgamma(j + 1.0e0) + lgamma(1.5e0) - lgamma(j + 1.5e0)) * pow(sqrt(1 - r * r), 2 * j + 1))), 0)) end"""
+
+
+def holm_sql(by: str, order: str, columns: str) -> str:
+    """From m (…, n, r): p, and p adjusted within by."""
+    return f"""p as (select *, greatest(0.0e0, {STUDENT_P}) as p from m where r is not null), h as (select *, p * (count(*) over (partition by {by}) - row_number() over (partition by {by} order by p, {order}) + 1) as raw from p)
+select {columns}, n, round(r, 6) as r, round(p, 6) as p, round(least(1.0e0, max(raw) over (partition by {by} order by p, {order} rows between unbounded preceding and current row)), 6) as p_holm from h"""
+
+
+@query(f"with {PU_RM}, m as (select condition, dataset, metric, count(*) as n, {pearson_sql('value', 'rm_mean')} as r from cond where value is not null and rm_mean is not null group by all having count(*) >= 3), {holm_sql('condition', 'dataset, metric', 'condition, dataset, metric')}")
 def pu_rm_correlation_p(spark, base):
     r = tr.utility_reward_correlation(*_pu_rm(spark, base), ["avg_correct", "linearity_mse", "regression_rate"])
     return stats.holm(r.withColumn("p", stats.correlation_p("r", "n")).where("p is not null"), "p", ["condition"], ["dataset", "metric"])
@@ -368,6 +379,22 @@ def metric_correlation_long(spark, base):
     return stats.correlation_pairs(j, ["dataset"], METRICS)
 
 
+PAIRS = [(a, b) for i, a in enumerate(METRICS) for b in METRICS[i + 1 :]]
+PAIR = "condition, grp, metric_x, metric_y"
+
+
+@query(f"""with {FX_JOINED}, g as (select 'unconditional' as condition, 'all' as grp, fx_joined.* from fx_joined union all select 'by_dataset', coalesce(dataset, 'none'), fx_joined.* from fx_joined union all select 'by_model', coalesce(model, 'none'), fx_joined.* from fx_joined),
+c as (""" + " union all ".join(f"select condition, grp, '{a}' as metric_x, '{b}' as metric_y, cast({a} as double) as x, cast({b} as double) as y from g where {a} is not null and {b} is not null" for a, b in PAIRS) + f"""),
+k as (select *, rank() over (partition by {PAIR} order by x) + (count(*) over (partition by {PAIR}, x) - 1) / 2.0e0 as rx, rank() over (partition by {PAIR} order by y) + (count(*) over (partition by {PAIR}, y) - 1) / 2.0e0 as ry from c),
+m as (select {PAIR}, 'pearson' as method, count(*) as n, {pearson_sql('x', 'y')} as r from k group by all union all select {PAIR}, 'spearman', count(*), {pearson_sql('rx', 'ry')} from k group by all), {holm_sql('condition, grp, method', 'metric_x, metric_y', PAIR + ', method')}""")
+def correlation_conditions(spark, base):
+    """Pearson and Spearman of all pairs of metrics with their p-values, for all traces, by dataset and by model."""
+    cell = lambda c, g: F.struct(F.lit(c).alias("condition"), g.alias("grp"))
+    cells = F.array(cell("unconditional", F.lit("all")), cell("by_dataset", F.coalesce("dataset", F.lit("none"))), cell("by_model", F.coalesce("model", F.lit("none"))))
+    j = _joined(spark, base).select(F.explode(cells).alias("c"), *[F.col(m).cast("double").alias(m) for m in METRICS]).select("c.*", *METRICS)
+    return stats.correlation_rows(j, ["condition", "grp"], METRICS)
+
+
 @query(f"with {FX_TRACES}, p as (select dataset, trace_index, (n_chars % 997 + 1) / 1000.0e0 as p from fx_traces), r as (select *, p * (count(*) over (partition by dataset) - row_number() over (partition by dataset order by p, trace_index) + 1) as raw from p) select dataset, trace_index, round(p, 6) as p, round(least(1.0e0, max(raw) over (partition by dataset order by p, trace_index rows between unbounded preceding and current row)), 6) as p_holm from r")
 def holm_adjust(spark, base):
     p = src.traces(spark, base).select("dataset", "trace_index", ((F.col("n_chars") % 997 + 1) / 1000.0).alias("p"))
@@ -454,7 +481,7 @@ def bt_latex_rows(spark, base):
     return bt.latex_rows(tab.withColumn("mean_steps", F.round("mean_steps", 2)))
 
 
-@query(None)
+@query(f"with {FX_JOINED} " + " union all ".join(f"select dataset, '{a}' as metric_x, " + ", ".join(f"1.0e0 as {b}" if a == b else f"round({pearson_sql(*(f'cast({c} as double)' for c in sorted((a, b), key=METRICS.index)))}, 6) as {b}" for b in METRICS) + " from fx_joined group by dataset" for a in METRICS))
 def correlation_matrix(spark, base):
     j = _joined(spark, base).select("dataset", *[F.col(m).cast("double").alias(m) for m in METRICS])
     return serving.square(stats.correlation_pairs(j, ["dataset"], METRICS), ["dataset"], METRICS)
