@@ -9,6 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tracemill.llm.common import held_out
+from tracemill.llm.sql import OP12_SQL, OP13_SQL
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -119,6 +120,41 @@ def op10_byte_cnn_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs.select("doc_id", "text"), net).select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "lang_pred", "score")
 
 
+def op12_position_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracemill.llm import resampling
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return resampling.resample(docs, _table(spark, sf_dir, "benchmark"))
+
+
+def with_repeats(docs: DataFrame) -> DataFrame:
+    """One document in ten repeats words of its own from some word on, by crc32 of its id; a null id repeats nothing."""
+    let = lambda value, f: F.transform(F.array(value), f)[0]  # noqa: E731  evaluated once
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+
+    def repeated(w):
+        n = F.size(w).cast("long")
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        at = lambda i: F.when(i < a, i).otherwise(a + (i - a) % p)
+        return F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(w, at(i).cast("int"))), " "))
+
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    return docs.select("doc_id", F.when(h % 10 == 0, let(words, repeated)).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracemill.llm import periodic
+
+    found = periodic.collapse(with_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+    best = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("l"), r["start"].alias("start"), r["period"].alias("period"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    told = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("b"), digest(F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise("")).alias("runs_sha256"), digest(F.col("collapsed")).alias("collapsed_sha256"))
+    return told.select("doc_id", "n_runs", "b.start", (-F.col("b.l")).alias("length"), "b.period", F.expr("(-1000 * b.l) div b.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
 OP9_SQL = """
 with q as (
   select vec_id, row_number() over () as rid, list_transform(embedding, lambda x: cast(floor(64 * cast(x as double)) as bigint)) as v
@@ -141,4 +177,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc_fixity": OP2_SQL, "op9_bit_sliced_top_k": OP9_SQL}
+    return {"op2_warc_fixity": OP2_SQL, "op9_bit_sliced_top_k": OP9_SQL, "op12_position_ngrams": OP12_SQL, "op13_periodic_runs": OP13_SQL}
