@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tracemill.llm.common import held_out
-from tracemill.llm.sql import OP12_SQL, OP13_SQL
+from tracemill.llm.sql import OP11_SQL, OP12_SQL, OP13_SQL
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -120,6 +120,15 @@ def op10_byte_cnn_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs.select("doc_id", "text"), net).select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "lang_pred", "score")
 
 
+def op11_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracemill.llm import license_scan
+
+    found = license_scan.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    places = F.transform("base", lambda d: d["start"].cast("long"))
+    labels = lambda c: F.array_join(F.array_sort(F.array_distinct(F.transform(c, lambda d: d["label"]))), ",")
+    return found.select("doc_id", "n_words", F.size("base").cast("long").alias("n_base"), F.array_min(places).alias("first_word"), F.array_max(places).alias("last_word"), labels("base").alias("base_labels"), labels("spans").alias("labels"), "score")
+
+
 def op12_position_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tracemill.llm import resampling
 
@@ -177,4 +186,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc_fixity": OP2_SQL, "op9_bit_sliced_top_k": OP9_SQL, "op12_position_ngrams": OP12_SQL, "op13_periodic_runs": OP13_SQL}
+    return {"op2_warc_fixity": OP2_SQL, "op9_bit_sliced_top_k": OP9_SQL, "op11_license_rules": OP11_SQL, "op12_position_ngrams": OP12_SQL, "op13_periodic_runs": OP13_SQL}

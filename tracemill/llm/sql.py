@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from tracemill.llm.license_rules import BASE, RULES, wrapped
+
 #: A relation `crc` with the 256 values of the checksum's table, by its rule.
 CRC_TABLE = "crc as (select list_transform(range(256), lambda b: list_reduce(list_concat([b], range(8)), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as t)"
 
@@ -12,6 +14,40 @@ def crc32(s: str) -> str:
     return f"xor(list_reduce(list_concat([4294967295], {octets}), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"
 
 
+_RULES = ", ".join(f"({i}, '{r.label}', {r.priority}, {list(r.gates)}, '{wrapped(r.pattern)}')" for i, r in enumerate(RULES))
+
+OP11_SQL = rf"""
+with rule(rule, label, priority, gates, pattern) as (values {_RULES}),
+doc as (
+  select row_number() over () as rid, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+  from documents
+),
+line as (select rid, w, ' ' || array_to_string(w, '  ') || ' ' as t from doc),
+marked as (
+  select rid, rule, label, priority, string_split(trim(regexp_replace(t, pattern, ' ' || chr(1) || '\1' || chr(2) || ' ', 'g'), ' '), '  ') as m
+  from line join rule on list_has_any(w, gates)
+),
+word as (select rid, rule, label, priority, i, m[i + 1] as x from marked, unnest(range(len(m))) as u(i) where len(m) > 0),
+opened as (select *, row_number() over (partition by rid, rule order by i) as k from word where x like chr(1) || '%'),
+closed as (select *, row_number() over (partition by rid, rule order by i) as k from word where x like '%' || chr(2)),
+span as (select o.rid, o.rule, o.label, o.priority, o.i as start, c.i + 1 as stop from opened o join closed c using (rid, rule, k)),
+kept as (
+  select * from span d
+  where d.rule < {len(BASE)} or not exists (
+    select 1 from span e
+    where e.rid = d.rid and e.start < d.stop and d.start < e.stop
+      and (e.priority > d.priority or e.priority = d.priority and e.start <= d.start and e.stop >= d.stop and (e.stop - e.start > d.stop - d.start or e.rule < d.rule))
+  )
+),
+base as (select rid, count(*) as n, min(start) as a, max(start) as b, string_agg(distinct label, ',' order by label) as labels from span where rule < {len(BASE)} group by rid),
+best as (select rid, label, max(priority) as priority from kept group by rid, label),
+told as (select rid, string_agg(label, ',' order by label) as labels, sum(priority) as weight from best group by rid)
+select doc_id, cast(len(w) as bigint) as n_words, coalesce(n, 0) as n_base, a as first_word, b as last_word,
+       coalesce(base.labels, '') as base_labels, coalesce(told.labels, '') as labels, 1 - pow(2e0, -cast(coalesce(weight, 0) as double)) as score
+from doc left join base using (rid) left join told using (rid)
+"""
+
 OP12_SQL = rf"""
 with {CRC_TABLE},
 doc as (
