@@ -306,3 +306,32 @@ def test_models_families_and_optional_tables(spark):
     rows = spark.createDataFrame([("d", 1)], "k string, v int")
     assert serving.with_optional(rows, None, ["k"]).columns == ["k", "v"]
     assert serving.with_optional(rows, rows, ["k"], "wl_").first()["wl_v"] == 1
+
+
+def test_canonical_forms_at_every_depth(spark):
+    from tracemill.functions import jsonparse
+
+    rows = [({"b": {"y": [1, 2], "x": [3]}, "a": {}}, [{"k": 1}, {"j": 2, "k": 1}]), ({"a": {}, "b": {"x": [3], "y": [1, 2]}}, [{"k": 1, "j": 2}, {"k": 1}, {"k": 1}]), ({"b": {"y": [2, 1], "x": [3]}, "a": {}}, [{"k": 1}]), (None, None)]
+    df = spark.createDataFrame(rows, "m map<string,map<string,array<int>>>, s array<map<string,int>>")
+    got = df.select(jsonparse.canonical("m").alias("m"), jsonparse.canonical_set("s").alias("s")).collect()
+    assert got[0].m == got[1].m == '{"a":{},"b":{"x":[3],"y":[1,2]}}' and got[2].m != got[0].m and got[3].m is None
+    assert got[0].s == got[1].s and got[2].s == ['{"k":1}'] and got[3].s is None
+    texts = spark.createDataFrame([('{"b": [ {"d":1,"c":2} ], "a":null}',), ("{",), (None,)], "t string")
+    assert [r[0] for r in texts.select(jsonparse.canonical_json("t")).collect()] == ['{"a":null,"b":[{"c":2,"d":1}]}', None, None]
+
+
+def test_teacher_scores_are_of_one_dataset_and_teacher(spark):
+    rec = spark.createDataFrame([("math", "t0", 3), ("math", "t1", 3), ("gpqa", "t0", 3), ("math", "t0", 9)], "dataset string, teacher_model string, trace_index long")
+    known = spark.createDataFrame([("math", "t0", 3, 0.0, 1), ("math", "t0", 3, 1.0, 2), ("gpqa", "t0", 3, 0.5, 1)], "dataset string, model string, trace_index long, score double, place int")
+    got = pu.with_teacher_scores(rec, known, "place").collect()
+    assert sorted((r.dataset, r.teacher_model, r.trace_index, r.teacher_score) for r in got) == [("gpqa", "t0", 3, 0.5), ("math", "t0", 3, 1.0), ("math", "t0", 9, None), ("math", "t1", 3, None)]
+
+
+def test_answer_spans_are_places_of_the_match(spark):
+    cases = {
+        "the answer is \\boxed{5} or 5 apples, 5.": ("5", 21, 22), "x boxed": ("", -1, -1), "so \\boxed 7 $ then 7": ("7", 10, 11), "he answer is  12. The answer is 12.": ("12", 32, 35), "ANSWER: a ANSWER: b": ("b", 18, 19),
+        "答案是 9\n\nmore 9": ("9", 4, 5), "1,234 and 5,678": ("678", 12, 15), "final answer is $ 3 $. I hope 3": ("3", 18, 19), "none": ("", -1, -1), "": ("", -1, -1), "\\boxed{\\frac{1}{2}}": ("\\frac{1}{2}", 7, 18), "final answer is\n 4": ("4", 17, 18), "киthe 5": ("5", 4, 5),
+    }
+    df = spark.createDataFrame([(k,) for k in cases], "t string")
+    got = {r.t: tuple(r.s) for r in df.select("t", text.answer_span("t").alias("s")).collect()}
+    assert got == cases

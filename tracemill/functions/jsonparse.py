@@ -63,6 +63,20 @@ def list_length(x) -> Column:
 
 
 def canonical(x) -> Column:
-    """A map as text that does not depend on the order of its keys."""
-    m = F.col(x) if isinstance(x, str) else x
-    return F.to_json(F.array_sort(F.map_entries(m)))
+    """A nested value as text that does not depend on the order of any map's keys, at whatever depth.
+
+    Maps need text keys. Lists keep their order; for lists that stand for sets see canonical_set. Null is null.
+    """
+    v = F.col(x) if isinstance(x, str) else x
+    held = F.to_json(F.to_variant_object(F.array(v)))  # in a list, as a plain value can't be converted alone
+    return F.when(v.isNotNull(), F.substring(held, F.lit(2), F.length(held) - 2))
+
+
+def canonical_json(x) -> Column:
+    """The same for a value that is written as JSON; null if it does not parse, or names a key twice."""
+    return F.to_json(F.try_parse_json(F.col(x) if isinstance(x, str) else x))
+
+
+def canonical_set(x) -> Column:
+    """A list that stands for a set, as the sorted distinct texts of its items; items may be nested."""
+    return F.array_sort(F.array_distinct(F.transform(F.col(x) if isinstance(x, str) else x, lambda v: F.coalesce(canonical(v), F.lit("null")))))

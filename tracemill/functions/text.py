@@ -162,29 +162,63 @@ def _balanced(x: Column) -> Column:
     return F.aggregate(F.split(x, ""), start, step, lambda acc: acc["out"])
 
 
+#: What a stated answer stands behind, in the order in which they are tried; the last one of each counts.
+ANSWER_MARKS = ("he answer is", "final answer is", "答案是", "ANSWER:")
+FINAL_MARK, FINAL_END, BOX_MARK, DROPPED = "final answer is $", "$. I hope", "boxed", "ки"
+
+
+def _cleaned(raw: Column, normal: bool) -> Column:
+    out = F.regexp_replace(raw, r"\n\s*", "")
+    for pattern in ("^:", r"\.$", "/$"):
+        out = F.regexp_replace(out, pattern, "")
+    return normalise_answer(out) if normal else strip(out)
+
+
 def math_answer(x, normal: bool = True) -> Column:
     """The stated answer: final-answer phrase, last box, answer phrases, else the last number; '' if none.
 
     It is given in normal form, or as it is written.
     """
-    t = F.coalesce(_c(x), F.lit(""))
-    last = lambda mark: strip(F.substring_index(t, mark, -1))
-    box = F.substring_index(t, "boxed", -1)
+    t = F.replace(F.coalesce(_c(x), F.lit("")), F.lit(DROPPED), F.lit(""))
+    box = F.substring_index(t, BOX_MARK, -1)
     boxed = F.when(box == "", "").when(F.substring(box, 1, 1) == "{", _balanced(box)).otherwise(strip(F.substring_index(box, "$", 1)))
     numbers = F.regexp_extract_all(F.replace(t, F.lit(","), F.lit("")), F.lit(r"(-?\d*\.?\d+)"), F.lit(1))
-    raw = (
-        F.when(_has(t, "final answer is $") & _has(t, "$. I hope"), strip(F.substring_index(_after(t, "final answer is $"), "$. I hope", 1)))
-        .when(_has(t, "boxed"), boxed)
-        .when(_has(t, "he answer is"), last("he answer is"))
-        .when(_has(t, "final answer is"), last("final answer is"))
-        .when(_has(t, "答案是"), strip(F.substring_index(strip(_after(t, "答案是")), "\n\n", 1)))
-        .when(_has(t, "ANSWER:"), last("ANSWER:"))
-        .otherwise(F.coalesce(F.try_element_at(numbers, F.lit(-1)), F.lit("")))
-    )
-    out = F.regexp_replace(raw, r"\n\s*", "")
-    for pattern in ("^:", r"\.$", "/$"):
-        out = F.regexp_replace(out, pattern, "")
-    return normalise_answer(out) if normal else strip(out)
+    raw = F.when(_has(t, FINAL_MARK) & _has(t, FINAL_END), strip(F.substring_index(_after(t, FINAL_MARK), FINAL_END, 1))).when(_has(t, BOX_MARK), boxed)
+    for mark in ANSWER_MARKS:
+        said = strip(F.substring_index(strip(_after(t, mark)), "\n\n", 1)) if mark == "答案是" else strip(F.substring_index(t, mark, -1))
+        raw = raw.when(_has(t, mark), said)
+    return _cleaned(raw.otherwise(F.coalesce(F.try_element_at(numbers, F.lit(-1)), F.lit(""))), normal)
+
+
+def answer_span(x) -> Column:
+    """(answer, start, end): the stated answer in normal form, and where it is written, from 0, end exclusive; -1 where there is none.
+
+    The place is that of the match itself, however often the answer stands elsewhere; it counts characters of the text
+    without the syllable that is dropped before. A phrase's last place counts; numbers keep their separators apart.
+    """
+    number = r"-?\d*\.?\d+"
+
+    def behind(t: Column, at: Column, part: Column) -> Column:
+        """What a part that begins at `at` says, without white space around it."""
+        said = strip(part)
+        return F.struct(said.alias("raw"), (at + F.when(said == "", 0).otherwise(F.length(part) - F.length(F.regexp_replace(part, r"^\s+", "")))).alias("at"))
+
+    def place(t: Column) -> Column:
+        tail = lambda mark: F.substring_index(t, mark, -1)
+        start = lambda mark: F.length(t) - F.length(tail(mark))
+        none = F.struct(F.lit("").alias("raw"), F.lit(-1).alias("at"))
+        box = tail(BOX_MARK)
+        boxed = F.when(box == "", none).when(F.substring(box, 1, 1) == "{", F.struct(_balanced(box).alias("raw"), (start(BOX_MARK) + 1).alias("at"))).otherwise(behind(t, start(BOX_MARK), F.substring_index(box, "$", 1)))
+        final = F.instr(t, FINAL_MARK) + len(FINAL_MARK) - 1
+        out = F.when(_has(t, FINAL_MARK) & _has(t, FINAL_END), behind(t, final, F.substring_index(_after(t, FINAL_MARK), FINAL_END, 1))).when(_has(t, BOX_MARK), boxed)
+        for mark in ANSWER_MARKS:
+            out = out.when(_has(t, mark), behind(t, start(mark), F.substring_index(tail(mark), "\n\n", 1) if mark == "答案是" else tail(mark)))
+        found, rest = F.regexp_extract_all(t, F.lit(number), F.lit(0)), F.element_at(F.split(t, number, -1), -1)
+        last = F.try_element_at(found, F.lit(-1))
+        return out.when(F.size(found) > 0, F.struct(last.alias("raw"), (F.length(t) - F.length(rest) - F.length(last)).alias("at"))).otherwise(none)
+
+    t = F.replace(F.coalesce(_c(x), F.lit("")), F.lit(DROPPED), F.lit(""))
+    return let(let(t, place), lambda p: F.struct(_cleaned(p["raw"], True).alias("answer"), p["at"].alias("start"), F.when(p["at"] < 0, -1).otherwise(p["at"] + F.length(p["raw"])).alias("end")))
 
 
 def choice_answer(x) -> Column:
@@ -304,15 +338,6 @@ def scoring_text(mode: str, system, question, trace, completion_) -> Column:
     raise ValueError(f"unknown mode {mode}")
 
 
-def answer_span(x) -> Column:
-    """(answer, start, end) of the stated answer: where its last occurrence lies, from 0; null offsets if it was rewritten."""
-    t = F.coalesce(_c(x), F.lit(""))
-    a = math_answer(t, normal=False)
-    back = F.instr(F.reverse(t), F.reverse(a))
-    start = F.when((a != "") & (back > 0), F.length(t) - back - F.length(a) + 1)
-    return F.struct(a.alias("answer"), start.alias("start"), (start + F.length(a)).alias("end"))
-
-
 #: English number words.
 NUMBER_WORDS = {w: i for i, w in enumerate("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split())} | {w: 20 + 10 * i for i, w in enumerate("twenty thirty forty fifty sixty seventy eighty ninety".split())}
 SCALES = {"thousand": 1_000, "million": 1_000_000, "billion": 1_000_000_000}

@@ -59,6 +59,13 @@ def penalised_area(curve: DataFrame, weight: float = 0.1) -> DataFrame:
     return out.withColumn("penalized_auc", F.col("normalized_auc") - F.col("length_penalty") - F.col("concentration_penalty") - F.col("smoothness_penalty")).drop("points")
 
 
+def rankings(curve: DataFrame) -> DataFrame:
+    """Places in each dataset by penalised area, by error of the line, by explained variance; ties share a place, missing values come last."""
+    both = penalised_area(curve).join(leaderboard(curve).select("dataset", "model", "mse", "r2"), ["dataset", "model"])
+    place = lambda o: F.rank().over(Window.partitionBy("dataset").orderBy(o)).cast("long")  # noqa: E731  a row for each model
+    return both.select("dataset", "model", place(F.round("penalized_auc", 6).desc_nulls_last()).alias("by_penalised_area"), place(F.round("mse", 9).asc_nulls_last()).alias("by_smoothness"), place(F.round("r2", 6).desc_nulls_last()).alias("by_r2"))
+
+
 def smoothed(curve: DataFrame, sigma: float = 1.5) -> DataFrame:
     """Gaussian smoothing over neighbouring points, the curve mirrored at its ends; short curves stay as they are."""
     radius = int(4 * sigma + 0.5)

@@ -118,6 +118,10 @@ def without_answer(records: DataFrame) -> DataFrame:
     return records.where("extracted_answer is null or extracted_answer = ''")
 
 
-def with_teacher_scores(records: DataFrame, scores: DataFrame) -> DataFrame:
-    """Records with teacher_score from (trace_index, score); records of unknown traces stay with null."""
-    return records.join(scores.select("trace_index", F.col("score").alias("teacher_score")), "trace_index", "left")
+def with_teacher_scores(records: DataFrame, scores: DataFrame, place: str) -> DataFrame:
+    """Records with teacher_score from (dataset, model, trace_index, score): the row of the same dataset and teacher, the last by place.
+
+    One row comes out for each that goes in; records of unknown traces stay with null.
+    """
+    known = scores.groupBy("dataset", F.col("model").alias("teacher_model"), "trace_index").agg(F.max_by("score", place).alias("teacher_score"))
+    return records.join(known, ["dataset", "teacher_model", "trace_index"], "left")

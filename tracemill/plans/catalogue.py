@@ -15,8 +15,8 @@ ORACLE: dict[str, str] = {}
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Doubles to a fixed number of digits: sums differ in the last ones with the order of rows."""
-    return df.select(*[F.round(f.name, digits).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f.name) for f in df.schema.fields])
+    """Doubles to a fixed number of digits, without a negative zero: sums differ in the last ones with the order of rows."""
+    return df.select(*[(F.round(f.name, digits) + 0.0).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f.name) for f in df.schema.fields])
 
 
 def query(sql: str | None = None, name: str | None = None):
@@ -169,9 +169,12 @@ def pu_total_variation(spark, base):
     return curves.total_variation(_curve(spark, base))
 
 
+PENALISED = """m as (select dataset, model, sum(part) as raw_auc, coalesce(sum(part) / nullif(max(x) - min(x), 0), sum(part)) as normalized_auc, avg(x) as mean_steps, stddev_pop(x) as step_std, avg(d) as roughness from parts group by all having count(*) >= 2),
+p as (select *, case when count(*) over w > 1 then 0.1e0 * coalesce(mean_steps / nullif(max(mean_steps) over w, 0), 0) end as lp, case when count(*) over w > 1 then 0.1e0 * coalesce(step_std / nullif(max(step_std) over w, 0), 0) end as cp, case when count(*) over w > 1 then 0.1e0 * roughness end as sp from m window w as (partition by dataset))"""
+
+
 @query(f"""with {FX_PU}, {CURVE_PARTS},
-m as (select dataset, model, sum(part) as raw_auc, coalesce(sum(part) / nullif(max(x) - min(x), 0), sum(part)) as normalized_auc, avg(x) as mean_steps, stddev_pop(x) as step_std, avg(d) as roughness from parts group by all having count(*) >= 2),
-p as (select *, case when count(*) over w > 1 then 0.1e0 * coalesce(mean_steps / nullif(max(mean_steps) over w, 0), 0) end as lp, case when count(*) over w > 1 then 0.1e0 * coalesce(step_std / nullif(max(step_std) over w, 0), 0) end as cp, case when count(*) over w > 1 then 0.1e0 * roughness end as sp from m window w as (partition by dataset))
+{PENALISED}
 select dataset, model, round(raw_auc, 6) as raw_auc, round(normalized_auc, 6) as normalized_auc, round(mean_steps, 6) as mean_steps, round(step_std, 6) as step_std, round(roughness, 6) as roughness, round(lp, 6) as length_penalty, round(cp, 6) as concentration_penalty, round(sp, 6) as smoothness_penalty, round(normalized_auc - lp - cp - sp, 6) as penalized_auc from p""")
 def pu_penalized_auc(spark, base):
     return curves.penalised_area(_curve(spark, base))

@@ -7,7 +7,7 @@ from pyspark.sql import Window, functions as F
 from tracemill import schema as S
 from tracemill.functions import grading, jsonparse, text
 from tracemill.operators import backtracking as bt, curves, pu, traces as tr
-from tracemill.plans.catalogue import BINS, BT, BT_SUM, CURVE_PARTS, FIT, FX_BT, FX_JOINED, FX_PU, FX_RM, FX_TRACES, REGRESSION_SQL, _curve, _joined, query
+from tracemill.plans.catalogue import BINS, BT, BT_SUM, CURVE_PARTS, FIT, PENALISED, FX_BT, FX_JOINED, FX_PU, FX_RM, FX_TRACES, REGRESSION_SQL, _curve, _joined, query
 from tracemill.sources import artifacts, tables as src
 
 SLICE = r"s as (select doc_id as id, doc_id % 7 as k, regexp_replace(substr(coalesce(text, ''), 1, 60), '[^A-Za-z ]', 'x', 'g') as t from documents)"
@@ -64,7 +64,7 @@ def _group_answers(spark, base):
 
 
 @query(f"""with {SLICE}, n as (select id, k, cast(id % 97 as varchar) as n, cast(id % 8 + 1 as varchar) as d from s)
-select id, case k when 0 then '\\frac{{' || d || '}}{{' || d || '}}' when 1 then n when 2 then '\\sqrt{{' || n || '}}' when 3 then '\\frac{{' || n || '}}{{' || d || '}}' when 4 then n || '000' else '\\infty' end as plain from n where k <> 5
+select id, case k when 0 then '\\frac{{' || d || '}}{{' || d || '}}' when 1 then n when 2 then '\\sqrt{{' || n || '}}' when 3 then '\\frac{{' || n || '}}{{' || d || '}}' when 4 then cast(cast(n || '000' as bigint) as varchar) else '\\infty' end as plain from n where k <> 5
 union all select id, case when cast(d as int) <= 3 then d || ',3' else '3,' || d end from n where k = 5""", "normalize_answer")
 def _normal_answers(spark, base):
     n, d = (F.col("id") % 97).cast("string"), (F.col("id") % 8 + 1).cast("string")
@@ -131,10 +131,24 @@ def _numbers(spark, base):
     return _slices(spark, base).select("id", text.word_number(phrase).alias("number"))
 
 
-@query(f"with {SLICE} select id, cast(id as varchar) as answer, cast(length(t) + 8 as integer) as start, cast(length(t) + 8 + length(cast(id as varchar)) as integer) as stop from s", "answer_spans")
+NUMBER = r"-?\d*\.?\d+"
+
+
+@query(rf"""with d as (select doc_id as id, replace(coalesce(text, ''), 'ки', '') as t, doc_id % 5 as k, cast(doc_id * 3 as varchar) as n from documents),
+o as (select id, case k when 0 then t || ' so \boxed{{' || n || '}} or ' || n || ' apples, ' || n || '.' when 1 then t || ' The answer is  ' || n || '.' when 2 then t || ' 5, ' || n || ' then -' || n || ' of' when 3 then t || ' final answer is $ ' || n || ' $. I hope ' || n else t end as o from d),
+p as (select id, o, case when contains(o, '$. I hope') and contains(o, 'final answer is $') then string_split(string_split(o, 'final answer is $')[2], '$. I hope')[1]
+    when contains(o, 'boxed') then regexp_extract(string_split(o, 'boxed')[-1], '^\{{([^{{}}]*)\}}', 1) when contains(o, 'he answer is') then string_split(o, 'he answer is')[-1] else coalesce(regexp_extract_all(o, '{NUMBER}')[-1], '') end as part,
+  case when contains(o, '$. I hope') and contains(o, 'final answer is $') then strpos(o, 'final answer is $') + 16 when contains(o, 'boxed') then length(o) - length(string_split(o, 'boxed')[-1]) + 1 when contains(o, 'he answer is') then length(o) - length(string_split(o, 'he answer is')[-1])
+    when not regexp_matches(o, '{NUMBER}') then -1 else length(o) - length(regexp_split_to_array(o, '{NUMBER}')[-1]) - length(regexp_extract_all(o, '{NUMBER}')[-1]) end as pos from o),
+r as (select id, regexp_replace(part, '^\s+|\s+$', '', 'g') as raw, case when pos < 0 then -1 else pos + length(part) - length(regexp_replace(part, '^\s+', '')) end as pos from p),
+c as (select *, regexp_replace(regexp_replace(regexp_replace(raw, '\.$', ''), '^\.', '0.'), '\.0*$', '') as c from r)
+select id, case when regexp_full_match(c, '-?\d{{1,37}}') then cast(cast(c as hugeint) as varchar) else c end as answer, cast(pos as integer) as start, cast(case when pos < 0 then -1 else pos + length(raw) end as integer) as stop from c""", "answer_spans")
 def _spans(spark, base):
-    out = F.concat("t", F.lit(" \\boxed{"), F.col("id").cast("string"), F.lit("} ok"))
-    return _slices(spark, base).select("id", text.answer_span(out).alias("s")).select("id", "s.answer", F.col("s.start").cast("int").alias("start"), F.col("s.end").cast("int").alias("stop"))
+    """The stated answer of whole texts, and where it stands: in a box, behind a phrase, or as the last number, though it also stands elsewhere."""
+    d = src.read_table(spark, base, "documents").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("t"), (F.col("doc_id") % 5).alias("k"), (F.col("doc_id") * 3).cast("string").alias("n"))
+    say = lambda *x: F.concat("t", *[F.col("n") if v is None else F.lit(v) for v in x])
+    out = _by_k(say(" so \\boxed{", None, "} or ", None, " apples, ", None, "."), say(" The answer is  ", None, "."), say(" 5, ", None, " then -", None, " of"), say(" final answer is $ ", None, " $. I hope ", None), F.col("t"))
+    return d.select("id", text.answer_span(out).alias("s")).select("id", "s.answer", F.col("s.start").cast("int").alias("start"), F.col("s.end").cast("int").alias("stop"))
 
 
 @query(f"with {SLICE} select id, 'k' || id as key, case when k < 5 then t || '!' end as text, case when k < 5 then id end as prompt_tokens, case when k < 5 then k end as output_tokens, case when k = 5 then 'quota' when k = 6 then 'no response' end as error from s", "parse_batch_reply")
@@ -173,13 +187,12 @@ def regression_order(spark, base):
     return reg.withColumn("place", F.row_number().over(Window.orderBy("dataset", F.col("regression_percentage").asc_nulls_first(), "model")).cast("long"))
 
 
-@query(f"""with {FX_PU}, {CURVE_PARTS}, m as (select dataset, model, round(coalesce(sum(part) / nullif(max(x) - min(x), 0), 0), 6) as auc, round({FIT["mse"].format(x="x", y="y")}, 9) as mse, round({FIT["r2"].format(x="x", y="y")}, 6) as r2 from parts group by all having count(*) >= 3)
-select dataset, model, rank() over (partition by dataset order by auc desc) as by_auc, rank() over (partition by dataset order by mse) as by_smoothness, rank() over (partition by dataset order by r2 desc) as by_r2 from m""")
+@query(f"""with {FX_PU}, {CURVE_PARTS}, {PENALISED},
+f as (select dataset, model, round({FIT["mse"].format(x="x", y="y")}, 9) as mse, round({FIT["r2"].format(x="x", y="y")}, 6) as r2 from parts group by all having count(*) >= 2)
+select dataset, model, rank() over (partition by dataset order by round(normalized_auc - lp - cp - sp, 6) desc nulls last) as by_penalised_area, rank() over (partition by dataset order by mse nulls last) as by_smoothness, rank() over (partition by dataset order by r2 desc nulls last) as by_r2 from p join f using (dataset, model)""")
 def pu_rankings(spark, base):
-    """Teachers of each dataset by area, by error of the line, by explained variance."""
-    c = curves.leaderboard(_curve(spark, base)).select("dataset", "model", F.round("auc", 6).alias("auc"), F.round("mse", 9).alias("mse"), F.round("r2", 6).alias("r2"))
-    place = lambda o: F.rank().over(Window.partitionBy("dataset").orderBy(o)).cast("long")
-    return c.select("dataset", "model", place(F.col("auc").desc()).alias("by_auc"), place(F.col("mse")).alias("by_smoothness"), place(F.col("r2").desc()).alias("by_r2"))
+    """Teachers of each dataset by penalised area, by error of the line, by explained variance."""
+    return curves.rankings(_curve(spark, base))
 
 
 @query(f"""with {FX_PU}, {BINS}, e as (select *, min(n) over w as lo, max(n) over w as hi from bins window w as (partition by dataset, teacher_model, student_model))
@@ -228,13 +241,16 @@ def bt_step_counts(spark, base):
     return src.read_table(spark, base, "documents").select(F.col("doc_id").alias("trace_index"), jsonparse.list_length(cut).cast("long").alias("num_steps"))
 
 
-@query("select lang, source, count(*) as n from documents where lang is not null and source is not null group by all")
+@query("select lang, source, 2 as members, count(*) as n from documents where lang is not null and source is not null group by all")
 def canonical_forms(spark, base):
-    """Maps with one content and another order of keys are one canonical form."""
+    """Maps of maps and lists with one content and another order of keys at both depths, beside sets in another order, are one canonical form."""
     d = src.read_table(spark, base, "documents").where("lang is not null and source is not null")
-    one, two = (F.create_map(*[x for k in keys for x in (F.lit(k), F.array(F.col(k)))]) for keys in (("lang", "source"), ("source", "lang")))
-    m = d.select("lang", "source", F.when(F.col("doc_id") % 2 == 0, one).otherwise(two).alias("m"))
-    return m.groupBy(jsonparse.canonical("m").alias("c")).agg(F.first("lang").alias("lang"), F.first("source").alias("source"), F.count("*").alias("n")).select("lang", "source", "n")
+    inner = lambda *keys: F.create_map(*[x for k in keys for x in (F.lit(k), F.array(F.col(k), F.lit(k)))])
+    outer = lambda a, b, *keys: F.create_map(F.lit(a), inner(*keys), F.lit(b), inner(*keys[:1]) if a == "q" else inner(*keys[1:]))
+    m = F.when(F.col("doc_id") % 2 == 0, outer("q", "p", "lang", "source")).otherwise(F.map_concat(F.create_map(F.lit("p"), inner("lang")), F.create_map(F.lit("q"), inner("source", "lang"))))
+    s = F.when(F.col("doc_id") % 3 == 0, F.array("lang", "source", "lang")).otherwise(F.array("source", "lang"))
+    named = d.select("lang", "source", jsonparse.canonical(m).alias("m"), jsonparse.canonical_set(s).alias("s"))
+    return named.groupBy("m", "s").agg(F.first("lang").alias("lang"), F.first("source").alias("source"), F.count("*").alias("n")).select("lang", "source", F.size("s").alias("members"), "n")
 
 
 @query(f"with {FX_BT}, g as (select * from fx_bt where error is null and trace_index % 2 = 0), p as (select dataset, model, trace_index from fx_bt where trace_index % 4 < 2), b as (select dataset, model, trace_index from fx_bt where error is not null and trace_index % 3 = 0) select * from (select * from p except select dataset, model, trace_index from g) union select * from b")
@@ -251,12 +267,19 @@ def second_pass(spark, base):
     return pu.without_answer(_slices(spark, base).select(F.col("id").alias("trace_index"), F.col("k").alias("num_steps"), answer.alias("extracted_answer"))).select("trace_index", "num_steps")
 
 
-@query(f"with {FX_PU}, {FX_TRACES} select p.dataset, p.teacher_model, count(*) as n, count(t.score) as known, round(avg(t.score), 6) as mean_teacher_score from fx_pu p left join (select trace_index, score from fx_traces) t using (trace_index) group by all")
+@query(f"""with {FX_PU}, {FX_RM},
+told as (select dataset, model, trace_index, case when reward > 0 then 1.0e0 else 0.0e0 end as score, 1 as place from fx_rm1 union all select 'other', model, trace_index, 5.0e0, 3 from fx_rm1
+  union all select dataset, 'other', trace_index, 7.0e0, 3 from fx_rm1 union all select dataset, model, trace_index, 0.25e0, 2 from fx_rm1 where trace_index % 3 = 0 and trace_index % 2 = 0),
+t as (select dataset, model, trace_index, arg_max(score, place) as score from told group by all)
+select p.dataset, p.teacher_model, p.trace_index, count(*) as n, max(t.score) as teacher_score from fx_pu p left join t on t.dataset = p.dataset and t.model = p.teacher_model and t.trace_index = p.trace_index group by all""")
 def pu_teacher_scores(spark, base):
-    """Records with their teacher's score looked up by the trace's index; unknown ones stay."""
+    """Records with their teacher's score, looked up by dataset, teacher and index among rows that repeat all three; unknown ones stay."""
     records = src.pu_records(spark, base).drop("teacher_score")
-    got = pu.with_teacher_scores(records, src.traces(spark, base).select("trace_index", "score"))
-    return got.groupBy("dataset", "teacher_model").agg(F.count("*").alias("n"), F.count("teacher_score").alias("known"), F.avg("teacher_score").alias("mean_teacher_score"))
+    one = src.rewards(spark, base).where("rm = 'rm_a'").select(*S.KEY, F.when(F.col("reward") > 0, 1.0).otherwise(0.0).alias("score"), F.lit(1).alias("place"))
+    strange = one.withColumn("dataset", F.lit("other")).withColumn("score", F.lit(5.0)).unionByName(one.withColumn("model", F.lit("other")).withColumn("score", F.lit(7.0))).withColumn("place", F.lit(3))
+    later = one.where("trace_index % 3 = 0 and trace_index % 2 = 0").withColumn("score", F.lit(0.25)).withColumn("place", F.lit(2))
+    got = pu.with_teacher_scores(records, one.unionByName(strange).unionByName(later), "place")
+    return got.groupBy("dataset", "teacher_model", "trace_index").agg(F.count("*").alias("n"), F.max("teacher_score").alias("teacher_score"))
 
 
 @query("select doc_id as trace_index, case when doc_id % 4 = 0 then n_chars + 1 when doc_id % 4 = 3 then null else n_chars end as value from documents")
