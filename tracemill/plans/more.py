@@ -8,7 +8,7 @@ from tracemill import schema as S
 from tracemill.functions import grading, jsonparse, text
 from tracemill.operators import backtracking as bt, curves, pu, traces as tr
 from tracemill.plans.catalogue import BINS, BT, BT_SUM, CURVE_PARTS, FIT, PENALISED, FX_BT, FX_JOINED, FX_PU, FX_RM, FX_TRACES, REGRESSION_SQL, _curve, _joined, query
-from tracemill.sources import artifacts, tables as src
+from tracemill.sources import artifacts, scratch, tables as src
 
 SLICE = r"s as (select doc_id as id, doc_id % 7 as k, regexp_replace(substr(coalesce(text, ''), 1, 60), '[^A-Za-z ]', 'x', 'g') as t from documents)"
 
@@ -333,3 +333,33 @@ def prompts(spark, base):
     """The prompt of a question with four choices, and a trace with what makes a student answer."""
     p = text.choice_prompt("t", F.lit("one"), "t", F.col("k").cast("string"), F.lit("four"))
     return _slices(spark, base).select("id", F.md5(p).alias("prompt_md5"), text.with_follow_up("t", F.when(F.col("k") % 2 == 0, "gpqa").otherwise("Connections")).alias("forced"))
+
+
+# --- artifacts that are written as pickles, split by dataset and model, and read through the data source ------------
+@query(f"with {FX_PU} select dataset, teacher_model, student_model, trace_index as index, num_steps, score, case when trace_index % 4 = 0 then 'late' end as grading_error, trace_index % 2 = 0 as ran_second_pass from fx_pu")
+def artifact_utility(spark, base):
+    """Utility records out of a tree of pickles, with the metadata of their files."""
+    place = scratch.folder(spark, "utility")
+    rec = src.pu_records(spark, base).select("dataset", F.col("teacher_model").alias("model"), "student_model", F.col("trace_index").alias("index"), "num_steps", "score", F.when(F.col("trace_index") % 4 == 0, "late").alias("grading_error"), F.when(F.col("trace_index") % 2 == 0, True).alias("ran_second_pass"))
+    artifacts.write_pickles(rec, place, "pu_")
+    return artifacts.pickled_utility(spark, place).drop("file", "extracted_answer")
+
+
+@query("select lang as dataset, source as model, doc_id as trace_index, md5(text) as text_md5, n_chars, cast(length(text) as bigint) as length from documents where lang is not null and source is not null")
+def artifact_traces(spark, base):
+    """Whole texts of traces out of columnar pickles."""
+    place = scratch.folder(spark, "traces")
+    rec = src.read_table(spark, base, "documents").where("lang is not null and source is not null").select(F.col("lang").alias("dataset"), F.col("source").alias("model"), F.col("doc_id").alias("indices"), F.col("text").alias("full_traces"), "n_chars")
+    artifacts.write_pickles(rec, place, "traces_", "columns")
+    got = artifacts.pickled_traces(spark, place, {"indices": "long", "full_traces": "string", "n_chars": "long"})
+    return got.select("dataset", "model", F.col("indices").alias("trace_index"), F.md5("full_traces").alias("text_md5"), "n_chars", F.length("full_traces").cast("long").alias("length"))
+
+
+@query(f"with {FX_RM} select dataset, model, trace_index, 'rm::x' as rm, round(reward, 4) as reward from fx_rm1")
+def artifact_rewards(spark, base):
+    """Rewards out of pickles that name them in one of four ways."""
+    place, i = scratch.folder(spark, "rewards"), F.col("trace_index") % 4
+    one = src.rewards(spark, base).where("rm = 'rm_a'")
+    rec = one.select("dataset", "model", F.col("trace_index").cast("string").alias("index"), F.when(i == 0, F.col("reward")).when(i == 1, float("nan")).alias("reward"), F.when(i == 1, F.col("reward")).alias("rm_reward"), F.when(i == 2, F.col("reward")).alias("score"), F.when(i == 3, F.create_map(F.lit("a"), F.lit(None).cast("double"), F.lit("b"), F.col("reward"))).alias("rewards_by_model"))
+    artifacts.write_pickles(rec, place, "reward_model_x.")
+    return artifacts.pickled_rewards(spark, place).withColumn("reward", F.round("reward", 4))
