@@ -527,3 +527,4 @@ def condition_families(spark, base):
 
 
 from tracemill.plans import more  # noqa: E402,F401  (registers its queries, with the helpers of this module)
+from tracemill.plans import sentences  # noqa: E402,F401
