@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from tracemill.functions.algebra import symbolic_equal
 from tracemill.functions.text import clean_choice, let, parse_number, strip, vector_matrix
 
 
@@ -70,8 +71,8 @@ def _with_parts(p: Column, t: Column) -> Column:
 def grade_math(pred, truth) -> Column:
     """Equal as text, choice or number, without brackets, part by part, row by row, or as what a short name equals.
 
-    Parts are compared as they are, one level deep. Two sides of an equation, and anything else that needs algebra, are not
-    attempted. A missing side is false.
+    Parts are compared as they are, one level deep; an interval's kind of brackets does not count, so (1,2] equals [1,2]. Two
+    sides of an equation, and anything else that needs algebra, are left to grade_math_algebra. A missing side is false.
     """
     p, t = _c(pred), _c(truth)
     sides = lambda s: F.split(s, "=")
@@ -81,11 +82,18 @@ def grade_math(pred, truth) -> Column:
     return _with_parts(p, t) | F.when(one.isNotNull() | two.isNotNull(), _with_parts(F.coalesce(one, p), F.coalesce(two, t))).otherwise(False)
 
 
+def grade_math_algebra(pred, truth) -> Column:
+    """grade_math, or equal by algebra; only pairs that grade_math does not find equal are parsed. What is undecided is false."""
+    p, t = _c(pred), _c(truth)
+    plain = grade_math(p, t)
+    return plain | F.coalesce(symbolic_equal(F.when(~plain, p), t), F.lit(False))
+
+
 def grade_answer(dataset, pred, truth) -> Column:
     """Grade by the dataset's name: math 0 or 1, gpqa 0 or 1, connections the number of right groups; null for any other."""
     name, groups = F.lower(_c(dataset)), "map<string,array<string>>"
     puzzle = grade_connections(F.from_json(_c(pred), groups), F.from_json(_c(truth), groups))
-    return F.when(name.contains("math"), grade_math(pred, truth).cast("int")).when(name.contains("gpqa"), grade_choice(pred, truth)).when(name.contains("connections"), puzzle)
+    return F.when(name.contains("math"), grade_math_algebra(pred, truth).cast("int")).when(name.contains("gpqa"), grade_choice(pred, truth)).when(name.contains("connections"), puzzle)
 
 
 def logit_score(logits, strategy: str = "auto") -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from tracemill import schema as S
-from tracemill.functions import grading, jsonparse, text
+from tracemill.functions import algebra, grading, jsonparse, text
 from tracemill.operators import backtracking as bt, curves, pu, traces as tr
 from tracemill.plans.catalogue import BINS, BT, BT_SUM, CURVE_PARTS, FIT, PENALISED, FX_BT, FX_JOINED, FX_PU, FX_RM, FX_TRACES, REGRESSION_SQL, _curve, _joined, query
 from tracemill.sources import artifacts, scratch, tables as src
@@ -363,3 +363,21 @@ def artifact_rewards(spark, base):
     rec = one.select("dataset", "model", F.col("trace_index").cast("string").alias("index"), F.when(i == 0, F.col("reward")).when(i == 1, float("nan")).alias("reward"), F.when(i == 1, F.col("reward")).alias("rm_reward"), F.when(i == 2, F.col("reward")).alias("score"), F.when(i == 3, F.create_map(F.lit("a"), F.lit(None).cast("double"), F.lit("b"), F.col("reward"))).alias("rewards_by_model"))
     artifacts.write_pickles(rec, place, "reward_model_x.")
     return artifacts.pickled_rewards(spark, place).withColumn("reward", F.round("reward", 4))
+
+
+# --- algebra ----------------------------------------------------------------------------------
+@query(r"""with d as (select doc_id as id, doc_id % 6 as k, n_chars % 9 + 1 as a, cast(doc_id / 6 as bigint) % 7 as b, doc_id % 4 as o,
+  list_filter(regexp_extract_all(lower(coalesce(text, '')), '[a-z]+'), lambda w: len(w) > 2) as w from documents)
+select id, case k when 0 then o = 0 when 1 then abs(a / (b + 1e0) - (a + o) / (b + 1e0)) <= 1e-4 * greatest(a / (b + 1e0), (a + o) / (b + 1e0)) when 2 then o = 0 when 3 then abs(sqrt(2e0 * a * a) - (a + o) * sqrt(2e0)) <= 1e-4 * greatest(sqrt(2e0 * a * a), (a + o) * sqrt(2e0)) when 4 then null
+  else len(w) > 1 and list_sort(string_split(w[1], '')) = list_sort(string_split(case when o < 2 then reverse(w[1]) else w[2] end, '')) end as equal from d""")
+def grade_math_symbolic(spark, base):
+    """Equality by algebra: squares, fractions and decimals, turned equations, roots, what is undecided, and products of a text's letters."""
+    d = src.read_table(spark, base, "documents").select(F.col("doc_id").alias("id"), (F.col("doc_id") % 6).alias("k"), (F.col("n_chars") % 9 + 1).alias("a"), (F.floor(F.col("doc_id") / 6 + 0.5) % 7).alias("b"), (F.col("doc_id") % 4).alias("o"), F.filter(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-z]+"), F.lit(0)), lambda w: F.length(w) > 2).alias("w"))
+    a, b, o = (F.col(c) for c in "abo")
+    say = lambda *x: F.concat(*[F.lit(v) if isinstance(v, str) else v.cast("string") for v in x])
+    first = F.try_element_at("w", F.lit(1))
+    pred = _by_k(say("(x+", a, ")^2 - x\\cdot x"), say("\\frac{", a, "}{", b + 1, "}"), say(a, "x+y=", b), say("\\sqrt{", 2 * a * a, "}"), say("\\sin{x}+", a), first)
+    truth = _by_k(say(2 * a, "x + ", a * a + o), say("(", a + o, ".0)/", b + 1), say(b + o, " = y + x*", a), say(a + o, "\\sqrt2"), say(a, "+\\cos{x}"), F.when(o < 2, F.reverse(first)).otherwise(F.try_element_at("w", F.lit(2))))
+    two = F.size("w") > 1
+    equal = algebra.symbolic_equal(pred, truth)
+    return d.select("id", F.when((F.col("k") == 5) & ~two, False).otherwise(equal).alias("equal"))
