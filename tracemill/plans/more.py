@@ -6,7 +6,7 @@ from pyspark.sql import Window, functions as F
 
 from tracemill import schema as S
 from tracemill.functions import algebra, grading, jsonparse, text
-from tracemill.operators import backtracking as bt, curves, pu, traces as tr
+from tracemill.operators import backtracking as bt, curves, pu, traces as tr, versions
 from tracemill.plans.catalogue import BINS, BT, BT_SUM, CURVE_PARTS, FIT, PENALISED, FX_BT, FX_JOINED, FX_PU, FX_RM, FX_TRACES, REGRESSION_SQL, _curve, _joined, query
 from tracemill.sources import artifacts, scratch, tables as src
 
@@ -381,3 +381,17 @@ def grade_math_symbolic(spark, base):
     two = F.size("w") > 1
     equal = algebra.symbolic_equal(pred, truth)
     return d.select("id", F.when((F.col("k") == 5) & ~two, False).otherwise(equal).alias("equal"))
+
+
+@query(f"""with {FX_TRACES}, one as (select dataset, model, trace_index, score from fx_traces)
+select dataset, model, trace_index, case when dataset in ('en', 'de') and trace_index % 5 = 0 then coalesce(score, 0) + 1 when dataset = 'fr' and trace_index % 3 = 0 then -1 else score end as score from one
+union all select 'new', model, trace_index, score from one where trace_index % 10 = 0""")
+def versioned_upserts(spark, base):
+    """The newest version after loads that touch some partitions, and one that adds a partition."""
+    table = versions.VersionedTable(spark, scratch.folder(spark, "versions"), list(S.KEY), ["dataset"])
+    one = src.traces(spark, base).select(*S.KEY, "score", F.lit(1).alias("load_seq"))
+    table.write(one)
+    table.write(one.where("dataset in ('en', 'de') and trace_index % 5 = 0").select(*S.KEY, (F.coalesce("score", F.lit(0.0)) + 1).alias("score"), F.lit(2).alias("load_seq")))
+    table.write(one.where("trace_index % 10 = 0").withColumn("dataset", F.lit("new")))
+    table.write(one.where("dataset = 'fr' and trace_index % 3 = 0").select(*S.KEY, F.lit(-1.0).alias("score"), F.lit(3).alias("load_seq")))
+    return table.read().drop("load_seq")
