@@ -8,6 +8,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tracemill.sources.scratch import written
+
 
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
@@ -48,41 +50,73 @@ def fit_mse(y, x) -> Column:
     return F.when(F.var_pop(x) > 0, F.greatest(F.lit(0.0), F.var_pop(y) - F.try_divide(F.pow(F.covar_pop(y, x), F.lit(2.0)), F.var_pop(x)))).otherwise(F.lit(0.0))
 
 
-def average_ranks(counts: DataFrame, by: list[str], value: str, out: str, parts: int = 64) -> DataFrame:
-    """(by, value, out): rank of each distinct value in its group, ties sharing the mean of their places.
+def _same(by: list[str], one: str, two: str) -> list[Column]:
+    """Equality of columns of two aliased frames, nulls being equal."""
+    return [F.col(f"{one}.{c}").eqNullSafe(F.col(f"{two}.{c}")) for c in by]
+
 
-    counts has (by, value, n), one row for each distinct value. A group's values are dealt to parts by
-    range, so that no task sorts a whole group: a part's ranks begin after the rows of those before it.
+def placed(counts: DataFrame, by: list[str], value: str, parts: int = 64) -> DataFrame:
+    """(by, value, n, _part, _before, _total): how many rows of its group come before each distinct value, and how many there are.
+
+    counts has (by, value, n), one row for each distinct value, and is read three times. A group's values are dealt to parts by
+    range, so that no task sorts a whole group: a part's values begin after the rows of those before it.
     """
     edges = counts.groupBy(*by).agg(F.percentile_approx(value, [k / parts for k in range(1, parts)], 10_000).alias("_edges"))  # a bounded list for each group
-    dealt = counts.join(edges, by).withColumn("_part", F.size(F.filter("_edges", lambda e: e < F.col(value))))
-    sizes = dealt.groupBy(*by, "_part").agg(F.sum("n").alias("_m"))
-    earlier = F.coalesce(F.sum("_m").over(Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    begins = sizes.withColumn("_begin", earlier).drop("_m")
+    rows = counts.alias("c").join(edges.alias("e"), _same(by, "c", "e")).select("c.*", F.size(F.filter("e._edges", lambda e: e < F.col(f"c.{value}"))).alias("_part"))
+    sizes = rows.groupBy(*by, "_part").agg(F.sum("n").alias("_m"))
+    w = Window.partitionBy(*by)
+    earlier = F.coalesce(F.sum("_m").over(w.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    begins = sizes.withColumn("_begin", earlier).withColumn("_total", F.sum("_m").over(w)).drop("_m")
     run = Window.partitionBy(*by, "_part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    placed = dealt.withColumn("_in", F.coalesce(F.sum("n").over(run), F.lit(0))).join(begins, [*by, "_part"])
-    return placed.select(*by, value, (F.col("_begin") + F.col("_in") + (F.col("n") + 1) / 2.0).alias(out))
+    inside = rows.withColumn("_in", F.coalesce(F.sum("n").over(run), F.lit(0)))
+    joined = inside.alias("i").join(begins.alias("b"), _same([*by, "_part"], "i", "b"))
+    return joined.select("i.*", (F.col("b._begin") + F.col("i._in")).alias("_before"), "b._total").drop("_in")
 
 
-def spearman(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
-    """Rank correlation of each group with three pairs or more: (by, n, rho). Equal pairs are counted before they are ranked."""
-    kept = df.where(finite_pair(F.col(x).cast("double"), F.col(y).cast("double"))).groupBy(*by, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).agg(F.count("*").alias("n"))
-    ranks = [average_ranks(kept.groupBy(*by, c).agg(F.sum("n").alias("n")), by, c, r) for c, r in (("_x", "_rx"), ("_y", "_ry"))]
-    ranked = kept.join(ranks[0], [*by, "_x"]).join(ranks[1], [*by, "_y"])
-    n, mean = F.sum("n"), lambda c: F.sum(F.col("n") * F.col(c)) / F.sum("n")
-    centred = ranked.join(ranked.groupBy(*by).agg(mean("_rx").alias("_mx"), mean("_ry").alias("_my")), by).withColumn("_dx", F.col("_rx") - F.col("_mx")).withColumn("_dy", F.col("_ry") - F.col("_my"))
+def average_ranks(counts: DataFrame, by: list[str], value: str, out: str, parts: int = 64) -> DataFrame:
+    """(by, value, out): rank of each distinct value in its group, ties sharing the mean of their places; counts as for placed."""
+    return placed(counts, by, value, parts).select(*by, value, (F.col("_before") + (F.col("n") + 1) / 2.0).alias(out))
+
+
+def rank_correlations(kept: DataFrame, by: list[str]) -> DataFrame:
+    """(by, n, rho) from (by, _x, _y, n), the distinct pairs of values with their numbers; groups of three pairs or more.
+
+    Both sides are ranked in one pass. The mean of n average ranks is (n + 1) / 2, so no pass is needed for it.
+    """
+    kept = written(kept, "rank-pairs")
+    sides = F.array(*[F.struct(F.lit(s).alias("_side"), F.col(c).alias("_v")) for s, c in (("x", "_x"), ("y", "_y"))])
+    counts = written(kept.select(*by, F.explode(sides).alias("s"), "n").groupBy(*by, "s._side", "s._v").agg(F.sum("n").alias("n")), "rank-values")
+    at = placed(counts, [*by, "_side"], "_v")
+    ranks = written(at.select(*by, "_side", "_v", (F.col("_before") + F.col("n") / 2.0 - F.col("_total") / 2.0).alias("_d")), "ranks")  # from the mean
+    side = lambda s: ranks.where(F.col("_side") == s).alias(s)
+    one = kept.alias("k").join(side("x"), [*_same(by, "k", "x"), F.col("k._x") == F.col("x._v")]).select("k.*", F.col("x._d").alias("_dx"))
+    both = one.alias("k").join(side("y"), [*_same(by, "k", "y"), F.col("k._y") == F.col("y._v")]).select("k.*", F.col("y._d").alias("_dy"))
     weighted = lambda a, b: F.sum(F.col("n") * F.col(a) * F.col(b))
     spread = F.sqrt(weighted("_dx", "_dx") * weighted("_dy", "_dy"))
-    return centred.groupBy(*by).agg(n.cast("long").alias("n"), F.when(spread > 0, weighted("_dx", "_dy") / spread).alias("rho")).where("n >= 3")
+    return both.groupBy(*by).agg(F.sum("n").cast("long").alias("n"), F.when(spread > 0, weighted("_dx", "_dy") / spread).alias("rho")).where("n >= 3")
+
+
+def spearman(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
+    """Rank correlation of each group with three pairs or more: (by, n, rho). Equal pairs are counted before they are ranked."""
+    ok = finite_pair(F.col(x).cast("double"), F.col(y).cast("double"))
+    return rank_correlations(df.where(ok).groupBy(*by, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).agg(F.count("*").alias("n")), by)
 
 
 def holm(df: DataFrame, p: str, by: list[str], order: list[str], out: str = "p_holm") -> DataFrame:
-    """Step-down adjusted p-values within each group; ties are taken in the given order."""
-    w = Window.partitionBy(*by)
-    run = w.orderBy(p, *order)
-    m = F.count("*").over(w)
-    raw = F.col(p) * (m - F.row_number().over(run) + 1)
-    return df.withColumn("_raw", raw).withColumn(out, F.least(F.lit(1.0), F.max("_raw").over(run.rowsBetween(Window.unboundedPreceding, 0)))).drop("_raw")
+    """Step-down adjusted p-values within each group; df has each order once in a group.
+
+    Equal p-values have one adjusted value, that of the first of them in any order, so distinct values are counted, dealt to
+    ranges and joined back: no task holds a group, nor the rows of one value.
+    """
+    df = written(df, "holm")
+    counts = written(df.groupBy(*by, p).agg(F.count("*").alias("n")).where(F.col(p).isNotNull()), "holm-values")
+    at = written(placed(counts, by, p).withColumn("_raw", F.col(p) * (F.col("_total") - F.col("_before"))), "holm-placed")
+    tops = at.groupBy(*by, "_part").agg(F.max("_raw").alias("_top"))
+    before = tops.withColumn("_highest", F.max("_top").over(Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)))
+    run = Window.partitionBy(*by, "_part").orderBy(p).rowsBetween(Window.unboundedPreceding, 0)
+    inside = at.withColumn("_here", F.max("_raw").over(run)).alias("a").join(before.alias("t"), _same([*by, "_part"], "a", "t"))
+    final = inside.select(*[F.col(f"a.{c}") for c in [*by, p]], F.least(F.lit(1.0), F.greatest("a._here", "t._highest")).alias(out))
+    return df.alias("d").join(final.alias("f"), [*_same(by, "d", "f"), F.col(f"d.{p}") == F.col(f"f.{p}")], "left").select("d.*", F.col(f"f.{out}"))
 
 
 def _log_gamma(x: Column) -> Column:
@@ -196,9 +230,64 @@ def correlation_rows(wide: DataFrame, by: list[str], metrics: list[str]) -> Data
 
     p is adjusted within each group and method; pairs without a correlation are left out.
     """
-    pairs = [F.struct(F.lit(a).alias("metric_x"), F.lit(b).alias("metric_y"), F.col(a).alias("x"), F.col(b).alias("y")) for i, a in enumerate(metrics) for b in metrics[i + 1 :]]
-    cells = wide.select(*by, F.explode(F.array(*pairs)).alias("c")).select(*by, "c.*")
+    wide = written(wide.select(*by, *metrics), "correlations")
     linear = correlation_pairs(wide, by, metrics).withColumn("method", F.lit("pearson"))
-    ranked = spearman(cells, [*by, "metric_x", "metric_y"], "x", "y").withColumnRenamed("rho", "r").withColumn("method", F.lit("spearman"))
-    rows = linear.unionByName(ranked).where("r is not null").withColumn("p", correlation_p("r", "n"))
+    kept = _value_pairs(wide, by, metrics).groupBy(*by, "metric_x", "metric_y", "_x", "_y").agg(F.count("*").alias("n"))
+    return _with_p(linear, rank_correlations(kept, [*by, "metric_x", "metric_y"]), by)
+
+
+def _value_pairs(wide: DataFrame, by: list[str], metrics: list[str]) -> DataFrame:
+    pairs = [F.struct(F.lit(a).alias("metric_x"), F.lit(b).alias("metric_y"), F.col(a).cast("double").alias("_x"), F.col(b).cast("double").alias("_y")) for i, a in enumerate(metrics) for b in metrics[i + 1 :]]
+    return wide.select(*by, F.explode(F.array(*pairs)).alias("c")).select(*by, "c.*").where(finite_pair("_x", "_y"))
+
+
+def _with_p(linear: DataFrame, ranked: DataFrame, by: list[str]) -> DataFrame:
+    rows = linear.unionByName(ranked.withColumnRenamed("rho", "r").withColumn("method", F.lit("spearman"))).where("r is not null").withColumn("p", correlation_p("r", "n"))
     return holm(rows, "p", [*by, "method"], ["metric_x", "metric_y"]).select(*by, "method", "metric_x", "metric_y", "n", "r", "p", "p_holm")
+
+
+#: Families of conditions by the columns that they keep, and the suffixes for correctness.
+FAMILIES = {"unconditional": (), "by_dataset": ("dataset",), "by_model": ("model",), "by_dataset_model": ("dataset", "model")}
+SUFFIXES = {"": None, "__correct_only": True, "__incorrect_only": False}
+
+
+def condition_cells(families: dict[str, tuple[str, ...]] = FAMILIES, correct: str = "correct") -> Column:
+    """Array of (condition, grp) that a row of a dataset, model and correctness belongs to; a null correctness has no suffix of its own."""
+    out = []
+    for name, kept in families.items():
+        group = F.concat_ws("::", *[F.coalesce(c, F.lit("none")) for c in kept]) if kept else F.lit("all")
+        for suffix, want in SUFFIXES.items():
+            cell = F.struct(F.lit(name + suffix).alias("condition"), group.alias("grp"))
+            out.append(cell if want is None else F.when(F.col(correct) == F.lit(want), cell))
+    return F.array_compact(F.array(*out))
+
+
+def condition_correlations(wide: DataFrame, metrics: list[str], correct: str = "correct") -> DataFrame:
+    """(condition, grp, method, metric_x, metric_y, n, r, p, p_holm) for all families of conditions and all suffixes.
+
+    wide has dataset, model, correct and the metrics; it is read twice. Co-moments are summed once, for each dataset, model and
+    correctness, about the metrics' overall means; every condition adds up those of its cells. Ranks depend on a condition's
+    own rows, so pairs of values are counted for each cell first and carried up with their numbers.
+    """
+    fine = ["dataset", "model", correct]
+    wide = written(wide.select(*fine, *[F.col(m).cast("double").alias(m) for m in metrics]), "condition-input")
+    means = wide.agg(*[F.coalesce(F.avg(F.when(finite_pair(m, m), F.col(m))), F.lit(0.0)).alias(m) for m in metrics]).first()
+    pairs = [(a, b) for i, a in enumerate(metrics) for b in metrics[i + 1 :]]
+    aggs = []
+    for a, b in pairs:
+        ok = finite_pair(a, b)
+        x, y = (F.when(ok, F.col(m) - F.lit(means[m])) for m in (a, b))
+        sums = {"n": F.count(x).cast("double"), "sx": F.sum(x), "sy": F.sum(y), "sxx": F.sum(x * x), "syy": F.sum(y * y), "sxy": F.sum(x * y)}
+        aggs.append(F.struct(F.lit(a).alias("metric_x"), F.lit(b).alias("metric_y"), *[v.alias(k) for k, v in sums.items()]).alias(f"{a}|{b}"))
+    cells = wide.groupBy(*fine).agg(*aggs)
+    each = cells.select(F.explode(condition_cells(correct=correct)).alias("c"), F.array(*[F.col(f"`{a}|{b}`") for a, b in pairs]).alias("m")).select("c.*", F.explode("m").alias("m")).select("condition", "grp", "m.*")
+    by = ["condition", "grp"]
+    total = each.groupBy(*by, "metric_x", "metric_y").agg(*[F.sum(k).alias(k) for k in ("n", "sx", "sy", "sxx", "syy", "sxy")])
+    n = F.col("n")
+    vx, vy, cov = (F.col(a) / n - F.col(b) / n * (F.col(c) / n) for a, b, c in (("sxx", "sx", "sx"), ("syy", "sy", "sy"), ("sxy", "sx", "sy")))
+    flat = lambda v, s: v > 1e-13 * F.col(s) / n  # noqa: E731  what is left of a constant is rounding
+    r = F.when((n >= 3) & flat(vx, "sxx") & flat(vy, "syy"), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cov / F.sqrt(vx * vy))))
+    linear = total.select(*by, F.lit("pearson").alias("method"), "metric_x", "metric_y", n.cast("long").alias("n"), r.alias("r"))
+    kept = _value_pairs(wide, fine, metrics).groupBy(*fine, "metric_x", "metric_y", "_x", "_y").agg(F.count("*").alias("n"))
+    up = kept.select(F.explode(condition_cells(correct=correct)).alias("c"), "metric_x", "metric_y", "_x", "_y", "n").groupBy("c.condition", "c.grp", "metric_x", "metric_y", "_x", "_y").agg(F.sum("n").alias("n"))
+    return _with_p(linear, rank_correlations(up, [*by, "metric_x", "metric_y"]), by)

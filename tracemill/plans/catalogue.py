@@ -72,6 +72,14 @@ def _joined(spark, base, text_too: bool = False) -> DataFrame:
     return tr.with_metrics(known if text_too else known.drop("trace_text"), src.efficiency(spark, base), src.redundancy_scores(spark, base))
 
 
+def _measured(spark, base) -> DataFrame:
+    """The same metrics in one scan of the documents, without their texts: for statistics that need no join of artifacts."""
+    d, l = src.read_table(spark, base, "documents"), src.read_table(spark, base, "labels")
+    known = F.col("lang").isNotNull() & F.col("source").isNotNull()
+    one = d.select("doc_id", F.col("lang").alias("dataset"), F.col("source").alias("model"), F.when(known, text.count_tokens("text")).alias("token_count"), F.when(known, text.count_sentences("text")).alias("sentence_count"), F.when(known & (F.col("doc_id") % 7 != 0), F.col("n_chars") % 50 / 50.0).alias("redundancy_score"))
+    return one.join(l, "doc_id", "left").select("dataset", "model", F.col("doc_id").alias("trace_index"), F.col("quality").cast("double").alias("score"), "token_count", "sentence_count", "redundancy_score")
+
+
 # --- transfer utility ------------------------------------------------------------------------
 TOTALS = """select dataset, teacher_model, student_model, count(*) as total_questions, count(*) filter (regressions > 0) as regressed_questions, cast(sum(regressions) as bigint) as total_regressions,
   round(100.0e0 * count(*) filter (regressions > 0) / count(*), 6) as regression_percentage, round(cast(sum(regressions) as double) / count(*), 6) as avg_regressions_per_question
@@ -146,7 +154,7 @@ def _curve(spark, base) -> DataFrame:
 
 
 @query(f"""with {FX_PU}, {CURVE_PARTS} select dataset, model, cast(sum(n) as bigint) as total_count, round(avg(y), 6) as mean_accuracy,
-  {", ".join(f"case when count(*) >= 2 then round({FIT[k].format(x='x', y='y')}, 6) end as {k}" for k in ("slope", "r2", "mse"))},
+  {", ".join(f"case when count(*) >= 2 then round({FIT[k].format(x='x', y='y')}, 6) + 0 end as {k}" for k in ("slope", "r2", "mse"))},
   case when count(*) >= 2 then round(coalesce(sum(part) / nullif(max(x) - min(x), 0), 0), 6) end as auc from parts group by all""")
 def pu_leaderboard_curve(spark, base):
     return curves.leaderboard(_curve(spark, base))
@@ -159,7 +167,7 @@ def pu_leaderboard_regressions(spark, base):
 
 
 @query(f"""with {FX_PU}, {CURVE}, c as (select *, ln(x + 1) as lx from curve) select dataset, model, count(*) as points,
-  {", ".join(f"round({FIT[k].format(x=x, y='y')}, 6) as {k}_{kind}" for kind, x in (("linear", "x"), ("log", "lx")) for k in ("slope", "intercept", "mse", "r2"))} from c group by all having count(*) >= 3""")
+  {", ".join(f"round({FIT[k].format(x=x, y='y')}, 6) + 0 as {k}_{kind}" for kind, x in (("linear", "x"), ("log", "lx")) for k in ("slope", "intercept", "mse", "r2"))} from c group by all having count(*) >= 3""")
 def pu_curve_fit_log(spark, base):
     return curves.fits(_curve(spark, base))
 
@@ -231,7 +239,7 @@ def efficiency_by_model(spark, base):
     return tr.by_model(_joined(spark, base))
 
 
-@query(f"with {FX_JOINED} select dataset, count(*) as n, " + ", ".join(f"round(avg({c}), 6) as mean_{c}, round(stddev_samp({c}), 6) as std_{c}, round(avg(case when score > 0.5 then {c} end), 6) as mean_{c}_correct, round(avg(case when score <= 0.5 then {c} end), 6) as mean_{c}_incorrect, round({pearson_sql(f'cast({c} as double)', 'score')}, 6) as r_{c}_score" for c in ("token_count", "sentence_count", "redundancy_score")) + " from fx_joined group by all")
+@query(f"with {FX_JOINED} select dataset, count(*) as n, " + ", ".join(f"round(avg({c}), 6) as mean_{c}, round(stddev_samp({c}), 6) as std_{c}, round(avg(case when score > 0.5 then {c} end), 6) as mean_{c}_correct, round(avg(case when score <= 0.5 then {c} end), 6) as mean_{c}_incorrect, round({pearson_sql(f'cast({c} as double)', 'score')}, 6) + 0 as r_{c}_score" for c in ("token_count", "sentence_count", "redundancy_score")) + " from fx_joined group by all")
 def efficiency_stats(spark, base):
     return tr.length_stats(_joined(spark, base), ["token_count", "sentence_count", "redundancy_score"])
 
@@ -273,7 +281,7 @@ def bt_leaderboard(spark, base):
     return bt.leaderboard(tr.metadata(_joined(spark, base)), src.backtracking(spark, base), src.traces(spark, base))
 
 
-@query(f"with {BT}, c as (select *, case when score > 0.5 then 1.0e0 else 0.0e0 end as ok, cast(k as double) as kd from b) select dataset, count(*) as n, count(*) filter (hit = 1) as detected, round(avg(case when hit = 1 then kd end), 6) as avg_steps, cast(sum(ok) as bigint) as correct, round({pearson_sql('kd', 'ok')}, 6) as r from c group by all")
+@query(f"with {BT}, c as (select *, case when score > 0.5 then 1.0e0 else 0.0e0 end as ok, cast(k as double) as kd from b) select dataset, count(*) as n, count(*) filter (hit = 1) as detected, round(avg(case when hit = 1 then kd end), 6) as avg_steps, cast(sum(ok) as bigint) as correct, round({pearson_sql('kd', 'ok')}, 6) + 0 as r from c group by all")
 def bt_correlation(spark, base):
     return bt.correlation(src.backtracking(spark, base), src.traces(spark, base))
 
@@ -351,7 +359,7 @@ def _pu_rm(spark, base):
     return pu.trace_metrics_of_students(pu.trace_metrics(records)), tr.reward_pivot(src.rewards(spark, base), ["rm_a", "rm_b"]), ok
 
 
-@query(f"with {PU_RM} select condition, dataset, metric, count(*) as n, round({pearson_sql('value', 'rm_mean')}, 6) as r from cond where value is not null and rm_mean is not null group by all having count(*) >= 3")
+@query(f"with {PU_RM} select condition, dataset, metric, count(*) as n, round({pearson_sql('value', 'rm_mean')}, 6) + 0 as r from cond where value is not null and rm_mean is not null group by all having count(*) >= 3")
 def pu_rm_correlation(spark, base):
     return tr.utility_reward_correlation(*_pu_rm(spark, base), ["avg_correct", "linearity_mse", "regression_rate"])
 
@@ -364,7 +372,7 @@ STUDENT_P = """case when abs(r) >= 1 then 0.0e0 when (n - 2) % 2 = 0 then 1 - ab
 def holm_sql(by: str, order: str, columns: str) -> str:
     """From m (…, n, r): p, and p adjusted within by."""
     return f"""p as (select *, greatest(0.0e0, {STUDENT_P}) as p from m where r is not null), h as (select *, p * (count(*) over (partition by {by}) - row_number() over (partition by {by} order by p, {order}) + 1) as raw from p)
-select {columns}, n, round(r, 6) as r, round(p, 6) as p, round(least(1.0e0, max(raw) over (partition by {by} order by p, {order} rows between unbounded preceding and current row)), 6) as p_holm from h"""
+select {columns}, n, round(r, 6) + 0 as r, round(p, 6) as p, round(least(1.0e0, max(raw) over (partition by {by} order by p, {order} rows between unbounded preceding and current row)), 6) as p_holm from h"""
 
 
 @query(f"with {PU_RM}, m as (select condition, dataset, metric, count(*) as n, {pearson_sql('value', 'rm_mean')} as r from cond where value is not null and rm_mean is not null group by all having count(*) >= 3), {holm_sql('condition', 'dataset, metric', 'condition, dataset, metric')}")
@@ -376,7 +384,7 @@ def pu_rm_correlation_p(spark, base):
 METRICS = ["token_count", "sentence_count", "redundancy_score", "score"]
 
 
-@query(f"with {FX_JOINED}, g as (select dataset, token_count * 1.0e0 as token_count, sentence_count * 1.0e0 as sentence_count, redundancy_score, score from fx_joined union all select 'all', token_count * 1.0e0, sentence_count * 1.0e0, redundancy_score, score from fx_joined) " + " union all ".join(f"select dataset, '{a}' as metric_x, '{b}' as metric_y, count(*) filter ({a} is not null and {b} is not null) as n, round({pearson_sql(a, b)}, 6) as r from g group by dataset" for i, a in enumerate(METRICS) for b in METRICS[i + 1 :]))
+@query(f"with {FX_JOINED}, g as (select dataset, token_count * 1.0e0 as token_count, sentence_count * 1.0e0 as sentence_count, redundancy_score, score from fx_joined union all select 'all', token_count * 1.0e0, sentence_count * 1.0e0, redundancy_score, score from fx_joined) " + " union all ".join(f"select dataset, '{a}' as metric_x, '{b}' as metric_y, count(*) filter ({a} is not null and {b} is not null) as n, round({pearson_sql(a, b)}, 6) + 0 as r from g group by dataset" for i, a in enumerate(METRICS) for b in METRICS[i + 1 :]))
 def metric_correlation_long(spark, base):
     j = _joined(spark, base).select(F.explode(F.array("dataset", F.lit("all"))).alias("dataset"), *[F.col(m).cast("double").alias(m) for m in METRICS])
     return stats.correlation_pairs(j, ["dataset"], METRICS)
@@ -394,10 +402,41 @@ def correlation_conditions(spark, base):
     """Pearson and Spearman of all pairs of metrics with their p-values, for all traces, by dataset and by model."""
     cell = lambda c, g: F.struct(F.lit(c).alias("condition"), g.alias("grp"))
     cells = F.array(cell("unconditional", F.lit("all")), cell("by_dataset", F.coalesce("dataset", F.lit("none"))), cell("by_model", F.coalesce("model", F.lit("none"))))
-    j = _joined(spark, base).select(F.explode(cells).alias("c"), *[F.col(m).cast("double").alias(m) for m in METRICS]).select("c.*", *METRICS)
+    j = _measured(spark, base).select(F.explode(cells).alias("c"), *[F.col(m).cast("double").alias(m) for m in METRICS]).select("c.*", *METRICS)
     return stats.correlation_rows(j, ["condition", "grp"], METRICS)
 
 
+SERVED = {"eff_token_count": "token_count", "eff_sentence_count": "sentence_count", "red_redundancy_score": "redundancy_score", "trace_score": "score"}
+CONDITIONS = """g as (select * replace (coalesce(dataset, 'none') as dataset, coalesce(model, 'none') as model) from fx_joined), f as (select 'unconditional' as condition, 'all' as grp, g.* from g union all select 'by_dataset', dataset, g.* from g union all select 'by_model', model, g.* from g union all select 'by_dataset_model', dataset || '::' || model, g.* from g),
+hs as (select * from f union all select * replace (condition || '__correct_only' as condition) from f where score > 0.5 union all select * replace (condition || '__incorrect_only' as condition) from f where score <= 0.5)"""
+
+
+def _all_conditions_sql(names: dict[str, str], columns: str) -> str:
+    pairs = [(a, b) for i, a in enumerate(names) for b in list(names)[i + 1 :]]
+    return f"""with {FX_JOINED}, {CONDITIONS},
+c as (""" + " union all ".join(f"select condition, grp, '{a}' as metric_x, '{b}' as metric_y, cast({names[a]} as double) as x, cast({names[b]} as double) as y from hs where {names[a]} is not null and {names[b]} is not null" for a, b in pairs) + f"""),
+k as (select *, rank() over (partition by {PAIR} order by x) + (count(*) over (partition by {PAIR}, x) - 1) / 2.0e0 as rx, rank() over (partition by {PAIR} order by y) + (count(*) over (partition by {PAIR}, y) - 1) / 2.0e0 as ry from c),
+m as (select {PAIR}, 'pearson' as method, count(*) as n, {pearson_sql('x', 'y')} as r from k group by all union all select {PAIR}, 'spearman', count(*), {pearson_sql('rx', 'ry')} from k group by all), {holm_sql('condition, grp, method', 'metric_x, metric_y', columns)}"""
+
+
+def _by_condition(spark, base) -> DataFrame:
+    wide = _measured(spark, base).select("dataset", "model", (F.col("score") > 0.5).alias("correct"), *[F.col(c).alias(n) for n, c in SERVED.items()])
+    return stats.condition_correlations(wide, list(SERVED))
+
+
+@query(_all_conditions_sql(SERVED, PAIR + ", method"))
+def correlations_by_condition(spark, base):
+    """Pearson and Spearman of all pairs for all twelve kinds of conditions, from one sum of co-moments."""
+    return _by_condition(spark, base)
+
+
+@query(f"""select condition, grp, method, metric_x, metric_y, n, r, p, p_holm, replace(replace(metric_x, 'eff_', 'EFF: '), 'red_r', 'RED: r') as label_x, replace(replace(metric_y, 'eff_', 'EFF: '), 'red_r', 'RED: r') as label_y
+from ({_all_conditions_sql(SERVED, PAIR + ", method")}) where condition = 'by_dataset__correct_only' and grp = 'en'""")
+def correlations_served(spark, base):
+    """What one request for a dataset's correct traces gets, with labels."""
+    return serving.served_correlations(_by_condition(spark, base), "en", "all", "correct_only", list(SERVED))
+
+
 @query(f"with {FX_TRACES}, p as (select dataset, trace_index, (n_chars % 997 + 1) / 1000.0e0 as p from fx_traces), r as (select *, p * (count(*) over (partition by dataset) - row_number() over (partition by dataset order by p, trace_index) + 1) as raw from p) select dataset, trace_index, round(p, 6) as p, round(least(1.0e0, max(raw) over (partition by dataset order by p, trace_index rows between unbounded preceding and current row)), 6) as p_holm from r")
 def holm_adjust(spark, base):
     p = src.traces(spark, base).select("dataset", "trace_index", ((F.col("n_chars") % 997 + 1) / 1000.0).alias("p"))
@@ -406,9 +445,9 @@ def holm_adjust(spark, base):
 
 @query(f"""with {FX_JOINED}, k as (select dataset, cast(token_count as double) as x, cast(sentence_count as double) as y from fx_joined where token_count is not null and sentence_count is not null),
 r as (select dataset, rank() over (partition by dataset order by x) + (count(*) over (partition by dataset, x) - 1) / 2.0e0 as rx, rank() over (partition by dataset order by y) + (count(*) over (partition by dataset, y) - 1) / 2.0e0 as ry from k)
-select dataset, count(*) as n, round({pearson_sql('rx', 'ry')}, 6) as rho from r group by all having count(*) >= 3""")
+select dataset, count(*) as n, round({pearson_sql('rx', 'ry')}, 6) + 0 as rho from r group by all having count(*) >= 3""")
 def spearman_by_group(spark, base):
-    return stats.spearman(_joined(spark, base), ["dataset"], "token_count", "sentence_count")
+    return stats.spearman(_measured(spark, base), ["dataset"], "token_count", "sentence_count")
 
 
 @query(None)
@@ -484,7 +523,7 @@ def bt_latex_rows(spark, base):
     return bt.latex_rows(tab.withColumn("mean_steps", F.round("mean_steps", 2)))
 
 
-@query(f"with {FX_JOINED} " + " union all ".join(f"select dataset, '{a}' as metric_x, " + ", ".join(f"1.0e0 as {b}" if a == b else f"round({pearson_sql(*(f'cast({c} as double)' for c in sorted((a, b), key=METRICS.index)))}, 6) as {b}" for b in METRICS) + " from fx_joined group by dataset" for a in METRICS))
+@query(f"with {FX_JOINED} " + " union all ".join(f"select dataset, '{a}' as metric_x, " + ", ".join(f"1.0e0 as {b}" if a == b else f"round({pearson_sql(*(f'cast({c} as double)' for c in sorted((a, b), key=METRICS.index)))}, 6) + 0 as {b}" for b in METRICS) + " from fx_joined group by dataset" for a in METRICS))
 def correlation_matrix(spark, base):
     j = _joined(spark, base).select("dataset", *[F.col(m).cast("double").alias(m) for m in METRICS])
     return serving.square(stats.correlation_pairs(j, ["dataset"], METRICS), ["dataset"], METRICS)

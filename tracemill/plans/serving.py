@@ -45,6 +45,16 @@ def condition_key(dataset: str, model: str, correctness: str) -> tuple[str, str]
     return family + ("" if correctness == "all" else f"__{correctness}"), group
 
 
+def served_correlations(rows: DataFrame, dataset: str, model: str, correctness: str, metrics: list[str], name: str = "all") -> DataFrame:
+    """The rows of one condition among the metrics of a preset, with labels for reading."""
+    from tracemill.functions.text import metric_label
+
+    family, group = condition_key(dataset, model, correctness)
+    chosen = preset(metrics, name)
+    kept = rows.where((F.col("condition") == family) & (F.col("grp") == group) & F.col("metric_x").isin(*chosen) & F.col("metric_y").isin(*chosen))
+    return kept.withColumn("label_x", metric_label("metric_x")).withColumn("label_y", metric_label("metric_y"))
+
+
 #: Metrics of the core preset besides rewards.
 CORE = ("trace_score", "trace_correct", "pu_avg_correctness", "pu_linearity_mse", "pu_regression_rate")
 
