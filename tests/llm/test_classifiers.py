@@ -63,29 +63,38 @@ def test_tables_without_labels_still_score(spark):
 
 
 def by_definition(symbols):
-    """(role, weight) of each head, said directly: no automaton."""
-    out = []
+    """(place, clause, role, weight) of each head, said directly: no automaton."""
+    t, out = toxicity, []
     for k, s in enumerate(symbols):
-        begin = max([j + 1 for j in range(k) if symbols[j] == toxicity.BREAK], default=0)
-        end = min([j for j in range(k, len(symbols)) if symbols[j] == toxicity.BREAK], default=len(symbols))
-        weight = toxicity.NEGATED if toxicity.NEGATION in symbols[max(begin, k - toxicity.REACH) : k] else 1.0
-        weight *= toxicity.REPORTED if toxicity.REPORT in symbols[:k] else 1.0
-        after, before = symbols[k + 1 : end], symbols[begin:k]
-        if s == toxicity.INSULT:
-            out.append((2 if toxicity.TARGET in before + after else 1 if toxicity.PREDICATE in before else 0, weight))
-        elif s == toxicity.THREAT and toxicity.TARGET in after:
-            out.append((3, weight))
+        begin = max([j + 1 for j in range(k) if symbols[j] == t.BREAK], default=0)
+        end = min([j for j in range(k, len(symbols)) if symbols[j] == t.BREAK], default=len(symbols))
+        weight = t.NEGATED if t.NEGATION in symbols[max(begin, k - t.REACH) : k] else 1.0
+        weight *= t.REPORTED if t.REPORT in symbols[:k] else 1.0
+        before, clause = symbols[begin:k], symbols[:k].count(t.BREAK)
+        aimed = t.ADDRESS in before or any(a == t.TARGET and t.PREDICATE in before[i:] for i, a in enumerate(before))
+        if s == t.INSULT:
+            right_before = before[-1:] or [t.OTHER]
+            of = t.PREDICATE in before and t.TARGET not in before or right_before[0] == t.OWNER
+            out.append((k, clause, 2 if aimed or right_before[0] == t.TARGET else 1 if of else 0, weight))
+        elif s == t.THREAT and {t.TARGET, t.OWNER} & set(symbols[k + 1 : min(end, k + 1 + t.AHEAD)]):
+            out.append((k, clause, 3, weight * (t.FIGURED if t.FIGURATIVE in symbols[k + 1 : min(end, k + 1 + t.FIGURE)] else 1.0)))
     return out
 
 
 def test_composed_automaton_on_all_short_sentences():
     for n in range(1, 6):
-        for symbols in itertools.product(range(8), repeat=n):
-            if toxicity.INSULT in symbols or toxicity.THREAT in symbols:
-                assert toxicity.run_sentence(list(symbols), [0] * n, [1.0] * n) == by_definition(list(symbols))
+        for symbols in itertools.product(range(11), repeat=n):
+            if n < 5 and (toxicity.INSULT in symbols or toxicity.THREAT in symbols) or n == 5 and symbols[3] in (toxicity.INSULT, toxicity.THREAT) and symbols[0] > 1:
+                assert toxicity.matches(list(symbols), [0] * n, [1.0] * n) == by_definition(list(symbols)), symbols
     # words between symbols count as distance
-    run = lambda gap: toxicity.run_sentence([toxicity.NEGATION, toxicity.INSULT], [0, gap], [1.0, 1.0])
-    assert run(toxicity.REACH - 1) == [(0, toxicity.NEGATED)] and run(toxicity.REACH) == [(0, 1.0)]
+    run = lambda *x: [m[2:] for m in toxicity.matches([s for s, _ in x], [g for _, g in x], [1.0] * len(x))]
+    t = toxicity
+    assert run((t.NEGATION, 0), (t.INSULT, t.REACH - 1)) == [(0, t.NEGATED)] and run((t.NEGATION, 0), (t.INSULT, t.REACH)) == [(0, 1.0)]
+    assert run((t.THREAT, 0), (t.TARGET, t.AHEAD - 1)) == [(3, 1.0)] and run((t.THREAT, 0), (t.TARGET, t.AHEAD)) == []
+    assert run((t.TARGET, 0), (t.INSULT, 0)) == [(2, 1.0)] and run((t.TARGET, 0), (t.INSULT, 1)) == [(0, 1.0)]
+    # of the same words in a clause the strongest counts, and each clause counts its own
+    one = t.run_sentence([t.INSULT, t.TARGET, t.INSULT, t.INSULT, t.BREAK, t.INSULT], [0] * 6, [3.0] * 6, [5, 1, 5, 6, 0, 5])
+    assert sorted(one) == [(0, 3.0), (0, 3.0), (2, 3.0)]
 
 
 @pytest.mark.parametrize("labelled", [True, False])
@@ -100,6 +109,9 @@ def test_the_grammar_decides_whatever_the_labels(spark, words, labelled):
     assert plain >= 0.5 > told > negated > both
     assert (score("I will kill you", "we shall kill them all") >= 0.5).all()
     assert (score("I will not kill you", "he wrote: I will kill you", "kill", "kill time", "idiot", "the word is there", "") < 0.5).all()
+    harmless = score("This garbage collector frees your memory", "you should take out the trash", "Your fool-proof plan", "I will kill them with kindness", "kill your darlings", "idiot idiot idiot")
+    assert (harmless < 0.5).all()
+    assert (score("you're an idiot", "they are such an idiot", "I will murder every one of you") >= 0.5).all()
     assert score("you idiot")[0] >= score("the boss is idiot")[0] >= score("idiot")[0] > score("")[0]
     assert (model.weights >= 0).all()
 

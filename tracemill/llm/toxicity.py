@@ -1,15 +1,17 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
 A lexicon transducer turns words into symbols: insults (words and word beginnings, learned from
-labels), threats, targets, predicates, negations and marks of reported speech. Small weighted
-transducers follow a sentence: one remembers a recent negation, one reported speech, one what the
-clause has so far (a predicate, a target), and one, from the right, the targets still to come. Composed,
-they are one automaton that gives each insult or threat a role and a path weight, the product of the weights of its
-arcs: negation and reported speech only ever take weight away. A clause counts by its role: an insult
-aimed at a target most, one said of something less, a bare word least; a threat only with a
-target behind its verb. A text's score is a logistic in the sums of its clauses' weights, fitted to
+labels), threats, targets, possessives, predicates, negations, marks of reported speech, and what makes a
+threat a figure of speech. Small weighted transducers follow a sentence: one remembers a recent negation, one reported
+speech, one whether a target and then a predicate have come, two what stands right before a word, and, from the right, two
+a target and a figure of speech close ahead. Composed, they are one automaton that gives each insult or threat a role and a path
+weight, the product of the weights of its arcs: negation, reported speech and figures of speech only ever take weight away. An
+insult is aimed if it is said of a target (target, predicate, insult) or stands right behind one; it is said of something behind a
+predicate alone or a possessive; else it is a bare word, as are the parts of hyphenated words left out altogether. A threat counts
+with a target close behind its verb. In a clause a word counts once, by its strongest match, however often it is repeated.
+A text's score is a logistic in the sums of its clauses' weights, fitted to
 labels with weights that are never negative and keep the roles' order. A clause that is aimed
-carries a text over one half whatever the labels say, and a single bare word never does.
+carries a text over one half whatever the labels say, and a single bare word, repeated or not, never does.
 """
 
 from __future__ import annotations
@@ -27,19 +29,25 @@ from tracemill.llm.shingles import _BYTE, _power_tables, mix, shingle_sets
 #: Seed lexicons. Labels add insults, and weigh the seeds; without labels a seed counts SEED_WEIGHT, and nothing counts more.
 INSULTS = "idiot idiots moron morons imbecile stupid dumb dumbass fool loser losers scum filth filthy vermin worthless pathetic trash garbage disgusting clown cretin bastard bitch jerk pig coward freak idiote imbécile connard salaud crétin abruti ordure dummkopf trottel arschloch schwein abschaum idiota imbécil estúpido basura escoria cabrón".split()
 SEED_WEIGHT = 3.0
-TARGETS = "you your yours yourself u he she him her they them those these people tu vous toi votre vos ton tes ihr dich dir euch dein eure sie usted ustedes ti vosotros ellos ellas".split()
-PREDICATES = "is are was were am be been being you're he's she's they're it's est sont suis était êtes ist sind bist bin war waren eres es son soy somos era fue".split()
+TARGETS = "you yourself u he she him them they people tu vous toi te ihr dich dir euch sie usted ustedes ti vosotros ellos ellas".split()
+OWNERS = "your yours her his their these those votre vos ton tes dein deine eure tus vuestro".split()
+PREDICATES = "is are was were am be been being it's est sont suis était êtes es ist sind bist bin war waren eres son soy somos era fue".split()
+ADDRESSES = "you're he's she's they're youre".split()
 NEGATIONS = "not no never nobody nor without isn't aren't wasn't don't doesn't didn't won't can't cannot pas jamais ni sans nicht kein keine keinen nie niemals ohne nunca jamás sin".split()
 REPORTS = "said says say saying told tells called calls wrote writes claimed claims quoted quote alleged allegedly reported reportedly according dit disait écrit sagte sagt schrieb behauptet dijo dice escribió afirmó".split()
-THREATS = "kill killing murder strangle stab shoot lynch behead exterminate tuer tuerai töten umbringen erschießen matar mataré".split()
+THREATS = "kill killing murder murdering strangle strangling stab stabbing shoot shooting lynch behead beheading exterminate tuer tuerai tuerons töten umbringen erschießen matar mataré mataremos".split()
+#: What makes a threat a figure of speech.
+MILD = "kindness love laughter darlings joke jokes boredom curiosity gentillesse liebe lachen amabilidad risa".split()
 #: Words that a negation reaches over.
 REACH = 3
+#: Words within which a threat's target follows, and a figure of speech.
+AHEAD, FIGURE = 4, 6
 PREFIXES = (4, 5, 6, 7, 8)
 #: Bound on the training sample, rows of each label.
 PER_CLASS = 2500
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, PREDICATE, BREAK = range(8)
-#: Weights of the arcs that leave a negation behind, and reported speech.
-NEGATED, REPORTED = 0.15, 0.35
+OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, PREDICATE, BREAK, OWNER, ADDRESS, FIGURATIVE = range(11)
+#: Weights of the arcs that leave a negation behind, reported speech, and a figure of speech ahead.
+NEGATED, REPORTED, FIGURED = 0.15, 0.35, 0.15
 #: What a text's clauses are summed by; a threat without a target is nothing.
 ROLES = ("insult bare", "insult of something", "insult aimed", "threat aimed")
 #: The grammar's own weights, before labels, and how strongly they pull.
@@ -68,48 +76,72 @@ def _report(state: int, symbol: int) -> int:
     return 1 if symbol == REPORT else state
 
 
-def _role(state: int, symbol: int) -> int:
-    """What the clause has had: nothing, a predicate (1), a target (2)."""
-    return 0 if symbol == BREAK else 2 if symbol == TARGET else max(state, 1) if symbol == PREDICATE else state
+def _said(state: int, symbol: int) -> int:
+    """What the clause has had: nothing, a predicate (1), a target (2), a target and then a predicate (3)."""
+    if symbol in (BREAK, ADDRESS):
+        return 0 if symbol == BREAK else 3
+    if symbol == TARGET:
+        return max(state, 2)
+    return {0: 1, 2: 3}.get(state, state) if symbol == PREDICATE else state
 
 
-def _ahead(state: int, symbol: int) -> int:
-    """Read from the right: whether the clause still has a target to come."""
-    return 0 if symbol == BREAK else 1 if symbol == TARGET else state
+def _beside(state: int, symbol: int) -> int:
+    """What stands right before the next word: a target (2), a possessive (1), or neither."""
+    return {TARGET: 2, OWNER: 1}.get(symbol, 0)
 
 
-def compose() -> dict[tuple[tuple[int, int, int], int], tuple[tuple[int, int, int], float]]:
+def _ahead(state: tuple[int, int], symbol: int) -> tuple[int, int]:
+    """Read from the right: words within which a target is still close, and a figure of speech."""
+    if symbol == BREAK:
+        return 0, 0
+    target = AHEAD if symbol in (TARGET, OWNER) else max(0, state[0] - 1)
+    return target, FIGURE if symbol == FIGURATIVE else max(0, state[1] - 1)
+
+
+def compose() -> dict[tuple[tuple[int, int, int, int], int], tuple[tuple[int, int, int, int], float]]:
     """The product of the transducers that read from the left: (states, symbol) -> (states, weight of the path)."""
     table = {}
-    for n, r, c in itertools.product(range(REACH + 1), (0, 1), (0, 1, 2)):
-        for symbol in range(8):
+    for n, r, c, d in itertools.product(range(REACH + 1), (0, 1), range(4), range(3)):
+        for symbol in range(11):
             weight = (NEGATED if n else 1.0) * (REPORTED if r else 1.0)
-            table[(n, r, c), symbol] = (_negation(n, symbol), _report(r, symbol), _role(c, symbol)), weight
+            table[(n, r, c, d), symbol] = (_negation(n, symbol), _report(r, symbol), _said(c, symbol), _beside(d, symbol)), weight
     return table
 
 
 AUTOMATON = compose()
 
 
-def run_sentence(symbols: list[int], gaps: list[int], weights: list[float]) -> list[tuple[int, float]]:
-    """(role, weight) of each insult and threat that counts; gaps are the numbers of other words before each symbol."""
-    coming, ahead = [0] * len(symbols), 0
+def matches(symbols: list[int], gaps: list[int], weights: list[float]) -> list[tuple[int, int, int, float]]:
+    """(place, clause, role, weight) of each insult and threat that counts; gaps are the numbers of other words before each symbol."""
+    coming, ahead = [(0, 0)] * len(symbols), (0, 0)
     for k in range(len(symbols) - 1, -1, -1):
         coming[k] = ahead
         ahead = _ahead(ahead, symbols[k])
-    state, out = (0, 0, 0), []
-    for s, gap, w, target in zip(symbols, gaps, weights, coming):
+        for _ in range(min(gaps[k], FIGURE + 1)):
+            ahead = _ahead(ahead, OTHER)
+    state, out, clause = (0, 0, 0, 0), [], 0
+    for k, (s, gap, w, (target, figure)) in enumerate(zip(symbols, gaps, weights, coming)):
         for _ in range(min(gap, REACH + 1)):
             state, _ = AUTOMATON[state, OTHER]
-        had = state[2]
+        _, _, said, beside = state
         state, path = AUTOMATON[state, s]
+        clause += s == BREAK
         if s == INSULT:
-            out.append((2 if target or had == 2 else had, w * path))
+            out.append((k, clause, 2 if said == 3 or beside == 2 else 1 if said == 1 or beside == 1 else 0, w * path))
         elif s == THREAT and target:
-            out.append((3, w * path))
+            out.append((k, clause, 3, w * path * (FIGURED if figure else 1.0)))
     return out
 
 
+def run_sentence(symbols: list[int], gaps: list[int], weights: list[float], words: list[int]) -> list[tuple[int, float]]:
+    """(role, weight) of each distinct word that matches in each clause: its strongest match, by the grammar's own weights."""
+    best: dict[tuple[int, int], tuple[float, int, float]] = {}
+    for k, clause, role, w in matches(symbols, gaps, weights):
+        at = clause, words[k]
+        best[at] = max(best.get(at, (-1.0, 0, 0.0)), (float(PRIOR[role] * np.log1p(w)), role, w))
+    return [(role, w) for _, role, w in best.values()]
+
+
 # --- words -----------------------------------------------------------------------------------
 
 
@@ -121,7 +153,7 @@ def _hash_word(w: str) -> int:
 
 
 def _words(texts: pa.Array):
-    """(first, last, hashes of words, of their beginnings by length, first word of each text, sentence and clause of each word)."""
+    """(first, last, hashes of words, of their beginnings by length, first word of each text, sentence and clause of each word, parts of hyphenated words)."""
     for lo, hi, buf, off in text_chunks(texts):
         inside = _INSIDE[buf]
         first, last = inside.copy(), inside.copy()
@@ -139,7 +171,11 @@ def _words(texts: pa.Array):
             word = mix((run[ends] - run[starts]) * down[starts] + size)
             heads = {k: np.where(size > k, mix((run[np.minimum(starts + k, len(buf))] - run[starts]) * down[starts] + np.uint64(k + (1 << 32))), np.uint64(0)) for k in PREFIXES}
         stop, pause = np.cumsum(_STOP[buf]), np.cumsum(_PAUSE[buf])
-        yield lo, hi, word, heads, np.searchsorted(starts, off), stop[starts], pause[starts]
+        at, dash = np.searchsorted(starts, off), np.zeros(len(starts), bool)
+        tied = (starts[1:] - ends[:-1] == 1) & (buf[np.minimum(ends[:-1], len(buf) - 1)] == 45) if len(starts) else np.zeros(0, bool)
+        dash[1:] |= tied
+        dash[:-1] |= tied
+        yield lo, hi, word, heads, at, stop[starts], pause[starts], dash
 
 
 @dataclass
@@ -152,7 +188,7 @@ class ToxicityModel:
 
     def __post_init__(self):
         seeds = {}
-        for code, group in ((THREAT, THREATS), (PREDICATE, PREDICATES), (TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS)):
+        for code, group in ((THREAT, THREATS), (PREDICATE, PREDICATES), (OWNER, OWNERS), (TARGET, TARGETS), (ADDRESS, ADDRESSES), (NEGATION, NEGATIONS), (REPORT, REPORTS), (FIGURATIVE, MILD)):
             seeds |= {_hash_word(w): code for w in group}
         keys = np.array(sorted(seeds), np.uint64)
         self._tables = [(-1, keys, np.array([seeds[int(k)] for k in keys], float)), *((k, *v) for k, v in self.insults.items() if len(v[0]))]
@@ -185,23 +221,25 @@ class ToxicityModel:
     def features(self, texts: pa.Array) -> np.ndarray:
         """For each text and role: log(1 + summed weight of what its clauses match)."""
         total = np.zeros((len(texts), len(ROLES)))
-        for lo, hi, word, heads, at, stop, pause in _words(texts):
+        for lo, hi, word, heads, at, stop, pause, dash in _words(texts):
             sym, weight = self.symbols(word, heads)
+            sym[dash & (sym == INSULT)] = OTHER
             hits = np.flatnonzero((sym == INSULT) | (sym == THREAT))
             of = np.searchsorted(at, hits, side="right") - 1
             for i, c in sorted(set(zip(of.tolist(), stop[hits].tolist()))):
                 a = max(at[i], int(np.searchsorted(stop, c, side="left")))
                 b = min(at[i + 1], int(np.searchsorted(stop, c, side="right")))
-                symbols, gaps, weights, last, part = [], [], [], a - 1, pause[a]
+                symbols, gaps, weights, words, last, part = [], [], [], [], a - 1, pause[a]
                 for k in (a + np.flatnonzero(sym[a:b])).tolist():
                     if pause[k] != part:  # a clause ends, and its words are out of reach
                         last, part = max(last, a + int(np.searchsorted(pause[a:b], pause[k])) - 1), pause[k]
-                        symbols, gaps, weights = [*symbols, BREAK], [*gaps, 0], [*weights, 0.0]
+                        symbols, gaps, weights, words = [*symbols, BREAK], [*gaps, 0], [*weights, 0.0], [*words, 0]
                     symbols.append(int(sym[k]))
                     gaps.append(k - last - 1)
                     weights.append(float(weight[k]))
+                    words.append(int(word[k]))
                     last = k
-                for role, w in run_sentence(symbols, gaps, weights):
+                for role, w in run_sentence(symbols, gaps, weights, words):
                     total[lo + i, role] += w
         return np.log1p(total)
 
@@ -253,7 +291,7 @@ def _learn_insults(texts: pa.Array, y: np.ndarray, odds: float):
     label = np.zeros(len(y), np.int64)
     np.maximum.at(label, group, y)
     keys, owner = [], []
-    for lo, hi, word, heads, at, _, _ in _words(texts):
+    for lo, hi, word, heads, at, _, _, _ in _words(texts):
         of = group[np.repeat(np.arange(lo, hi), np.diff(at))]
         for tag, h in ((0, word), *heads.items()):
             ok = h != 0
