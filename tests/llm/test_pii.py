@@ -140,3 +140,48 @@ def test_columns_that_clash_pass_through(spark):
     df = spark.createDataFrame([(1, "to a1@b.example.com", 7, "s", "old")], "doc_id long, text string, n_email int, spans string, _id string")
     assert tuple(pii.redact(df, model).first()) == (1, "to [EMAIL]", 7, "s", "old")
     assert pii.find(df, pii.fit(df)).first()["n_email"] == 1
+
+
+def personal(rng, n):
+    """Texts with a value or two of each kind among other numbers."""
+    digits = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
+
+    def card():
+        d = digits(15)
+        return next(d + c for c in "0123456789" if pii._luhn(d + c))
+
+    say = lambda k: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 8))) for _ in range(k))
+    values = [lambda: f"{say(1)}{digits(2)}@{say(1)}.example.com", lambda: ".".join(str(rng.randrange(10, 256)) for _ in range(4)), card, lambda: f"+1 ({digits(3)}) 555-{digits(4)}", lambda: f"+{digits(11)}", lambda: digits(rng.randrange(1, 12)), lambda: say(1)]
+    return [". ".join(f"{say(4)} {rng.choice(values)()} {say(3)}" for _ in range(rng.randrange(1, 7))) + "." for _ in range(n)]
+
+
+def test_disguised_mentions_are_found_by_repeats(spark):
+    rng = random.Random(6)
+    model = pii.train(personal(rng, 1500))
+    got = pii.recovery(model, personal(rng, 400))
+    assert got["hidden"] > 200 and got["recall"] > 0.6 and got["precision"] > 0.9, got
+    assert model.ties[1] > pii.TIES[1]  # learned from the mentions that are alike
+    text, alone = "abc +12025550143 def. Some time on 12025550143 came up, and 98765432101 too.", "abc def. Some time on 12025550143 came up."
+    graphs = [pii.graph(text), pii.graph(alone)]
+    graphs[0].known = pii._labels(graphs[0], pii.base_spans(text))
+    said, lonely = model.marginals(graphs)
+    assert said[0, 4] > 0.99 and said[1, 4] > 0.6 > 0.4 > said[2, 4] and lonely[0, 4] < 0.1  # the same number, lifted by its sure mention alone
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(pii.disguised(t)[0] for t in personal(rng, 60))], "doc_id long, text string")
+    assert pii.find(df, model).agg({"n_added": "sum"}).first()[0] > 20
+
+
+def test_disguises_hide_from_base_patterns_and_repeat(spark):
+    for t in personal(random.Random(3), 200):
+        said, hidden = pii.disguised(t)
+        assert (said, hidden) == pii.disguised(t)
+        base = pii.base_spans(said)
+        assert not any(x < b and a < y for _, a, b in hidden for _, x, y in base)
+        assert len(said) >= len(t) and all(0 <= a < b <= len(said) for _, a, b in hidden)
+
+
+def test_tokens_have_no_greatest_length():
+    name = "a" * 400
+    text = f"x{'q' * 300}9{name}@{'h' * 300}.example.com|{'7' * 500}"
+    got = [text[a:b] for a, b in pii._tokens(text)]
+    assert any(t.endswith(f"{name}@{'h' * 300}.example.com") for t in got) and "7" * 500 in got
+    assert len(pii._shape("a1" * 100)) > 100

@@ -4,8 +4,10 @@ Base spans are e-mail, ip, card and phone numbers by fixed patterns and checks.
 the tokens of a document that hold a digit, "@" or "+". Each has a potential from its shape and its
 neighbours' shapes; neighbours share a transition potential; tokens that are the same, or alike in
 all but their marks, are tied to one shared cluster variable however far apart, so that one
-occurrence that is sure lifts all others. All weights, those of transitions and ties too, are learned together by the
-pseudo-likelihood of the field, from the base spans of a bounded sample of texts. Inference
+occurrence that is sure lifts all others. Tokens of a number that spaces part are tied by the whole number too. All weights, those of
+transitions and ties too, are learned together by the pseudo-likelihood of the field, from the base spans of a bounded sample of texts and from
+copies of those texts in which further mentions of the same values are disguised, so that no base pattern finds them, among
+decoys of the same shape: what a shape alone says of them is little, what a sure mention elsewhere says is much. Inference
 is loopy message passing on the graphs of many documents at once. Tokens that it labels with high
 probability become further spans; base spans always stay.
 """
@@ -13,7 +15,9 @@ probability become further spans; base spans always stay.
 from __future__ import annotations
 
 import hashlib
+import random
 import re
+import zlib
 from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
 from itertools import accumulate
@@ -32,23 +36,30 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: A word with a digit, "@" or "+"; tried only where a word begins, so linear in long runs.
 _TOKEN = re.compile(r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@+]*[0-9@+][^\x20\x09-\x0D]*")
-#: Longest token of the field; a longer run is split at marks that no kind has inside.
+#: A run longer than this is taken apart into addresses and numbers, each as long as it is.
 LONGEST = 256
 _INSIDE = re.compile(r"[A-Za-z0-9._%+@()-]+")
-#: Within a part that letters run into: an address, or a number between letters.
-_INNER = re.compile(r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9.-]{1,190}|[+(]?[0-9][0-9().+-]*")
+#: Within a part that letters run into: a number between letters, and what follows the "@" of an address.
+_NUMBER = re.compile(r"[+(]?[0-9][0-9().+-]*")
+_HOST = re.compile(r"@[A-Za-z0-9.-]+")
 _WORD_BEFORE = re.compile(r"([^\x20\x09-\x0D]{1,12})[\x20\x09-\x0D]+$")
 _WORD_AFTER = re.compile(r"[\x20\x09-\x0D]+([^\x20\x09-\x0D]{1,12})")
-_EDGE = re.compile(r"^[^A-Za-z0-9+(]+|[^A-Za-z0-9)]+$")
+_BEGINS, _ENDS = re.compile(r"[A-Za-z0-9+(]"), re.compile(r"[A-Za-z0-9)]")
 _MARK = np.zeros(256, bool)
 _MARK[48:58] = _MARK[ord("@")] = _MARK[ord("+")] = True
 #: Bound on the training sample, texts.
 SAMPLE = 6000
 BUCKETS = 1 << 12
 #: Where the skip potentials of equal and of alike tokens start from, and the range that learning may move them in.
-TIES, LOOSEST, TIGHTEST = (2.0, 1.0), 0.25, 4.0
+TIES, LOOSEST, TIGHTEST = (2.0, 1.0), 0.25, 8.0
+#: Least length of a token, or of a whole number, that ties its mentions.
+TIED = 6
+#: Gradient steps of a fit.
+STEPS = 600
 #: The marginal that makes a span.
-SURE = 0.95
+SURE = 0.8
+#: Potential of the label that a base span gives its tokens: those are observed, whatever their shape.
+OBSERVED = 12.0
 #: Messages are passed until none of a text changes by more than SETTLED; loops that never settle stop at MOST_ROUNDS.
 SETTLED, MOST_ROUNDS = 1e-3, 1000
 LABELS = 1 + len(KINDS)
@@ -106,7 +117,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def _shape(s: str) -> str:
     """Runs of digits, letters and marks, with the digits' number up to 20."""
     out, i = [], 0
-    while i < len(s) and len(out) < 24:
+    while i < len(s):
         j, c = i, s[i]
         k = "9" if "0" <= c <= "9" else "a" if c.isalpha() else c
         while j < len(s) and ("9" if "0" <= s[j] <= "9" else "a" if s[j].isalpha() else s[j]) == k:
@@ -133,13 +144,13 @@ class _Graph:
     skips: list[tuple[int, int, int]]
     hubs: int = 0
     groups: tuple[list[int], list[int]] = ((), ())
+    known: np.ndarray | None = None  # labels that base spans give, 0 where they give none
 
 
 def _tokens(text: str):
     """Spans of the field's tokens, in order; long runs (data, prose without spaces) come in parts.
 
-    A part without an address is split where letters and digits meet. What is left longer than
-    LONGEST is digits or one name throughout, which no kind is.
+    Of a run longer than LONGEST the addresses are tokens, each from the last part's end on, and the numbers between them.
     """
     for m in _TOKEN.finditer(text):
         a, b = m.span()
@@ -147,9 +158,15 @@ def _tokens(text: str):
             yield a, b
             continue
         for run in _INSIDE.finditer(text, a, b):
-            for part in _INNER.finditer(text, *run.span()):
-                if part.end() - part.start() <= LONGEST:
-                    yield part.span()
+            last, end = run.span()
+            for host in _HOST.finditer(text, last, end):
+                begin = host.start()
+                while begin > last and _LOCAL.match(text[begin - 1]):
+                    begin -= 1
+                yield from (n.span() for n in _NUMBER.finditer(text, last, begin))
+                yield begin, host.end()
+                last = host.end()
+            yield from (n.span() for n in _NUMBER.finditer(text, last, end))
 
 
 def graph(text: str) -> _Graph:
@@ -157,10 +174,12 @@ def graph(text: str) -> _Graph:
     spans, shapes, forms = [], [], []
     for a, b in _tokens(text):
         t = text[a:b]
-        lead = _EDGE.sub("", t)
-        if not lead:
+        first, k = _BEGINS.search(t), len(t)
+        while first and k > first.start() and not _ENDS.match(t[k - 1]):
+            k -= 1
+        if not first or k <= first.start():
             continue
-        k = t.find(lead)
+        lead, k = t[first.start() : k], first.start()
         spans.append((a + k, a + k + len(lead)))
         shapes.append(_shape(lead))
         forms.append(lead)
@@ -181,7 +200,7 @@ def graph(text: str) -> _Graph:
         feats.append(f)
         if beside:
             chain.append((i - 1, i))
-        if len(t) >= 6:
+        if len(t) >= TIED:
             equal.setdefault(t.lower(), []).append(i)
     hubs, alike = 0, {}
     same, near = [-1] * len(spans), [-1] * len(spans)
@@ -194,11 +213,22 @@ def graph(text: str) -> _Graph:
             for i in members:
                 same[i] = g
         key = re.sub(r"[^0-9a-z]", "", form)
-        if len(key) >= 6:
+        if len(key) >= TIED:
             alike.setdefault(key, []).append((node, members))
+    # numbers that spaces part: each of their tokens is tied by the whole number as well
+    i = 0
+    while i < len(spans):
+        j = i
+        while j + 1 < len(spans) and spans[j + 1][0] - spans[j][1] == 1 and not any(c.isalpha() for c in forms[j] + forms[j + 1]):
+            j += 1
+        if j > i:
+            key = re.sub(r"[^0-9]", "", "".join(forms[i : j + 1]))
+            if len(key) >= TIED:
+                alike.setdefault(key, []).extend((k, [k]) for k in range(i, j + 1))
+        i = j + 1
     for g, members in enumerate(alike.values()):
         if len(members) > 1:
-            skips.extend((node, len(spans) + hubs, 1) for node, _ in members)
+            skips.extend((node, len(spans) + hubs, 1) for node in dict.fromkeys(n for n, _ in members))
             hubs += 1
             for _, tokens in members:
                 for i in tokens:
@@ -244,6 +274,10 @@ class SkipChainCrf:
         phi = np.zeros((n, LABELS))
         token = np.concatenate([np.arange(b, b + len(g.spans)) for b, g in zip(base, graphs)]).astype(np.int64)
         phi[token] = np.array([self.unary[f].sum(axis=0) for g in graphs for f in g.features]) + self.bias
+        for b, g in zip(base, graphs):
+            if g.known is not None:
+                sure = np.flatnonzero(g.known)
+                phi[b + sure, g.known[sure]] += OBSERVED
         src, dst, psi, owner = [], [], [], []
         tied = [_half(force) * np.eye(LABELS) for force in self.ties]
         for k, (b, g) in enumerate(zip(base, graphs)):
@@ -284,6 +318,8 @@ class SkipChainCrf:
     def spans(self, texts: list[str]) -> list[tuple[list, list]]:
         """For each text: base spans, and all spans (base ones and the field's), by kind, then start."""
         bases, graphs = [base_spans(t) for t in texts], [graph(t) for t in texts]
+        for g, base in zip(graphs, bases):
+            g.known = _labels(g, base)
         out = []
         for text, base, g, p in zip(texts, bases, graphs, self.marginals(graphs)):
             more: list[tuple[int, int, int]] = []
@@ -320,13 +356,68 @@ def _others(group: np.ndarray, y: np.ndarray, within: np.ndarray | None = None)
     return out
 
 
+def _disguise(kind: int, value: str, rng: random.Random) -> str:
+    """A value as no base pattern finds it: without its "+", or with another mark in one place."""
+    if kind == 3:
+        return re.sub(r"[\x20().]", rng.choice(["", "-", "/"]), value[1:])
+    if kind == 2:
+        digits = re.sub(r"[^0-9]", "", value)
+        return rng.choice([f"{digits[:4]}.{digits[4:8]}.{digits[8:]}", f"{digits[:4]}_{digits[4:]}", value.replace(" ", "/").replace("-", "/") if not value.isdigit() else f"{digits[:8]}/{digits[8:]}"])
+    k = value.rfind("@" if kind == 0 and rng.random() < 0.5 else ".")
+    return value[:k] + rng.choice(["@@"] if value[k] == "@" else [",", "_"]) + value[k + 1 :]
+
+
+def disguised(text: str) -> tuple[str, list[tuple[int, int, int]]]:
+    """(text with further mentions of its values, disguised, and as many decoys; the spans of those mentions). The same for equal texts."""
+    base = base_spans(text)
+    if not base:
+        return text, []
+    rng = random.Random(zlib.crc32(text.encode("utf-8", "replace")))
+    gaps = [m.start() for m in re.finditer(r"(?<=[a-z.,]) (?=[A-Za-z])", text)]
+    gaps = [g for g in gaps if not any(a <= g < b for _, a, b in base)]
+    new = []
+    for kind, a, b in rng.sample(base, min(3, len(base))) if gaps else ():
+        for real in (True, False):
+            value = _disguise(kind, text[a:b], rng)
+            if not real:
+                value = "".join(rng.choice("0123456789") if "0" <= c <= "9" else rng.choice("abcdefghijklmnopqrstuvwxyz") if c.isalpha() and kind == 0 else c for c in value)
+            new.append((rng.choice(gaps), kind, value, real))
+    out, hidden, at, size = [], [], 0, 0
+    for gap, kind, value, real in sorted(new):
+        out += [text[at:gap], ", ", value, ","]
+        size += gap - at + 2
+        if real:
+            hidden.append((kind, size, size + len(value)))
+        size += len(value) + 1
+        at = gap
+    said = "".join(out) + text[at:]
+    taken = _covers(base_spans(said))
+    return said, [h for h in hidden if not taken(h[1], h[2])]
+
+
+def recovery(model: SkipChainCrf, texts: list[str]) -> dict[str, float]:
+    """How many disguised mentions the field finds, and how many of what it adds are such mentions."""
+    found = total = added = right = 0
+    for t in texts:
+        said, hidden = disguised(t)
+        if hidden:
+            (base, full), = model.spans([said])
+            more = [x for x in full if x not in set(base)]
+            hit = _covers(hidden)
+            total, added = total + len(hidden), added + len(more)
+            found += sum(any(k == kind and x < b and a < y for k, x, y in more) for kind, a, b in hidden)
+            right += sum(hit(a, b) for _, a, b in more)
+    return {"hidden": total, "added": added, "recall": found / max(1, total), "precision": right / max(1, added)}
+
+
 def train(texts: list[str]) -> SkipChainCrf:
-    """Fit unary, transition and tie weights to base spans by pseudo-likelihood: each label given all others."""
+    """Fit unary, transition and tie weights by pseudo-likelihood, each label given all others, to texts and to copies with disguised mentions."""
     graphs, ys = [], []
     for t in texts:
-        if t and (g := graph(t)).spans:
-            graphs.append(g)
-            ys.append(_labels(g, base_spans(t)))
+        for said, hidden in [(t, []), *([disguised(t)] if t else [])]:
+            if said and (said is t or hidden) and (g := graph(said)).spans:
+                graphs.append(g)
+                ys.append(_labels(g, base_spans(said) + hidden))
     unary, bias, transition, ties = np.zeros((BUCKETS, LABELS)), np.zeros(LABELS), np.zeros((LABELS, LABELS)), np.array(TIES)
     bias[0] = 2.0
     if not graphs:
@@ -341,7 +432,7 @@ def train(texts: list[str]) -> SkipChainCrf:
     left, right = np.zeros((len(y), LABELS)), np.zeros((len(y), LABELS))  # the neighbours' labels
     left[chain[:, 1]], right[chain[:, 0]] = onehot[y[chain[:, 0]]], onehot[y[chain[:, 1]]]
     seen, seen_t, seen_s = np.full(unary.shape, 1e-8), np.full(transition.shape, 1e-8), np.full(2, 1e-8)
-    for _ in range(80):
+    for _ in range(STEPS):
         z = unary[f].sum(axis=1) + bias + left @ transition + right @ transition.T + ties[0] * share[0] + ties[1] * share[1]
         p = np.exp(z - z.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
@@ -352,9 +443,9 @@ def train(texts: list[str]) -> SkipChainCrf:
         g = left.T @ p + (right.T @ p).T + 0.5 * transition
         seen_t += g * g
         transition -= 0.2 * g / np.sqrt(seen_t)
-        g = np.array([(p * s).sum() for s in share]) + 2.0 * (ties - np.array(TIES))
+        g = np.array([(p * s).sum() for s in share]) + 0.5 * (ties - np.array(TIES))
         seen_s += g * g
-        ties = np.clip(ties - 0.2 * g / np.sqrt(seen_s), LOOSEST, TIGHTEST)
+        ties = np.clip(ties - 0.5 * g / np.sqrt(seen_s), LOOSEST, TIGHTEST)
     return SkipChainCrf(unary, bias, np.clip(transition, -2, 2), tuple(float(t) for t in ties))
 
 
