@@ -207,6 +207,12 @@ def bootstrap_ci(df: DataFrame, by: list[str], x: str, y: str, order: list[str],
         yield from given()
 
     drawn = rows.mapInPandas(moments, schema).groupBy(*by, "_b").agg(*[F.sum(c).alias(c) for c in sums]).where("_w > 0")
+    return _interval(df, drawn, centre, by)
+
+
+def _interval(df: DataFrame, drawn: DataFrame, centre: DataFrame, by: list[str]) -> DataFrame:
+    """(by, n, lo, hi) of every group of df from the moments of its resamples (by, _b, _w, _sx, …) and its number of pairs."""
+    same = lambda a, b: _same(by, a, b)
     cov = lambda ab, a, b: F.col(ab) / F.col("_w") - F.col(a) / F.col("_w") * (F.col(b) / F.col("_w"))
     vx, vy = cov("_sxx", "_sx", "_sx"), cov("_syy", "_sy", "_sy")
     r = F.when((vx > 0) & (vy > 0), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cov("_sxy", "_sx", "_sy") / F.sqrt(vx * vy))))
@@ -215,6 +221,67 @@ def bootstrap_ci(df: DataFrame, by: list[str], x: str, y: str, order: list[str],
     return groups.select(*[F.col(f"g.{c}") for c in by], F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.col("_q")[0].alias("lo"), F.col("_q")[1].alias("hi"))
 
 
+#: Distinct pairs that a leaf of a group's tree should hold.
+LEAF = 512
+
+
+def resample_moments(pairs: DataFrame, by: list[str], resamples: int, seed: int, leaf: int = LEAF) -> DataFrame:
+    """(by, _b, _w, _sx, _sy, _sxx, _syy, _sxy): moments of resamples with as many draws as the group has pairs, exactly.
+
+    pairs has (by, _x, _y, m), distinct pairs with their numbers. A group's pairs are the leaves of a binary tree over their
+    hash. At each node the draws are split between its halves by a binomial that hangs on the seed, the group and the node
+    alone, so that every leaf finds its own share from the counts on its path, without the others; it then draws among its pairs.
+    """
+    depth = pairs.groupBy(*by).agg(F.greatest(F.lit(0), F.ceil(F.log2(F.count("*") / leaf))).cast("int").alias("_depth"), F.sum("m").alias("_n"))
+    held = written(pairs.alias("p").join(depth.alias("d"), _same(by, "p", "d")).select("p.*", "d._depth", "d._n", F.shiftrightunsigned(F.xxhash64("p._x", "p._y", F.lit(5)), 1).alias("_h")).withColumn("_leaf", F.when(F.col("_depth") > 0, F.expr("shiftright(_h, 63 - _depth)")).otherwise(F.lit(0).cast("long"))), "leaves")
+    sizes = held.groupBy(*by, "_depth", "_n", "_leaf").agg(F.sum("m").alias("_m"))
+    nodes = sizes.withColumn("_level", F.explode(F.sequence(F.lit(0), F.col("_depth")))).groupBy(*by, "_level", F.expr("shiftright(_leaf, _depth - _level)").alias("_node")).agg(F.sum("_m").alias("_m"))
+    nodes = written(nodes, "nodes")
+    # for each leaf and level above it: the rows of the node, and of its left half
+    path = sizes.drop("_m").where("_depth > 0").withColumn("_level", F.explode(F.sequence(F.lit(0), F.col("_depth") - 1))).withColumn("_node", F.expr("shiftright(_leaf, _depth - _level)"))
+    at = path.alias("p").join(nodes.alias("n"), [*_same(by, "p", "n"), F.col("p._level") == F.col("n._level"), F.col("p._node") == F.col("n._node")]).select("p.*", F.col("n._m").alias("_all"))
+    left = at.alias("p").join(nodes.alias("n"), [*_same(by, "p", "n"), F.col("p._level") + 1 == F.col("n._level"), F.col("p._node") * 2 == F.col("n._node")], "left").select("p.*", F.coalesce("n._m", F.lit(0)).alias("_half"))
+    steps = left.groupBy(*by, "_leaf").agg(F.array_sort(F.collect_list(F.struct("_level", "_node", "_all", "_half"))).alias("_path"))  # one entry for each level
+    rows = held.alias("h").join(steps.alias("s"), [*_same(by, "h", "s"), F.col("h._leaf") == F.col("s._leaf")], "left").select("h.*", "s._path", F.xxhash64(F.lit(seed), *[F.col(f"h.{c}") for c in by]).alias("_g"))
+    sums = ["_w", "_sx", "_sy", "_sxx", "_syy", "_sxy"]
+    schema = ", ".join([*(f"`{c}` {t}" for c, t in pairs.select(*by).dtypes), "_b int", *(f"{c} double" for c in sums)])
+
+    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["_x", "_y"])
+        first = pdf.iloc[0]
+        draws = np.full(resamples, int(first["_n"]), np.int64)
+        key = int(first["_g"]) & (2**64 - 1)
+        path = first["_path"] if first["_path"] is not None else []
+        for k, step in enumerate(path):
+            rng = np.random.default_rng([key, int(step["_level"]), int(step["_node"])])
+            half = rng.binomial(draws, step["_half"] / step["_all"])
+            right = (int(first["_leaf"]) >> (len(path) - 1 - k)) & 1
+            draws = draws - half if right else half
+        m = pdf["m"].to_numpy().astype(float)
+        rng = np.random.default_rng([key, 1 << 20, int(first["_leaf"])])
+        a, b = pdf["_x"].to_numpy(), pdf["_y"].to_numpy()
+        cols = np.stack([np.ones(len(a)), a, b, a * a, b * b, a * b], axis=1)
+        got = np.concatenate([rng.multinomial(draws[lo : lo + 256], m / m.sum()) @ cols for lo in range(0, resamples, 256)])
+        out = pd.DataFrame(got, columns=sums).assign(_b=np.arange(resamples, dtype=np.int32))
+        for c in by:
+            out[c] = first[c]
+        return out[[*by, "_b", *sums]]
+
+    return rows.groupBy(*by, "_leaf").applyInPandas(draw, schema).groupBy(*by, "_b").agg(*[F.sum(c).alias(c) for c in sums])
+
+
+def bootstrap_exact(df: DataFrame, by: list[str], x: str, y: str, resamples: int = 2000, seed: int = 0, leaf: int = LEAF) -> DataFrame:
+    """(by, n, lo, hi): 95 % bootstrap interval of each group's correlation, with n draws in every resample; null under five pairs.
+
+    bootstrap_ci draws a Poisson number of times instead, in one pass less. Pairs that are no finite numbers take no part.
+    """
+    pairs = df.where(finite_pair(F.col(x).cast("double"), F.col(y).cast("double"))).select(*by, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
+    centre = pairs.groupBy(*by).agg(F.count("*").alias("n"), F.avg("_x").alias("_mx"), F.avg("_y").alias("_my"))
+    about = pairs.alias("p").join(centre.where("n >= 5").alias("c"), _same(by, "p", "c")).select(*[F.col(f"p.{c}") for c in by], (F.col("_x") - F.col("_mx")).alias("_x"), (F.col("_y") - F.col("_my")).alias("_y"))
+    counted = written(about.groupBy(*by, "_x", "_y").agg(F.count("*").alias("m")), "pairs")
+    return _interval(df, resample_moments(counted, by, resamples, seed, leaf), centre, by)
+
+
 def correlation_pairs(wide: DataFrame, by: list[str], metrics: list[str]) -> DataFrame:
     """(by, metric_x, metric_y, n, r) of every pair of metrics, in long form; one pass over the table."""
     pairs = [(a, b) for i, a in enumerate(metrics) for b in metrics[i + 1 :]]

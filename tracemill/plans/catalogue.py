@@ -456,6 +456,13 @@ def bootstrap_ci(spark, base):
     return stats.bootstrap_ci(per.join(wide.select(*S.KEY, "rm_mean"), list(S.KEY)), ["dataset"], "avg_correct", "rm_mean", ["model", "trace_index"])
 
 
+@query(None)
+def bootstrap_exact(spark, base):
+    """Intervals from resamples that all have as many draws as there are pairs."""
+    per, wide, _ = _pu_rm(spark, base)
+    return stats.bootstrap_exact(per.join(wide.select(*S.KEY, "rm_mean"), list(S.KEY)), ["dataset"], "avg_correct", "rm_mean")
+
+
 # --- text ------------------------------------------------------------------------------------
 @query(f"""with {FX_TRACES}, s as (select trace_index, {SENTENCES} as n from fx_traces) select trace_index, cast(n as bigint) as n_sentences, cast(unnest(list_sort(list_distinct(list_append(range(0, greatest(n - 1, 0) + 1, 3), greatest(n - 1, 0))))) as bigint) as num_steps from s""")
 def prefix_sample_points(spark, base):
