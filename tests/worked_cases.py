@@ -24,23 +24,3 @@ CASES = {
     },
     "vector_matrices": {"schema": "id int, vec string", "out": {"matrix": "varchar"}, "rows": [(("{1,2}",), ("\\begin{pmatrix}1\\2\\end{pmatrix}",)), (("none",), ("",))]},
 }
-
-
-def _sql(value) -> str:
-    if value is None:
-        return "null"
-    if isinstance(value, bool):
-        return str(value).lower()
-    if isinstance(value, float):
-        return f"{value!r}e0"
-    if isinstance(value, int):
-        return str(value)
-    return "'" + value.replace("'", "''") + "'"
-
-
-def twin(case: dict) -> str:
-    """The expected rows as SQL."""
-    names = list(case["out"])
-    rows = ", ".join("(" + ", ".join([str(i), *map(_sql, r[1])]) + ")" for i, r in enumerate(case["rows"]))
-    casts = ", ".join(f"cast({n} as {t}) as {n}" for n, t in case["out"].items())
-    return f"select cast(id as integer) as id, {casts} from (values {rows}) v(id, {', '.join(names)})"

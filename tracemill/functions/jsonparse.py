@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from tracemill.functions.text import strip
+from tracemill.functions.text import let, strip
 
 _STEP = "struct<step_number:string,reason:string,reasoning:string,original_claim:string,contradiction_found:string,correction_made:string>"
 _VERDICT = "struct<backtracking_detected:string,final_answer:string,backtracking_steps:string,confidence:string,overall_reasoning:string>"
@@ -12,10 +12,15 @@ _VERDICT = "struct<backtracking_detected:string,final_answer:string,backtracking
 
 def loose_json(x) -> Column:
     """The JSON object in a model's reply: a fenced block if there is one, from the first to the last brace."""
-    t = strip(F.col(x) if isinstance(x, str) else x)
-    fenced = F.when(F.instr(t, "```json") > 0, strip(F.substring_index(F.substring(t, F.instr(t, "```json") + 7, F.length(t)), "```", 1))).when(t.startswith("```"), strip(F.try_element_at(F.split(t, "```"), F.lit(2)))).otherwise(t)
-    a, b = F.instr(fenced, "{"), F.length(fenced) - F.instr(F.reverse(fenced), "}") + 1
-    return F.when((a > 0) & (F.instr(fenced, "}") > 0) & (b > a), F.substring(fenced, a, b - a + 1)).otherwise(fenced)
+
+    def fenced(t: Column) -> Column:
+        return F.when(F.instr(t, "```json") > 0, strip(F.substring_index(F.substring(t, F.instr(t, "```json") + 7, F.length(t)), "```", 1))).when(t.startswith("```"), strip(F.try_element_at(F.split(t, "```"), F.lit(2)))).otherwise(t)
+
+    def braces(t: Column) -> Column:
+        a, b = F.instr(t, "{"), F.length(t) - F.instr(F.reverse(t), "}") + 1
+        return F.when((a > 0) & (F.instr(t, "}") > 0) & (b > a), F.substring(t, a, b - a + 1)).otherwise(t)
+
+    return let(let(strip(F.col(x) if isinstance(x, str) else x), fenced), braces)
 
 
 def verdict(x) -> Column:
@@ -23,22 +28,23 @@ def verdict(x) -> Column:
 
     Members of the wrong kind count as missing; steps that aren't objects are dropped.
     """
-    j = F.from_json(loose_json(x), _VERDICT)
-    items = F.coalesce(F.from_json(j["backtracking_steps"], "array<string>"), F.array().cast("array<string>"))
-    objects = F.filter(items, lambda s: s.startswith("{"))
 
-    def step(s):
-        d = F.from_json(s, _STEP)
+    def step(d: Column) -> Column:
         told = F.concat_ws("; ", *[F.when(strip(d[k]) != "", F.concat(F.lit(f"{k}: "), strip(d[k]))) for k in ("original_claim", "contradiction_found", "correction_made")])
         return F.struct(F.coalesce(d["step_number"].try_cast("int"), F.lit(0)).alias("step_number"), F.coalesce(d["reason"], d["reasoning"], told).alias("reason"))
 
-    return F.struct(
-        F.coalesce(j["backtracking_detected"].try_cast("boolean"), F.lit(False)).alias("backtracking_detected"),
-        F.coalesce(j["final_answer"], F.lit("")).alias("final_answer"),
-        F.transform(objects, step).alias("backtracking_steps"),
-        F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(j["confidence"].try_cast("double"), F.lit(0.0)))).alias("confidence"),
-        F.coalesce(j["overall_reasoning"], F.lit("")).alias("overall_reasoning"),
-    )
+    def whole(j: Column) -> Column:
+        items = F.coalesce(F.from_json(j["backtracking_steps"], "array<string>"), F.array().cast("array<string>"))
+        objects = F.transform(F.filter(items, lambda s: s.startswith("{")), lambda s: F.from_json(s, _STEP))
+        return F.struct(
+            F.coalesce(j["backtracking_detected"].try_cast("boolean"), F.lit(False)).alias("backtracking_detected"),
+            F.coalesce(j["final_answer"], F.lit("")).alias("final_answer"),
+            F.transform(objects, step).alias("backtracking_steps"),
+            F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(j["confidence"].try_cast("double"), F.lit(0.0)))).alias("confidence"),
+            F.coalesce(j["overall_reasoning"], F.lit("")).alias("overall_reasoning"),
+        )
+
+    return let(F.from_json(loose_json(x), _VERDICT), whole)
 
 
 def batch_reply(x) -> Column:

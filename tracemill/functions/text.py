@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 
+import pandas as pd
 from pyspark.sql import Column, functions as F
 
 _WHITE = r"^\s+|\s+$"
@@ -254,9 +255,15 @@ def _groupings(text: str | None) -> dict[str, list[str] | None] | None:
 def connections_answer(x) -> Column:
     """Upper-cased categories and words of the reply's groupings; null if none parses.
 
-    Balanced braces and whole JSON need Python; it is the one function here that is not native.
+    Balanced braces and whole JSON need Python, in Arrow batches; it is the one function here that is not native.
     """
-    return F.udf(_groupings, "map<string,array<string>>")(_c(x))
+
+    @F.pandas_udf("string")
+    def batch(texts: pd.Series) -> pd.Series:
+        got = (_groupings(t) for t in texts)
+        return pd.Series([None if g is None else json.dumps(g) for g in got], dtype=object)
+
+    return F.from_json(batch(_c(x)), "map<string,array<string>>")
 
 
 def clean_choice(x) -> Column:

@@ -107,6 +107,11 @@ def cost_estimate(prompts: DataFrame, price_in: float, price_out: float, fail_ra
     return m.withColumn("cost_usd", calls * (F.col("mean_prompt") * price_in + F.col("mean_output") * price_out) / 1e6)
 
 
+def cost_total(estimates: DataFrame) -> DataFrame:
+    """One row: calls that remain over all pairs, the number of pairs, and what they cost."""
+    return estimates.agg(F.sum("remaining").cast("long").alias("remaining"), F.count("*").alias("pairs"), F.sum("cost_usd").alias("cost_usd"))
+
+
 def failed_pool(before: DataFrame, succeeded: DataFrame, unparsed: DataFrame) -> DataFrame:
     """Keys that are to be tried again: those of before without the successes, and those whose reply did not parse."""
     k = list(KEY)

@@ -101,3 +101,16 @@ def with_last(rows: DataFrame, lookup: DataFrame, key: list[str], place: str, va
     """Rows with a lookup's values; of lookup rows that repeat a key the last by place counts, so no row is multiplied."""
     last = lookup.groupBy(*key).agg(F.max(F.struct(place, *values)).alias("_l"))
     return rows.join(last.select(*key, *[F.col("_l")[v].alias(v) for v in values]), key, "left")
+
+
+def metric_arrays(joined: DataFrame, columns: list[str], most: int, parts: int = 64) -> DataFrame:
+    """(dataset, model, columns): arrays of each model's first `most` traces by index, nulls left out.
+
+    Candidates are chosen within parts of a model first, so that no task ranks a whole model.
+    """
+    by = ["dataset", "model"]
+    part = F.pmod(F.xxhash64("trace_index"), F.lit(parts))
+    few = joined.withColumn("_p", part).withColumn("_r", F.row_number().over(Window.partitionBy(*by, "_p").orderBy("trace_index"))).where(F.col("_r") <= most)
+    first = few.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy("trace_index"))).where(F.col("_r") <= most)
+    kept = lambda c: F.transform(F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("trace_index", c)))), lambda p: p[c])
+    return first.groupBy(*by).agg(*[kept(c).alias(c) for c in columns])

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from tracemill import schema as S
 from tracemill.functions import grading, jsonparse, text
 from tracemill.operators import backtracking as bt, curves, pu, stats, store, traces as tr
-from tracemill.plans import literals, serving
+from tracemill.plans import serving
 from tracemill.sources import tables as src
 
 QUERIES: dict = {}
@@ -324,6 +324,33 @@ def bt_cost_estimate(spark, base):
     return bt.cost_estimate(_joined(spark, base).select("dataset", "model", "trace_index", F.col("token_count").alias("prompt_tokens"), F.when(done, F.col("n_chars") % 400).alias("output_tokens"), done.alias("done")), 0.15, 0.6)
 
 
+@query(f"with {BT} select dataset, model, trace_index, hit as backtracking_detected, k as num_backtracking_steps, round(confidence, 6) as confidence, error, score from b where hit = 0 and score <= 0.5 order by coalesce(confidence, -1) desc, trace_index limit 40 offset 5")
+def bt_trace_list_by_confidence(spark, base):
+    """Wrong traces without a finding, surest first."""
+    return bt.trace_list(src.backtracking(spark, base), src.traces(spark, base), False, "incorrect", "confidence", 40, 5)
+
+
+@query(f"with {BT} select dataset, model, trace_index, hit as backtracking_detected, k as num_backtracking_steps, round(confidence, 6) as confidence, error, score from b order by trace_index, dataset, model limit 2000")
+def bt_trace_list_by_index(spark, base):
+    """All verdicts in order of index; a limit beyond the largest page is that of the largest page."""
+    return bt.trace_list(src.backtracking(spark, base), src.traces(spark, base), limit=1_000_000, offset=-3)
+
+
+@query(f"""with {FX_JOINED}, s as (select dataset, model, token_count, trace_index % 11 <> 0 as done, case when trace_index % 11 <> 0 then n_chars % 400 end as o, row_number() over (partition by dataset, model order by trace_index) as i from fx_joined),
+m as (select dataset, model, count(*) filter (not done) as remaining, avg(case when i <= 50 then token_count end) as mean_prompt, coalesce(avg(case when i <= 50 then o end), 2048.0e0) as mean_output from s group by all)
+select cast(sum(remaining) as bigint) as remaining, count(*) as pairs, round(sum(remaining * 1.1e0 * (mean_prompt * 0.15e0 + mean_output * 0.6e0) / 1e6), 6) as cost_usd from m""")
+def bt_cost_total(spark, base):
+    """Grand total of what remains and costs."""
+    return bt.cost_total(bt_cost_estimate(spark, base))
+
+
+@query(f"with {FX_BT}, e as (select *, case when trace_index % 5 = 0 then 'Timeout after 10 seconds' else error end as why from fx_bt) select dataset, count(*) as total, count(*) filter (why is null) as successful, count(*) filter (why = 'Timeout after 10 seconds') as timeouts, count(*) filter (why <> 'Timeout after 10 seconds') as exceptions, count(*) filter (hit = 1) as correct, round(100.0e0 * count(*) filter (why is null) / count(*), 6) as successful_percentage, round(100.0e0 * count(*) filter (why = 'Timeout after 10 seconds') / count(*), 6) as timeout_percentage, round(100.0e0 * count(*) filter (why <> 'Timeout after 10 seconds') / count(*), 6) as exception_percentage, round(100.0e0 * count(*) filter (hit = 1) / count(*), 6) as correct_percentage from e group by all")
+def grading_classes(spark, base):
+    """How grading went, by class of error."""
+    rows = src.backtracking(spark, base).withColumn("error", F.when(F.col("trace_index") % 5 == 0, serving.TIMEOUT).otherwise(F.col("error"))).withColumn("score", F.col("backtracking_detected"))
+    return serving.grading_classes(rows)
+
+
 # --- rewards and correlations ----------------------------------------------------------------
 RM_WIDE = "w as (select dataset, model, trace_index, avg(case when rm = 'rm_a' then reward end) as rm_a, avg(case when rm = 'rm_b' then reward end) as rm_b, (avg(case when rm = 'rm_a' then reward end) + avg(case when rm = 'rm_b' then reward end)) / 2 as rm_mean from fx_rm group by all)"
 
@@ -476,22 +503,47 @@ def partial_trace(spark, base):
     return src.traces(spark, base).select("trace_index", text.partial_trace("trace_text", F.col("trace_index") % 9).alias("partial"))
 
 
-def _literal(name: str, oracle: bool = True):
-    """A query over literal rows; its twin lists the values that were worked out by hand."""
-
-    def register(f):
-        case = literals.CASES[name]
-        QUERIES[name] = lambda spark, base: f(spark.createDataFrame([(i, *r[0]) for i, r in enumerate(case["rows"])], case["schema"]))
-        if oracle:
-            ORACLE[name] = literals.twin(case)
-        return f
-
-    return register
-
-
-_literal("grade_connections")(lambda df: df.select("id", grading.grade_connections(F.from_json("pred", "map<string,array<string>>"), F.from_json("truth", "map<string,array<string>>")).alias("grade")))
-_literal("normalize_bt_json")(lambda df: df.select("id", F.to_json(jsonparse.verdict("reply")).alias("verdict")))
-_literal("vector_matrices")(lambda df: df.select("id", text.vector_matrix("vec").alias("matrix")))
+@query(r"""with c as (select conv_id, turn, regexp_extract_all(lower(coalesce(text, '')), '[a-zà-ÿ]+') as w from conversations),
+g as (select conv_id, turn, [w[1:4], w[5:8], w[9:12]] as p, [list_reverse(w[1:4]), w[6:9], list_sort(w[9:12])] as t from c)
+select conv_id, turn, cast(len(list_filter(p, lambda x: list_contains(list_transform(t, lambda y: list_sort(list_distinct(y))), list_sort(list_distinct(x))))) as integer) as grade from g""")
+def grade_connections(spark, base):
+    """Groups of a turn's words against groups of the same words in another order, or shifted by one."""
+    c = src.read_table(spark, base, "conversations").select("conv_id", "turn", F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-zà-ÿ]+"), F.lit(0)).alias("w"))
+    part = lambda a: F.slice("w", a, 4)
+    said = lambda *x: F.from_json(F.to_json(F.map_from_arrays(F.array(*[F.lit(f"g{i}") for i in range(3)]), F.array(*x))), "map<string,array<string>>")
+    return c.select("conv_id", "turn", grading.grade_connections(said(part(1), part(5), part(9)), said(F.reverse(part(1)), part(6), F.array_sort(part(9)))).alias("grade"))
+
+
+@query(r"""with c as (select conv_id, turn, role, coalesce(text, '') as t, (conv_id + turn) % 4 as k from conversations),
+j as (select *, case when k = 3 then '{}' else json_object('backtracking_detected', turn % 2 = 0, 'final_answer', role, 'confidence', turn * 0.4e0 - 0.2e0, 'overall_reasoning', t,
+  'backtracking_steps', case turn % 3 when 0 then json_array('junk', json_object('step_number', cast(turn as varchar), 'reasoning', t)) when 1 then json_array(json_object('original_claim', ' ' || role, 'correction_made', 'b'), json_object('step_number', turn, 'reason', 'r')) else json('7') end) end as j from c),
+s as (select *, list_filter(from_json(case when json_type(j, '$.backtracking_steps') = 'ARRAY' then json_extract(j, '$.backtracking_steps') else json('[]') end, '["JSON"]'), lambda x: json_type(x) = 'OBJECT') as steps from j)
+select conv_id, turn, coalesce(json_extract_string(j, '$.backtracking_detected') = 'true', false) as detected, coalesce(json_extract_string(j, '$.final_answer'), '') as final_answer, greatest(0, least(1, coalesce(cast(json_extract_string(j, '$.confidence') as double), 0))) as confidence,
+  md5(coalesce(json_extract_string(j, '$.overall_reasoning'), '')) as reasoning_md5, cast(len(steps) as integer) as n_steps, case when len(steps) > 0 then coalesce(try_cast(json_extract_string(steps[1], '$.step_number') as integer), 0) end as first_step,
+  md5(case when len(steps) > 0 then coalesce(json_extract_string(steps[1], '$.reason'), json_extract_string(steps[1], '$.reasoning'), 'original_claim: ' || trim(json_extract_string(steps[1], '$.original_claim')) || '; correction_made: ' || json_extract_string(steps[1], '$.correction_made')) end) as first_reason_md5 from s""")
+def normalize_bt_json(spark, base):
+    """Verdicts out of replies that hold them in a fenced block, in a bare fence, among words, or not at all."""
+    c = src.read_table(spark, base, "conversations").select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("t"), ((F.col("conv_id") + F.col("turn")) % 4).alias("k"))
+    turn = F.col("turn")
+    one = F.to_json(F.struct(turn.cast("string").alias("step_number"), F.col("t").alias("reasoning")))
+    two = F.concat(F.to_json(F.struct(F.concat(F.lit(" "), "role").alias("original_claim"), F.lit("b").alias("correction_made"))), F.lit(","), F.to_json(F.struct(turn.alias("step_number"), F.lit("r").alias("reason"))))
+    steps = F.when(turn % 3 == 0, F.concat(F.lit('["junk",'), one, F.lit("]"))).when(turn % 3 == 1, F.concat(F.lit("["), two, F.lit("]"))).otherwise("7")
+    head = F.to_json(F.struct((turn % 2 == 0).alias("backtracking_detected"), F.col("role").alias("final_answer"), (turn * 0.4 - 0.2).alias("confidence"), F.col("t").alias("overall_reasoning")))
+    body = F.concat(F.substring(head, F.lit(1), F.length(head) - 1), F.lit(',"backtracking_steps":'), steps, F.lit("}"))
+    fence = lambda name: F.concat(F.lit(f"```{name}\n"), body, F.lit("\n```"))
+    reply = F.when(F.col("k") == 0, F.concat("t", F.lit("\n"), fence("json"), F.lit("\nso much for that"))).when(F.col("k") == 1, fence("")).when(F.col("k") == 2, F.concat(F.lit("well "), body, F.lit(" ok"))).otherwise(F.col("t"))
+    v = c.select("conv_id", "turn", jsonparse.verdict(reply).alias("v"))
+    first = F.try_element_at("v.backtracking_steps", F.lit(1))
+    return v.select("conv_id", "turn", F.col("v.backtracking_detected").alias("detected"), "v.final_answer", "v.confidence", F.md5("v.overall_reasoning").alias("reasoning_md5"), F.size("v.backtracking_steps").alias("n_steps"), first["step_number"].alias("first_step"), F.md5(first["reason"]).alias("first_reason_md5"))
+
+
+@query(r"""with c as (select conv_id, turn, regexp_replace(coalesce(text, '') || ' {' || role || ',' || turn || ', ' || conv_id || '}' || case when turn % 2 = 0 then chr(10) || 'then {{' || turn || ',x}}' else '' end, '^\s+|\s+$', '', 'g') as t from conversations)
+select conv_id, turn, array_to_string(list_transform(regexp_extract_all(t, '\{.*,.*\}'), lambda m: '\begin{pmatrix}' || replace(regexp_replace(m, '^[{}]+|[{}]+$', '', 'g'), ',', '\') || '\end{pmatrix}'), ', ') as matrix from c""")
+def vector_matrices(spark, base):
+    """Braced lists in whole turns as column matrices."""
+    c = src.read_table(spark, base, "conversations")
+    t = F.concat(F.coalesce("text", F.lit("")), F.lit(" {"), "role", F.lit(","), "turn", F.lit(", "), "conv_id", F.lit("}"), F.when(F.col("turn") % 2 == 0, F.concat(F.lit("\nthen {{"), "turn", F.lit(",x}}"))).otherwise(""))
+    return c.select("conv_id", "turn", text.vector_matrix(t).alias("matrix"))
 
 
 # --- serving ---------------------------------------------------------------------------------

@@ -60,7 +60,7 @@ def _group_answers(spark, base):
     body = F.concat(F.lit('{"groupings": {"1": {"category": "g1 '), w, F.lit('", "words": ["a", "'), w, F.lit('"]}, "2": {"category": "g2", "words": ["b"]}}}'))
     fence = lambda x: F.concat(F.lit("```json\n"), x, F.lit("\n```"))
     output = _by_k(fence(body), F.concat(fence(F.lit("{}")), F.lit(" then "), fence(body)), F.concat(F.lit("so { this "), body), F.concat(F.lit('{"Groupings": {}} or '), body, F.lit(" {")), F.concat(body, F.lit(' and {"a": 1}')), F.lit("nothing"), fence(F.lit('{"flat": ["a"]}')))
-    return _slices(spark, base).select("id", jsonparse.canonical(text.connections_answer(output)).alias("answer"))
+    return _slices(spark, base).select("id", F.to_json(F.array_sort(F.map_entries(text.connections_answer(output)))).alias("answer"))
 
 
 @query(f"""with {SLICE}, n as (select id, k, cast(id % 97 as varchar) as n, cast(id % 8 + 1 as varchar) as d from s)
@@ -395,3 +395,20 @@ def versioned_upserts(spark, base):
     table.write(one.where("trace_index % 10 = 0").withColumn("dataset", F.lit("new")))
     table.write(one.where("dataset = 'fr' and trace_index % 3 = 0").select(*S.KEY, F.lit(-1.0).alias("score"), F.lit(3).alias("load_seq")))
     return table.read().drop("load_seq")
+
+
+@query(f"""with {FX_JOINED}, f as (select *, row_number() over (partition by dataset, model order by trace_index) as i from fx_joined)
+select dataset, model, string_agg(cast(token_count as varchar), ',' order by trace_index) as tokens, string_agg(cast(sentence_count as varchar), ',' order by trace_index) as sentences, string_agg(cast(cast(round(redundancy_score * 50) as bigint) as varchar), ',' order by trace_index) as redundancy from f where i <= 10000 group by all""")
+def metric_arrays(spark, base):
+    """Tokens, sentences and redundancy of each model's first traces, in order of the traces; what is missing is left out."""
+    got = tr.metric_arrays(_joined(spark, base).withColumn("redundancy", F.round(F.col("redundancy_score") * 50).cast("long")), ["token_count", "sentence_count", "redundancy"], 10_000)
+    said = lambda c: F.array_join(F.transform(c, lambda v: v.cast("string")), ",")
+    return got.select("dataset", "model", *[F.when(F.size(c) > 0, said(c)).alias(n) for c, n in (("token_count", "tokens"), ("sentence_count", "sentences"), ("redundancy", "redundancy"))])
+
+
+@query(f"""with {FX_JOINED}, m as (select dataset, model, round(avg(score), 6) as accuracy, count(*) as n from fx_joined group by all)
+select dataset, model, accuracy, row_number() over (order by dataset nulls first, accuracy desc nulls last, model nulls first) as place from m""")
+def accuracy_order(spark, base):
+    """Models of each dataset, most accurate first; a row for each model."""
+    meta = tr.metadata(_joined(spark, base)).select("dataset", "model", F.round("accuracy", 6).alias("accuracy"))
+    return meta.withColumn("place", F.row_number().over(Window.orderBy(F.col("dataset").asc_nulls_first(), F.col("accuracy").desc_nulls_last(), F.col("model").asc_nulls_first())).cast("long"))

@@ -23,6 +23,18 @@ def error_summary(results: DataFrame) -> DataFrame:
     return results.groupBy("dataset").agg(F.count("*").alias("total"), F.count("error").alias("errors"), F.try_divide(100.0 * F.count("error"), F.count("*")).alias("error_percentage"))
 
 
+#: Fixed value: the error of a grading that took too long.
+TIMEOUT = "Timeout after 10 seconds"
+
+
+def grading_classes(results: DataFrame) -> DataFrame:
+    """Numbers and percentages of gradings that went well, took too long, or failed, and of right answers."""
+    why = F.col("error")
+    counts = {"successful": F.count_if(why.isNull()), "timeouts": F.count_if(why == TIMEOUT), "exceptions": F.count_if(why != TIMEOUT), "correct": F.count_if(F.col("score") == 1)}
+    named = {"successful": "successful", "timeouts": "timeout", "exceptions": "exception", "correct": "correct"}
+    return results.groupBy("dataset").agg(F.count("*").alias("total"), *[v.alias(k) for k, v in counts.items()], *[F.try_divide(100.0 * v, F.count("*")).alias(f"{named[k]}_percentage") for k, v in counts.items()])
+
+
 def index_summary(joined: DataFrame) -> DataFrame:
     return joined.groupBy("dataset").agg(F.count("*").alias("traces"), F.avg("score").alias("accuracy"), *[f(c).alias(f"{n}_{k}") for c, k in (("token_count", "tokens"), ("redundancy_score", "redundancy")) for n, f in (("mean", F.avg), ("median", F.median))])
 
