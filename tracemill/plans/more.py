@@ -6,7 +6,7 @@ from pyspark.sql import Window, functions as F
 
 from tracemill import schema as S
 from tracemill.functions import algebra, grading, jsonparse, text
-from tracemill.operators import backtracking as bt, curves, pu, traces as tr, versions
+from tracemill.operators import backtracking as bt, curves, ordering, pu, traces as tr, versions
 from tracemill.plans.catalogue import BINS, BT, BT_SUM, CURVE_PARTS, FIT, PENALISED, FX_BT, FX_JOINED, FX_PU, FX_RM, FX_TRACES, REGRESSION_SQL, _curve, _joined, query
 from tracemill.sources import artifacts, scratch, tables as src
 
@@ -412,3 +412,16 @@ def accuracy_order(spark, base):
     """Models of each dataset, most accurate first; a row for each model."""
     meta = tr.metadata(_joined(spark, base)).select("dataset", "model", F.round("accuracy", 6).alias("accuracy"))
     return meta.withColumn("place", F.row_number().over(Window.orderBy(F.col("dataset").asc_nulls_first(), F.col("accuracy").desc_nulls_last(), F.col("model").asc_nulls_first())).cast("long"))
+
+
+@query(r"""with t as (select doc_id as trace_index, list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '[.!?]+'), lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g')), lambda s: s <> '') as s from documents),
+p as (select trace_index, s, unnest(list_distinct(list_append(range(0, greatest(len(s) - 1, 0) + 1, 25), greatest(len(s) - 1, 0)))) as j from t),
+x as (select trace_index, j, array_to_string(s[1:j], chr(10)) as t from p),
+o as (select *, row_number() over w - 1 as place, lag(t) over w as b from x window w as (order by trace_index % 3, t, trace_index, j)),
+l as (select *, least(length(t), length(b)) as m, string_split(t, '') as tc, string_split(b, '') as bc from o)
+select trace_index, cast(j as bigint) as num_steps, place, cast(case when b is null or m = 0 then 0 else coalesce(list_position(list_transform(range(1, m + 1), lambda i: tc[i] <> bc[i]), true) - 1, m) end as bigint) as reused from l""")
+def prefix_reuse(spark, base):
+    """Prompts in an order of shared beginnings: the place of each, and how many characters it has in common with the one before."""
+    t = src.traces(spark, base).select("trace_index", text.sentences("trace_text").alias("s"))
+    prompts = t.select("trace_index", "s", F.explode(text.prefix_points(F.size("s"), 25)).alias("num_steps")).select("trace_index", "num_steps", text.prefix("s", "num_steps").alias("text"), (F.col("trace_index") % 3).alias("k"))
+    return ordering.in_prefix_order(prompts, ["k", "text", "trace_index", "num_steps"]).select("trace_index", "num_steps", "place", "reused")
