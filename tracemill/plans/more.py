@@ -6,7 +6,7 @@ from pyspark.sql import Window, functions as F
 
 from tracemill import schema as S
 from tracemill.functions import algebra, grading, jsonparse, text
-from tracemill.operators import backtracking as bt, curves, ordering, pu, traces as tr, versions
+from tracemill.operators import backtracking as bt, configs, curves, ordering, pu, traces as tr, versions
 from tracemill.plans.catalogue import BINS, BT, BT_SUM, CURVE_PARTS, FIT, PENALISED, FX_BT, FX_JOINED, FX_PU, FX_RM, FX_TRACES, REGRESSION_SQL, _curve, _joined, query
 from tracemill.sources import artifacts, scratch, tables as src
 
@@ -425,3 +425,21 @@ def prefix_reuse(spark, base):
     t = src.traces(spark, base).select("trace_index", text.sentences("trace_text").alias("s"))
     prompts = t.select("trace_index", "s", F.explode(text.prefix_points(F.size("s"), 25)).alias("num_steps")).select("trace_index", "num_steps", text.prefix("s", "num_steps").alias("text"), (F.col("trace_index") % 3).alias("k"))
     return ordering.in_prefix_order(prompts, ["k", "text", "trace_index", "num_steps"]).select("trace_index", "num_steps", "place", "reused")
+
+
+@query(r"""with m as (select distinct lang as dataset, 'Org/Model-' || (cast(substr(source, 4) as bigint) * 7 % 90 + 1) || 'B' as model from documents where lang is not null and source like 'src%'),
+c as (select 'org--model-' || (n_nationkey * 14 % 90 + 1) || 'b' as name, cast(n_nationkey as varchar) as k, case when n_nationkey % 2 = 0 then 'en' else 'fr' end as over from nation union all select case r_regionkey when 0 then 'default_small' else 'default_large' end, 'd' || r_regionkey, 'de' from region where r_regionkey < 2),
+r as (select m.*, coalesce(a.name, b.name) as config, coalesce(a.k, b.k) as k, coalesce(a.over, b.over) as over from m left join c a on a.name = replace(lower(m.model), '/', '--') left join c b on a.name is null and b.name = case when cast(regexp_extract(m.model, '-(\d+)B', 1) as double) > 50 then 'default_large' else 'default_small' end)
+select dataset, model, config, case when dataset = over then 'x' || k else 't' || k end as temperature, 'm' || k as max_tokens, case when dataset = over then '["' || k || '"]' end as stop, '{"a":1}' as rope, case when dataset = over then 'true' end as eager from r""")
+def generation_configs(spark, base):
+    """Parameters of each model and dataset: own configs, defaults by size, overrides of a dataset laid over them."""
+    d = src.read_table(spark, base, "documents").where("lang is not null and source like 'src%'")
+    models = d.select(F.col("lang").alias("dataset"), F.concat(F.lit("Org/Model-"), (F.substring("source", 4, 9).cast("long") * 7 % 90 + 1).cast("string"), F.lit("B")).alias("model")).distinct()
+    n = F.col("n_nationkey")
+    named = src.read_table(spark, base, "nation").select(F.concat(F.lit("org--model-"), (n * 14 % 90 + 1).cast("string"), F.lit("b")).alias("name"), n.cast("string").alias("k"), F.when(n % 2 == 0, "en").otherwise("fr").alias("over"))
+    sizes = src.read_table(spark, base, "region").where("r_regionkey < 2").select(F.when(F.col("r_regionkey") == 0, "default_small").otherwise("default_large").alias("name"), F.concat(F.lit("d"), F.col("r_regionkey").cast("string")).alias("k"), F.lit("de").alias("over"))
+    say = lambda *x: F.concat(*[F.col(v) if v in ("k", "over") else F.lit(v) for v in x])
+    body = say('{"sampling_params": {"temperature": "t', "k", '", "max_tokens": "m', "k", '"}, "vllm_kwargs": {"rope": {"a": 1}}, "dataset_overrides": {"', "over", '": {"sampling_params": {"temperature": "x', "k", '", "stop": ["', "k", '"]}, "vllm_kwargs": {"eager": true}}}}')
+    got = configs.resolve(models, named.unionByName(sizes).select("name", body.alias("body")))
+    at = lambda s, k: F.try_element_at(s, F.lit(k)).alias(k)
+    return got.select("dataset", "model", "config", *[at("sampling_params", k) for k in ("temperature", "max_tokens", "stop")], *[at("vllm_kwargs", k) for k in ("rope", "eager")])
