@@ -10,12 +10,15 @@ from tracemill.operators import backtracking as bt, configs, curves, ordering, p
 from tracemill.plans.catalogue import BINS, BT, BT_SUM, CURVE_PARTS, FIT, PENALISED, FX_BT, FX_JOINED, FX_PU, FX_RM, FX_TRACES, REGRESSION_SQL, _curve, _joined, query
 from tracemill.sources import artifacts, scratch, tables as src
 
-SLICE = r"s as (select doc_id as id, doc_id % 7 as k, regexp_replace(substr(coalesce(text, ''), 1, 60), '[^A-Za-z ]', 'x', 'g') as t from documents)"
+#: Whole texts, and their length, from which the queries' numbers come.
+SLICE = r"s as (select doc_id as id, doc_id % 7 as k, length(coalesce(text, '')) as m, coalesce(text, '') as t from documents)"
+STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
 
 
 def _slices(spark, base):
-    """(id, k, t): a piece of every document's text, letters and spaces only."""
-    return src.read_table(spark, base, "documents").select(F.col("doc_id").alias("id"), (F.col("doc_id") % 7).alias("k"), F.regexp_replace(F.substring(F.coalesce("text", F.lit("")), 1, 60), "[^A-Za-z ]", "x").alias("t"))
+    """(id, k, m, t): every document's whole text and its length."""
+    t = F.coalesce("text", F.lit(""))
+    return src.read_table(spark, base, "documents").select(F.col("doc_id").alias("id"), (F.col("doc_id") % 7).alias("k"), F.length(t).cast("long").alias("m"), t.alias("t"))
 
 
 def _by_k(*values):
@@ -31,7 +34,11 @@ def _wrap(before: str, after: str):
 
 
 # --- text operators over texts of the tables --------------------------------------------------
-@query(f"with {SLICE} select id, case when k = 5 then '<|assistant|>' || t when k = 6 then t else regexp_replace(t, '^ +| +$', '', 'g') end as trace from s", "extract_trace_by_family")
+@query(rf"""with {SLICE}, o as (select id, k, case k when 0 then 'x<think>' || t || '</think> answer' when 1 then '<|im_start|>assistant' || chr(10) || t || '<|im_end|>' when 2 then 'q[/INST]' || t || '</s>y' when 3 then '<start_of_turn>model' || t || '<end_of_turn>'
+  when 4 then '<|start|>assistant<|channel|>analysis<|message|>' || t || '<|end|><|start|>assistant<|channel|>final<|message|>z' when 5 then 'a<|assistant|>' || t else t end as o from s),
+p as (select id, k, case k when 0 then string_split(string_split(o, '<think>')[2], '</think>')[1] when 1 then string_split(string_split(o, 'assistant' || chr(10))[2], '<|im_end|>')[1] when 2 then string_split(string_split(o, '[/INST]')[2], '</s>')[1] when 3 then string_split(string_split(o, 'model')[2], '<end_of')[1]
+  when 4 then string_split(string_split(o, 'analysis<|message|>')[2], '<|end|>')[1] when 5 then substr(o, strpos(o, '<|assistant|>')) else o end as o from o)
+select id, case when k < 5 then {STRIP.format('o')} else o end as trace from p""", "extract_trace_by_family")
 def _family_traces(spark, base):
     model = _by_k(*[F.lit(m) for m in ("Org/Qwen3-8B", "deepseek-R1", "Magistral-Small", "gemma-3", "gpt-oss-20b", "phi-4", "other")])
     q, g = text.QWEN, text.GPT
@@ -39,11 +46,15 @@ def _family_traces(spark, base):
     return _slices(spark, base).select("id", text.trace_of(output, model).alias("trace"))
 
 
-@query(f"with {SLICE} select id, cast(case when k = 5 then '' else cast(id * 3 as varchar) end as varchar) as answer from s", "extract_answer_math")
+@query(rf"""with {SLICE}, o as (select id, case k when 0 then t || ' The final answer is $' || m || '$. I hope it is correct.' when 1 then t || ' so \boxed{{1}} or \boxed{{' || m || '}} done' when 2 then t || ' thus the answer is ' || m || '.' when 3 then t || ' ANSWER: ' || m when 4 then t || ' so \boxed ' || m || '$ end' when 5 then t else t || ' 7 then ' || m end as o from s),
+p as (select id, case when contains(o, '$. I hope') and contains(o, 'final answer is $') then string_split(string_split(o, 'final answer is $')[2], '$. I hope')[1] when contains(o, 'boxed') then coalesce(nullif(regexp_extract(string_split(o, 'boxed')[-1], '^\{{([^{{}}]*)\}}', 1), ''), string_split(string_split(o, 'boxed')[-1], '$')[1])
+  when contains(o, 'he answer is') then string_split(o, 'he answer is')[-1] when contains(o, 'ANSWER:') then string_split(o, 'ANSWER:')[-1] else coalesce(regexp_extract_all(replace(o, ',', ''), '-?\d*\.?\d+')[-1], '') end as a from o),
+c as (select id, regexp_replace(regexp_replace(regexp_replace({STRIP.format('a')}, '\.$', ''), '^\.', '0.'), '\.0*$', '') as c from p)
+select id, case when regexp_full_match(c, '-?\d{{1,37}}') then cast(cast(c as hugeint) as varchar) else c end as answer from c""", "extract_answer_math")
 def _math_answers(spark, base):
-    n = (F.col("id") * 3).cast("string")
+    n = F.col("m").cast("string")
     say = lambda a, b: F.concat("t", F.lit(a), n, F.lit(b))
-    output = _by_k(say(" The final answer is $", "$. I hope it is correct."), say(" so \\boxed{1} or \\boxed{", "} done"), say(" thus the answer is ", "."), say(" ANSWER: ", ""), say(" so \\boxed ", "$ end"), F.regexp_replace("t", " ", "y"), say(" 7 then ", ""))
+    output = _by_k(say(" The final answer is $", "$. I hope it is correct."), say(" so \\boxed{1} or \\boxed{", "} done"), say(" thus the answer is ", "."), say(" ANSWER: ", ""), say(" so \\boxed ", "$ end"), F.col("t"), say(" 7 then ", ""))
     return _slices(spark, base).select("id", text.math_answer(output).alias("answer"))
 
 
@@ -63,19 +74,19 @@ def _group_answers(spark, base):
     return _slices(spark, base).select("id", F.to_json(F.array_sort(F.map_entries(text.connections_answer(output)))).alias("answer"))
 
 
-@query(f"""with {SLICE}, n as (select id, k, cast(id % 97 as varchar) as n, cast(id % 8 + 1 as varchar) as d from s)
+@query(f"""with {SLICE}, n as (select id, k, cast(m % 97 as varchar) as n, cast(m % 8 + 1 as varchar) as d from s)
 select id, case k when 0 then '\\frac{{' || d || '}}{{' || d || '}}' when 1 then n when 2 then '\\sqrt{{' || n || '}}' when 3 then '\\frac{{' || n || '}}{{' || d || '}}' when 4 then cast(cast(n || '000' as bigint) as varchar) else '\\infty' end as plain from n where k <> 5
 union all select id, case when cast(d as int) <= 3 then d || ',3' else '3,' || d end from n where k = 5""", "normalize_answer")
 def _normal_answers(spark, base):
-    n, d = (F.col("id") % 97).cast("string"), (F.col("id") % 8 + 1).cast("string")
+    n, d = (F.col("m") % 97).cast("string"), (F.col("m") % 8 + 1).cast("string")
     c = lambda *x: F.concat(*[F.lit(v) if isinstance(v, str) else v for v in x])
     answer = _by_k(c(" \\dfrac", d, d, ". "), c("x = ", n, ".00\\%"), c("\\sqrt", n, "\\text{ cm}"), c(n, "/", d), c("$", n, ",\\!000$"), c(d, ", 3"), F.lit("infinity"))
     return _slices(spark, base).select("id", text.normalise_answer(answer).alias("plain"))
 
 
-@query(f"with {SLICE} select id, k in (0, 1, 2, 3, 4) and id % 2 = 0 as equal from s", "grade_math_numeric")
+@query(f"with {SLICE} select id, case when k < 4 then case when id % 2 = 0 then 0 else 9 end <= 1e-4 * (m + 11) when k = 4 then id % 2 = 0 else false end as equal from s", "grade_math_numeric")
 def _graded_math(spark, base):
-    n, off = F.col("id") + 2, F.when(F.col("id") % 2 == 0, 0).otherwise(9)
+    n, off = F.col("m") + 2, F.when(F.col("id") % 2 == 0, 0).otherwise(9)
     s = lambda x: x.cast("string")
     c = lambda *x: F.concat(*[F.lit(v) if isinstance(v, str) else v for v in x])
     m = lambda x: c("\\begin{pmatrix}1 & ", s(x), "\\\\ 3 & 4\\end{pmatrix}")
@@ -84,50 +95,52 @@ def _graded_math(spark, base):
     return _slices(spark, base).select("id", grading.grade_math(pred, truth).alias("equal"))
 
 
-@query(f"with {SLICE}, p as (select id, case when k = 0 then null else chr(cast(65 + k % 4 as integer)) end as p, case when id % 5 = 0 then null else chr(cast(65 + id % 4 as integer)) end as t from s) select id, cast(p is not distinct from t as integer) as grade from p", "grade_choice")
+@query(f"with {SLICE}, w as (select id, k, regexp_extract_all(upper(t), '[A-Z]+') as w from s) select id, cast(case when k > 0 then substr(w[1], 1, 1) end is not distinct from case when id % 5 > 0 then substr(w[-1], 1, 1) end as integer) as grade from w", "grade_choice")
 def _graded_choice(spark, base):
-    p = F.when(F.col("k") != 0, F.chr((F.col("k") % 4 + 65).cast("int")))
-    t = F.when(F.col("id") % 5 != 0, F.chr((F.col("id") % 4 + 65).cast("int")))
-    return _slices(spark, base).select("id", grading.grade_choice(p, t).alias("grade"))
+    """The first letters of a text's first and last words, either of which may be missing."""
+    words = F.regexp_extract_all(F.upper("t"), F.lit("[A-Z]+"), F.lit(0))
+    letter = lambda at: F.substring(F.try_element_at(words, F.lit(at)), 1, 1)
+    return _slices(spark, base).select("id", grading.grade_choice(F.when(F.col("k") > 0, letter(1)), F.when(F.col("id") % 5 > 0, letter(-1))).alias("grade"))
 
 
-@query(f"with {SLICE} select id, case k % 4 when 0 then cast(id % 2 = 0 as integer) when 1 then cast(k = 1 as integer) when 2 then 2 end as grade from s")
+@query(f"with {SLICE} select id, case k % 4 when 0 then cast(abs(m - (m + 7 * (id % 2))) <= 1e-4 * (m + 7 * (id % 2)) as integer) when 1 then cast(k = 1 as integer) when 2 then 2 end as grade from s")
 def grade_by_dataset(spark, base):
     """The grader that a dataset's name asks for."""
     d = F.when(F.col("k") % 4 == 0, "Math-500").when(F.col("k") % 4 == 1, "GPQA").when(F.col("k") % 4 == 2, "connections").otherwise("other")
-    pred = F.when(F.col("k") % 4 == 0, F.col("id").cast("string")).when(F.col("k") % 4 == 1, F.when(F.col("k") == 1, "B").otherwise("C")).otherwise('{"A":["x","y"],"B":["y","x"],"C":["z"]}')
-    truth = F.when(F.col("k") % 4 == 0, (F.col("id") + 7 * (F.col("id") % 2)).cast("string")).when(F.col("k") % 4 == 1, "B").otherwise('{"Q":["y","x"]}')
+    pred = F.when(F.col("k") % 4 == 0, F.col("m").cast("string")).when(F.col("k") % 4 == 1, F.when(F.col("k") == 1, "B").otherwise("C")).otherwise('{"A":["x","y"],"B":["y","x"],"C":["z"]}')
+    truth = F.when(F.col("k") % 4 == 0, (F.col("m") + 7 * (F.col("id") % 2)).cast("string")).when(F.col("k") % 4 == 1, "B").otherwise('{"Q":["y","x"]}')
     return _slices(spark, base).select("id", grading.grade_answer(d, pred, truth).alias("grade"))
 
 
-@query(f"with {SLICE} select id, case k % 3 when 0 then t when 1 then t || '</s>' else t || '</s>b' end as clipped from s", "clip_end_mark")
+@query(f"with {SLICE} select id, case when o like '%</s>' then substr(o, 1, length(o) - 4) else o end as clipped from (select id, t || case k % 3 when 0 then '</s>' when 1 then '</s></s>' else '</s>b' end as o from s)", "clip_end_mark")
 def _clipped(spark, base):
     full = F.concat("t", F.when(F.col("k") % 3 == 0, "</s>").when(F.col("k") % 3 == 1, "</s></s>").otherwise("</s>b"))
     return _slices(spark, base).select("id", text.clip_end(full, "</s>").alias("clipped"))
 
 
-@query(f"with {SLICE}, n as (select id, cast(id % 90 + 1 as varchar) as b from s) select id, 'Org_Model.' || b || 'B-Instruct' as key, 'Model.' || b || 'B' as teacher, 'model_' || b || 'b' as student, cast(b as double) as size, case when cast(b as integer) > 50 then 'default_large' else 'default_small' end as config from n", "model_names")
+@query(f"with {SLICE}, n as (select id, cast(m % 90 + 1 as varchar) as b from s) select id, 'Org_Model.' || b || 'B-Instruct' as key, 'Model.' || b || 'B' as teacher, 'model_' || b || 'b' as student, cast(b as double) as size, case when cast(b as integer) > 50 then 'default_large' else 'default_small' end as config from n", "model_names")
 def _names(spark, base):
-    name = F.concat(F.lit("Org/Model."), (F.col("id") % 90 + 1).cast("string"), F.lit("B-Instruct"))
+    name = F.concat(F.lit("Org/Model."), (F.col("m") % 90 + 1).cast("string"), F.lit("B-Instruct"))
     return _slices(spark, base).select("id", text.canonical_model(name).alias("key"), text.teacher_short(name).alias("teacher"), text.student_short(name).alias("student"), text.model_size(name).alias("size"), text.default_config(name).alias("config"))
 
 
-@query(f"with {SLICE} select id, list_extract(['RM: ', 'PU: ', 'EFF: ', 'BT: ', 'RED: ', '', 'x'], cast(k + 1 as integer)) || t as label, list_extract(['qwen', 'deepseek', 'gemma', 'llama', 'phi', 'qwq', 'magistral'], cast(k + 1 as integer)) as family from s", "metric_labels")
+@query(rf"""with {SLICE}, o as (select id, list_extract(['rm::', 'pu_', 'eff_', 'bt_', 'red_', '', 'x'], cast(k + 1 as integer)) || t as o, lower(list_extract(['Qwen3', 'DeepSeek-Qwen', 'Gemma-llama', 'Meta-Llama-3', 'phi-4', 'QwQ-32B', 'Magistral'], cast(k + 1 as integer))) as f from s)
+select id, case when o like 'rm::%' then 'RM: ' || substr(o, 5) when regexp_matches(o, '^(pu|eff|bt|red)_') then upper(string_split(o, '_')[1]) || ': ' || substr(o, strpos(o, '_') + 1) else o end as label,
+  list_filter(['gpt-oss', 'deepseek', 'qwen', 'qwq', 'magistral', 'gemma', 'llama', 'openreasoning', 'phi'], lambda x: contains(f, x))[1] as family from o""", "metric_labels")
 def _labels_and_families(spark, base):
     metric = F.concat(_by_k(*[F.lit(m) for m in ("rm::", "pu_", "eff_", "bt_", "red_", "", "x")]), "t")
     name = _by_k(*[F.lit(m) for m in ("Qwen3", "DeepSeek-Qwen", "Gemma-llama", "Meta-Llama-3", "phi-4", "QwQ-32B", "Magistral")])
     return _slices(spark, base).select("id", text.metric_label(metric).alias("label"), text.family(name).alias("family"))
 
 
-WORDS = "['zero','one','two','three','four','five','six','seven','eight','nine']"
-TENS = "['twenty','thirty','forty','fifty','sixty','seventy','eighty','ninety']"
+WORDS, TENS = "zero one two three four five six seven eight nine".split(), "twenty thirty forty fifty sixty seventy eighty ninety".split()
 
 
-@query(f"with {SLICE} select id, cast((id % 8 + 2) * 10 + id % 9 + 1 + 100 * (k + 1) as varchar) as number from s", "number_words")
+@query(f"with {SLICE} select id, cast((m % 8 + 2) * 10 + m % 9 + 1 + 100 * (k + 1) as varchar) as number from s", "number_words")
 def _numbers(spark, base):
     """Numbers of three digits, spelled out and read again."""
-    small, tens = (F.array(*[F.lit(w) for w in eval(x)]) for x in (WORDS, TENS))
-    phrase = F.concat(F.element_at(small, (F.col("k") + 2).cast("int")), F.lit(" hundred and "), F.element_at(tens, (F.col("id") % 8 + 1).cast("int")), F.lit("-"), F.element_at(small, (F.col("id") % 9 + 2).cast("int")))
+    small, tens = (F.array(*[F.lit(w) for w in x]) for x in (WORDS, TENS))
+    phrase = F.concat(F.element_at(small, (F.col("k") + 2).cast("int")), F.lit(" hundred and "), F.element_at(tens, (F.col("m") % 8 + 1).cast("int")), F.lit("-"), F.element_at(small, (F.col("m") % 9 + 2).cast("int")))
     return _slices(spark, base).select("id", text.word_number(phrase).alias("number"))
 
 
@@ -151,11 +164,14 @@ def _spans(spark, base):
     return d.select("id", text.answer_span(out).alias("s")).select("id", "s.answer", F.col("s.start").cast("int").alias("start"), F.col("s.end").cast("int").alias("stop"))
 
 
-@query(f"with {SLICE} select id, 'k' || id as key, case when k < 5 then t || '!' end as text, case when k < 5 then id end as prompt_tokens, case when k < 5 then k end as output_tokens, case when k = 5 then 'quota' when k = 6 then 'no response' end as error from s", "parse_batch_reply")
+@query(f"""with {SLICE}, l as (select id, case when k < 5 then json_object('key', 'k' || id, 'response', json_object('candidates', json_array(json_object('content', json_object('parts', json_array(json_object('text', t), json_object('text', '!'))))), 'usageMetadata', json_object('promptTokenCount', m, 'candidatesTokenCount', k))) when k = 5 then json_object('key', 'k' || id, 'error', 'quota') else json_object('key', 'k' || id) end as l from s),
+p as (select id, l, json_extract_string(l, '$.error') as e, json_extract(l, '$.response') is not null as there from l)
+select id, json_extract_string(l, '$.key') as key, case when there then json_extract_string(l, '$.response.candidates[0].content.parts[0].text') || json_extract_string(l, '$.response.candidates[0].content.parts[1].text') end as text, cast(json_extract_string(l, '$.response.usageMetadata.promptTokenCount') as bigint) as prompt_tokens,
+  cast(json_extract_string(l, '$.response.usageMetadata.candidatesTokenCount') as bigint) as output_tokens, case when e is not null then e when not there then 'no response' end as error from p""", "parse_batch_reply")
 def _replies(spark, base):
     """A service's lines, put together as JSON and read again."""
     key = F.concat(F.lit("k"), F.col("id").cast("string"))
-    usage = F.struct(F.col("id").alias("promptTokenCount"), F.col("k").alias("candidatesTokenCount"))
+    usage = F.struct(F.col("m").alias("promptTokenCount"), F.col("k").alias("candidatesTokenCount"))
     parts = F.array(F.struct(F.col("t").alias("text")), F.struct(F.lit("!").alias("text")))
     response = F.struct(F.array(F.struct(F.struct(parts.alias("parts")).alias("content"))).alias("candidates"), usage.alias("usageMetadata"))
     line = F.when(F.col("k") < 5, F.to_json(F.struct(key.alias("key"), response.alias("response")))).when(F.col("k") == 5, F.to_json(F.struct(key.alias("key"), F.lit("quota").alias("error")))).otherwise(F.to_json(F.struct(key.alias("key"))))
@@ -260,11 +276,11 @@ def failed_pool(spark, base):
     return bt.failed_pool(rows.where("trace_index % 4 < 2"), rows.where("error is null and trace_index % 2 = 0"), rows.where("error is not null and trace_index % 3 = 0"))
 
 
-@query(f"with {SLICE} select id as trace_index, k as num_steps from s where id % 5 = 0 or k = 2")
+@query(f"with {SLICE} select id as trace_index, k as num_steps from s where k <> 3 and not regexp_matches(t, '[0-9]') or k = 3 and not regexp_matches(t, '[QXYZ]')")
 def second_pass(spark, base):
-    """Records without an extracted answer, which are asked once more."""
-    answer = F.when(F.col("id") % 5 == 0, F.lit(None)).when(F.col("k") == 2, "").otherwise(F.col("k").cast("string"))
-    return pu.without_answer(_slices(spark, base).select(F.col("id").alias("trace_index"), F.col("k").alias("num_steps"), answer.alias("extracted_answer"))).select("trace_index", "num_steps")
+    """Records whose text gives no answer, a number or a capital, which are asked once more: one is null, the other empty."""
+    found = F.when(F.col("k") == 3, F.regexp_extract("t", "[QXYZ]", 0)).otherwise(F.try_element_at(F.regexp_extract_all("t", F.lit("[0-9]+"), F.lit(0)), F.lit(1)))
+    return pu.without_answer(_slices(spark, base).select(F.col("id").alias("trace_index"), F.col("k").alias("num_steps"), found.alias("extracted_answer"))).select("trace_index", "num_steps")
 
 
 @query(f"""with {FX_PU}, {FX_RM},
