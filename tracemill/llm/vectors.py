@@ -120,14 +120,18 @@ def in_passes(index: DataFrame, queries: DataFrame, k: int, score: str, search:
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    # a query row that the table has n times is asked n times
-    again = queries.where("n > 1").select(F.col("vec_id").alias("_q"), F.col("key").alias("_k"), "n")
-    times = out.join(again, (F.col("query_id") == F.col("_q")) & (F.col("q_key") == F.col("_k")), "left")
-    done = materialise(times.withColumn("_t", F.explode(F.sequence(F.lit(1), F.coalesce("n", F.lit(1)).cast("int")))).select("query_id", "rank", "vec_id", "score"), "nearest")
+    done = asked_again(out, queries)
     discard(*parts)
     return done
 
 
+def asked_again(found: DataFrame, queries: DataFrame) -> DataFrame:
+    """Results with a row for each time that the table has the query's row."""
+    again = queries.where("n > 1").select(F.col("vec_id").alias("_q"), F.col("key").alias("_k"), "n")
+    times = found.join(again, (F.col("query_id") == F.col("_q")) & (F.col("q_key") == F.col("_k")), "left")
+    return materialise(times.withColumn("_t", F.explode(F.sequence(F.lit(1), F.coalesce("n", F.lit(1)).cast("int")))).select("query_id", "rank", "vec_id", "score"), "nearest")
+
+
 def _keep(at: np.ndarray, ids: np.ndarray, over: np.ndarray, value: np.ndarray, big: np.ndarray, n: np.ndarray, k: int) -> tuple:
     """The k best rows of each query, in the order of best_of."""
     if len(at):
