@@ -15,7 +15,7 @@ from tracemill.llm.common import discard, materialise
 QUERY_STEP = 20
 NEIGHBOURS = 20
 #: Queries that one pass over the index takes along; their vectors are broadcast, so the bound is one of memory.
-PASS_QUERIES = 8192
+PASS_QUERIES = 32768
 #: Rows that one block of an index should hold.
 BLOCK_ROWS = 4096
 FOUND = "query_id long, q_key long, vec_id long, over int, score {score}, big string, n long"
