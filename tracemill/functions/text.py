@@ -115,7 +115,10 @@ def _without(t: Column, *marks: str) -> Column:
 
 def trace_of(output, model, full: bool = False) -> Column:
     """The chain of thought in a model's raw output, by model family; the raw text where markers are missing."""
-    t, name = _c(output), F.lower(_c(model))
+    return let(F.struct(_c(output).alias("t"), F.lower(_c(model)).alias("name")), lambda p: _trace(p["t"], p["name"], full))
+
+
+def _trace(t: Column, name: Column, full: bool) -> Column:
     think, unthink, turn, done = QWEN
     body = F.when(_has(t, think), _after(t, think)).when(_has(t, turn), _after(t, turn)).otherwise(t)
     cut = body if full else F.when(~_has(t, unthink), body).when(_has(body, unthink), _until(body, unthink)).otherwise(_until(body, done))
@@ -139,10 +142,10 @@ def trace_of(output, model, full: bool = False) -> Column:
     mistral = between(MISTRAL_START, MISTRAL_END)
     gpt = between(GPT[0], GPT[1], GPT[2], GPT[3])
     phi = F.when(_has(t, PHI_START), F.substring(t, F.instr(t, PHI_START), F.length(t))).otherwise(t)
-    families = [("gpt-oss", gpt), ("deepseek", qwen), ("qwen", qwen), ("qwq", qwen), ("magistral", mistral), ("gemma", gemma), ("llama", llama), ("openreasoning", qwen), ("phi", phi)]
+    own = {"gpt-oss": gpt, "magistral": mistral, "gemma": gemma, "llama": llama, "phi": phi}
     out = F.when(F.lit(False), t)
-    for key, value in families:
-        out = out.when(name.contains(key), value)
+    for key in FAMILIES:  # the others write as qwen does
+        out = out.when(name.contains(key), own.get(key, qwen))
     return out.otherwise(t)
 
 
