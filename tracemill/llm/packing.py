@@ -96,7 +96,7 @@ def pack(items: DataFrame, max_tokens: int = MAX_TOKENS, buckets: int = BUCKETS,
     bucket counts from 0, batch and slot (the place in the batch) from 0 within the bucket. Every
     batch but a bucket's last is full: as many rows as the budget has room for at the bucket's
     padded length, one at least. Rows of length 0 or null need no batch: bucket -1, padded length 0,
-    batch and slot null. Lengths above max_tokens raise an error, as they would be cut.
+    batch and slot null; an empty table gives an empty one; columns of items with the new ones' names are replaced. Lengths above max_tokens raise an error, as they would be cut.
     The histogram has at most max_tokens rows, whatever the input. Batches depend on the rows alone,
     not on how they are partitioned: a hash of the whole row deals rows to parts. Equal rows, which
     nothing tells apart, are counted before they shuffle and dealt in runs, so no id is one task's.

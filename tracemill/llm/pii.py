@@ -482,7 +482,7 @@ def find(docs: DataFrame, model: SkipChainCrf) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added) for every row of docs.
 
     Offsets count code points, ends are exclusive. A null or empty text has no span; its digest is
-    that of the empty string. Repeated rows each have their row. Whole texts are read.
+    that of the empty string. Repeated rows each have their row; an empty table has none. Whole texts are read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
@@ -520,7 +520,10 @@ def masked(text: str, spans) -> str:
 
 
 def redact(docs: DataFrame, model: SkipChainCrf) -> DataFrame:
-    """docs with personal data masked in text, all rows and columns kept; n_chars, if present, follows."""
+    """docs with personal data masked in text, all rows and columns kept, of any name; n_chars, if present, follows.
+
+    Null and empty texts stay, repeated rows are masked alike, an empty table gives an empty one.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 

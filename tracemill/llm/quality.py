@@ -135,7 +135,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: i
 def score_documents(docs: DataFrame, model: SubwordModel, threshold: float = 0.3, text: str = "text", score: str = "score", predicted: str = "predicted") -> DataFrame:
     """docs with two more columns: score double and predicted int (1 if score >= threshold).
 
-    Every row is kept, null and empty texts too (they get the prior). Columns of docs that have
+    Every row is kept, null and empty texts too (they get the prior), repeated rows alike; an empty table gives an
+    empty one. Columns of docs that have
     the new columns' names are replaced. Nothing but the text is read for the score.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)

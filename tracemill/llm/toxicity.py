@@ -384,8 +384,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Toxic
 def score_documents(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5, text: str = "text", score: str = "score", predicted: str = "predicted") -> DataFrame:
     """docs with score double and predicted int (1 if score >= threshold); every row is kept.
 
-    Null and empty texts have no clause and get the score of such texts. Columns of docs with the
-    new columns' names are replaced. Nothing but the text is read for the score.
+    Null and empty texts have no clause and get the score of such texts, repeated rows alike, and an
+    empty table gives an empty one. Columns of docs with the new columns' names are replaced. Nothing but the text is read for the score.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     base = docs.select(*[c for c in docs.columns if c not in (score, predicted)])
