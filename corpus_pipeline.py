@@ -54,7 +54,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data in them replaced by its kind; n_chars follows the new text.
 
-    Null and empty texts stay as they are, repeated rows stay and are masked alike, long texts whole.
+    Null and empty texts stay as they are, repeated rows stay and are masked alike, long texts whole. Columns of
+    any name pass through; an empty table gives an empty one.
     """
     return pii.redact(docs, pii.fit(docs))
 
