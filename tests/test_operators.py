@@ -335,3 +335,16 @@ def test_answer_spans_are_places_of_the_match(spark):
     df = spark.createDataFrame([(k,) for k in cases], "t string")
     got = {r.t: tuple(r.s) for r in df.select("t", text.answer_span("t").alias("s")).collect()}
     assert got == cases
+
+
+def test_redundancy_by_blocks_against_all_pairs(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    rows = [(t, s, [float(v) for v in rng.integers(-2, 3, 4)]) for t, n in ((1, 70), (2, 1), (3, 33)) for s in range(n)]
+    got = {(r.trace_index, r.step): (r.best, r.match) for r in tr.redundancy_per_step(spark.createDataFrame(rows, "trace_index long, step long, embedding array<double>").repartition(5), 16).collect()}
+    assert len(got) == len(rows)
+    for t, s, v in rows:
+        earlier = [(float(np.dot(v, w)), -p) for u, p, w in rows if u == t and p < s]
+        want = max(earlier, default=(0.0, 1))
+        assert got[t, s] == (want[0], -want[1])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tracemill.operators import stats
@@ -47,16 +49,48 @@ def length_stats(joined: DataFrame, columns: list[str]) -> DataFrame:
     return joined.groupBy("dataset").agg(*aggs)
 
 
-def redundancy_per_step(steps: DataFrame) -> DataFrame:
+#: Steps that a block of a trace holds.
+STEP_BLOCK = 256
+
+
+def _best_of_block(late: pd.DataFrame, early: pd.DataFrame) -> pd.DataFrame:
+    """For each later step its closest step of the early block, the earliest on ties: (trace_index, step, best, prior).
+
+    Sums run over the components in their order, so equal vectors have equal sums wherever they stand.
+    """
+    early, width = early.sort_values("step"), min(len(late["embedding"].iloc[0]), len(early["embedding"].iloc[0]))
+    x, y = (np.array([v[:width] for v in d["embedding"]], np.float64).reshape(len(d), width) for d in (late, early))
+    sim = np.zeros((len(late), len(early)))
+    for d in range(width):
+        sim += x[:, d, None] * y[None, :, d]
+    before = early["step"].to_numpy()[None, :] < late["step"].to_numpy()[:, None]
+    sim = np.where(before, sim, -np.inf)
+    at = sim.argmax(axis=1) if len(early) else np.zeros(len(late), int)
+    got = pd.DataFrame({"trace_index": late["trace_index"].to_numpy(), "step": late["step"].to_numpy(), "best": sim[np.arange(len(late)), at], "prior": early["step"].to_numpy()[at]})
+    return got[before.any(axis=1)]
+
+
+def redundancy_per_step(steps: DataFrame, block: int = STEP_BLOCK) -> DataFrame:
     """(trace_index, step, best, match): each step's closest earlier step, the earliest on ties; 0 and -1 for the first.
 
-    Pairs stay within a trace, and each is one sum over the vectors. A best of -inf can't occur.
+    Vectors of a trace are of one length. A trace's steps are cut into blocks, and each two blocks meet in a task of their own, which
+    gives a row for each later step: what is written grows with a trace's steps times its blocks, not with its pairs.
     """
-    a, b = steps.alias("a"), steps.alias("b")
-    dot = F.aggregate(F.zip_with("a.embedding", "b.embedding", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    pairs = a.join(b, (F.col("a.trace_index") == F.col("b.trace_index")) & (F.col("b.step") < F.col("a.step"))).select("a.trace_index", "a.step", F.col("b.step").alias("prior"), dot.alias("sim"))
-    best = pairs.groupBy("trace_index", "step").agg(F.max(F.struct("sim", -F.col("prior"))).alias("m")).select("trace_index", "step", F.col("m.sim").alias("best"), (-F.col("m.col2")).alias("match"))
-    return steps.select("trace_index", "step").join(best, ["trace_index", "step"], "left").select("trace_index", "step", F.coalesce("best", F.lit(0.0)).alias("best"), F.coalesce("match", F.lit(-1)).cast("long").alias("match"))
+    rows = steps.select(F.col("trace_index").cast("long").alias("trace_index"), F.col("step").cast("long").alias("step"), F.transform("embedding", lambda x: x.cast("double")).alias("embedding"), F.floor(F.col("step") / block).cast("long").alias("_b"))
+    last = rows.groupBy("trace_index").agg(F.max("_b").alias("_last"))
+    late = rows.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), "_b"))).withColumnRenamed("_b", "j")
+    early = rows.join(last, "trace_index").withColumn("j", F.explode(F.sequence("_b", "_last"))).withColumnRenamed("_b", "i").drop("_last")
+    early = early.select(*[F.col(c).alias(f"{c}_e") for c in early.columns])  # of one lineage with the other side, so by names of its own
+    cell = ["trace_index", "i", "j"]
+    schema = "trace_index long, step long, best double, prior long"
+
+    def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        b = b.rename(columns=lambda c: c.removesuffix("_e"))
+        return _best_of_block(a, b) if len(a) and len(b) else pd.DataFrame({"trace_index": [], "step": [], "best": [], "prior": []})
+
+    found = late.groupBy(*cell).cogroup(early.groupBy(*[f"{c}_e" for c in cell])).applyInPandas(meet, schema)
+    best = found.groupBy("trace_index", "step").agg(F.max(F.struct("best", (-F.col("prior")).alias("prior"))).alias("m")).select("trace_index", "step", "m.best", (-F.col("m.prior")).alias("match"))
+    return rows.select("trace_index", "step").join(best, ["trace_index", "step"], "left").select("trace_index", "step", F.coalesce("best", F.lit(0.0)).alias("best"), F.coalesce("match", F.lit(-1)).cast("long").alias("match"))
 
 
 def redundancy_stats(per_step: DataFrame, threshold: float) -> DataFrame:
