@@ -1,4 +1,4 @@
-"""Every query with an SQL twin gives the twin's rows on the smallest tables."""
+"""Every query with an SQL twin gives the twin's rows, on tables with rows for every branch."""
 
 import glob
 import math
@@ -10,7 +10,7 @@ import pytest
 import __spark_entry__ as entry
 from tracemill.plans import catalogue
 
-DIR = "/root/testdata/sf0.001"
+DIR = "/root/testdata/sf0.01"
 
 
 @pytest.fixture(scope="module")

@@ -236,12 +236,12 @@ def models_summary(spark, base):
 
 @query(f"with {FX_JOINED} select dataset, model, " + ", ".join(f"round({f}({c}), 6) as {n}_{c}" for c in ("token_count", "sentence_count", "redundancy_score") for n, f in (("mean", "avg"), ("median", "median"))) + " from fx_joined group by all")
 def efficiency_by_model(spark, base):
-    return tr.by_model(_joined(spark, base))
+    return tr.by_model(_measured(spark, base))
 
 
 @query(f"with {FX_JOINED} select dataset, count(*) as n, " + ", ".join(f"round(avg({c}), 6) as mean_{c}, round(stddev_samp({c}), 6) as std_{c}, round(avg(case when score > 0.5 then {c} end), 6) as mean_{c}_correct, round(avg(case when score <= 0.5 then {c} end), 6) as mean_{c}_incorrect, round({pearson_sql(f'cast({c} as double)', 'score')}, 6) + 0 as r_{c}_score" for c in ("token_count", "sentence_count", "redundancy_score")) + " from fx_joined group by all")
 def efficiency_stats(spark, base):
-    return tr.length_stats(_joined(spark, base), ["token_count", "sentence_count", "redundancy_score"])
+    return tr.length_stats(_measured(spark, base), ["token_count", "sentence_count", "redundancy_score"])
 
 
 PER_STEP = f"""{FX_STEPS}, pairs as (select a.trace_index, a.step, b.step as prior, list_sum(list_transform(range(1, len(a.embedding) + 1), lambda i: cast(a.embedding[i] as double) * cast(b.embedding[i] as double))) as sim from fx_steps a join fx_steps b on a.trace_index = b.trace_index and b.step < a.step),
@@ -413,7 +413,7 @@ METRICS = ["token_count", "sentence_count", "redundancy_score", "score"]
 
 @query(f"with {FX_JOINED}, g as (select dataset, token_count * 1.0e0 as token_count, sentence_count * 1.0e0 as sentence_count, redundancy_score, score from fx_joined union all select 'all', token_count * 1.0e0, sentence_count * 1.0e0, redundancy_score, score from fx_joined) " + " union all ".join(f"select dataset, '{a}' as metric_x, '{b}' as metric_y, count(*) filter ({a} is not null and {b} is not null) as n, round({pearson_sql(a, b)}, 6) + 0 as r from g group by dataset" for i, a in enumerate(METRICS) for b in METRICS[i + 1 :]))
 def metric_correlation_long(spark, base):
-    j = _joined(spark, base).select(F.explode(F.array("dataset", F.lit("all"))).alias("dataset"), *[F.col(m).cast("double").alias(m) for m in METRICS])
+    j = _measured(spark, base).select(F.explode(F.array("dataset", F.lit("all"))).alias("dataset"), *[F.col(m).cast("double").alias(m) for m in METRICS])
     return stats.correlation_pairs(j, ["dataset"], METRICS)
 
 
@@ -573,7 +573,7 @@ def grading_summary(spark, base):
 
 @query(f"with {FX_JOINED} select dataset, count(*) as traces, round(avg(score), 6) as accuracy, round(avg(token_count), 6) as mean_tokens, round(median(token_count), 6) as median_tokens, round(avg(redundancy_score), 6) as mean_redundancy, round(median(redundancy_score), 6) as median_redundancy from fx_joined group by all")
 def index_summary(spark, base):
-    return serving.index_summary(_joined(spark, base))
+    return serving.index_summary(_measured(spark, base))
 
 
 @query(f"with {BT}, {BT_TABLE}, v as (select *, printf('%.2f', round(mean_steps, 2)) as t from tab) select dataset, model, model || ' & ' || case when is_max then '\\textbf{{' || t || '}}' when is_min then '\\underline{{' || t || '}}' else t end as row from v")
@@ -584,7 +584,7 @@ def bt_latex_rows(spark, base):
 
 @query(f"with {FX_JOINED} " + " union all ".join(f"select dataset, '{a}' as metric_x, " + ", ".join(f"1.0e0 as {b}" if a == b else f"round({pearson_sql(*(f'cast({c} as double)' for c in sorted((a, b), key=METRICS.index)))}, 6) + 0 as {b}" for b in METRICS) + " from fx_joined group by dataset" for a in METRICS))
 def correlation_matrix(spark, base):
-    j = _joined(spark, base).select("dataset", *[F.col(m).cast("double").alias(m) for m in METRICS])
+    j = _measured(spark, base).select("dataset", *[F.col(m).cast("double").alias(m) for m in METRICS])
     return serving.square(stats.correlation_pairs(j, ["dataset"], METRICS), ["dataset"], METRICS)
 
 
@@ -621,7 +621,7 @@ def pu_students(spark, base):
 @query(f"with {FX_JOINED} select dataset, model, cast(grouping_id(dataset, model) as integer) as level, count(*) as n, round(avg(score), 6) as accuracy, round(avg(token_count), 6) as mean_tokens from fx_joined group by grouping sets ((), (dataset), (model), (dataset, model))")
 def condition_families(spark, base):
     """Summaries of the four families of conditions in one pass."""
-    return _joined(spark, base).groupingSets([[], ["dataset"], ["model"], ["dataset", "model"]], "dataset", "model").agg(F.grouping_id("dataset", "model").cast("int").alias("level"), F.count("*").alias("n"), F.avg("score").alias("accuracy"), F.avg("token_count").alias("mean_tokens"))
+    return _measured(spark, base).groupingSets([[], ["dataset"], ["model"], ["dataset", "model"]], "dataset", "model").agg(F.grouping_id("dataset", "model").cast("int").alias("level"), F.count("*").alias("n"), F.avg("score").alias("accuracy"), F.avg("token_count").alias("mean_tokens"))
 
 
 from tracemill.plans import more  # noqa: E402,F401  (registers its queries, with the helpers of this module)

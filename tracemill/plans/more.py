@@ -459,3 +459,21 @@ def generation_configs(spark, base):
     got = configs.resolve(models, named.unionByName(sizes).select("name", body.alias("body")))
     at = lambda s, k: F.try_element_at(s, F.lit(k)).alias(k)
     return got.select("dataset", "model", "config", *[at("sampling_params", k) for k in ("temperature", "max_tokens", "stop")], *[at("vllm_kwargs", k) for k in ("rope", "eager")])
+
+
+@query("""with d as (select distinct lang as dataset, source as model from documents where lang is not null and source is not null)
+select dataset, model, model not in ('src1', 'src4') as there, case when model not in ('src1', 'src4') then n end as rows from d left join (select lang, source, count(*) as n from documents group by all) c on c.lang = dataset and c.source = model""")
+def artifact_paths(spark, base):
+    """Which models' artifacts the file system has, and how many rows lie in them."""
+    place, docs = scratch.folder(spark, "paths"), src.read_table(spark, base, "documents").where("lang is not null and source is not null")
+    rows = docs.select(F.col("lang").alias("dataset"), F.col("source").alias("model"), F.col("doc_id").alias("index"))
+    artifacts.write_pickles(rows.where("model not in ('src1', 'src4')"), place, "pu_")
+    told = artifacts.with_paths(rows.select("dataset", "model").distinct(), artifacts.found_paths(spark, place), "pu_*.pkl")
+    held = artifacts.read_pickles(spark, place).where("field = 'data'").groupBy("dataset", "model").agg(F.count("*").alias("rows"))
+    return told.join(held, ["dataset", "model"], "left").select("dataset", "model", "there", "rows")
+
+
+@query("select doc_id as trace_index, n_chars from documents order by doc_id limit 25")
+def first_traces(spark, base):
+    """The first traces by index, as a smoke run takes them."""
+    return artifacts.first_rows(src.read_table(spark, base, "documents").select(F.col("doc_id").alias("trace_index"), "n_chars"), "trace_index", 25)

@@ -27,6 +27,18 @@ def with_paths(wanted: DataFrame, known: DataFrame, file: str) -> DataFrame:
     return wanted.join(there, ["dataset", "model"], "left").select("dataset", "model", path.alias("path"), F.coalesce("there", F.lit(False)).alias("there"))
 
 
+def found_paths(spark: SparkSession, base: str, pattern: str = "*.pkl") -> DataFrame:
+    """(dataset, model, path, length): the files under base whose names match, as the file system has them; contents are not read."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(base).select("path", "length")
+    at = F.split("path", "/")
+    return files.select(F.element_at(at, -3).alias("dataset"), F.element_at(at, -2).alias("model"), "path", "length")
+
+
+def first_rows(df: DataFrame, index: str, n: int) -> DataFrame:
+    """The first n rows by index; each task keeps n at most before they meet."""
+    return df.orderBy(index).limit(max(0, n))
+
+
 def read_utility_files(spark: SparkSession, pattern: str) -> DataFrame:
     """Rows of many utility files, one JSON object each: metadata beside every data point, and the file's name."""
     points = "array<struct<index:long,num_steps:long,score:double,extracted_answer:string,grading_error:string,ran_second_pass:boolean>>"
