@@ -106,3 +106,15 @@ def test_adder_and_selection_against_integers():
             want = sorted((-int(whole[j] @ whole[k]), int(ids[j])) for j in range(n) if j != k)[:5]
             assert sorted((-int(b), int(a)) for z, a, b in zip(at, i, s) if z == k) == want
         assert (m == 1).all() and not over.any()
+
+
+def test_passes_hold_queries_of_one_home_and_read_the_parts_they_ask(spark, monkeypatch):
+    from tracemill.llm import neural_lsh
+
+    homes = {0: 5, 1: 4, 2: 30, 3: 2, 7: 9}
+    rows = [(i, p) for p, n in homes.items() for i in range(n)]
+    df = spark.createDataFrame([(p * 1000 + i, p, [p, 9]) for i, p in rows], "vec_id long, key long, parts array<int>")
+    groups = [df.where(f).collect() for f in neural_lsh.by_home(homes, 10)]
+    assert sorted(r.vec_id for g in groups for r in g) == sorted(p * 1000 + i for i, p in rows)  # each query once
+    assert {len({r.parts[0] for r in g}) for g in groups if any(r.parts[0] == 2 for r in g)} == {1} and len(groups) > 4
+    assert df.where(neural_lsh.by_home({}, 10)[0]).count() == 0

@@ -17,14 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from tracemill.llm.common import discard, materialise
-from tracemill.llm.vectors import BLOCK_ROWS, FOUND, NEIGHBOURS, QUERY_STEP, asked_again, best_of, clean, dense, own_rows
+from tracemill.llm.vectors import BLOCK_ROWS, NEIGHBOURS, PASS_QUERIES, QUERY_STEP, clean, dense, in_passes, own_rows
 
 #: Bound on the sample that the partition is learned from.
 SAMPLE = 8192
 #: Rows that a part should hold while parts can still grow in number, and the most parts that the sample can tell apart (8 of its rows each).
 PART_ROWS, PARTS_MOST = 1600, SAMPLE // 8
-#: Queries that one cell, of a block and a group of the queries that ask its part, should hold.
-CELL_QUERIES = 2048
 GRAPH_DEGREE = 10
 HIDDEN = 64
 EPOCHS = 30
@@ -189,6 +187,21 @@ def parts_for(rows: int) -> int:
     return min(PARTS_MOST, max(8, 1 << max(0, round(math.log2(max(1, rows) / PART_ROWS)))))
 
 
+def by_home(homes: dict[int, int], most: int = PASS_QUERIES) -> list:
+    """Filters that deal queries to passes: those of one home part together, of neighbouring parts while there is room."""
+    out, together, room = [], [], most
+    for p, n in sorted(homes.items()):
+        if n > most:
+            cuts = math.ceil(n / most)
+            out += [(F.col("parts")[0] == p) & (F.pmod(F.xxhash64("vec_id", "key", F.lit(3)), F.lit(cuts)) == c) for c in range(cuts)]
+            continue
+        if n > room:
+            out.append(F.col("parts")[0].isin(together))
+            together, room = [], most
+        together, room = [*together, p], room - n
+    return [*out, F.col("parts")[0].isin(together)] if together or not out else out
+
+
 INDEX = "part int, block int, ids binary, keys binary, n binary, x binary"
 
 
@@ -231,49 +244,37 @@ def nearest(table: DataFrame, k: int = NEIGHBOURS, step: int = QUERY_STEP) -> Da
         raw = [pa.array([x[o].tobytes()], pa.binary()) for x in (ids, keys, n, dense(t.column("v"), dim))]
         return pa.table([*(pa.array([t.column(c)[0].as_py()], pa.int32()) for c in ("part", "block")), *raw], names=[f.split()[0] for f in INDEX.split(", ")])
 
-    index = materialise(homed.groupBy("part", "block").applyInArrow(pack, INDEX), "index")
+    # a folder for each part, so that a pass reads the parts that it asks for
+    index = materialise(homed.groupBy("part", "block").applyInArrow(pack, INDEX), "index", by=["part"])
 
     count = np.zeros(max(sizes, default=0) + 1, np.int64)
     count[list(sizes)] = list(sizes.values())
-    least, kinds = net.probes, T.StructType([T.StructField("part", T.IntegerType()), *[f for f in vectors.schema.fields if f.name in ("vec_id", "key", "v")]])
-
-    def ask(batches):
-        for b in batches:
-            order = np.array(b.column("parts").to_pylist(), np.int64).reshape(b.num_rows, -1)
-            # as many parts as the router has found to be needed, and more where they have too few rows
-            rows_before = np.cumsum(np.where(order < len(count), count[np.minimum(order, len(count) - 1)], 0), axis=1)
-            asked = (np.arange(order.shape[1]) < least) | (np.concatenate([np.zeros((len(order), 1), np.int64), rows_before[:, :-1]], axis=1) <= k)
-            who, at = np.nonzero(asked)
-            yield pa.RecordBatch.from_arrays([pa.array(order[who, at].astype(np.int32)), *[b.column(c).take(pa.array(who)) for c in kinds.names[1:]]], names=kinds.names)
+    least = net.probes
+
+    def asked(q: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        """Parts of each query in its order, and which of them it asks: as many as the router has found to be needed, and more where they have too few rows."""
+        order = np.array(q.column("parts").to_pylist(), np.int64).reshape(q.num_rows, -1)
+        rows_before = np.cumsum(np.where(order < len(count), count[np.minimum(order, len(count) - 1)], 0), axis=1)
+        return order, (np.arange(order.shape[1]) < least) | (np.concatenate([np.zeros((len(order), 1), np.int64), rows_before[:, :-1]], axis=1) <= k)
+
+    def wanted(q: pa.Table) -> list[int]:
+        if not q.num_rows:
+            return []
+        order, ask = asked(q)
+        return sorted(set(np.unique(order[ask]).tolist()) & set(sizes))
+
+    def search(block: dict, q: pa.Table):
+        order, ask = asked(q)
+        who = np.flatnonzero(((order == block["part"]) & ask).any(axis=1))
+        if not len(who):
+            return tuple(np.zeros(0, d) for d in (np.int64, np.int64, np.int64, np.float64, object, np.int64))
+        ids, keys, n = (np.frombuffer(block[c], np.int64) for c in ("ids", "keys", "n"))
+        some = q.take(pa.array(who))
+        at, *rest = best_of_block(ids, keys, n, np.frombuffer(block["x"]).reshape(len(ids), dim), some.column("vec_id").to_numpy(), some.column("key").to_numpy(), dense(some.column("v"), dim), k)
+        return who[at], *rest
 
     queries = routed.where(F.col("vec_id") % step == 0)
-    asked = materialise(queries.mapInArrow(ask, kinds), "asked")
-    held = {r["part"]: r["n"] for r in asked.groupBy("part").agg(F.count("*").alias("n")).collect()}  # a row for each part
-
-    def up_to(sizes: dict[int, int], rows: int):
-        """Numbers of the blocks that a part's rows are dealt to."""
-        got = F.create_map(*[F.lit(x) for p, n in sizes.items() for x in (p, max(1, math.ceil(n / rows)))]) if sizes else F.create_map(F.lit(-1), F.lit(1))
-        return F.try_element_at(got, F.col("part"))
-
-    # a part's blocks meet the queries that ask it, and no others: every block each group of them, in a cell of its own
-    chunk = F.pmod(F.xxhash64("vec_id", "key", F.lit(3)), up_to(held, CELL_QUERIES)).cast("int")
-    left = asked.withColumn("chunk", chunk).withColumn("block", F.explode(F.sequence(F.lit(0), up_to(sizes, BLOCK_ROWS) - 1)))
-    right = index.withColumn("chunk", F.explode(F.sequence(F.lit(0), up_to(held, CELL_QUERIES) - 1)))
-
-    def meet(q: pa.Table, blocks: pa.Table) -> pa.Table:
-        names = [f.split()[0] for f in FOUND.split(", ")]
-        out = pa.table({n: pa.array([], t) for n, t in zip(names, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.string(), pa.int64()))})
-        if not q.num_rows or not blocks.num_rows:
-            return out
-        block = blocks.slice(0, 1).to_pylist()[0]
-        ids, keys, n = (np.frombuffer(block[c], np.int64) for c in ("ids", "keys", "n"))
-        q_ids, q_keys = q.column("vec_id").to_numpy(), q.column("key").to_numpy()
-        at, found, over, score, _, times = best_of_block(ids, keys, n, np.frombuffer(block["x"]).reshape(len(ids), dim), q_ids, q_keys, dense(q.column("v"), dim), k)
-        cols = [q_ids[at], q_keys[at], found, over.astype(np.int32), score, pa.nulls(len(at), pa.string()), times]
-        return pa.table([pa.array(c) for c in cols], schema=out.schema)
-
-    cell = ("part", "block", "chunk")
-    found = left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInArrow(meet, FOUND.format(score="double"))
-    out = asked_again(best_of(found, k), queries)
-    discard(vectors, routed, index, asked)
+    homes = {r["p"]: r["n"] for r in queries.groupBy(F.col("parts")[0].alias("p")).agg(F.count("*").alias("n")).collect()}  # a row for each part
+    out = in_passes(index, queries, k, "double", search, by_home(homes), wanted)
+    discard(vectors, routed, index)
     return out

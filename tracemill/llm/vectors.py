@@ -80,20 +80,22 @@ def best_of(found: DataFrame, k: int) -> DataFrame:
     return ranked.withColumn("_i", each).select("query_id", "q_key", (F.col("_b") + F.col("_i")).cast("int").alias("rank"), "vec_id", "score")
 
 
-def in_passes(index: DataFrame, queries: DataFrame, k: int, score: str, search: Callable) -> DataFrame:
+def in_passes(index: DataFrame, queries: DataFrame, k: int, score: str, search: Callable, deal: list | None = None, wanted: Callable | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k best rows of an index of blocks.
 
-    queries has (vec_id, v, key, n, anything else). They are dealt to groups of about PASS_QUERIES;
-    each group is broadcast and passes once over all blocks, where they lie: search(block as a dict,
+    queries has (vec_id, v, key, n, anything else). They are dealt to groups of about PASS_QUERIES, by a hash or by the
+    filters of deal; each group is broadcast and passes once over the blocks, where they lie, all of them or those whose part is in wanted(queries): search(block as a dict,
     queries as a table) gives arrays of (query row, ids, over, score, big, n). A task keeps the k best that its blocks
     have for each query, so what is shuffled grows with queries and tasks, never with the index.
     """
     spark = index.sparkSession
-    total = queries.count()
-    groups = max(1, math.ceil(total / PASS_QUERIES))
+    if deal is None:
+        groups = max(1, math.ceil(queries.count() / PASS_QUERIES))
+        deal = [F.pmod(F.xxhash64("vec_id", "key"), F.lit(groups)) == g for g in range(groups)]
     parts = []
-    for g in range(groups):
-        asked = queries.where(F.pmod(F.xxhash64("vec_id", "key"), F.lit(groups)) == g).toArrow()
+    for group in deal:
+        asked = queries.where(group).toArrow()
+        blocks = index if wanted is None else index.where(F.col("part").isin(wanted(asked)))
         shared = spark.sparkContext.broadcast(asked)
 
         def run(batches, shared=shared):
@@ -114,7 +116,7 @@ def in_passes(index: DataFrame, queries: DataFrame, k: int, score: str, search:
                     cols = [pa.array(q_ids[at[s]]), pa.array(q_keys[at[s]]), pa.array(ids[s]), pa.array(over[s], pa.int32()), pa.array(value[s], kind), pa.array(big[s].tolist(), pa.string()), pa.array(n[s])]
                     yield pa.RecordBatch.from_arrays(cols, names=["query_id", "q_key", "vec_id", "over", "score", "big", "n"])
 
-        found = index.mapInArrow(run, FOUND.format(score=score))
+        found = blocks.mapInArrow(run, FOUND.format(score=score))
         parts.append(materialise(best_of(found, k), "found"))
         shared.unpersist()
     out = parts[0]
