@@ -46,10 +46,11 @@ def materialise(df: DataFrame, name: str, by: list[str] | None = None) -> DataFr
     path, before = scratch(spark, name), spark.conf.get(_TIDY)
     spark.conf.set(_TIDY, "true")
     try:
-        df.write.partitionBy(*by or []).parquet(path)
+        (df.write.partitionBy(*by) if by else df.write).parquet(path)
     finally:
         spark.conf.set(_TIDY, before)
-    out = spark.read.schema(df.schema).parquet(path).select(*df.columns)
+    out = spark.read.schema(df.schema).parquet(path)
+    out = out.select(*df.columns) if by else out
     out._scratch_path = path
     return out
 
