@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tracemill.operators import stats
+from tracemill.operators.traces import first_of_groups
 from tracemill.schema import KEY
 
 
@@ -100,9 +101,10 @@ def cost_estimate(prompts: DataFrame, price_in: float, price_out: float, fail_ra
 
     prompts has (dataset, model, trace_index, prompt_tokens, output_tokens or null, done).
     """
-    first = Window.partitionBy("dataset", "model").orderBy("trace_index")
-    s = prompts.withColumn("_i", F.row_number().over(first))
-    m = s.groupBy("dataset", "model").agg(F.count_if(~F.col("done")).alias("remaining"), F.avg(F.when(F.col("_i") <= sample, F.col("prompt_tokens"))).alias("mean_prompt"), F.coalesce(F.avg(F.when(F.col("_i") <= sample, F.col("output_tokens"))), F.lit(output_tokens)).alias("mean_output"))
+    by = ["dataset", "model"]
+    left = prompts.groupBy(*by).agg(F.count_if(~F.col("done")).alias("remaining")).alias("a")
+    means = first_of_groups(prompts, by, "trace_index", sample).groupBy(*by).agg(F.avg("prompt_tokens").alias("mean_prompt"), F.coalesce(F.avg("output_tokens"), F.lit(output_tokens)).alias("mean_output")).alias("b")
+    m = left.join(means, [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in by]).select("a.*", "b.mean_prompt", "b.mean_output")
     calls = F.col("remaining") * (1 + fail_rate)
     return m.withColumn("cost_usd", calls * (F.col("mean_prompt") * price_in + F.col("mean_output") * price_out) / 1e6)
 

@@ -137,14 +137,14 @@ def with_last(rows: DataFrame, lookup: DataFrame, key: list[str], place: str, va
     return rows.join(last.select(*key, *[F.col("_l")[v].alias(v) for v in values]), key, "left")
 
 
-def metric_arrays(joined: DataFrame, columns: list[str], most: int, parts: int = 64) -> DataFrame:
-    """(dataset, model, columns): arrays of each model's first `most` traces by index, nulls left out.
+def first_of_groups(df: DataFrame, by: list[str], order: str, most: int, parts: int = 64) -> DataFrame:
+    """The first `most` rows of each group by order; rows are chosen within parts of a group first, so that no task ranks a whole one."""
+    few = df.withColumn("_p", F.pmod(F.xxhash64(order), F.lit(parts))).withColumn("_r", F.row_number().over(Window.partitionBy(*by, "_p").orderBy(order))).where(F.col("_r") <= most)
+    return few.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(order))).where(F.col("_r") <= most).drop("_p", "_r")
 
-    Candidates are chosen within parts of a model first, so that no task ranks a whole model.
-    """
+
+def metric_arrays(joined: DataFrame, columns: list[str], most: int) -> DataFrame:
+    """(dataset, model, columns): arrays of each model's first `most` traces by index, nulls left out."""
     by = ["dataset", "model"]
-    part = F.pmod(F.xxhash64("trace_index"), F.lit(parts))
-    few = joined.withColumn("_p", part).withColumn("_r", F.row_number().over(Window.partitionBy(*by, "_p").orderBy("trace_index"))).where(F.col("_r") <= most)
-    first = few.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy("trace_index"))).where(F.col("_r") <= most)
     kept = lambda c: F.transform(F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("trace_index", c)))), lambda p: p[c])
-    return first.groupBy(*by).agg(*[kept(c).alias(c) for c in columns])
+    return first_of_groups(joined, by, "trace_index", most).groupBy(*by).agg(*[kept(c).alias(c) for c in columns])

@@ -477,3 +477,14 @@ def artifact_paths(spark, base):
 def first_traces(spark, base):
     """The first traces by index, as a smoke run takes them."""
     return artifacts.first_rows(src.read_table(spark, base, "documents").select(F.col("doc_id").alias("trace_index"), "n_chars"), "trace_index", 25)
+
+
+@query(f"""with {FX_TRACES}, b as (select dataset, model, min(trace_index) as a, min(trace_index) + 40 as z, count(*) % 3 as k, list_sort(list(trace_index) filter (trace_index % 50 = 0)) as l from fx_traces where dataset is not null and model is not null group by all)
+select distinct dataset, model, cast(unnest(case when k = 0 then coalesce(l, []) else range(a, z) end) as bigint) as trace_index from b where k < 2""")
+def bt_inflight(spark, base):
+    """Keys on their way: indices that a batch lists, or its half-open range; finished batches have none."""
+    t = src.traces(spark, base).where("dataset is not null and model is not null")
+    k = F.col("k")
+    b = t.groupBy("dataset", "model").agg(F.min("trace_index").alias("a"), (F.count("*") % 3).alias("k"), F.collect_list(F.when(F.col("trace_index") % 50 == 0, F.col("trace_index"))).alias("l"))
+    listed = b.select("dataset", "model", F.when(k == 0, F.col("l")).alias("indices"), F.when(k > 0, F.col("a")).alias("start_index"), F.when(k > 0, F.col("a") + 40).alias("end_index"), F.when(k == 2, "completed").otherwise("running").alias("status"))
+    return bt.inflight_keys(listed)
