@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from tracemill import schema as S
-from tracemill.functions import algebra, grading, jsonparse, text
+from tracemill.functions import algebra, grading, jsonparse, text, tokens
 from tracemill.operators import backtracking as bt, configs, curves, ordering, pu, traces as tr, versions
 from tracemill.plans.catalogue import BINS, BT, BT_SUM, CURVE_PARTS, FIT, PENALISED, FX_BT, FX_JOINED, FX_PU, FX_RM, FX_TRACES, REGRESSION_SQL, _curve, _joined, query
 from tracemill.sources import artifacts, scratch, tables as src
@@ -488,3 +488,10 @@ def bt_inflight(spark, base):
     b = t.groupBy("dataset", "model").agg(F.min("trace_index").alias("a"), (F.count("*") % 3).alias("k"), F.collect_list(F.when(F.col("trace_index") % 50 == 0, F.col("trace_index"))).alias("l"))
     listed = b.select("dataset", "model", F.when(k == 0, F.col("l")).alias("indices"), F.when(k > 0, F.col("a")).alias("start_index"), F.when(k > 0, F.col("a") + 40).alias("end_index"), F.when(k == 2, "completed").otherwise("running").alias("status"))
     return bt.inflight_keys(listed)
+
+
+@query(None)
+def bpe_token_counts(spark, base):
+    """Tokens of every text by a public vocabulary, beside its white-space words."""
+    ranks = tokens.read_ranks(spark)
+    return src.traces(spark, base).select("dataset", "model", "trace_index", tokens.count_bpe_tokens("trace_text", ranks).alias("bpe_tokens"), text.count_tokens("trace_text").alias("token_count"))
