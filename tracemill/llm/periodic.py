@@ -165,10 +165,8 @@ def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
 def _collapse(texts: pa.Array, least: int) -> tuple[list[list[dict]], pa.Array]:
     """(runs, text without repeats) of each text."""
     words, off = _words(texts)
-    coded = words.dictionary_encode()
-    rank = np.empty(len(coded.dictionary), dtype=np.int64)
-    rank[pc.array_sort_indices(coded.dictionary).to_numpy()] = np.arange(len(rank))
-    codes = rank[coded.indices.to_numpy()] if len(words) else np.zeros(0, np.int64)
+    # places in the alphabet, by sorting: nothing here hashes
+    codes = pc.rank(words, sort_keys="ascending", tiebreaker="dense").to_numpy().astype(np.int64) - 1 if len(words) else np.zeros(0, np.int64)
     found: list[list[dict]] = [[] for _ in range(len(texts))]
     keep = np.ones(len(words), dtype=bool)
     for a, b in _zones(codes, off, least):
