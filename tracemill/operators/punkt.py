@@ -26,16 +26,18 @@ class Model(NamedTuple):
     pairs: DataFrame
 
 
-def tokens(text) -> Column:
-    """Array of (type, ending, case) of what white space parts, without brackets, quotes and marks around it.
+def words(text) -> Column:
+    """What white space parts."""
+    c = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
+    return F.filter(F.split(c, r"\s+"), lambda w: w != "")
+
+
+def token(word: Column) -> Column:
+    """struct<type, ending, case> of a word, without brackets, quotes and marks around it.
 
     ending: "." for one period, "!" for ! and ?, "~" for an ellipsis, else "". case: U, L or "" by the first letter. The
     type is in lower case, without the ending; all numbers are one type.
     """
-    c = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
-
-    def token(w: Column) -> Column:
-        return let(F.regexp_replace(w, r"""^[("'\[{]+|[)"'\]},;:]+$""", ""), parts)
 
     def parts(bare: Column) -> Column:
         ending = F.when(F.endswith(bare, F.lit("..")) | F.endswith(bare, F.lit("…")), "~").when(F.endswith(bare, F.lit(".")), ".").when(F.endswith(bare, F.lit("!")) | F.endswith(bare, F.lit("?")), "!").otherwise("")
@@ -44,21 +46,25 @@ def tokens(text) -> Column:
         case = F.when(bare.rlike(r"^\p{Lu}"), "U").when(bare.rlike(r"^\p{Ll}"), "L").otherwise("")
         return F.struct(kind.alias("type"), ending.alias("ending"), case.alias("case"))
 
-    return F.transform(F.filter(F.split(c, r"\s+"), lambda w: w != ""), token)
+    return let(F.regexp_replace(word, r"""^[("'\[{]+|[)"'\]},;:]+$""", ""), parts)
 
 
-def _neighbours(docs: DataFrame, text: str, keep: list[Column]) -> DataFrame:
-    """(keep, prev, type, ending, case): each token with the one before it, prev null for a text's first."""
-    beside = lambda ts: F.transform(ts, lambda t, i: F.struct(F.when(i > 0, F.get(ts, i - 1)).alias("prev"), t["type"].alias("type"), t["ending"].alias("ending"), t["case"].alias("case")))
-    one = docs.select(*keep, F.explode(let(tokens(text), beside)).alias("n"))
-    return one.select(*[c for c in one.columns if c != "n"], "n.*")
+def tokens(text) -> Column:
+    """Array of the tokens of a text."""
+    return F.transform(words(text), token)
 
 
 def neighbour_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(behind, prev, type, ending, case, n): how often; behind is the ending before, "^" at a text's start, prev the type before where behind is a period."""
-    seen = _neighbours(docs, text, [])
-    behind = F.coalesce("prev.ending", F.lit("^"))
-    return seen.groupBy(behind.alias("behind"), F.when(behind == ".", F.col("prev.type")).alias("prev"), "type", "ending", "case").agg(F.count("*").alias("n"))
+    """(behind, prev, type, ending, case, n): how often; behind is the ending before, "^" at a text's start, prev the type before where behind is a period.
+
+    Words are counted as they are written first, each with the word before it where that may end a sentence, so only distinct
+    ones are taken apart.
+    """
+    beside = lambda ws: F.transform(ws, lambda w, i: F.struct(F.when(i > 0, F.get(ws, i - 1)).alias("p"), w.alias("w")))
+    one = docs.select(F.explode(let(words(text), beside)).alias("n")).select(F.col("n.p").isNull().alias("first"), F.when(F.col("n.p").rlike(r"[.!?…]"), F.col("n.p")).alias("p"), F.col("n.w").alias("w"))
+    raw = one.groupBy("first", "p", "w").agg(F.count("*").alias("n")).select("first", token(F.col("p")).alias("p"), token(F.col("w")).alias("t"), "n")
+    behind = F.when(F.col("first"), "^").otherwise(F.coalesce("p.ending", F.lit("")))
+    return raw.groupBy(behind.alias("behind"), F.when(behind == ".", F.col("p.type")).alias("prev"), "t.type", "t.ending", "t.case").agg(F.sum("n").alias("n"))
 
 
 def _x_log(x: Column, p: Column) -> Column:

@@ -98,8 +98,9 @@ def rank_correlations(kept: DataFrame, by: list[str]) -> DataFrame:
 
 def spearman(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     """Rank correlation of each group with three pairs or more: (by, n, rho). Equal pairs are counted before they are ranked."""
-    ok = finite_pair(F.col(x).cast("double"), F.col(y).cast("double"))
-    return rank_correlations(df.where(ok).groupBy(*by, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).agg(F.count("*").alias("n")), by)
+    # written before the filter, which would work out each value once more for every test of it
+    rows = written(df.select(*by, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")), "rank-input")
+    return rank_correlations(rows.where(finite_pair("_x", "_y")).groupBy(*by, "_x", "_y").agg(F.count("*").alias("n")), by)
 
 
 def holm(df: DataFrame, p: str, by: list[str], order: list[str], out: str = "p_holm") -> DataFrame:
