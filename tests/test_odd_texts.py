@@ -18,6 +18,11 @@ def same(spark, tmp_path, name, texts):
     return dict(got)
 
 
+def test_a_category_may_be_longer_than_a_json_reader_takes_a_key(spark, tmp_path):
+    got = same(spark, tmp_path, "extract_answer_connections", ["wort " * 10, "ab" * 30_000, "cd" * 300_000, None, "", "ef" * 26_000, "gh" * 26_000])
+    assert all(got[i] is not None for i in range(5)) and got[5] is None and len(got[1]) > 120_000
+
+
 @pytest.mark.parametrize("inner", ["ß", "ﬁ", "ŉ", "ǰ", "ı", "ſ", "K", "ẞ", "é", "Å"])
 def test_capitals_do_not_join_words(spark, tmp_path, inner):
     texts = [t for w in ("gro{}e", "{}", "{}a", "b{}", "x {}", "{} y", "der gro{}e s{}") for t in [w.replace("{}", inner)] * 8]
