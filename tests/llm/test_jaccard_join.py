@@ -95,3 +95,27 @@ def test_no_link_of_a_hot_group_is_lost(spark, monkeypatch, block, tile):
     want = links(rows)
     assert max(want.values()) > 50
     assert {r["doc_id"]: r["n_links"] for r in near_duplicates(df).collect()} == want
+
+
+def test_near_copies_are_not_listed_pair_by_pair(spark, monkeypatch):
+    """What is written for a group below the heavy class grows with the group, not with its square."""
+    from tracemill.llm import jaccard_join
+
+    listed, verify = [], jaccard_join.verify
+
+    def counted(*args):
+        pairs = next(x for x in args if {"a", "b"} <= set(getattr(x, "columns", ())))
+        listed.append(pairs.select("a", "b").distinct().count())
+        return verify(*args)
+
+    monkeypatch.setattr(jaccard_join, "verify", counted)
+    rng, rows = random.Random(6), []
+    for g in range(3):
+        base = [f"g{g}w{i}" for i in range(150)]
+        for _ in range(50):
+            w = list(base)
+            w[rng.randrange(len(w))] = f"v{rng.randrange(10**9)}"
+            rows.append((len(rows), " ".join(w)))
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {(r["component_id"], r["n_links"]) for r in got} == {(0, 49), (50, 49), (100, 49)}
+    assert sum(listed) <= 10 * len(rows)

@@ -9,28 +9,33 @@ that would then be left to verify, are estimated to cost less. A pair is compare
 
 Steps, none of which needs a group of documents in one task:
 
-1. `classes`: equal sets form one class; all later steps see one node for each class.
-2. `frequent`: exact document frequencies, counted over all shingles in hash buckets as packed
+1. `classes`: equal sets form one class; all later steps see one text for each class.
+2. Near copies meet first: sets that have one of SIGNS least hashes in common are compared with one
+   of them, and components are formed. Later steps list no pair within a component, so what they
+   write does not grow with the square of a group of near copies.
+3. `frequent`: exact document frequencies, counted over all classes in hash buckets as packed
    blobs. Only the classes of the most frequent shingles are kept, at most TABLE_CAP of them.
    The order stays a total order whatever is kept, so the cap bears on cost alone.
-3. Light postings (class below the heavy one): every bucket is bounded, pairs are counted.
-4. Heavy postings: a node has one only if its prefix runs out of light shingles, and a pair that
+4. Light postings (class below the heavy one): every bucket is bounded, pairs of unlike components are counted.
+5. Heavy postings: a node has one only if its prefix runs out of light shingles, and a pair that
    meets only there shares nothing but heavy shingles, at most the smaller of their numbers.
    Each heavy list is first compared with its best pivot (linear), then only members of
    components that are still apart and whose bound allows a link are compared.
-5. Verification recomputes whole sets of the named documents and counts intersections exactly.
-6. Links between nodes with heavy postings are counted after the groups are known: such a link
-   lies within one group, whose sets meet in salted blocks, every block with every other.
+6. Verification computes whole sets of the named documents and counts intersections exactly. Pairs
+   are dealt to cells by what they have in common, and a text goes once to each cell, not to each pair.
+7. Links are counted after the groups are known: a link lies within one group, whose sets meet in
+   salted blocks, every block with every other; small groups share cells.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from tracemill.llm.common import discard, materialise
@@ -52,6 +57,10 @@ SCAN_COST, COMPARE_COST = 1.0, 0.02
 FLUSH = 1_500_000
 #: Sets and shingles that one salted block of a group should hold, and sets that one tile compares.
 BLOCK_SETS, BLOCK_SHINGLES, TILE = 8192, 4_000_000, 2048
+#: Least hashes of a set by which near copies meet.
+SIGNS = 4
+#: Shingles and sets that one cell of a verification, or of small groups, should hold.
+CELL_SHINGLES, CELL_SETS = 1_000_000, 2048
 #: Members that one block of a heavy list should hold.
 LIST_BLOCK = 2048
 _U = np.uint64
@@ -73,44 +82,35 @@ def _unpack(blobs, width: int) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+_SIGN = (np.random.default_rng(41).integers(1, 2**63, SIGNS, dtype=np.uint64) << _U(1)) + _U(1)
+
+
+def _signs(s: np.ndarray) -> list[int]:
+    """Least values of a set under SIGNS orders; two sets of similarity J have each in common with chance J."""
+    with np.errstate(over="ignore"):
+        return [int((s * m).min().view(np.int64)) if len(s) else 0 for m in _SIGN]
+
+
 def classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, h1, h2): size and digest of every document's set."""
+    """(doc_id, x, n, h1, h2, s0...): hash of every document's text; size, digest and least hashes of its set."""
+    signs = [f"s{i}" for i in range(SIGNS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = shingle_sets(b.column("text"))
-            keys = [set_key(s) for s in sets]
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64())],
-                names=["doc_id", "n", "h1", "h2"],
-            )
+            keys = [(len(s), *set_key(s), *_signs(s)) for s in sets]
+            told = np.array(keys, np.int64).reshape(len(keys), 3 + SIGNS)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("x"), *[pa.array(told[:, i].copy()) for i in range(3 + SIGNS)]], names=["doc_id", "x", "n", "h1", "h2", *signs])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, h1 long, h2 long")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("x")).mapInArrow(run, "doc_id long, x long, n long, h1 long, h2 long, " + ", ".join(f"{c} long" for c in signs))
 
 
 def _bits(total: int) -> int:
     return max(3, math.ceil(math.log2(max(1, total / BUCKET_ROWS))))
 
 
-def _fresh(sets: list[np.ndarray], seen: set) -> list[tuple[np.ndarray, int]]:
-    """The sets, with their first digests, that this task has not had lately; empty ones go."""
-    out = []
-    for s in sets:
-        if len(s):
-            k = set_key(s)
-            if k not in seen:
-                seen.add(k)
-                out.append((s, k[0]))
-    if len(seen) > 200_000:
-        seen.clear()
-    return out
-
-
 def frequent(docs: DataFrame, total: int) -> DataFrame:
-    """(t, cls): 48-bit shingle and floor(log2 frequency) of each shingle with LEAST_FREQ sets or more.
-
-    A set that several tasks have counts once in each; that shifts no more than the order.
-    """
+    """(t, cls): 48-bit shingle and floor(log2 frequency) of each shingle that LEAST_FREQ rows or more have."""
     bits = _bits(total)
     width = -(-(48 - bits) // 8)
     keep = _U((1 << (48 - bits)) - 1)
@@ -131,10 +131,9 @@ def frequent(docs: DataFrame, total: int) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["k", "one", "more", "times"])
 
     def spread(batches):
-        seen: set = set()
         parts, size = [], 0
         for b in batches:
-            for s, _ in _fresh(shingle_sets(b.column("text")), seen):
+            for s in shingle_sets(b.column("text")):
                 parts.append(s >> _U(16))
                 size += len(s)
                 if size > FLUSH:
@@ -213,26 +212,25 @@ def matches_for(cls: np.ndarray, n: int, first: int, light: int, top: int) -> in
 
 
 def light_pairs(docs: DataFrame, shared, heavy: int, total: int, percent: int) -> DataFrame:
-    """(a, b): nodes that share enough light prefix shingles, a < b, each pair once."""
+    """(a, b): nodes of unlike components that share enough light prefix shingles, a < b, each pair once."""
     bits = _bits(total // 4)
     width = -(-(48 - bits) // 8)
     keep = _U((1 << (48 - bits)) - 1)
 
     def emit(parts):
-        t, node, n, lev = (np.concatenate(x) for x in zip(*parts))
+        t, node, c, n, lev = (np.concatenate(x) for x in zip(*parts))
         o = np.argsort(t, kind="stable")
-        t, node, n, lev = t[o], node[o], n[o], lev[o]
+        t, node, c, n, lev = t[o], node[o], c[o], n[o], lev[o]
         cut = np.searchsorted(t, np.arange((1 << bits) + 1, dtype=np.uint64) << _U(48 - bits))
-        rows = [(k, _pack(t[a:b] & keep, width), node[a:b].tobytes(), n[a:b].tobytes(), lev[a:b].tobytes()) for k in range(1 << bits) if (a := cut[k]) < (b := cut[k + 1])]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int32() if i == 0 else pa.binary()) for i in range(5)], names=["k", "t", "node", "n", "lev"])
+        rows = [(k, _pack(t[a:b] & keep, width), node[a:b].tobytes(), c[a:b].tobytes(), n[a:b].tobytes(), lev[a:b].tobytes()) for k in range(1 << bits) if (a := cut[k]) < (b := cut[k + 1])]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int32() if i == 0 else pa.binary()) for i in range(6)], names=["k", "t", "node", "c", "n", "lev"])
 
     def spread(batches):
         table, cls = shared.value
-        seen: set = set()
         parts, size = [], 0
         for b in batches:
-            got = _fresh(shingle_sets(b.column("text")), seen)
-            for (t, c), (s, node) in zip(_ordered([s for s, _ in got], table, cls), got):
+            nodes, groups = b.column("node").to_pylist(), b.column("c").to_pylist()
+            for (t, c), node, group in zip(_ordered(shingle_sets(b.column("text")), table, cls), nodes, groups):
                 n = len(t)
                 first = n - need(n, percent) + 1
                 light = int(np.searchsorted(c, heavy))
@@ -240,7 +238,7 @@ def light_pairs(docs: DataFrame, shared, heavy: int, total: int, percent: int) -
                 p = min(first + l - 1, light)
                 if p:
                     level = np.maximum(1, np.arange(1, p + 1) - first + 1).astype(np.uint8)
-                    parts.append((t[:p], np.full(p, node, np.int64), np.full(p, n, np.uint32), level * np.uint8(16) + np.uint8(l)))
+                    parts.append((t[:p], np.full(p, node, np.int64), np.full(p, node ^ group, np.int64), np.full(p, n, np.uint32), level * np.uint8(16) + np.uint8(l)))
                     size += p
             if size > FLUSH:
                 yield from emit(parts)
@@ -250,17 +248,16 @@ def light_pairs(docs: DataFrame, shared, heavy: int, total: int, percent: int) -
 
     def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
         t = _unpack(pdf["t"], width)
-        node, n, lev = (np.frombuffer(b"".join(pdf[x]), dtype=d) for x, d in (("node", np.int64), ("n", np.uint32), ("lev", np.uint8)))
+        node, c, n, lev = (np.frombuffer(b"".join(pdf[x]), dtype=d) for x, d in (("node", np.int64), ("c", np.int64), ("n", np.uint32), ("lev", np.uint8)))
         o = np.lexsort((node, t))
-        t, node, n, lev = t[o], node[o], n[o].astype(np.int64), lev[o].astype(np.int64)
+        t, node, c, n, lev = t[o], node[o], (node ^ c)[o], n[o].astype(np.int64), lev[o].astype(np.int64)
         once = np.ones(len(t), bool)
         once[1:] = (t[1:] != t[:-1]) | (node[1:] != node[:-1])
-        again = np.zeros(len(t), bool)
-        t, node, n, lev = t[once], node[once], n[once], lev[once]
+        t, node, c, n, lev = t[once], node[once], c[once], n[once], lev[once]
         twin = np.zeros(len(t) + 1, bool)
         twin[1:-1] = t[1:] == t[:-1]
         again = twin[1:] | twin[:-1]
-        t, node, n, lev = t[again], node[again], n[again], lev[again]
+        t, node, c, n, lev = t[again], node[again], c[again], n[again], lev[again]
         found = []
         d, at = 1, np.arange(len(t))
         while True:
@@ -270,7 +267,7 @@ def light_pairs(docs: DataFrame, shared, heavy: int, total: int, percent: int) -
                 break
             i, j = at, at + d
             l = np.minimum(lev[i] & 15, lev[j] & 15)
-            ok = (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])) & (np.maximum(lev[i] >> 4, lev[j] >> 4) <= l)
+            ok = (c[i] != c[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])) & (np.maximum(lev[i] >> 4, lev[j] >> 4) <= l)
             found.append((node[i[ok]], node[j[ok]], l[ok]))
             d += 1
         if not found:
@@ -279,21 +276,19 @@ def light_pairs(docs: DataFrame, shared, heavy: int, total: int, percent: int) -
         # nodes of one list are in ascending order, so a < b
         return pd.DataFrame({"a": a, "b": b, "l": l.astype(np.int32)}).groupby(["a", "b", "l"], sort=False).size().rename("c").reset_index().astype({"c": np.int32})
 
-    blobs = docs.select("text").mapInArrow(spread, "k int, t binary, node binary, n binary, lev binary")
+    blobs = docs.select("node", "c", "text").mapInArrow(spread, "k int, t binary, node binary, c binary, n binary, lev binary")
     met = blobs.groupBy("k").applyInPandas(pairs, "a long, b long, l int, c int")
     return met.groupBy("a", "b").agg(F.sum("c").alias("c"), F.max("l").alias("l")).where("c >= l").select("a", "b")
 
 
 def heavy_postings(docs: DataFrame, shared, heavy: int, percent: int) -> DataFrame:
-    """(t, node, n, h): heavy prefix shingles of nodes whose light ones run out, h heavy ones in all."""
+    """(t, node, n, h, c): heavy prefix shingles of nodes whose light ones run out, h heavy ones in all, c their component."""
 
     def run(batches):
         table, cls = shared.value
-        seen: set = set()
         for b in batches:
-            got = _fresh(shingle_sets(b.column("text")), seen)
-            ts, nodes, ns, hs = [], [], [], []
-            for (t, c), (s, node) in zip(_ordered([s for s, _ in got], table, cls), got):
+            ts, nodes, ns, hs, cs = [], [], [], [], []
+            for (t, c), node, group in zip(_ordered(shingle_sets(b.column("text")), table, cls), b.column("node").to_pylist(), b.column("c").to_pylist()):
                 n = len(t)
                 first, light = n - need(n, percent) + 1, int(np.searchsorted(c, heavy))
                 if first > light:
@@ -301,10 +296,11 @@ def heavy_postings(docs: DataFrame, shared, heavy: int, percent: int) -> DataFra
                     nodes.append(np.full(first - light, node, np.int64))
                     ns.append(np.full(first - light, n, np.int64))
                     hs.append(np.full(first - light, n - light, np.int64))
+                    cs.append(np.full(first - light, group, np.int64))
             if ts:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ts, nodes, ns, hs)], names=["t", "node", "n", "h"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ts, nodes, ns, hs, cs)], names=["t", "node", "n", "h", "c"])
 
-    return docs.select("text").mapInArrow(run, "t long, node long, n long, h long").dropDuplicates(["t", "node"])
+    return docs.select("node", "c", "text").mapInArrow(run, "t long, node long, n long, h long, c long").dropDuplicates(["t", "node"])
 
 
 def _may_link(x: str, y: str, percent: int) -> str:
@@ -317,8 +313,8 @@ def _slot(column: str, bits: int):
     return F.shiftrightunsigned(F.xxhash64(column), 64 - bits)
 
 
-def _bloom(ids: DataFrame, count: int) -> tuple[np.ndarray, int]:
-    """A bit map of hashed ids (column rep), of at most 2 ** 27 bits; it only spares the shuffle some texts.
+def _bloom(ids: DataFrame, count: int, column: str = "rep") -> tuple[np.ndarray, int]:
+    """A bit map of hashed ids, of at most 2 ** 27 bits; it only spares the shuffle some texts.
 
     Slots are made distinct before they shuffle and set by range, so that no task and not the
     driver sees more than the map's own size.
@@ -333,7 +329,7 @@ def _bloom(ids: DataFrame, count: int) -> tuple[np.ndarray, int]:
         np.bitwise_or.at(out, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
         return pd.DataFrame({"r": [int(s[0] >> low)], "m": [out.tobytes()]})
 
-    slots = ids.select(_slot("rep", bits).alias("s")).distinct()
+    slots = ids.select(_slot(column, bits).alias("s")).distinct()
     whole = np.zeros(1 << (bits - 3), np.uint8)
     for row in slots.groupBy(F.shiftright("s", low).alias("_r")).applyInPandas(fill, "r int, m binary").toLocalIterator():
         part = np.frombuffer(bytes(row["m"]), np.uint8)
@@ -341,63 +337,83 @@ def _bloom(ids: DataFrame, count: int) -> tuple[np.ndarray, int]:
     return whole, bits
 
 
-def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(rep, node, set) of documents whose ids are in wanted (rep, distinct), and a few others.
-
-    A set may come more than once if rows repeat an id and its text.
-    """
-    bloom, bits = _bloom(wanted, wanted.count())
+def _texts_of(docs: DataFrame, wanted: DataFrame, by: str) -> DataFrame:
+    """Rows of docs whose id (column by) is in wanted (by, distinct), and a few others; docs has longs and text."""
+    bloom, bits = _bloom(wanted, wanted.count(), by)
     shared = docs.sparkSession.sparkContext.broadcast(bloom)
 
     def pick(batches):
         m = shared.value
-        had: set = set()  # rows that repeat an id and its text are passed on once
         for b in batches:
             at = b.column("_slot").to_numpy(zero_copy_only=False)
-            got = b.filter(pa.array(m[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1))
-            for lo in range(0, got.num_rows, 256):
-                part = got.slice(lo, 256)
-                rep, node, blob = [], [], []
-                for i, s in zip(part.column("doc_id").to_pylist(), shingle_sets(part.column("text"))):
-                    if len(s) and (k := (i, set_key(s)[0])) not in had:
-                        had.add(k)
-                        rep.append(i)
-                        node.append(k[1])
-                        blob.append(s.tobytes())
-                if len(had) > 200_000:
-                    had.clear()
-                yield pa.RecordBatch.from_arrays([pa.array(rep, pa.int64()), pa.array(node, pa.int64()), pa.array(blob, pa.binary())], names=["rep", "node", "set"])
-
-    return docs.select("doc_id", "text", _slot("doc_id", bits).alias("_slot")).where("doc_id is not null").mapInArrow(pick, "rep long, node long, set binary")
-
-
-def verify(docs: DataFrame, members: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """(u, v, a, b): the pairs of nodes a, b whose sets link, and their representatives (smallest ids).
-
-    members has (node, rep), one row for each class.
+            yield b.filter(pa.array(m[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1)).select(names)
+
+    names = docs.columns
+    kinds = ", ".join(f"{c} {'string' if c == 'text' else 'long'}" for c in names)
+    return docs.where(f"{by} is not null").withColumn("_slot", _slot(by, bits)).mapInArrow(pick, kinds)
+
+
+def _shared(x: np.ndarray, y: np.ndarray) -> int:
+    """Size of the intersection of two sorted sets."""
+    both = np.sort(np.concatenate([x, y]), kind="stable")
+    return int((both[1:] == both[:-1]).sum())
+
+
+CELL = ["big", "g", "i", "j"]
+
+
+def _cells(size: DataFrame, sets: int, shingles: int) -> tuple[DataFrame, Callable]:
+    """(g, k) of each group g with m sets of s shingles in all, and the columns of a cell for two blocks x, y of it.
+
+    A group is cut into k blocks, every two of which meet in a cell; groups of one block share cells.
     """
-    ends = [members.select(F.col("node").alias(x), F.col("rep").alias(y)) for x, y in (("a", "u"), ("b", "v"))]
-    named = materialise(pairs.join(ends[0], "a").join(ends[1], "b"), "named")
-    # the same exchange serves both sides; an id that several rows have may come with several texts,
-    # of which the node settles which is meant
-    sets = _sets_of(docs, named.select(F.col("u").alias("rep")).unionByName(named.select(F.col("v").alias("rep"))).distinct())
-
-    def side(x: str, y: str) -> DataFrame:
-        return sets.select(F.col("node").alias(x), F.col("rep").alias(y), F.col("set").alias(f"set_{x}"))
-
-    def meet(batches):
-        for batch in batches:
-            keep = []
-            for sa, sb in zip(batch.column("set_a"), batch.column("set_b")):
-                x, y = (np.frombuffer(s.as_buffer(), np.uint64) for s in (sa, sb))
-                both = np.sort(np.concatenate([x, y]))
-                k = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * k >= percent * (len(x) + len(y) - k))
-            yield batch.select(["u", "v", "a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    joined = named.join(side("a", "u"), ["a", "u"]).join(side("b", "v"), ["b", "v"]).select("u", "v", "a", "b", "set_a", "set_b")
-    out = materialise(joined.mapInArrow(meet, "u long, v long, a long, b long").distinct(), "links")
-    discard(named)
+    total = size.agg(F.sum("s")).first()[0] or 0
+    shares = max(1, math.ceil(total / CELL_SHINGLES))
+    blocks = size.select("g", F.greatest(F.ceil(F.col("m") / sets), F.ceil(F.col("s") / shingles)).cast("int").alias("k"))
+    big = F.col("k") > 1
+
+    def cell(x, y):
+        return [big.alias("big"), F.when(big, F.col("g")).otherwise(F.pmod(F.xxhash64("g"), F.lit(shares))).alias("g"), F.least(x, y).alias("i"), F.greatest(x, y).alias("j")]
+
+    return blocks, cell
+
+
+def _block(node: str, salt: int):
+    return F.expr(f"cast(pmod(xxhash64({node}, {salt}), k) as int)")
+
+
+def verify(pairs: DataFrame, nodes: DataFrame, texts: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+    """(a, b): the pairs of nodes whose sets link, a < b.
+
+    nodes has (node, n); texts gives (node, text) of those nodes that a table (node) names, and a few others. A pair's group is the
+    smallest node that either of the two is paired with, so near copies come together.
+    """
+    pairs = materialise(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "met")
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("low")).join(nodes, "node")
+    ends = [low.select(F.col("node").alias(x), F.col("low").alias(f"low_{x}"), F.col("n").alias(f"n_{x}")) for x in ("a", "b")]
+    named = materialise(pairs.join(ends[0], "a").join(ends[1], "b").select("a", "b", "n_a", "n_b", F.least("low_a", "low_b").alias("g")), "named")
+    own = named.select("g", F.col("a").alias("node"), F.col("n_a").alias("n")).unionByName(named.select("g", F.col("b").alias("node"), F.col("n_b").alias("n"))).distinct()
+    blocks, cell = _cells(own.groupBy("g").agg(F.count("*").alias("m"), F.sum("n").alias("s")), CELL_SETS, CELL_SHINGLES)
+    dealt = materialise(named.join(blocks, "g").select(*cell(_block("a", 13), _block("b", 13)), "a", "b"), "dealt")
+    at = dealt.select(*CELL, F.col("a").alias("node")).unionByName(dealt.select(*CELL, F.col("b").alias("node"))).distinct()
+    read = at.join(texts(at.select("node").distinct()), "node").select(*CELL, "node", F.lit(None).cast("long").alias("b"), "text")
+    rows = read.unionByName(dealt.select(*CELL, F.col("a").alias("node"), "b", F.lit(None).cast("string").alias("text")))
+
+    def meet(t: pa.Table) -> pa.Table:
+        asked = t.column("b").is_valid()
+        told, t = t.filter(asked), t.filter(pc.invert(asked))
+        sets = dict(zip(t.column("node").to_pylist(), shingle_sets(t.column("text"))))
+        a, b = told.column("node").to_pylist(), told.column("b").to_pylist()
+        keep = []
+        for u, v in zip(a, b):
+            x, y = sets[u], sets[v]
+            k = _shared(x, y)
+            keep.append(100 * k >= percent * (len(x) + len(y) - k))
+        return told.select(["node", "b"]).rename_columns(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    out = materialise(rows.groupBy(*CELL).applyInArrow(meet, "a long, b long"), "links")
+    discard(pairs, named, dealt)
     return out
 
 
@@ -461,32 +477,48 @@ def block_links(one: list[np.ndarray], two: list[np.ndarray] | None, percent: in
     return got[0], got[1]
 
 
-def group_links(docs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """(node, n_links): exact numbers of links among the nodes (node, rep, n, c) of each group c.
+def group_links(nodes: DataFrame, texts: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+    """(node, n_links): exact numbers of links among the nodes (node, n, g) of each group g.
 
     A group is dealt to blocks by a hash of the node, and each pair of blocks is a task of its own
     that gives numbers, not pairs: what is written grows with the group's size times its blocks.
     """
-    size = nodes.groupBy("c").agg(F.count("*").alias("m"), F.sum("n").alias("s")).where("m > 1")
-    blocks = size.select("c", F.greatest(F.ceil(F.col("m") / BLOCK_SETS), F.ceil(F.col("s") / BLOCK_SHINGLES)).cast("int").alias("k"))
-    dealt = materialise(nodes.join(blocks, "c").select("node", "rep", "c", "k", F.expr("cast(pmod(xxhash64(node, 11), k) as int)").alias("x")), "dealt")
-
-    def tally(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("node")
-        own = (pdf["x"] == pdf["i"]).to_numpy()
-        node = pdf["node"].to_numpy()
-        sets = [np.frombuffer(s, np.uint64) for s in pdf["set"]]
-        one = [s for s, o in zip(sets, own) if o]
-        if pdf["i"].iloc[0] == pdf["j"].iloc[0]:
-            return pd.DataFrame({"node": node, "n_links": block_links(one, None, percent)[0]})
-        two = [s for s, o in zip(sets, own) if not o]
-        if not one or not two:
-            return pd.DataFrame({"node": node[:0], "n_links": np.zeros(0, np.int64)})
-        return pd.DataFrame({"node": np.concatenate([node[own], node[~own]]), "n_links": np.concatenate(block_links(one, two, percent))})
-
-    sets = _sets_of(docs, dealt.select("rep").distinct()).join(dealt, ["node", "rep"])
-    cells = sets.withColumn("y", F.explode(F.expr("sequence(0, k - 1)"))).select("c", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "x", "node", "set")
-    out = cells.groupBy("c", "i", "j").applyInPandas(tally, "node long, n_links long").groupBy("node").agg(F.sum("n_links").alias("n_links"))
+    blocks, cell = _cells(nodes.groupBy("g").agg(F.count("*").alias("m"), F.sum("n").alias("s")).where("m > 1"), BLOCK_SETS, BLOCK_SHINGLES)
+    dealt = nodes.join(blocks, "g").select("node", "g", "k", _block("node", 11).alias("x")).withColumn("y", F.explode(F.expr("sequence(0, k - 1)")))
+    dealt = materialise(dealt.select("node", F.col("g").alias("c"), "x", *cell(F.col("x"), F.col("y"))), "dealt")
+    rows = texts(dealt.select("node").distinct()).join(dealt, "node")
+
+    def among(sets: list[np.ndarray]) -> np.ndarray:
+        if len(sets) > 8:
+            return block_links(sets, None, percent)[0]
+        out = np.zeros(len(sets), np.int64)
+        for i, x in enumerate(sets):
+            for j, y in enumerate(sets[:i]):
+                k = _shared(x, y)
+                if 100 * k >= percent * (len(x) + len(y) - k):
+                    out[[i, j]] += 1
+        return out
+
+    def tally(t: pa.Table) -> pa.Table:
+        node, first = np.unique(t.column("node").to_numpy(), return_index=True)  # rows that repeat an id and its text
+        t = t.take(pa.array(first))
+        sets, c, x = shingle_sets(t.column("text")), t.column("c").to_numpy(), t.column("x").to_numpy()
+        n = np.zeros(len(node), np.int64)
+        if not t.column("big")[0].as_py():
+            o = np.argsort(c, kind="stable")
+            for at in np.split(o, np.flatnonzero(np.diff(c[o])) + 1):
+                n[at] = among([sets[i] for i in at])
+        elif t.column("i")[0].as_py() == t.column("j")[0].as_py():
+            n = block_links(sets, None, percent)[0]
+        else:
+            own = x == t.column("i")[0].as_py()
+            one, two = [s for s, o in zip(sets, own) if o], [s for s, o in zip(sets, own) if not o]
+            if one and two:
+                n[own], n[~own] = block_links(one, two, percent)
+        return pa.table({"node": node, "n_links": n})
+
+    cells = rows.select(*CELL, "c", "x", "node", "text")
+    out = cells.groupBy(*CELL).applyInArrow(tally, "node long, n_links long").groupBy("node").agg(F.sum("n_links").alias("n_links"))
     out = materialise(out, "group-links")
     discard(dealt)
     return out
@@ -506,26 +538,54 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     known = materialise(classes(docs), "classes")
-    groups = known.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"))
-    total = groups.agg(F.sum("n")).first()[0] or 0
-    members = materialise(groups.select(F.col("h1").alias("node"), "h2", "n", "rep"), "members")
-    reps = members.where("rep is not null").select("node", "rep")
-
-    freq = materialise(frequent(docs, total), "freq")
+    signs = [f"s{i}" for i in range(SIGNS)]
+    groups = known.where("n > 0").groupBy("h1", "h2", "n").agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "x"))).alias("p"), *[F.min(c).alias(c) for c in signs])
+    members = materialise(groups.select(F.col("h1").alias("node"), "h2", "n", F.col("p.doc_id").alias("rep"), F.col("p.x").alias("x"), *signs), "members")
+    reps = members.where("rep is not null")
+    sizes, total = reps.select("node", "n"), reps.agg(F.sum("n")).first()[0] or 0
+
+    # near copies: each is compared with the smallest node that has one of its least hashes
+    sign = reps.select("node", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).alias("s")) for i, c in enumerate(signs)])).alias("e")).select("node", "e.i", "e.s")
+    lead = sign.groupBy("i", "s").agg(F.min("node").alias("a"), F.count("*").alias("m")).where("m > 1").drop("m")
+    keyed = docs.select(F.col("doc_id").alias("rep"), F.xxhash64("text").alias("x"), "text")
+
+    def first_texts(wanted: DataFrame) -> DataFrame:
+        asked = reps.join(wanted, "node").select("node", "rep", "x")
+        return _texts_of(keyed, asked.select("rep").distinct(), "rep").join(asked, ["rep", "x"]).select("node", "text")
+
+    near = verify(sign.join(lead, ["i", "s"]).select("a", F.col("node").alias("b")), sizes, first_texts, percent)
+    found = connected_components(near.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    discard(near)
+
+    # one text for each class, with its component so far
+    asked = reps.join(found, F.col("node") == F.col("id"), "left").select("node", "rep", "x", F.coalesce("component", "node").alias("c"))
+    base = materialise(keyed.join(asked, ["rep", "x"]).select("node", "c", "text"), "base")
+
+    def texts(wanted: DataFrame) -> DataFrame:
+        return _texts_of(base.select("node", "text"), wanted, "node")
+
+    def grown(pairs: DataFrame, found: DataFrame) -> DataFrame:
+        """The components with the links among these pairs."""
+        more = verify(pairs, sizes, texts, percent)
+        if more.limit(1).count():
+            edges = more.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(found.select(F.col("id").alias("u"), F.col("component").alias("v")))
+            was, found = found, connected_components(edges)
+            discard(was)
+        discard(more)
+        return found
+
+    freq = materialise(frequent(base, total), "freq")
     table, cls, heavy = _bounded_table(freq)
     discard(freq)
     shared = spark.sparkContext.broadcast((table, cls))
-    light = light_pairs(docs, shared, heavy, total, percent)
-    lists = materialise(heavy_postings(docs, shared, heavy, percent), "heavy")
-    best = lists.groupBy("t").agg(F.max(F.struct((F.col("h") / F.col("n")).alias("part"), F.col("node").alias("node"), "n", "h")).alias("p"), F.count("*").alias("m")).where("m > 1").select("t", "p.node", "p.n", "p.h")
-    star = lists.alias("x").join(best.alias("y"), "t").where(F.expr("x.node <> y.node and " + _may_link("x", "y", percent))).select(F.col("y.node").alias("a"), F.col("x.node").alias("b"))
-    first = materialise(light.unionByName(star.distinct()), "pairs")
-    links = verify(docs, reps, first, percent)
-    discard(first)
-    found = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    light = light_pairs(base, shared, heavy, total, percent)
+    lists = materialise(heavy_postings(base, shared, heavy, percent), "heavy")
+    best = lists.groupBy("t").agg(F.max(F.struct((F.col("h") / F.col("n")).alias("part"), F.col("node").alias("node"), "n", "h", "c")).alias("p"), F.count("*").alias("m")).where("m > 1").select("t", "p.node", "p.n", "p.h", "p.c")
+    star = lists.alias("x").join(best.alias("y"), "t").where(F.expr("x.c <> y.c and " + _may_link("x", "y", percent))).select(F.col("y.node").alias("a"), F.col("x.node").alias("b"))
+    found = grown(light.unionByName(star), found)
 
     # lists that still hold members of several components
-    at = lists.join(reps.select("node"), "node").join(found, F.col("node") == F.col("id"), "left").select("t", "node", "n", "h", F.coalesce("component", "node").alias("c"))
+    at = lists.drop("c").join(found, F.col("node") == F.col("id"), "left").select("t", "node", "n", "h", F.coalesce("component", "node").alias("c"))
     at = materialise(at, "heavy-at")
     # a list is dealt to blocks by a hash of the node; every two blocks meet in a cell of their own
     mixed = at.groupBy("t").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("m")).where("lo <> hi").select("t", F.ceil(F.col("m") / LIST_BLOCK).cast("int").alias("k"))
@@ -535,24 +595,19 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     apart = left.alias("x").join(right.alias("y"), ["t", "i", "j"]).where(F.expr("x.c < y.c and " + _may_link("x", "y", percent))).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
     rest = materialise(apart, "apart")
     if rest.limit(1).count():
-        more = verify(docs, reps, rest, percent)
-        both = materialise(links.unionByName(more), "links-all")
-        discard(links, more, found)
-        links, found = both, connected_components(both.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    # A link of a node without heavy postings has been met in the light ones; links between nodes
-    # that both have some are counted within the groups, since only some of their pairs were needed.
-    hot = materialise(at.select("node").distinct().join(reps, "node").join(members.select("node", "n"), "node").join(found, F.col("node") == F.col("id"), "left").select("node", "rep", "n", F.coalesce("component", "node").alias("c")), "hot")
+        found = grown(rest, found)
     discard(lists, at, rest)
-    counted = group_links(docs, hot, percent)
-    both = links.join(hot.select(F.col("node").alias("a"), F.lit(1).alias("hot_a")), "a", "left").join(hot.select(F.col("node").alias("b"), F.lit(1).alias("hot_b")), "b", "left").where("hot_a is null or hot_b is null")
-    ends = both.select(F.col("a").alias("id"), F.lit(1).cast("long").alias("n_links")).unionByName(both.select(F.col("b").alias("id"), F.lit(1).cast("long").alias("n_links")))
-    ends = ends.unionByName(counted.select(F.col("node").alias("id"), "n_links")).groupBy("id").agg(F.sum("n_links").alias("n_links"))
-    joined = found.join(reps, F.col("id") == F.col("node"))
+
+    # links lie within components, where only some of the pairs were needed so far
+    linked = materialise(sizes.join(found, F.col("node") == F.col("id")).select("node", "n", F.col("component").alias("g")), "linked")
+    counted = group_links(linked, texts, percent)
+    discard(base)
+    joined = found.join(reps.select("node", "rep"), F.col("id") == F.col("node"))
     least = joined.groupBy("component").agg(F.min("rep").alias("least"))
-    linked = joined.join(least, "component").select("node", "component", "least")
-    named = members.join(linked, "node", "left").join(ends, F.col("node") == F.col("id"), "left")
+    told = joined.join(least, "component").select("node", "component", "least")
+    named = members.join(told, "node", "left").join(counted, "node", "left")
     named = named.select(F.col("node").alias("h1"), "h2", "n", F.coalesce("least", "rep").alias("c"), F.coalesce("component", "node").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    out = known.join(named, ["h1", "h2", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("c", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "component", F.col("h1").alias("set_a"), F.col("h2").alias("set_b"))
+    out = known.select("doc_id", "n", "h1", "h2").join(named, ["h1", "h2", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("c", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "component", F.col("h1").alias("set_a"), F.col("h2").alias("set_b"))
     out = materialise(out, "near")
-    discard(known, members, links, found, hot, counted)
+    discard(known, members, found, linked, counted)
     return out
