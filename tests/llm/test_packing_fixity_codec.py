@@ -1,4 +1,5 @@
 import itertools
+import os
 import random
 import struct
 
@@ -226,3 +227,26 @@ def test_the_sql_twins(spark, name):
     twin = con.execute(queries.oracle_sql()[name])
     names = [c[0] for c in twin.description]
     assert sorted(map(repr, (tuple(r[c] for c in names) for r in queries.queries()[name](spark, path).collect()))) == sorted(map(repr, twin.fetchall()))
+
+
+def test_tasks_run_the_library_without_threads_of_its_own(spark, monkeypatch):
+    monkeypatch.delenv("TOKENIZERS_PARALLELISM", raising=False)
+    raw = codec.read_model(spark, "/opt/tokenizers/piece_bpe_32k.model")
+    seen, decode = [], codec.decode
+    monkeypatch.setattr(codec, "decode", lambda *a: seen.append(os.environ.get("TOKENIZERS_PARALLELISM")) or decode(*a))
+
+    # the function that the query hands to its workers, run here
+    class Docs:
+        sparkSession = type("S", (), {"sparkContext": type("C", (), {"broadcast": staticmethod(lambda v: type("B", (), {"value": v}))})})
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, schema):
+            return list(run([pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": ["one two", None]})]))
+
+    rows = pa.Table.from_batches(codec.digests(Docs(), raw)).to_pylist()
+    assert seen == ["false"] and [r["n_ids"] > 0 for r in rows] == [True, False]
+    monkeypatch.setenv("TOKENIZERS_PARALLELISM", "true")  # what a user sets stays
+    codec.digests(Docs(), raw)
+    assert seen == ["false", "true"]

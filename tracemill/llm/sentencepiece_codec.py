@@ -2,13 +2,14 @@
 
 The model's protobuf is parsed here, field by field, and its parts are rebuilt: the normaliser with
 its precompiled character map and white-space rules, the metaspace marker, unigram scores (or, for
-a BPE model, merges in the order of the pieces' scores) and byte fallback. Batches are encoded by
-the library's own threads. `parity` holds the result against the sentencepiece library itself.
+a BPE model, merges in the order of the pieces' scores) and byte fallback. Tasks run the library
+without threads of its own, as Spark gives every core a task. `parity` holds the result against the sentencepiece library itself.
 """
 
 from __future__ import annotations
 
 import hashlib
+import os
 import struct
 import sys
 from array import array
@@ -199,14 +200,17 @@ def parity(raw: bytes, texts: list[str]) -> list[bool]:
 
 def read_model(spark: SparkSession, path: str) -> bytes:
     """A model file's bytes: of this machine, or of any store that Spark reads."""
-    import os
-
     if os.path.exists(path):
         with open(path, "rb") as f:
             return f.read()
     return bytes(spark.read.format("binaryFile").load(path).select("content").first()[0])
 
 
+def _one_thread() -> None:
+    """In a task: threads of the library's own would spin beside the other tasks, for more CPU time and no gain."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+
+
 def encode_documents(docs: DataFrame, raw: bytes, text: str = "text") -> DataFrame:
     """docs with ids array<int> and n_ids int; every row and column is kept.
 
@@ -218,6 +222,7 @@ def encode_documents(docs: DataFrame, raw: bytes, text: str = "text") -> DataFra
     schema = extended(base, ids=T.ArrayType(T.IntegerType()), n_ids=T.IntegerType())
 
     def run(batches):
+        _one_thread()
         for b in batches:
             for lo in range(0, b.num_rows, 512):
                 part = b.slice(lo, 512)
@@ -234,6 +239,7 @@ def decode_documents(coded: DataFrame, raw: bytes, out: str = "decoded") -> Data
     schema = extended(base, **{out: T.StringType()})
 
     def run(batches):
+        _one_thread()
         for b in batches:
             for lo in range(0, b.num_rows, 512):
                 part = b.slice(lo, 512)
@@ -255,6 +261,7 @@ def digests(docs: DataFrame, raw: bytes) -> DataFrame:
     def run(batches):
         import sentencepiece
 
+        _one_thread()
         ref = sentencepiece.SentencePieceProcessor(model_proto=shared.value)
         had: dict[bytes, tuple] = {}
         for b in batches:
