@@ -18,9 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tracemill.llm.common import discard, materialise
-from tracemill.llm.vectors import BLOCK_ROWS, NEIGHBOURS, QUERY_STEP, clean, dense, in_passes, own_rows
+from tracemill.llm.vectors import NEIGHBOURS, QUERY_STEP, clean, dense, in_passes, own_rows
 
 SCALE = 64
+#: Rows that one block of the index should hold: bitmaps long enough that adding them outweighs calling numpy.
+BLOCK_ROWS = 16384
 #: Queries that are added up together.
 ADDED_QUERIES = 4
 #: Components up to this size after scaling are sliced; rows and queries with larger ones are exact whole numbers.
