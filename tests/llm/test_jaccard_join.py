@@ -119,3 +119,24 @@ def test_near_copies_are_not_listed_pair_by_pair(spark, monkeypatch):
     got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
     assert {(r["component_id"], r["n_links"]) for r in got} == {(0, 49), (50, 49), (100, 49)}
     assert sum(listed) <= 10 * len(rows)
+
+
+def test_the_bit_map_comes_in_few_jobs_whatever_the_partitions(spark):
+    import numpy as np
+
+    from tracemill.llm.jaccard_join import _bloom, _slot
+
+    ids, held = spark.range(0, 6000, 3).withColumnRenamed("id", "rep"), {"spark.sql.shuffle.partitions": "24", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        spark.sparkContext.setJobGroup("bit map", "bit map")
+        whole, bits = _bloom(ids, 2000)
+        jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("bit map")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert 0 < len(jobs) < 8
+    assert set(np.flatnonzero(np.unpackbits(whole, bitorder="little"))) == {r["s"] for r in ids.select(_slot("rep", bits).alias("s")).collect()}

@@ -317,7 +317,8 @@ def _bloom(ids: DataFrame, count: int, column: str = "rep") -> tuple[np.ndarray,
     """A bit map of hashed ids, of at most 2 ** 27 bits; it only spares the shuffle some texts.
 
     Slots are made distinct before they shuffle and set by range, so that no task and not the
-    driver sees more than the map's own size.
+    driver sees more than the map's own size. The map comes in one job: an iterator over the
+    partitions would run a job for each of them, one after another, and the driver remembers jobs.
     """
     bits = max(12, min(27, math.ceil(math.log2(max(1, count))) + 4))
     low = bits - 6
@@ -331,7 +332,7 @@ def _bloom(ids: DataFrame, count: int, column: str = "rep") -> tuple[np.ndarray,
 
     slots = ids.select(_slot(column, bits).alias("s")).distinct()
     whole = np.zeros(1 << (bits - 3), np.uint8)
-    for row in slots.groupBy(F.shiftright("s", low).alias("_r")).applyInPandas(fill, "r int, m binary").toLocalIterator():
+    for row in slots.groupBy(F.shiftright("s", low).alias("_r")).applyInPandas(fill, "r int, m binary").collect():
         part = np.frombuffer(bytes(row["m"]), np.uint8)
         whole[row["r"] * len(part) : (row["r"] + 1) * len(part)] = part
     return whole, bits
